@@ -93,3 +93,13 @@ def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Attach a one-row frame of totals to every row (a keyed join on a constant)."""
     one = totals.withColumn("__one", F.lit(1))
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions and filters refer to by value.
+
+    They come out of a one-row generator, which the optimizer does not fold into the
+    expressions above it, so an expensive column is evaluated once per row.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))

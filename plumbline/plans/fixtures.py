@@ -301,7 +301,7 @@ FROM {{events}} WHERE user_id % 5 <> 0 OR ts < TIMESTAMP '2024-01-05 00:00:00'
 """
 
 FIXTURES["config_fx"] = f"""
-SELECT 'store_' || CAST(floor(c_custkey / 4) AS STRING) AS store, {words('url|runtime|platform|validator', 'c_custkey % 4')} AS key,
+SELECT 'store_' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) AS store, {words('url|runtime|platform|validator', 'c_custkey % 4')} AS key,
        CASE c_custkey % 4
          WHEN 0 THEN 'postgres://app:pw' || CAST(c_custkey AS STRING) || '@db:' || {words('5432|6543', 'floor(c_custkey / 4) % 2')}
                      || '/main?sslmode=' || {words('disable|require|verify-full', 'floor(c_custkey / 4) % 3')}
@@ -313,11 +313,11 @@ FROM {{customer}} WHERE c_custkey % 12 <> 11
 """
 
 FIXTURES["files_fx"] = """
-SELECT 'repo_' || CAST(floor(c_custkey / 6) AS STRING) AS repo,
+SELECT 'repo_' || CAST(CAST(floor(c_custkey / 6) AS BIGINT) AS STRING) AS repo,
        split_part('prisma/schema.prisma|package.json|docker-compose.yml|.env|db/schema.rb|src/models/user.js', '|', CAST(1 + c_custkey % 6 AS INT)) AS path,
        CASE c_custkey % 6
          WHEN 0 THEN 'datasource db ' || chr(10) || ' provider = "' || split_part('postgresql|mysql|sqlite|mongodb', '|', CAST(1 + floor(c_custkey / 6) % 4 AS INT)) || '"'
-         WHEN 1 THEN '"dependencies": "' || split_part('pg|mongoose|ioredis|neo4j-driver', '|', CAST(1 + floor(c_custkey / 6) % 4 AS INT)) || '": "1.0"'
+         WHEN 1 THEN chr(123) || '"name": "app", "dependencies": ' || chr(123) || '"react": "18", "' || split_part('pg|mongoose|ioredis|neo4j-driver', '|', CAST(1 + floor(c_custkey / 6) % 4 AS INT)) || '": "1.0"' || chr(125) || chr(125)
          WHEN 2 THEN 'image: ' || split_part('postgres:16|redis:7|cassandra:4|nginx:1', '|', CAST(1 + floor(c_custkey / 6) % 4 AS INT))
          WHEN 3 THEN 'DATABASE_URL=' || split_part('postgres|mysql|mongodb+srv|rediss', '|', CAST(1 + floor(c_custkey / 6) % 4 AS INT)) || '://u:p' || CAST(c_custkey AS STRING) || '@h/db'
          WHEN 4 THEN 'ActiveRecord::Schema.define do'
@@ -333,3 +333,30 @@ SELECT 'c' || CAST(o.o_custkey AS STRING) AS src, 'p' || CAST(l.l_partkey AS STR
 FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey
 """
 
+
+FIXTURES["payloads_fx"] = """
+SELECT event_id, chr(123) || '"tool": "sql", "input": ' || chr(123) || '"command": "' || statement || '", "options": ["a:b", "'
+       || CAST(session_id AS STRING) || '"]' || chr(125) || chr(125) AS payload
+FROM {statements_fx}
+"""
+
+FIXTURES["source_lines_fx"] = """
+SELECT event_id, CASE event_id % 5
+  WHEN 0 THEN 'db.query("SELECT * FROM users WHERE id = " + id' || CAST(event_id AS STRING) || ')'
+  WHEN 1 THEN 'db.query(`SELECT * FROM users WHERE id = $' || chr(123) || 'id' || chr(125) || '`)'
+  WHEN 2 THEN 'cur.execute(f"DELETE FROM t WHERE id = ' || chr(123) || 'x' || chr(125) || '")'
+  WHEN 3 THEN 'db.query("SELECT * FROM users WHERE id = $1", [id])'
+  ELSE 'const total = a + b' END AS line
+FROM {events}
+"""
+
+FIXTURES["paths_fx"] = """
+SELECT event_id, split_part('.git/config|src/app.ts|.env.local|deploy/id_rsa|certs/server.pem|yarn.lock|home/.ssh/known|.aws/config|.pgpass|cfg/secrets.yml|credentials|README.md', '|', CAST(1 + event_id % 12 AS INT)) AS path
+FROM {events}
+"""
+
+FIXTURES["sources_fx"] = """
+SELECT 'store_' || CAST(CAST(floor(c_custkey / 5) AS BIGINT) AS STRING) AS store, 'source_' || CAST(c_custkey AS STRING) AS source,
+       split_part('orm|migration|declarative|live', '|', CAST(1 + (c_custkey * 7 + floor(c_custkey / 5)) % 4 AS INT)) AS kind
+FROM {customer}
+"""
