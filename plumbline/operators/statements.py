@@ -67,6 +67,8 @@ OPERATION_PATTERNS = [
     ("truncate", [r"^TRUNCATE\b"]),
 ]
 
+_OPERATION_HINT = r"(?i)drop|add|alter|create|set|update|delete|truncate|references"
+
 # Lock taken by each class when nothing in the statement changes it.
 LOCKS = {
     "drop_table": "ACCESS EXCLUSIVE",
@@ -128,8 +130,8 @@ def classify_migration(statements: DataFrame, column: str = "statement", known_g
     """
     u = F.col("__u")
     patterns = [(op, p) for op, p in OPERATION_PATTERNS if not (known_gaps and op == "truncate")]
-    op = F.when(_any(u, patterns[0][1]), patterns[0][0])
-    for name, alternatives in patterns[1:]:
+    op = F.when(~u.rlike(_OPERATION_HINT), "other")
+    for name, alternatives in patterns:
         op = op.when(_any(u, alternatives), name)
     k = F.col("__class")
     not_null, default = _has(u, r"\bNOT\s+NULL\b"), _has(u, r"\bDEFAULT\b")
@@ -324,7 +326,7 @@ def payload_strings(payloads: DataFrame, key: str, column: str) -> DataFrame:
 QUERY_FLAGS = [
     ("select_star", r"\bSELECT\s+\*"),
     ("offset_page", r"\bOFFSET\s+\d"),
-    ("function_wrapped", r"\bWHERE\b[^;]*\b[a-z_]+\s*\(\s*[a-z_.]+\s*\)\s*(=|<|>|LIKE\b|IN\b)"),
+    ("function_wrapped", r"\bWHERE\s[^;]*[a-z_]\s*\(\s*[a-z_.]+\s*\)\s*(=|<|>|LIKE\b|IN\b)"),
     ("leading_wildcard", r"\bLIKE\s+'%"),
 ]
 LOCK_FLAGS = [

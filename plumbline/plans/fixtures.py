@@ -208,7 +208,7 @@ FROM (
               WHEN r % 11 = 0 THEN 'text'
               ELSE {words(ESTATE_TYPES, '(ordinal + table_no * 11) % 48')} END AS type,
          r % 3 <> 0 OR ordinal = 0 AS not_null,
-         ordinal = 0 AND table_no % 7 <> 0 AS pk,
+         (ordinal = 0 OR (ordinal = 1 AND table_no % 9 = 4)) AND table_no % 7 <> 0 AS pk,
          r % 9 = 0 AND ordinal > 0 AS is_unique,
          CASE WHEN ordinal = 0 AND table_no % 4 = 2 THEN 'gen_random_uuid()'
               WHEN ordinal = 0 THEN ''
@@ -221,15 +221,17 @@ FROM (
                 ELSE CAST(floor(o_orderkey / 8) AS BIGINT) END AS table_no,
            CAST(CASE WHEN CAST(floor(o_orderkey / 160) AS BIGINT) % 10 = 3 THEN o_orderkey % 40 ELSE o_orderkey % 8 END AS INT) AS ordinal
     FROM {{orders}}) o) c
+WHERE NOT (table_no % 8 = 5 AND ordinal >= 6)
 """
 
 FIXTURES["estate_fks"] = f"""
 SELECT store, table_name, split(column_name, ',') AS columns, ref_table, split('id', ',') AS ref_columns,
        {words('CASCADE|RESTRICT|SET NULL|', '(table_no + ordinal) % 4')} AS on_delete,
-       (table_no + ordinal) % 6 <> 0 AS validated
+       table_no % 5 <> 2 AS validated
 FROM (
   SELECT *, CASE column_name WHEN 'user_id' THEN 'users' WHEN 'order_id' THEN 'orders' WHEN 'account_id' THEN 'accounts'
-                             WHEN 'product_id' THEN 'products' WHEN 'tenant_id' THEN 'tenants' END AS ref_table
+                             WHEN 'product_id' THEN 'products' WHEN 'tenant_id' THEN 'tenants'
+                             WHEN 'commentable_id' THEN 'documents' END AS ref_table
   FROM {{estate_columns}}) e
 WHERE ref_table IS NOT NULL AND (table_no * 3 + ordinal) % 4 <> 0
 UNION ALL
@@ -301,15 +303,18 @@ FROM {{events}} WHERE user_id % 5 <> 0 OR ts < TIMESTAMP '2024-01-05 00:00:00'
 """
 
 FIXTURES["config_fx"] = f"""
-SELECT 'store_' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) AS store, {words('url|runtime|platform|validator', 'c_custkey % 4')} AS key,
-       CASE c_custkey % 4
-         WHEN 0 THEN 'postgres://app:pw' || CAST(c_custkey AS STRING) || '@db:' || {words('5432|6543', 'floor(c_custkey / 4) % 2')}
-                     || '/main?sslmode=' || {words('disable|require|verify-full', 'floor(c_custkey / 4) % 3')}
-                     || CASE WHEN floor(c_custkey / 4) % 4 = 1 THEN '&prepared_statements=true' ELSE '' END
-         WHEN 1 THEN {words('vercel|container|lambda|vm', 'floor(c_custkey / 4) % 4')}
-         WHEN 2 THEN {words('postgres|planetscale|supabase|d1|mongodb', 'floor(c_custkey / 4) % 5')}
-         ELSE {words('strict|none', 'floor(c_custkey / 4) % 2')} END AS value
-FROM {{customer}} WHERE c_custkey % 12 <> 11
+SELECT store, key, CASE key
+    WHEN 'url' THEN 'postgres://app:pw' || CAST(n AS STRING) || '@db:' || {words('5432|6543', 'g % 2')} || '/main?sslmode='
+                    || {words('disable|require|verify-full', 'g % 3')} || CASE WHEN g % 4 = 1 THEN '&prepared_statements=true' ELSE '' END
+    WHEN 'runtime' THEN {words('vercel|container|lambda|vm', 'g % 4')}
+    WHEN 'validator' THEN {words('strict|none', 'g % 2')}
+    WHEN 'charset' THEN {words('utf8|utf8mb4|latin1', 'g % 3')}
+    WHEN 'appendonly' THEN {words('yes|no', 'g % 2')}
+    ELSE 'set' END AS value
+FROM (
+  SELECT c_custkey AS n, CAST(floor(c_custkey / 12) AS BIGINT) AS g, 'store_' || CAST(CAST(floor(c_custkey / 12) AS BIGINT) AS STRING) AS store,
+         {words('url|runtime|validator|charset|appendonly|retention_policy|compression_policy|ttl_policy|lookup_index|model_version|ann_index|rollup_policy', 'c_custkey % 12')} AS key
+  FROM {{customer}} WHERE (c_custkey * 7) % 5 <> 0) c
 """
 
 FIXTURES["files_fx"] = """
