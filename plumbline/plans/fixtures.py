@@ -233,7 +233,7 @@ FROM (
                              WHEN 'product_id' THEN 'products' WHEN 'tenant_id' THEN 'tenants'
                              WHEN 'commentable_id' THEN 'documents' END AS ref_table
   FROM {{estate_columns}}) e
-WHERE ref_table IS NOT NULL AND (table_no * 3 + ordinal) % 4 <> 0
+WHERE ref_table IS NOT NULL AND (table_no * 3 + ordinal) % 4 <> 0 AND NOT (column_name = 'commentable_id' AND table_no % 3 = 0)
 UNION ALL
 SELECT store, table_name, split('tenant_id,user_id', ','), 'users', split('tenant_id,id', ','), 'CASCADE', true
 FROM {{estate_columns}} WHERE column_name = 'created_at' AND table_no % 3 = 0
