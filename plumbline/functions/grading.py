@@ -76,10 +76,15 @@ DIALECT_PATTERNS = [
 ]
 
 
+def constant_map(mapping: dict[str, str]) -> Column:
+    """A map literal, written as one SQL expression."""
+    quoted = ", ".join("'" + str(x).replace("'", "''") + "'" for kv in mapping.items() for x in kv)
+    return F.expr(f"map({quoted})")
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Value of a small constant map, NULL when absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(constant_map(mapping), key)
 
 
 def engine_paradigm(engine: Column) -> Column:

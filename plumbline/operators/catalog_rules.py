@@ -1,18 +1,25 @@
 """Rules over catalog frames: set-based predicates that emit finding rows.
 
 A catalog is three flat frames keyed by (store, table_name): ``columns`` (one row per column),
-``fks`` and ``indexes`` (ordered column arrays).  Rules about prefixes explode the prefixes of
-each index and join on equality, so no pairs of indexes or keys are ever compared.
+``fks`` and ``indexes`` (ordered column arrays).  Rules on single columns, tables or keys are
+predicates evaluated together in one pass; rules that relate frames are joins on equality.  Prefix
+rules explode the prefixes of each index, so no pairs of indexes or keys are ever compared.
+
+Rules return hits ``(store, rule, object)``; ``findings`` turns hits into finding rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.grading import lookup
 from plumbline.functions.text import is_reserved, jvm
+from plumbline.session import cut_lineage
 
 # Name and type hints.
 MONEY_HINT = r"(?i)(price|amount|cost|total|balance|fee|salary|revenue|payment|wage|tax|discount|subtotal|charge|refund|money|currency)"
@@ -35,6 +42,60 @@ OPAQUE = "^(data|info|value|flag|temp|tmp|col[0-9]*)$"
 DATE_LIKE = "(_at$|^valid_)"
 
 
+# What each rule reports.  Confidence "catalog" is that of the catalog it ran on.
+RULE_TEXT = """
+rule | module | status | severity | axis | confidence | magnitude | fixable
+money_as_float | M19 | fail | 5 | design | catalog | high | advisory
+csv_in_column | M19 | needs_api | 3 | design | speculative | medium | advisory
+eav | M19 | needs_api | 3 | both | speculative | medium | advisory
+no_primary_key | M19 | fail | 5 | both | catalog | high | advisory
+polymorphic_fk | M19 | warn | 3 | both | catalog | medium | advisory
+boolean_soup | M19 | warn | 3 | design | directional | medium | advisory
+fk_unindexed | M11 | warn | 3 | performance | catalog | medium | proposed
+esr_order | M11 | warn | 3 | performance | directional | medium | proposed
+index_type | M11 | warn | 3 | performance | directional | medium | proposed
+redundant_prefix | M12 | warn | 3 | performance | catalog | medium | proposed
+repeating_group | M1 | warn | 3 | design | directional | medium | advisory
+denormalized_label | M1 | warn | 3 | design | directional | medium | proposed
+int4_pk | M2 | warn | 4 | both | directional | medium | auto
+uuidv4_clustered_pk | M2 | warn | 3 | performance | directional | medium | advisory
+natural_key_pk | M2 | warn | 3 | design | directional | medium | advisory
+composite_pk_order | M2 | warn | 3 | performance | directional | medium | advisory
+no_fk_financial | M3 | fail | 5 | both | catalog | high | auto
+no_fk | M3 | warn | 3 | both | catalog | medium | auto
+fk_cascades_financial | M3 | warn | 4 | design | catalog | medium | proposed
+fk_no_action | M3 | warn | 3 | design | catalog | medium | proposed
+composite_fk_mismatch | M3 | warn | 3 | design | catalog | medium | advisory
+naive_timestamp | M4 | warn | 4 | design | catalog | medium | proposed
+free_text_status | M4 | warn | 2 | design | directional | medium | proposed
+json_catch_all | M4 | warn | 3 | design | directional | medium | proposed
+nullable | M5 | warn | 3 | design | catalog | medium | auto
+no_check | M5 | warn | 3 | design | catalog | medium | proposed
+no_unique | M5 | warn | 4 | design | directional | medium | proposed
+over_nullable_unique | M5 | warn | 4 | design | catalog | medium | advisory
+not_validated | M5 | warn | 3 | design | catalog | medium | auto
+no_default | M6 | warn | 2 | design | catalog | low | auto
+app_maintained | M6 | warn | 3 | design | directional | medium | proposed
+default_empty_string | M6 | warn | 2 | design | catalog | low | advisory
+serial_not_identity | M6 | warn | 2 | design | catalog | low | proposed
+boolean_no_default | M6 | warn | 2 | design | catalog | low | auto
+reserved_word | M7 | warn | 2 | design | directional | low | proposed
+fk_naming | M7 | warn | 1 | design | directional | low | proposed
+boolean_unprefixed | M7 | warn | 1 | design | directional | low | proposed
+opaque_name | M7 | warn | 1 | design | directional | low | advisory
+soft_delete_inconsistent | M8 | warn | 3 | design | directional | medium | proposed
+no_audit_trail | M8 | warn | 3 | design | directional | medium | proposed
+pii_no_retention_or_erasure | M8 | warn | 4 | design | directional | medium | advisory
+no_tenant_scope | M9 | warn | 4 | both | catalog | medium | proposed
+index_not_tenant_leading | M9 | warn | 3 | performance | catalog | medium | proposed
+unique_omits_tenant | M9 | warn | 4 | both | catalog | medium | proposed
+pii_unprotected | M10 | warn | 3 | design | directional | medium | advisory
+plaintext_secret | M10 | fail | 5 | design | catalog | high | advisory
+"""
+_RULE_ROWS = [[cell.strip() for cell in line.split("|")] for line in RULE_TEXT.strip().splitlines()]
+RULES = {row[0]: dict(zip(_RULE_ROWS[0], row, strict=True)) for row in _RULE_ROWS[1:]}
+
+
 @dataclass(frozen=True)
 class Catalog:
     columns: DataFrame
@@ -56,41 +117,48 @@ class Catalog:
     def fk_columns(self) -> DataFrame:
         return self.fks.select("store", "table_name", F.explode("columns").alias("column_name")).distinct()
 
+    def stored(self) -> Catalog:
+        """The same catalog read back from the shared folder, for running many rules on it."""
+        return replace(
+            self,
+            columns=cut_lineage(self.columns, "columns"),
+            fks=cut_lineage(self.fks, "fks"),
+            indexes=cut_lineage(self.indexes, "indexes"),
+        )
+
     def with_confidence(self, confidence: str) -> Catalog:
         return replace(self, confidence=confidence)
 
 
-def finding(
-    df: DataFrame,
-    module: str,
-    rule: str,
-    obj: Column,
-    status: str | Column = "warn",
-    severity: int | Column = 3,
-    axis: str = "design",
-    confidence: str = "established",
-    magnitude: str = "medium",
-    fixable: str = "advisory",
-) -> DataFrame:
-    """Finding rows for ``df``; ids are lower-cased so that they always fit the id pattern."""
-
-    def lit(v):
-        return v if isinstance(v, Column) else F.lit(v)
-
-    return df.select(
+def findings(hits: DataFrame, confidence: str = "established") -> DataFrame:
+    """Finding rows for hits ``(store, rule, object)``.  Ids name the object in lower case, so
+    they always fit the id pattern."""
+
+    def part(name: str) -> Column:
+        return lookup({rule: row[name] for rule, row in RULES.items()}, F.col("rule"))
+
+    obj = F.lower(F.regexp_replace("object", "[^A-Za-z0-9_.-]", "-"))
+    joint = F.when(F.contains(F.col("object"), F.lit(".")), "_").otherwise(".")
+    given = part("confidence")
+    return hits.select(
         "store",
-        F.lower(F.concat(F.lit(f"{module}."), F.regexp_replace(obj, "[^A-Za-z0-9_.-]", "-"), F.lit(f".{rule}"))).alias("id"),
-        F.lit(module).alias("module"),
-        lit(status).alias("status"),
-        lit(severity).alias("severity"),
-        F.lit(axis).alias("axis"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(magnitude).alias("magnitude"),
-        F.lit(fixable).alias("fixable"),
-        obj.alias("object"),
+        F.concat(part("module"), F.lit("."), obj, joint, F.col("rule")).alias("id"),
+        part("module").alias("module"),
+        part("status").alias("status"),
+        part("severity").cast("int").alias("severity"),
+        part("axis").alias("axis"),
+        F.when(given == "catalog", F.lit(confidence)).otherwise(given).alias("confidence"),
+        part("magnitude").alias("magnitude"),
+        part("fixable").alias("fixable"),
+        "object",
     )
 
 
+def _hits(df: DataFrame, obj: Column, rules: dict[str, Column]) -> DataFrame:
+    """(store, rule, object) of every rule whose condition holds, from one pass over ``df``."""
+    fired = F.array_compact(F.array(*[F.when(when, F.lit(rule)) for rule, when in rules.items()]))
+    return df.select("store", F.explode(fired).alias("rule"), obj.alias("object"))
+
 
 def _column() -> Column:
     return F.concat_ws(".", F.col("table_name"), F.col("column_name"))
@@ -100,37 +168,113 @@ def _is(column: str, pattern: str) -> Column:
     return F.col(column).rlike(jvm(pattern))
 
 
-def confidence_downgrade(findings: DataFrame, model_confidence: str) -> DataFrame:
+def confidence_downgrade(rows: DataFrame, model_confidence: str) -> DataFrame:
     """Findings of a heuristically parsed model are unproven: needs_api and speculative."""
     if model_confidence != "directional":
-        return findings
-    return findings.withColumn("status", F.lit("needs_api")).withColumn("confidence", F.lit("speculative"))
+        return rows
+    return rows.withColumn("status", F.lit("needs_api")).withColumn("confidence", F.lit("speculative"))
+
 
+# --- rules on single columns --------------------------------------------------------------------
 
-# --- smells -------------------------------------------------------------------------------------
 
+def column_conditions() -> dict[str, Column]:
+    """Rule -> condition over one row of ``columns``."""
+    name, kind = F.lower("column_name"), F.lower("type")
+    default = F.trim(F.coalesce(F.col("default_expr"), F.lit("")))
+    text, boolean = _is("type", TEXT_TYPE), kind.startswith("bool")
+    return {
+        "money_as_float": _is("column_name", MONEY_HINT) & _is("type", FLOAT_TYPE),
+        "csv_in_column": _is("column_name", CSV_HINT) & text,
+        "int4_pk": F.col("pk") & kind.isin("int", "int4", "integer", "serial"),
+        "uuidv4_clustered_pk": F.col("pk") & (kind == "uuid") & default.rlike("(?i)(gen_random_uuid|uuid_generate_v4)"),
+        "natural_key_pk": F.col("pk") & name.rlike(NATURAL_KEY),
+        "naive_timestamp": kind.isin("timestamp", "timestamp without time zone", "timestamp_ntz", "datetime"),
+        "free_text_status": kind.startswith("enum") | (name.rlike("^(status|state|kind|role)$") & text & ~F.col("has_check")),
+        "json_catch_all": kind.isin("json", "jsonb"),
+        "nullable": name.rlike("(_id$|^status$|^created_at$|^email$)") & ~F.col("not_null"),
+        "no_check": name.rlike("(quantity|price|amount|^status$|^valid_|_count$)") & ~F.col("has_check"),
+        "no_default": name.rlike("_at$") & (name != "deleted_at") & (default == ""),
+        "app_maintained": name.rlike(DERIVED_HINT),
+        "default_empty_string": default == "''",
+        "serial_not_identity": kind.isin("serial", "bigserial"),
+        "boolean_no_default": boolean & (default == ""),
+        "reserved_word": is_reserved(F.col("column_name")),
+        "boolean_unprefixed": boolean & ~name.rlike("^(is|has|can)_"),
+        "opaque_name": name.rlike(OPAQUE) | (kind.startswith("timestamp") & ~name.rlike(DATE_LIKE)),
+        "pii_unprotected": name.rlike(PII_HINT),
+        "plaintext_secret": name.rlike(SECRET_COLUMN) & ~name.rlike("hash") & text,
+    }
+
+
+def column_rules(cat: Catalog, only: list[str] | None = None) -> DataFrame:
+    rules = {r: c for r, c in column_conditions().items() if only is None or r in only}
+    return _hits(cat.columns, _column(), rules)
+
+
+# --- rules on single tables ---------------------------------------------------------------------
+
+
+def table_conditions(boolean_flags: int = 3) -> dict[str, Column]:
+    """Rule -> condition over one row of ``table_profile``."""
+    return {
+        "eav": F.col("attr") & F.col("val") & (F.col("n") <= 6),
+        "no_primary_key": ~F.col("has_pk"),
+        "pii_no_retention_or_erasure": F.col("pii") & ~F.col("kept"),
+        "boolean_soup": F.col("flags") >= boolean_flags,
+        "reserved_word": is_reserved(F.col("table_name")),
+    }
+
+
+def table_profile(cat: Catalog) -> DataFrame:
+    """Everything the table rules look at, from one aggregation over the columns."""
+    name = F.lower("column_name")
+    flag = F.lower("type").startswith("bool") & name.rlike("^(is|has|can)_")
+    return cat.columns.groupBy("store", "table_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_or("pk").alias("has_pk"),
+        F.bool_or(name.rlike(EAV_ATTRIBUTE)).alias("attr"),
+        F.bool_or(name.rlike(EAV_VALUE)).alias("val"),
+        F.bool_or(name.rlike(PII_HINT)).alias("pii"),
+        F.bool_or(name.rlike(RETENTION_HINT)).alias("kept"),
+        F.count_if(flag).alias("flags"),
+    )
 
-def float_money(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(_is("column_name", MONEY_HINT) & _is("type", FLOAT_TYPE))
-    return finding(hits, "M19", "money_as_float", _column(), "fail", 5, "design", cat.confidence, "high")
 
+def table_rules(cat: Catalog, only: list[str] | None = None) -> DataFrame:
+    rules = {r: c for r, c in table_conditions().items() if only is None or r in only}
+    return _hits(table_profile(cat), F.col("table_name"), rules)
 
-def csv_column(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(_is("column_name", CSV_HINT) & _is("type", TEXT_TYPE))
-    return finding(hits, "M19", "csv_in_column", _column(), "needs_api", 3, "design", "speculative")
 
+# --- rules on single foreign keys ---------------------------------------------------------------
+
+
+def fk_conditions() -> dict[str, Column]:
+    """Rule -> condition over one row of ``fks``."""
+    cascade = (F.col("on_delete") == "CASCADE") & F.lower("table_name").rlike(FINANCIAL_TABLE)
+    named = F.concat(F.regexp_replace(F.lower("ref_table"), "s$", ""), F.lit("_id"))
+    return {
+        "fk_cascades_financial": cascade,
+        "fk_no_action": F.coalesce(F.col("on_delete"), F.lit("")) == "",
+        "not_validated": ~F.col("validated"),
+        "fk_naming": (F.size("columns") == 1) & (F.lower(F.element_at("columns", 1)) != named),
+    }
+
+
+def _fk_object() -> Column:
+    return F.concat_ws(".", F.col("table_name"), F.array_join("columns", "_"))
+
+
+def fk_rules(cat: Catalog, only: list[str] | None = None) -> DataFrame:
+    rules = {r: c for r, c in fk_conditions().items() if only is None or r in only}
+    return _hits(cat.fks, _fk_object(), rules)
 
-def eav(cat: Catalog) -> DataFrame:
-    name = F.lower("column_name")
-    shape = cat.columns.groupBy("store", "table_name").agg(
-        F.bool_or(name.rlike(EAV_ATTRIBUTE)).alias("attr"), F.bool_or(name.rlike(EAV_VALUE)).alias("val"), F.count(F.lit(1)).alias("n")
-    )
-    return finding(shape.where("attr AND val AND n <= 6"), "M19", "eav", F.col("table_name"), "needs_api", 3, "both", "speculative")
 
+# --- rules that relate frames -------------------------------------------------------------------
 
-def no_primary_key(cat: Catalog) -> DataFrame:
-    keyed = cat.columns.groupBy("store", "table_name").agg(F.bool_or("pk").alias("has_pk"))
-    return finding(keyed.where("NOT has_pk"), "M19", "no_primary_key", F.col("table_name"), "fail", 5, "both", cat.confidence, "high")
+
+def _named(df: DataFrame, rule: str, obj: Column) -> DataFrame:
+    return df.select("store", F.lit(rule).alias("rule"), obj.alias("object"))
 
 
 def polymorphic_fk(cat: Catalog, keep_keys: bool = False) -> DataFrame:
@@ -146,7 +290,7 @@ def polymorphic_fk(cat: Catalog, keep_keys: bool = False) -> DataFrame:
     declared = cat.fk_columns().select("store", "table_name", F.regexp_replace(F.lower("column_name"), "_id$", "").alias("base"))
     on = ["store", "table_name", "base"]
     hits = base.join(ids, on, "left_semi").join(declared, on, "left_anti")
-    return finding(hits, "M19", "polymorphic_fk", F.concat_ws(".", "table_name", "base"), "warn", 3, "both", cat.confidence)
+    return _named(hits, "polymorphic_fk", F.concat_ws(".", "table_name", "base"))
 
 
 def _prefixes(columns: str) -> Column:
@@ -165,8 +309,7 @@ def fk_unindexed(cat: Catalog) -> DataFrame:
     covered = lists.select("store", "table_name", F.explode(_prefixes("columns")).alias("fk")).distinct()
     keys = cat.fks.withColumn("fk", F.lower(F.array_join("columns", ",")))
     hits = keys.join(covered, ["store", "table_name", "fk"], "left_anti").dropDuplicates(["store", "table_name", "fk"])
-    obj = F.concat_ws(".", "table_name", F.array_join("columns", "_"))
-    return finding(hits, "M11", "fk_unindexed", obj, "warn", 3, "performance", cat.confidence, "medium", "proposed")
+    return _named(hits, "fk_unindexed", _fk_object())
 
 
 def repeating_groups(cat: Catalog) -> DataFrame:
@@ -174,7 +317,7 @@ def repeating_groups(cat: Catalog) -> DataFrame:
     stems = numbered.groupBy("store", "table_name", F.regexp_replace("column_name", "_?[0-9]+$", "").alias("stem")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return finding(stems.where("n >= 2"), "M1", "repeating_group", F.concat_ws(".", "table_name", "stem"), "warn", 3)
+    return _named(stems.where("n >= 2"), "repeating_group", F.concat_ws(".", "table_name", "stem"))
 
 
 def denormalized_label(cat: Catalog) -> DataFrame:
@@ -192,39 +335,23 @@ def denormalized_label(cat: Catalog) -> DataFrame:
         .where("entity <> table_name")
         .dropDuplicates(["store", "table_name", "column_name"])
     )
-    return finding(hits, "M1", "denormalized_label", _column(), "warn", 3, confidence="directional", fixable="proposed")
-
-
-# --- keys and references ------------------------------------------------------------------------
+    return _named(hits, "denormalized_label", _column())
 
 
-def int4_key(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(F.col("pk") & F.lower("type").isin("int", "int4", "integer", "serial"))
-    return finding(hits, "M2", "int4_pk", _column(), "warn", 4, "both", "directional", fixable="auto")
-
-
-def uuid_v4_key(cat: Catalog, versions: DataFrame | None = None) -> DataFrame:
-    """Random uuid keys; with ``(store, major_version)`` the advice names the native alternative."""
-    hits = cat.columns.where(F.col("pk") & (F.lower("type") == "uuid") & F.col("default_expr").rlike("(?i)(gen_random_uuid|uuid_generate_v4)"))
-    rows = finding(hits, "M2", "uuidv4_clustered_pk", _column(), "warn", 3, "performance", "directional")
-    if versions is None:
-        return rows
+def uuid_v4_key(cat: Catalog, versions: DataFrame) -> DataFrame:
+    """Random uuid keys, with the native alternative where ``(store, major_version)`` has one."""
+    rows = findings(column_rules(cat, ["uuidv4_clustered_pk"]), cat.confidence)
     native = F.coalesce(F.col("major_version"), F.lit(0)) >= 18
     return rows.join(versions, "store", "left").withColumn(
         "recommendation", F.when(native, "uuidv7()").otherwise("time-ordered id from the application")
     ).drop("major_version")
 
 
-def natural_key_pk(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(F.col("pk") & F.lower("column_name").rlike(NATURAL_KEY))
-    return finding(hits, "M2", "natural_key_pk", _column(), "warn", 3)
-
-
 def composite_pk_order(cat: Catalog, leading: str = "tenant_id") -> DataFrame:
     """Composite keys of tables with a dominant access column that do not lead with it."""
     scoped = cat.columns.where(F.col("column_name") == leading).select("store", "table_name")
     hits = cat.primary_keys().where((F.size("pk") > 1) & (F.element_at("pk", 1) != leading)).join(scoped, ["store", "table_name"], "left_semi")
-    return finding(hits, "M2", "composite_pk_order", F.col("table_name"), "warn", 3, "performance")
+    return _named(hits, "composite_pk_order", F.col("table_name"))
 
 
 def missing_fk(cat: Catalog) -> DataFrame:
@@ -232,21 +359,11 @@ def missing_fk(cat: Catalog) -> DataFrame:
     ids = cat.columns.where(F.col("column_name").rlike("_id$") & ~F.col("pk")).select(
         "store", "table_name", "column_name", F.regexp_replace("column_name", "_id$", "").alias("stem")
     )
-    keyed = cat.primary_keys().select("store", F.regexp_replace("table_name", "s$", "").alias("stem")).distinct()
+    keyed = cat.columns.where("pk").select("store", F.regexp_replace("table_name", "s$", "").alias("stem")).distinct()
     hits = ids.join(keyed, ["store", "stem"], "left_semi").join(cat.fk_columns(), ["store", "table_name", "column_name"], "left_anti")
-    serious = F.col("table_name").rlike(FINANCIAL_TABLE)
-    return finding(
-        hits, "M3", "no_fk", _column(), F.when(serious, "fail").otherwise("warn"), F.when(serious, 5).otherwise(3), "both", cat.confidence, "high", "auto"
-    )
-
-
-def fk_action(cat: Catalog) -> DataFrame:
-    """Keys without a delete action, and cascades into financial tables."""
-    cascade = (F.col("on_delete") == "CASCADE") & F.col("table_name").rlike(FINANCIAL_TABLE)
-    silent = F.coalesce(F.col("on_delete"), F.lit("")) == ""
-    hits = cat.fks.where(cascade | silent).withColumn("severity", F.when(cascade, 4).otherwise(3))
-    obj = F.concat_ws(".", "table_name", F.array_join("columns", "_"))
-    return finding(hits, "M3", "fk_action", obj, "warn", F.col("severity"), "design", cat.confidence, fixable="proposed")
+    serious = F.lower("table_name").rlike(FINANCIAL_TABLE)
+    ruled = hits.withColumn("rule", F.when(serious, "no_fk_financial").otherwise("no_fk"))
+    return ruled.select("store", "rule", _column().alias("object"))
 
 
 def composite_fk_mismatch(cat: Catalog) -> DataFrame:
@@ -257,33 +374,9 @@ def composite_fk_mismatch(cat: Catalog) -> DataFrame:
         .unionByName(cat.indexes.where("is_unique").select("store", "table_name", F.array_join("columns", ",").alias("cols")))
         .distinct()
     )
-    refs = cat.fks.where(F.size("columns") > 1).select(
-        "store", "table_name", "columns", F.col("ref_table"), F.array_join("ref_columns", ",").alias("cols")
-    )
-    known = targets.withColumnRenamed("table_name", "ref_table")
-    hits = refs.join(known, ["store", "ref_table", "cols"], "left_anti")
-    obj = F.concat_ws(".", "table_name", F.array_join("columns", "_"))
-    return finding(hits, "M3", "composite_fk_mismatch", obj, "warn", 3)
-
-
-# --- types, constraints, defaults ---------------------------------------------------------------
-
-
-def naive_timestamp(cat: Catalog) -> DataFrame:
-    naive = F.lower("type").isin("timestamp", "timestamp without time zone", "timestamp_ntz", "datetime")
-    return finding(cat.columns.where(naive), "M4", "naive_timestamp", _column(), "warn", 4, "design", cat.confidence, fixable="proposed")
-
-
-def enum_lookup(cat: Catalog) -> DataFrame:
-    """Native enums, and free-text status columns without a domain check."""
-    free = F.lower("column_name").rlike("^(status|state|kind|role)$") & _is("type", TEXT_TYPE) & ~F.col("has_check")
-    hits = cat.columns.where(F.lower("type").startswith("enum") | free)
-    return finding(hits, "M4", "enum_or_free_text_status", _column(), "warn", 2, confidence="directional", fixable="proposed")
-
-
-def json_catch_all(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(F.lower("type").isin("json", "jsonb"))
-    return finding(hits, "M4", "json_catch_all", _column(), "warn", 3, confidence="directional", fixable="proposed")
+    refs = cat.fks.where(F.size("columns") > 1).select("store", "table_name", "columns", "ref_table", F.array_join("ref_columns", ",").alias("cols"))
+    hits = refs.join(targets.withColumnRenamed("table_name", "ref_table"), ["store", "ref_table", "cols"], "left_anti")
+    return _named(hits, "composite_fk_mismatch", _fk_object())
 
 
 def constraint_inventory(cat: Catalog) -> DataFrame:
@@ -300,24 +393,17 @@ def constraint_inventory(cat: Catalog) -> DataFrame:
     return base.join(usage, ["store", "table_name", "column_name"], "left").na.fill("", ["constraint_type"])
 
 
-def missing_not_null(cat: Catalog) -> DataFrame:
-    """Required-looking columns that may be null: references, status, creation time, tenant."""
-    required = F.lower("column_name").rlike("(_id$|^status$|^created_at$|^email$)")
-    return finding(cat.columns.where(required & ~F.col("not_null")), "M5", "nullable", _column(), "warn", 3, fixable="auto")
-
-
-def missing_check(cat: Catalog) -> DataFrame:
-    domain = F.lower("column_name").rlike("(quantity|price|amount|^status$|^valid_|_count$)")
-    return finding(cat.columns.where(domain & ~F.col("has_check")), "M5", "no_check", _column(), "warn", 3, fixable="proposed")
-
-
 def missing_unique(cat: Catalog) -> DataFrame:
     natural = F.lower("column_name").rlike(NATURAL_KEY)
     single = cat.indexes.where("is_unique AND size(columns) = 1").select("store", "table_name", F.element_at("columns", 1).alias("column_name"))
     hits = cat.columns.where(natural & ~F.col("is_unique") & ~F.col("pk")).join(
         single, ["store", "table_name", "column_name"], "left_anti"
     )
-    return finding(hits, "M5", "no_unique", _column(), "warn", 4, confidence="directional", fixable="proposed")
+    return _named(hits, "no_unique", _column())
+
+
+def _index_object() -> Column:
+    return F.concat_ws(".", F.col("table_name"), F.col("index_name"))
 
 
 def over_nullable_unique(cat: Catalog) -> DataFrame:
@@ -325,34 +411,7 @@ def over_nullable_unique(cat: Catalog) -> DataFrame:
     members = cat.indexes.where("is_unique").select("store", "table_name", "index_name", F.explode("columns").alias("column_name"))
     nullable = cat.columns.where("NOT not_null").select("store", "table_name", "column_name")
     hits = members.join(nullable, ["store", "table_name", "column_name"], "left_semi").select("store", "table_name", "index_name").distinct()
-    return finding(hits, "M5", "over_nullable_unique", F.concat_ws(".", "table_name", "index_name"), "warn", 4)
-
-
-def unvalidated_constraint(cat: Catalog) -> DataFrame:
-    obj = F.concat_ws(".", "table_name", F.array_join("columns", "_"))
-    return finding(cat.fks.where("NOT validated"), "M5", "not_validated", obj, "warn", 3, fixable="auto")
-
-
-def default_inventory(cat: Catalog) -> DataFrame:
-    """Default hygiene, one row per column and problem."""
-    d = F.trim(F.coalesce(F.col("default_expr"), F.lit("")))
-    name, kind = F.lower("column_name"), F.lower("type")
-    problems = F.array_compact(
-        F.array(
-            F.when(name.rlike("_at$") & (d == "") & (name != "deleted_at"), F.lit("timestamp_no_default")),
-            F.when(name.rlike(DERIVED_HINT), F.lit("derived_app_maintained")),
-            F.when(d == "''", F.lit("empty_string_default")),
-            F.when(kind.isin("serial", "bigserial"), F.lit("serial_not_identity")),
-            F.when(kind.startswith("bool") & (d == ""), F.lit("boolean_no_default")),
-        )
-    )
-    hits = cat.columns.withColumn("problem", F.explode(problems))
-    severity = F.when(F.col("problem") == "derived_app_maintained", 3).otherwise(2)
-    rows = finding(hits, "M6", "default", F.concat_ws(".", "table_name", "column_name", "problem"), "warn", severity, fixable="proposed")
-    return rows
-
-
-# --- naming -------------------------------------------------------------------------------------
+    return _named(hits, "over_nullable_unique", _index_object())
 
 
 def naming_casing(cat: Catalog) -> DataFrame:
@@ -375,68 +434,21 @@ def naming_casing(cat: Catalog) -> DataFrame:
     return styles.join(tables, "store").withColumn("status", F.when(mixed, "warn").otherwise("pass"))
 
 
-def reserved_word(cat: Catalog) -> DataFrame:
-    tables = cat.tables().where(is_reserved(F.col("table_name"))).select("store", F.col("table_name").alias("object"))
-    cols = cat.columns.where(is_reserved(F.col("column_name"))).select("store", _column().alias("object"))
-    return finding(tables.unionByName(cols), "M7", "reserved_word", F.col("object"), "warn", 2, magnitude="low")
-
-
-def fk_naming(cat: Catalog) -> DataFrame:
-    """Single-column keys not named after the table they reference."""
-    stem = F.regexp_replace(F.lower("ref_table"), "s$", "")
-    column = F.lower(F.element_at("columns", 1))
-    hits = cat.fks.where((F.size("columns") == 1) & (column != F.concat(stem, F.lit("_id"))))
-    return finding(hits, "M7", "fk_naming", F.concat_ws(".", "table_name", F.element_at("columns", 1)), "warn", 1, magnitude="low")
-
-
-def boolean_prefix(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(F.lower("type").startswith("bool") & ~F.lower("column_name").rlike("^(is|has|can)_"))
-    return finding(hits, "M7", "boolean_unprefixed", _column(), "warn", 1, magnitude="low")
-
-
-def opaque_name(cat: Catalog) -> DataFrame:
-    opaque = F.lower("column_name").rlike(OPAQUE)
-    no_suffix = F.lower("type").startswith("timestamp") & ~F.lower("column_name").rlike(DATE_LIKE)
-    return finding(cat.columns.where(opaque | no_suffix), "M7", "opaque_name", _column(), "warn", 1, magnitude="low")
-
-
-# --- history, privacy, tenancy ------------------------------------------------------------------
-
-
 def soft_delete_consistency(cat: Catalog) -> DataFrame:
     """Stores where some tables soft-delete and others do not."""
     per_table = cat.columns.groupBy("store", "table_name").agg(F.bool_or(F.lower("column_name").isin(SOFT_DELETE)).alias("soft"))
     per_store = per_table.groupBy("store").agg(F.count_if("soft").alias("soft_tables"), F.count(F.lit(1)).alias("tables"))
     hits = per_store.where("soft_tables > 0 AND soft_tables < tables")
-    return finding(hits, "M8", "soft_delete_inconsistent", F.col("store"), "warn", 3)
+    return _named(hits, "soft_delete_inconsistent", F.col("store"))
 
 
 def no_audit_companion(cat: Catalog) -> DataFrame:
-    """Sensitive tables without ``<table>_history`` or ``<table>_audit``."""
-    tables = cat.tables()
-    covered = tables.where(F.lower("table_name").rlike("_(history|audit|log)$")).select(
-        "store", F.regexp_replace(F.lower("table_name"), "_(history|audit|log)$", "").alias("lowered")
-    )
-    sensitive = tables.withColumn("lowered", F.lower("table_name")).where(
-        F.col("lowered").rlike(SENSITIVE_TABLE) & ~F.col("lowered").rlike("_(history|audit|log)$")
-    )
-    return finding(sensitive.join(covered, ["store", "lowered"], "left_anti"), "M8", "no_audit_trail", F.col("table_name"), "warn", 3)
-
-
-def pii_columns(cat: Catalog) -> DataFrame:
-    return finding(cat.columns.where(F.lower("column_name").rlike(PII_HINT)), "M10", "pii_unprotected", _column(), "warn", 3, confidence="directional")
-
-
-def pii_no_retention(cat: Catalog) -> DataFrame:
-    marks = cat.columns.groupBy("store", "table_name").agg(
-        F.bool_or(F.lower("column_name").rlike(PII_HINT)).alias("pii"), F.bool_or(F.lower("column_name").rlike(RETENTION_HINT)).alias("kept")
-    )
-    return finding(marks.where("pii AND NOT kept"), "M8", "pii_no_retention", F.col("table_name"), "warn", 4, confidence="directional")
-
-
-def plaintext_secret_column(cat: Catalog) -> DataFrame:
-    hits = cat.columns.where(F.lower("column_name").rlike(SECRET_COLUMN) & ~F.lower("column_name").rlike("hash") & _is("type", TEXT_TYPE))
-    return finding(hits, "M10", "plaintext_secret", _column(), "fail", 5, "design", cat.confidence, "high")
+    """Sensitive tables without ``<table>_history``, ``_audit`` or ``_log``."""
+    companion = "_(history|audit|log)$"
+    tables = cat.tables().withColumn("lowered", F.lower("table_name"))
+    covered = tables.where(F.col("lowered").rlike(companion)).select("store", F.regexp_replace("lowered", companion, "").alias("lowered"))
+    sensitive = tables.where(F.col("lowered").rlike(SENSITIVE_TABLE) & ~F.col("lowered").rlike(companion))
+    return _named(sensitive.join(covered, ["store", "lowered"], "left_anti"), "no_audit_trail", F.col("table_name"))
 
 
 def tenant_missing(cat: Catalog) -> DataFrame:
@@ -445,29 +457,20 @@ def tenant_missing(cat: Catalog) -> DataFrame:
     per_table = cat.columns.groupBy("store", "table_name").agg(
         F.bool_or(is_tenant).alias("scoped"), F.bool_or(is_tenant & ~F.col("not_null")).alias("nullable")
     )
-    shared = per_table.where("scoped").select("store").distinct()
+    shared = cat.columns.where(is_tenant).select("store").distinct()
     hits = per_table.where("NOT scoped OR nullable").join(shared, "store", "left_semi")
-    return finding(hits, "M9", "no_tenant_scope", F.col("table_name"), "warn", 4, "both")
-
-
-def _tenant_tables(cat: Catalog) -> DataFrame:
-    return cat.columns.where("column_name = 'tenant_id'").select("store", "table_name").distinct()
-
-
-def tenant_not_leading(cat: Catalog) -> DataFrame:
-    hits = cat.indexes.where(F.element_at("columns", 1) != "tenant_id").join(_tenant_tables(cat), ["store", "table_name"], "left_semi")
-    return finding(hits, "M9", "index_not_tenant_leading", F.concat_ws(".", "table_name", "index_name"), "warn", 3, "performance")
+    return _named(hits, "no_tenant_scope", F.col("table_name"))
 
 
-def tenant_unique(cat: Catalog) -> DataFrame:
-    """Unique indexes of tenant tables that leave the tenant out."""
-    hits = cat.indexes.where(F.col("is_unique") & ~F.array_contains("columns", "tenant_id")).join(
-        _tenant_tables(cat), ["store", "table_name"], "left_semi"
-    )
-    return finding(hits, "M9", "unique_omits_tenant", F.concat_ws(".", "table_name", "index_name"), "warn", 4, "both")
-
-
-# --- indexes ------------------------------------------------------------------------------------
+def tenant_indexes(cat: Catalog, only: list[str] | None = None) -> DataFrame:
+    """Indexes of tenant tables that do not lead with the tenant, and unique ones that leave it out."""
+    tenants = cat.columns.where("column_name = 'tenant_id'").select("store", "table_name").distinct()
+    rules = {
+        "index_not_tenant_leading": F.element_at("columns", 1) != "tenant_id",
+        "unique_omits_tenant": F.col("is_unique") & ~F.array_contains("columns", "tenant_id"),
+    }
+    chosen = {r: c for r, c in rules.items() if only is None or r in only}
+    return _hits(cat.indexes.join(tenants, ["store", "table_name"], "left_semi"), _index_object(), chosen)
 
 
 def index_duplicate(cat: Catalog) -> DataFrame:
@@ -485,7 +488,7 @@ def index_redundant_prefix(cat: Catalog) -> DataFrame:
     )
     shorter = cat.indexes.where("NOT is_unique").withColumn("cols", F.lower(F.array_join("columns", ",")))
     hits = shorter.join(longer.distinct(), ["store", "table_name", "cols"], "left_semi")
-    return finding(hits, "M12", "redundant_prefix", F.concat_ws(".", "table_name", "index_name"), "warn", 3, "performance", fixable="proposed")
+    return _named(hits, "redundant_prefix", _index_object())
 
 
 def index_esr(cat: Catalog, predicates: DataFrame) -> DataFrame:
@@ -499,15 +502,14 @@ def index_esr(cat: Catalog, predicates: DataFrame) -> DataFrame:
     ordered = ranked.groupBy("store", "table_name", "index_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("ranks")
     )
-    hits = ordered.where(F.col("ranks") != F.array_sort("ranks"))
-    return finding(hits, "M11", "esr_order", F.concat_ws(".", "table_name", "index_name"), "warn", 3, "performance", "directional")
+    return _named(ordered.where(F.col("ranks") != F.array_sort("ranks")), "esr_order", _index_object())
 
 
 def index_type_fit(cat: Catalog, predicates: DataFrame) -> DataFrame:
     """Containment predicates on json or text columns, which an ordinary index cannot serve."""
     special = cat.columns.where(F.lower("type").isin("json", "jsonb") | _is("type", TEXT_TYPE)).select("store", "table_name", "column_name")
     hits = predicates.where("role = 'containment'").join(special, ["store", "table_name", "column_name"], "left_semi")
-    return finding(hits, "M11", "index_type", _column(), "warn", 3, "performance", "directional", fixable="proposed")
+    return _named(hits, "index_type", _column())
 
 
 # --- shape --------------------------------------------------------------------------------------
@@ -523,12 +525,6 @@ def god_table(cat: Catalog, columns: int = 30, nullable_bp: int = 2500) -> DataF
     )
 
 
-def boolean_soup(cat: Catalog, at_least: int = 3) -> DataFrame:
-    flags = F.lower("type").startswith("bool") & F.lower("column_name").rlike("^(is|has|can)_")
-    counted = cat.columns.groupBy("store", "table_name").agg(F.count_if(flags).alias("flags"))
-    return finding(counted.where(F.col("flags") >= at_least), "M19", "boolean_soup", F.col("table_name"), "warn", 3)
-
-
 def json_depth(column: Column) -> Column:
     """Nesting depth of a JSON text: brackets outside strings, counted up and down."""
     brackets = F.regexp_replace(F.regexp_replace(column, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
@@ -550,52 +546,26 @@ def deep_nesting(documents: DataFrame, group: str, column: str, limit: int) -> D
     )
 
 
-FINDING_RULES = [
-    float_money,
-    csv_column,
-    eav,
-    no_primary_key,
+RELATING_RULES = [
     polymorphic_fk,
     fk_unindexed,
     repeating_groups,
     denormalized_label,
-    int4_key,
-    uuid_v4_key,
-    natural_key_pk,
     composite_pk_order,
     missing_fk,
-    fk_action,
     composite_fk_mismatch,
-    naive_timestamp,
-    enum_lookup,
-    json_catch_all,
-    missing_not_null,
-    missing_check,
     missing_unique,
     over_nullable_unique,
-    unvalidated_constraint,
-    default_inventory,
-    reserved_word,
-    fk_naming,
-    boolean_prefix,
-    opaque_name,
     soft_delete_consistency,
     no_audit_companion,
-    pii_columns,
-    pii_no_retention,
-    plaintext_secret_column,
     tenant_missing,
-    tenant_not_leading,
-    tenant_unique,
+    tenant_indexes,
     index_redundant_prefix,
-    boolean_soup,
 ]
+ALL_RULES: list[Callable[[Catalog], DataFrame]] = [column_rules, table_rules, fk_rules, *RELATING_RULES]
 
 
-def run_rules(cat: Catalog, rules=None) -> DataFrame:
-    """All rules as one findings frame."""
-    out = None
-    for rule in rules or FINDING_RULES:
-        rows = rule(cat)
-        out = rows if out is None else out.unionByName(rows)
-    return confidence_downgrade(out, cat.confidence)
+def run_rules(cat: Catalog, rules: list[Callable[[Catalog], DataFrame]] | None = None) -> DataFrame:
+    """All rules (or those given) as one findings frame."""
+    hits = reduce(DataFrame.unionByName, [rule(cat) for rule in rules or ALL_RULES])
+    return confidence_downgrade(findings(hits, cat.confidence), cat.confidence)

@@ -90,9 +90,8 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach a one-row frame of totals to every row (a keyed join on a constant)."""
-    one = totals.withColumn("__one", F.lit(1))
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+    """Attach the columns of a one-row frame to every row, as scalar subqueries."""
+    return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:

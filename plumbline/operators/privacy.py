@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import with_totals
+
 
 def erase_subjects(
     tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], root: str, key: str, subjects: DataFrame
@@ -33,10 +35,8 @@ def erasure_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
     """Rows per table before and after an erasure."""
 
     def one(name: str) -> DataFrame:
-        b = before[name].agg(F.count(F.lit(1)).alias("rows_before"))
-        a = after[name].agg(F.count(F.lit(1)).alias("rows_after"))
-        return b.withColumn("k", F.lit(1)).join(a.withColumn("k", F.lit(1)), "k").select(
-            F.lit(name).alias("table_name"), "rows_before", "rows_after"
-        )
+        left = after[name].agg(F.count(F.lit(1)).alias("rows_after"))
+        counted = before[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows_before"))
+        return with_totals(counted, left)
 
     return reduce(DataFrame.unionByName, [one(name) for name in before])

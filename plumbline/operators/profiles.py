@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import constant_frame
 # Paradigm | axis | category | weight | modules.
 PROFILE_TEXT = """
 relational | design | modeling | 16 | M1 M19
@@ -103,7 +104,7 @@ def profile_rows() -> list[tuple[str, str, str, int, list[str]]]:
 def paradigm_profiles(spark: SparkSession) -> DataFrame:
     """One row per (paradigm, axis, category); a constant frame of under a hundred rows."""
     schema = "paradigm string, axis string, category string, weight int, modules array<string>"
-    return spark.createDataFrame(profile_rows(), schema)
+    return constant_frame(spark, profile_rows(), schema)
 
 
 def profile_modules(spark: SparkSession) -> DataFrame:

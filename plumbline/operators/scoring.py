@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import constant_frame
 from plumbline.functions.grading import PARADIGMS, band, parent_module, tenths
 from plumbline.operators.ordered import top_n
 from plumbline.operators.profiles import profile_modules
@@ -372,14 +373,13 @@ RELATIONAL_ONLY = ["RLS on tenant tables", "FK indexes", "charset / utf8mb4"]
 def readiness_checklist(findings: DataFrame, drivers: int = 5) -> DataFrame:
     """Fixed launch checklist per store: PASS, WARN, FAIL, NEEDS-LIVE or N-A, with the first
     ``drivers`` finding ids behind each status and how many there are."""
-    spark = findings.sparkSession
     rows = [(i + 1, name, name in RELATIONAL_ONLY, mods.split()) for i, (name, mods) in enumerate(CHECKLIST)]
-    checks = spark.createDataFrame(rows, "check_no int, check string, relational_only boolean, modules array<string>")
-    stores = findings.select("store", "paradigm").distinct()
-    grid = stores.withColumn("k", F.lit(1)).join(F.broadcast(checks.withColumn("k", F.lit(1))), "k").drop("k")
-    per_module = findings.withColumn("parent", parent_module(F.col("module"))).join(
-        F.broadcast(checks.select("check_no", F.explode("modules").alias("parent"))), "parent"
+    checks = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("check_no"), F.lit(c).alias("check"), F.lit(r).alias("relational_only")) for n, c, r, _ in rows])
     )
+    grid = findings.select("store", "paradigm").distinct().select("store", "paradigm", checks.alias("c")).select("store", "paradigm", "c.*")
+    answered = constant_frame(findings.sparkSession, [(n, m) for n, _, _, mods in rows for m in mods], "check_no int, parent string")
+    per_module = findings.withColumn("parent", parent_module(F.col("module"))).join(F.broadcast(answered), "parent")
     open_ = F.col("status").isin("fail", "warn", "needs_api")
     sums = per_module.groupBy("store", "check_no").agg(
         F.count_if((F.col("status") == "fail") & (F.col("severity") >= 4)).alias("fails"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import constant_frame
 from plumbline.functions.text import redact_secrets
 
 _DAY_US = 86_400_000_000
@@ -61,7 +62,7 @@ def metric_rules(history: DataFrame, rules: list[tuple] = METRIC_RULES) -> DataF
     latest = latest_metrics(history)
     spark = history.sparkSession
     schema = "rule string, metric string, cmp string, threshold double, days int, module string, rule_status string, severity int"
-    table = F.broadcast(spark.createDataFrame(rules, schema))
+    table = F.broadcast(constant_frame(spark, rules, schema))
     every = F.explode(F.array(*[F.lit(m) for m in sorted({r[1] for r in rules})]))
     grid = latest.select("store", "object").distinct().withColumn("metric", every)
     known = grid.join(latest, ["store", "object", "metric"], "left").join(table, "metric")

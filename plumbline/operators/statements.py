@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.grading import lookup
 from plumbline.functions.text import jvm, redact_secrets
 from plumbline.operators.ordered import Ordered, compute_once, time_bucket
 
@@ -119,8 +120,7 @@ def _any(text: Column, patterns: list[str]) -> Column:
 
 
 def _pick(key: Column, values: dict[str, str], default: str) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, key), F.lit(default))
+    return F.coalesce(lookup(values, key), F.lit(default))
 
 
 def classify_migration(statements: DataFrame, column: str = "statement", known_gaps: bool = False) -> DataFrame:

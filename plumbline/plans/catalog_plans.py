@@ -23,14 +23,41 @@ def estate(i) -> cr.Catalog:
 SHOWN = ["store", "id", "status", "severity", "axis", "confidence", "object"]
 
 
+RULE_SQL: list[str] = []
+GROUPS = {
+    "fk_action": ["fk_cascades_financial", "fk_no_action"],
+    "default": ["no_default", "app_maintained", "default_empty_string", "serial_not_identity", "boolean_no_default"],
+}
+
+
+def single(rule):
+    """The pass that evaluates a rule (or group of rules), limited to it."""
+    names = GROUPS.get(rule, [rule])
+    if names[0] in cr.column_conditions():
+        return lambda cat: cr.column_rules(cat, names)
+    if names[0] in cr.table_conditions():
+        return lambda cat: cr.table_rules(cat, names)
+    return lambda cat: cr.fk_rules(cat, names)
+
+
+def reserved_words(cat):
+    return cr.column_rules(cat, ["reserved_word"]).unionByName(cr.table_rules(cat, ["reserved_word"]))
+
+
 def rule_query(name, rule, hits, module, suffix, status="'warn'", severity="3", axis="design", confidence="established"):
     """Register a rule; ``hits`` is SQL yielding (store, object [, status, severity])."""
-    sql = f"""SELECT store, lower('{module}.' || regexp_replace(object, '[^A-Za-z0-9_.-]', '-', 'g') || '.{suffix}') AS id, {status} AS status,
-              CAST({severity} AS INT) AS severity, '{axis}' AS axis, '{confidence}' AS confidence, object FROM ({hits}) h"""
+    suffix = suffix if suffix.startswith("(") else f"'{suffix}'"
+    confidence = confidence if confidence.startswith("(") else f"'{confidence}'"
+    sql = f"""SELECT store, '{module}.' || lower(regexp_replace(object, '[^A-Za-z0-9_.-]', '-', 'g')) || CASE WHEN contains(object, '.') THEN '_' ELSE '.' END || {suffix} AS id, {status} AS status,
+              CAST({severity} AS INT) AS severity, '{axis}' AS axis, {confidence} AS confidence, object FROM ({hits}) h"""
+
+    RULE_SQL.append(sql)
 
     @query(name, sql)
     def _(i):
-        return rule(estate(i)).select(*SHOWN)
+        run = rule if callable(rule) else single(rule)
+        cat = estate(i)
+        return cr.findings(run(cat), cat.confidence).select(*SHOWN)
 
 
 C = "{estate_columns}"
@@ -43,26 +70,26 @@ PKS = "(SELECT store, table_name, list(column_name ORDER BY ordinal) AS pk FROM
 
 rule_query(
     "rule_float_money",
-    cr.float_money,
+    "money_as_float",
     f"SELECT {COL} FROM {C} WHERE regexp_matches(lower(column_name), 'price|amount|cost|total|balance|fee|salary|revenue|payment|wage|tax|discount|subtotal|charge|refund|money|currency') AND type IN ('double precision', 'real', 'float')",
     "M19", "money_as_float", "'fail'", "5",
 )
 rule_query(
     "rule_csv_column",
-    cr.csv_column,
+    "csv_in_column",
     f"SELECT {COL} FROM {C} WHERE regexp_matches(lower(column_name), 'tags|ids|categories|roles|emails|skus|list|csv|values|items') AND {TEXTY}",
     "M19", "csv_in_column", "'needs_api'", "3", "design", "speculative",
 )
 rule_query(
     "rule_eav",
-    cr.eav,
+    "eav",
     f"""SELECT store, table_name AS object FROM {C} GROUP BY 1, 2 HAVING bool_or(lower(column_name) IN ('attribute', 'attr', 'key', 'name', 'prop', 'property', 'field', 'meta_key'))
         AND bool_or(lower(column_name) IN ('value', 'val', 'meta_value', 'data')) AND count(*) <= 6""",
     "M19", "eav", "'needs_api'", "3", "both", "speculative",
 )
 rule_query(
     "rule_no_primary_key",
-    cr.no_primary_key,
+    "no_primary_key",
     f"SELECT store, table_name AS object FROM {C} GROUP BY 1, 2 HAVING NOT bool_or(pk)",
     "M19", "no_primary_key", "'fail'", "5", "both",
 )
@@ -88,7 +115,7 @@ rule_query(
     cr.repeating_groups,
     f"""SELECT store, table_name || '.' || regexp_replace(column_name, '_?[0-9]+$', '') AS object FROM {C} WHERE regexp_matches(column_name, '[0-9]+$')
         GROUP BY store, table_name, regexp_replace(column_name, '_?[0-9]+$', '') HAVING count(*) >= 2""",
-    "M1", "repeating_group",
+    "M1", "repeating_group", confidence="directional",
 )
 rule_query(
     "rule_denormalized_label",
@@ -99,19 +126,19 @@ rule_query(
         WHERE regexp_matches(l.column_name, '_(name|label)$')""",
     "M1", "denormalized_label", confidence="directional",
 )
-rule_query("rule_int4_key", cr.int4_key, f"SELECT {COL} FROM {C} WHERE pk AND type IN ('int', 'int4', 'integer', 'serial')", "M2", "int4_pk", "'warn'", "4", "both", "directional")
-rule_query("rule_natural_key_pk", cr.natural_key_pk, f"SELECT {COL} FROM {C} WHERE pk AND column_name IN ('email', 'username', 'slug', 'external_id', 'ssn', 'phone')", "M2", "natural_key_pk")
+rule_query("rule_int4_key", "int4_pk", f"SELECT {COL} FROM {C} WHERE pk AND type IN ('int', 'int4', 'integer', 'serial')", "M2", "int4_pk", "'warn'", "4", "both", "directional")
+rule_query("rule_natural_key_pk", "natural_key_pk", f"SELECT {COL} FROM {C} WHERE pk AND column_name IN ('email', 'username', 'slug', 'external_id', 'ssn', 'phone')", "M2", "natural_key_pk", confidence="directional")
 rule_query(
     "rule_composite_pk_order",
     cr.composite_pk_order,
     f"SELECT p.store, p.table_name AS object FROM {PKS} p JOIN {TENANT} t USING (store, table_name) WHERE len(pk) > 1 AND pk[1] <> 'tenant_id'",
-    "M2", "composite_pk_order", axis="performance",
+    "M2", "composite_pk_order", axis="performance", confidence="directional",
 )
 
 
 @query(
     "rule_uuid_v4_key",
-    f"""SELECT c.store, lower('M2.' || table_name || '.' || column_name || '.uuidv4_clustered_pk') AS id,
+    f"""SELECT c.store, 'M2.' || lower(table_name || '.' || column_name) || '_uuidv4_clustered_pk' AS id,
         CASE WHEN major_version >= 18 THEN 'uuidv7()' ELSE 'time-ordered id from the application' END AS recommendation
         FROM {C} c JOIN {{estate_stores}} s ON s.store = c.store WHERE pk AND type = 'uuid' AND default_expr = 'gen_random_uuid()'""",
 )
@@ -119,21 +146,21 @@ def _(i):
     return cr.uuid_v4_key(estate(i), i.estate_stores.select("store", "major_version")).select("store", "id", "recommendation")
 
 
-FINANCIAL = "regexp_matches(table_name, 'payment|invoice|transaction|account|order')"
+FINANCIAL = "regexp_matches(lower(table_name), 'payment|invoice|transaction|account|order')"
 rule_query(
     "rule_missing_fk",
     cr.missing_fk,
     f"""SELECT c.store, c.table_name, c.table_name || '.' || c.column_name AS object FROM {C} c WHERE c.column_name LIKE '%\\_id' ESCAPE '\\' AND NOT c.pk
         AND EXISTS (SELECT 1 FROM {PKS} p WHERE p.store = c.store AND regexp_replace(p.table_name, 's$', '') = regexp_replace(c.column_name, '_id$', ''))
         AND NOT EXISTS (SELECT 1 FROM {FKC} f WHERE f.store = c.store AND f.table_name = c.table_name AND f.column_name = c.column_name)""",
-    "M3", "no_fk", f"CASE WHEN {FINANCIAL} THEN 'fail' ELSE 'warn' END", f"CASE WHEN {FINANCIAL} THEN 5 ELSE 3 END", "both",
+    "M3", f"(CASE WHEN {FINANCIAL} THEN 'no_fk_financial' ELSE 'no_fk' END)", f"CASE WHEN {FINANCIAL} THEN 'fail' ELSE 'warn' END", f"CASE WHEN {FINANCIAL} THEN 5 ELSE 3 END", "both",
 )
 rule_query(
     "rule_fk_action",
-    cr.fk_action,
+    "fk_action",
     f"""SELECT store, table_name || '.' || array_to_string(columns, '_') AS object, on_delete = 'CASCADE' AND {FINANCIAL} AS casc FROM {{estate_fks}}
         WHERE (on_delete = 'CASCADE' AND {FINANCIAL}) OR on_delete = ''""",
-    "M3", "fk_action", "'warn'", "CASE WHEN casc THEN 4 ELSE 3 END",
+    "M3", "(CASE WHEN casc THEN 'fk_cascades_financial' ELSE 'fk_no_action' END)", "'warn'", "CASE WHEN casc THEN 4 ELSE 3 END",
 )
 rule_query(
     "rule_composite_fk_mismatch",
@@ -143,9 +170,9 @@ rule_query(
         WHERE k.store = f.store AND k.table_name = f.ref_table AND k.cols = f.ref_columns)""",
     "M3", "composite_fk_mismatch",
 )
-rule_query("rule_naive_timestamp", cr.naive_timestamp, f"SELECT {COL} FROM {C} WHERE type = 'timestamp'", "M4", "naive_timestamp", "'warn'", "4")
-rule_query("rule_enum_lookup", cr.enum_lookup, f"SELECT {COL} FROM {C} WHERE column_name = 'status' AND {TEXTY} AND NOT has_check", "M4", "enum_or_free_text_status", "'warn'", "2", confidence="directional")
-rule_query("rule_json_catch_all", cr.json_catch_all, f"SELECT {COL} FROM {C} WHERE type IN ('json', 'jsonb')", "M4", "json_catch_all", confidence="directional")
+rule_query("rule_naive_timestamp", "naive_timestamp", f"SELECT {COL} FROM {C} WHERE type = 'timestamp'", "M4", "naive_timestamp", "'warn'", "4")
+rule_query("rule_enum_lookup", "free_text_status", f"SELECT {COL} FROM {C} WHERE column_name = 'status' AND {TEXTY} AND NOT has_check", "M4", "free_text_status", "'warn'", "2", confidence="directional")
+rule_query("rule_json_catch_all", "json_catch_all", f"SELECT {COL} FROM {C} WHERE type IN ('json', 'jsonb')", "M4", "json_catch_all", confidence="directional")
 
 
 @query(
@@ -158,8 +185,8 @@ def _(i):
     return cr.constraint_inventory(estate(i))
 
 
-rule_query("rule_missing_not_null", cr.missing_not_null, f"SELECT {COL} FROM {C} WHERE NOT not_null AND regexp_matches(lower(column_name), '_id$|^status$|^created_at$|^email$')", "M5", "nullable")
-rule_query("rule_missing_check", cr.missing_check, f"SELECT {COL} FROM {C} WHERE NOT has_check AND regexp_matches(lower(column_name), 'quantity|price|amount|^status$|^valid_|_count$')", "M5", "no_check")
+rule_query("rule_missing_not_null", "nullable", f"SELECT {COL} FROM {C} WHERE NOT not_null AND regexp_matches(lower(column_name), '_id$|^status$|^created_at$|^email$')", "M5", "nullable")
+rule_query("rule_missing_check", "no_check", f"SELECT {COL} FROM {C} WHERE NOT has_check AND regexp_matches(lower(column_name), 'quantity|price|amount|^status$|^valid_|_count$')", "M5", "no_check")
 rule_query(
     "rule_missing_unique",
     cr.missing_unique,
@@ -174,17 +201,17 @@ rule_query(
         AND list_contains(x.columns, c.column_name) WHERE x.is_unique AND NOT c.not_null""",
     "M5", "over_nullable_unique", "'warn'", "4",
 )
-rule_query("rule_unvalidated_constraint", cr.unvalidated_constraint, "SELECT store, table_name || '.' || array_to_string(columns, '_') AS object FROM {estate_fks} WHERE NOT validated", "M5", "not_validated")
+rule_query("rule_unvalidated_constraint", "not_validated", "SELECT store, table_name || '.' || array_to_string(columns, '_') AS object FROM {estate_fks} WHERE NOT validated", "M5", "not_validated")
 rule_query(
     "rule_default_inventory",
-    cr.default_inventory,
-    f"""SELECT store, table_name || '.' || column_name || '.' || p AS object, p FROM (
-        SELECT *, 'timestamp_no_default' AS p FROM {C} WHERE column_name IN ('created_at', 'updated_at') AND default_expr = ''
-        UNION ALL SELECT *, 'derived_app_maintained' FROM {C} WHERE column_name IN ('total_amount', 'full_name', 'item_count')
-        UNION ALL SELECT *, 'empty_string_default' FROM {C} WHERE default_expr = ''''''
+    "default",
+    f"""SELECT store, table_name || '.' || column_name AS object, p FROM (
+        SELECT *, 'no_default' AS p FROM {C} WHERE column_name IN ('created_at', 'updated_at') AND default_expr = ''
+        UNION ALL SELECT *, 'app_maintained' FROM {C} WHERE column_name IN ('total_amount', 'full_name', 'item_count')
+        UNION ALL SELECT *, 'default_empty_string' FROM {C} WHERE default_expr = ''''''
         UNION ALL SELECT *, 'serial_not_identity' FROM {C} WHERE type = 'serial'
         UNION ALL SELECT *, 'boolean_no_default' FROM {C} WHERE type = 'boolean' AND default_expr = '') t""",
-    "M6", "default", "'warn'", "CASE WHEN p = 'derived_app_maintained' THEN 3 ELSE 2 END",
+    "M6", "(p)", "'warn'", "CASE WHEN p = 'app_maintained' THEN 3 ELSE 2 END", confidence="(CASE WHEN p = 'app_maintained' THEN 'directional' ELSE 'established' END)",
 )
 
 
@@ -202,46 +229,46 @@ def _(i):
 
 rule_query(
     "rule_reserved_word",
-    cr.reserved_word,
+    reserved_words,
     f"SELECT DISTINCT store, table_name AS object FROM {C} WHERE table_name IN ('user', 'order') UNION ALL SELECT {COL} FROM {C} WHERE column_name IN ('order')",
-    "M7", "reserved_word", "'warn'", "2",
+    "M7", "reserved_word", "'warn'", "2", confidence="directional",
 )
 rule_query(
     "rule_fk_naming",
-    cr.fk_naming,
+    "fk_naming",
     "SELECT store, table_name || '.' || columns[1] AS object FROM {estate_fks} WHERE len(columns) = 1 AND columns[1] <> regexp_replace(ref_table, 's$', '') || '_id'",
-    "M7", "fk_naming", "'warn'", "1",
+    "M7", "fk_naming", "'warn'", "1", confidence="directional",
 )
-rule_query("rule_boolean_prefix", cr.boolean_prefix, f"SELECT {COL} FROM {C} WHERE {BOOL} AND NOT regexp_matches(column_name, '^(is|has|can)_')", "M7", "boolean_unprefixed", "'warn'", "1")
+rule_query("rule_boolean_prefix", "boolean_unprefixed", f"SELECT {COL} FROM {C} WHERE {BOOL} AND NOT regexp_matches(column_name, '^(is|has|can)_')", "M7", "boolean_unprefixed", "'warn'", "1", confidence="directional")
 rule_query(
     "rule_opaque_name",
-    cr.opaque_name,
+    "opaque_name",
     f"SELECT {COL} FROM {C} WHERE column_name IN ('data', 'value', 'tmp') OR (type LIKE 'timestamp%' AND NOT regexp_matches(column_name, '_at$|^valid_'))",
-    "M7", "opaque_name", "'warn'", "1",
+    "M7", "opaque_name", "'warn'", "1", confidence="directional",
 )
 rule_query(
     "rule_soft_delete_consistency",
     cr.soft_delete_consistency,
     f"""SELECT store, store AS object FROM (SELECT store, table_name, bool_or(column_name IN ('deleted_at', 'is_deleted')) AS s FROM {C} GROUP BY 1, 2) t
         GROUP BY store HAVING bool_or(s) AND NOT bool_and(s)""",
-    "M8", "soft_delete_inconsistent",
+    "M8", "soft_delete_inconsistent", confidence="directional",
 )
 rule_query(
     "rule_no_audit_companion",
     cr.no_audit_companion,
     f"""WITH t AS (SELECT DISTINCT store, table_name FROM {C}) SELECT store, table_name AS object FROM t WHERE regexp_matches(lower(table_name), 'payment|invoice|transaction|account|permission|order|user')
         AND NOT regexp_matches(lower(table_name), '_(history|audit|log)$') AND NOT EXISTS (SELECT 1 FROM t h WHERE h.store = t.store AND lower(h.table_name) IN (lower(t.table_name) || '_history', lower(t.table_name) || '_audit', lower(t.table_name) || '_log'))""",
-    "M8", "no_audit_trail",
+    "M8", "no_audit_trail", confidence="directional",
 )
 PII = "regexp_matches(lower(column_name), 'email|ssn|phone|birth|dob|address|addr|card|full_name')"
-rule_query("rule_pii_columns", cr.pii_columns, f"SELECT {COL} FROM {C} WHERE {PII}", "M10", "pii_unprotected", confidence="directional")
+rule_query("rule_pii_columns", "pii_unprotected", f"SELECT {COL} FROM {C} WHERE {PII}", "M10", "pii_unprotected", confidence="directional")
 rule_query(
     "rule_pii_no_retention",
-    cr.pii_no_retention,
+    "pii_no_retention_or_erasure",
     f"SELECT store, table_name AS object FROM {C} GROUP BY 1, 2 HAVING bool_or({PII}) AND NOT bool_or(column_name LIKE '%retention%')",
-    "M8", "pii_no_retention", "'warn'", "4", confidence="directional",
+    "M8", "pii_no_retention_or_erasure", "'warn'", "4", confidence="directional",
 )
-rule_query("rule_plaintext_secret_column", cr.plaintext_secret_column, f"SELECT {COL} FROM {C} WHERE column_name IN ('api_token', 'password') AND {TEXTY}", "M10", "plaintext_secret", "'fail'", "5")
+rule_query("rule_plaintext_secret_column", "plaintext_secret", f"SELECT {COL} FROM {C} WHERE column_name IN ('api_token', 'password') AND {TEXTY}", "M10", "plaintext_secret", "'fail'", "5")
 rule_query(
     "rule_tenant_missing",
     cr.tenant_missing,
@@ -251,13 +278,13 @@ rule_query(
 )
 rule_query(
     "rule_tenant_not_leading",
-    cr.tenant_not_leading,
+    lambda c: cr.tenant_indexes(c, ["index_not_tenant_leading"]),
     f"SELECT x.store, x.table_name || '.' || index_name AS object FROM {{estate_indexes}} x JOIN {TENANT} t USING (store, table_name) WHERE x.columns[1] <> 'tenant_id'",
     "M9", "index_not_tenant_leading", axis="performance",
 )
 rule_query(
     "rule_tenant_unique",
-    cr.tenant_unique,
+    lambda c: cr.tenant_indexes(c, ["unique_omits_tenant"]),
     f"SELECT x.store, x.table_name || '.' || index_name AS object FROM {{estate_indexes}} x JOIN {TENANT} t USING (store, table_name) WHERE is_unique AND NOT list_contains(x.columns, 'tenant_id')",
     "M9", "unique_omits_tenant", "'warn'", "4", "both",
 )
@@ -285,19 +312,19 @@ rule_query(
     """WITH u AS (SELECT store, table_name, column_name, min(CASE role WHEN 'equality' THEN 1 WHEN 'sort' THEN 2 ELSE 3 END) AS r FROM {estate_predicates} GROUP BY 1, 2, 3),
        m AS (SELECT store, table_name, index_name, unnest(columns) AS column_name, generate_subscripts(columns, 1) AS pos FROM {estate_indexes} WHERE len(columns) > 1),
        o AS (SELECT store, table_name, index_name, list(r ORDER BY pos) AS rs FROM m JOIN u USING (store, table_name, column_name) GROUP BY ALL)
-       SELECT store, lower('M11.' || table_name || '.' || index_name || '.esr_order') AS id FROM o WHERE rs <> list_sort(rs)""",
+       SELECT store, 'M11.' || lower(table_name || '.' || index_name) || '_esr_order' AS id FROM o WHERE rs <> list_sort(rs)""",
 )
 def _(i):
-    return cr.index_esr(estate(i), i.estate_predicates).select("store", "id")
+    return cr.findings(cr.index_esr(estate(i), i.estate_predicates)).select("store", "id")
 
 
 @query(
     "rule_index_type_fit",
-    f"""SELECT p.store, lower('M11.' || p.table_name || '.' || p.column_name || '.index_type') AS id FROM {{estate_predicates}} p JOIN {C} c USING (store, table_name, column_name)
+    f"""SELECT p.store, 'M11.' || lower(p.table_name || '.' || p.column_name) || '_index_type' AS id FROM {{estate_predicates}} p JOIN {C} c USING (store, table_name, column_name)
         WHERE role = 'containment' AND (c.type IN ('json', 'jsonb') OR {TEXTY.replace('type', 'c.type')})""",
 )
 def _(i):
-    return cr.index_type_fit(estate(i), i.estate_predicates).select("store", "id")
+    return cr.findings(cr.index_type_fit(estate(i), i.estate_predicates)).select("store", "id")
 
 
 @query(
@@ -310,9 +337,9 @@ def _(i):
 
 rule_query(
     "rule_boolean_soup",
-    cr.boolean_soup,
+    "boolean_soup",
     f"SELECT store, table_name AS object FROM {C} WHERE {BOOL} AND regexp_matches(column_name, '^(is|has|can)_') GROUP BY 1, 2 HAVING count(*) >= 3",
-    "M19", "boolean_soup",
+    "M19", "boolean_soup", confidence="directional",
 )
 
 
@@ -327,16 +354,22 @@ def _(i):
 
 @query(
     "rule_confidence_downgrade",
-    f"SELECT store, lower('M19.' || table_name || '.no_primary_key') AS id, 'needs_api' AS status, 'speculative' AS confidence FROM {C} GROUP BY store, table_name HAVING NOT bool_or(pk)",
+    f"SELECT store, 'M19.' || lower(table_name) || '.no_primary_key' AS id, 'needs_api' AS status, 'speculative' AS confidence FROM {C} GROUP BY store, table_name HAVING NOT bool_or(pk)",
 )
 def _(i):
     model = estate(i).with_confidence("directional")
-    return cr.run_rules(model, [cr.no_primary_key]).select("store", "id", "status", "confidence")
+    return cr.run_rules(model, [lambda c: cr.table_rules(c, ["no_primary_key"])]).select("store", "id", "status", "confidence")
+
 
+UUID_SQL = f"SELECT store, 'M2.' || table_name AS id, 'warn' AS status, CAST(3 AS INT) AS severity, '' AS axis, '' AS confidence, '' AS object FROM {C} WHERE pk AND type = 'uuid' AND default_expr = 'gen_random_uuid()'"
 
-@query("catalog_rules_all")
+
+@query(
+    "catalog_rules_all",
+    f"""SELECT split_part(id, '.', 1) AS module, status, severity, CAST(count(*) AS BIGINT) AS findings FROM ({' UNION ALL '.join([*RULE_SQL, UUID_SQL])}) r GROUP BY 1, 2, 3""",
+)
 def _(i):
-    return cr.run_rules(estate(i)).groupBy("module", "status", "severity").agg(F.count(F.lit(1)).alias("findings"))
+    return cr.run_rules(estate(i).stored()).groupBy("module", "status", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
 # --- diff ---------------------------------------------------------------------------------------

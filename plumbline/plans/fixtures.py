@@ -72,7 +72,7 @@ ESTATE_TYPES = (
 FIXTURES: dict[str, str] = {}
 
 FIXTURES["findings_fx"] = f"""
-SELECT store, paradigm, module, lower(module || '.' || object) AS id, object, status,
+SELECT store, paradigm, module, module || '.' || object AS id, object, status,
        CASE WHEN status = 'not_applicable' THEN 0 ELSE sev END AS severity,
        axis, confidence, magnitude, fixable
 FROM (

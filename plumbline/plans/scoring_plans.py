@@ -316,3 +316,20 @@ def _(i):
         gr.engine_paradigm(F.expr(ENGINE)).alias("paradigm"),
         F.coalesce(gr.scheme_engine(F.expr(URL)), F.lit("unknown")).alias("url_engine"),
     )
+
+
+# --- the whole audit ------------------------------------------------------------------------------
+
+
+@query("warehouse_findings")
+def _(i):
+    from plumbline.plans.flagship import warehouse_audit
+
+    return warehouse_audit(i.spark, i.sf_dir).findings()
+
+
+@query("warehouse_next_actions")
+def _(i):
+    from plumbline.plans.flagship import warehouse_actions
+
+    return warehouse_actions(i.spark, i.sf_dir)

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -34,6 +36,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constant_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small literal frame.  It is part of the plan itself, so filters and projections on it
+    fold away and no task reads it."""
+    types = spark.createDataFrame([], schema).schema
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+    table = pa.Table.from_arrays(
+        [pa.array(list(values), t) for values, t in zip(columns, to_arrow_schema(types).types, strict=True)], names=types.names
+    )
+    return spark.createDataFrame(table, schema=types)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

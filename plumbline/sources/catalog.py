@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import constant_frame
 from plumbline.functions.text import jvm
 
 COLUMN_SCHEMA = (
@@ -39,7 +40,7 @@ def catalog_from_frames(
             rows.append(
                 (store, table, field.name, n, TYPE_NAMES.get(name, name), not field.nullable or field.name in keys, field.name in keys, False, "", False, False)
             )
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    return constant_frame(spark, rows, COLUMN_SCHEMA)
 
 
 def nested_fields(schema: T.StructType, table: str) -> list[tuple[str, str, int, bool]]:
