@@ -132,22 +132,32 @@ def tally(findings: DataFrame) -> DataFrame:
 
 
 def category_sums(tallied: DataFrame) -> DataFrame:
-    """Per store, axis and category: everything any score needs, from one aggregation."""
-    counted = F.col("status").isin("pass", "warn", "fail") & (F.col("severity") > 0)
+    """Per store, axis and category: everything any score needs, from one aggregation.
+
+    Every finding is laid against both axes, so a store keeps a row (with NULL category) on an
+    axis that none of its findings feed.
+    """
+    axes = F.explode(F.array(F.lit("design"), F.lit("performance")))
+    laid = tallied.withColumnRenamed("axis", "fed").withColumn("axis", axes)
+    feeds = (F.col("fed") == F.col("axis")) | (F.col("fed") == "both")
+    laid = laid.withColumn("parent", F.when(feeds, parent_module(F.col("module"))))
+    modules = F.broadcast(profile_modules(tallied.sparkSession).withColumnRenamed("module", "parent"))
+    placed = F.col("category").isNotNull()
+    counted = placed & F.col("status").isin("pass", "warn", "fail") & (F.col("severity") > 0)
     factor = F.when(F.col("status") == "pass", 2).when(F.col("status") == "warn", 1).otherwise(0)
-    gate = (F.col("severity") == 5) & (F.col("status") == "fail") & (F.col("confidence") == "established")
+    gate = placed & (F.col("severity") == 5) & (F.col("status") == "fail") & (F.col("confidence") == "established")
 
     def total(condition: Column, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n") * value)), F.lit(0).cast("long"))
+        return F.sum(F.when(condition, F.col("n") * value).otherwise(0)).cast("long")
 
     return (
-        in_profile(tallied)
+        laid.join(modules, ["paradigm", "axis", "parent"], "left")
         .groupBy("store", "paradigm", "axis", "category", "weight")
         .agg(
             total(counted, factor * F.col("severity")).alias("points"),
             total(counted, F.col("severity")).alias("severity_sum"),
             total(counted, F.lit(1)).alias("scored"),
-            total(F.col("status") == "needs_api", F.lit(1)).alias("needs_api_count"),
+            total(placed & (F.col("status") == "needs_api"), F.lit(1)).alias("needs_api_count"),
             total(gate, F.lit(1)).alias("gating"),
         )
     )
@@ -160,7 +170,8 @@ def _category_values(sums: DataFrame) -> DataFrame:
 
 def category_scores(findings: DataFrame) -> DataFrame:
     """Value 0-100 of each category that has any finding; needs_api counts never score."""
-    return _category_values(category_sums(tally(findings))).select(
+    sums = category_sums(tally(findings)).where("category IS NOT NULL")
+    return _category_values(sums).select(
         "store",
         "paradigm",
         "axis",
@@ -181,15 +192,12 @@ def axis_scores(findings: DataFrame) -> DataFrame:
 def _axis_scores(tallied: DataFrame) -> DataFrame:
     cats = _category_values(category_sums(tallied))
     weight = F.when(F.col("active"), F.col("weight")).otherwise(0)
-    both_axes = F.explode(F.array(F.lit("design"), F.lit("performance")))
-    grid = tallied.select("store", "paradigm").distinct().withColumn("axis", both_axes)
     sums = cats.groupBy("store", "paradigm", "axis").agg(
         F.sum(weight * F.col("value_tenths")).alias("weighted"),
         F.sum(weight).alias("active_weight"),
         F.sum("needs_api_count").alias("needs_api_count"),
         F.sum("gating").alias("gating"),
     )
-    sums = grid.join(sums, ["store", "paradigm", "axis"], "left").na.fill(0)
     # value_tenths carries the factor 10 already, so divide by 10 inside the rounding.
     computed = F.when(
         F.col("active_weight") > 0,

@@ -261,10 +261,10 @@ GUARD_VALUES = ", ".join(f"({n}, '{GUARD.get(n, '')}', '{GUARD.get(n, '') if n !
     f"WITH g(template_no, label, lenient) AS (VALUES {GUARD_VALUES}) SELECT event_id, label, lenient FROM {{statements_fx}} JOIN g USING (template_no)",
 )
 def _(i):
-    def shown(strict):
-        return F.coalesce(st.guard_label(F.col("statement"), strict), F.lit(""))
-
-    return i.statements_fx.select("event_id", shown(True).alias("label"), shown(False).alias("lenient"))
+    commands = i.statements_fx.select("event_id", "statement")
+    lenient = st.guard_commands(commands, "statement", strict=False).withColumnRenamed("label", "lenient")
+    both = st.guard_commands(lenient, "statement")
+    return both.na.fill("", ["label", "lenient"]).select("event_id", "label", "lenient")
 
 
 @query(

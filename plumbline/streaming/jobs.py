@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.scoring import dedupe_findings
-from plumbline.operators.statements import guard_label
+from plumbline.operators.statements import guard_commands
 from plumbline.session import scratch_path
 
 
@@ -53,8 +53,7 @@ def run_batches(stream: DataFrame, base: str, each: Callable[[DataFrame, int], N
 
 def guard(commands: DataFrame, column: str = "statement") -> DataFrame:
     """Block or allow each command as it arrives, with the rule that decided."""
-    label = guard_label(F.col(column))
-    return commands.withColumn("label", F.coalesce(label, F.lit(""))).withColumn("blocked", F.col("label") != "")
+    return guard_commands(commands, column).na.fill("", ["label"]).withColumn("blocked", F.col("label") != "")
 
 
 def rollup(events: DataFrame, ts: str, keys: list[str], width: str, delay: str) -> DataFrame:
