@@ -38,7 +38,7 @@ IMAGE_ENGINES = [
     (r"timescale", "timescaledb"),
 ]
 IGNORED_DIRS = r"(^|/)(node_modules|\.git|dist|build|\.next|vendor|target|__pycache__|\.venv|venv)/"
-SCHEMA_GROUPS = 6  # signal groups up to here stand on their own; later ones only fill gaps
+RAW_SQL = 7  # signal groups before this one stand on their own; later ones only fill gaps
 
 
 def _engines_of(names: Column, table: list[tuple[str, str]]) -> Column:
@@ -106,12 +106,13 @@ def stack_inventory(files: DataFrame) -> DataFrame:
         .groupBy("repo", "s.engine", "s.signal_group", "s.orm")
         .agg(F.min_by("s.confidence", "path").alias("confidence"), F.min("path").alias("source_of_truth"))
     )
-    # One row per (repo, orm) for schema artifacts; later groups add engines not seen before.
+    # Raw SQL counts only where no schema artifact was found; later groups add engines not seen before.
+    earliest = found.groupBy("repo").agg(F.min("signal_group").alias("repo_first"))
+    found = found.join(earliest, "repo").where((F.col("signal_group") != RAW_SQL) | (F.col("repo_first") == RAW_SQL))
     first = found.groupBy("repo", "engine").agg(F.min("signal_group").alias("first_group"))
-    schema_seen = found.groupBy("repo").agg(F.min("signal_group").alias("repo_first"))
-    kept = found.join(first, ["repo", "engine"]).join(schema_seen, "repo")
-    alone = F.col("signal_group") <= SCHEMA_GROUPS
-    fills = (F.col("signal_group") == F.col("first_group")) & ((F.col("signal_group") != 7) | (F.col("repo_first") == 7))
+    kept = found.join(first, ["repo", "engine"])
+    alone = F.col("signal_group") < RAW_SQL
+    fills = F.col("signal_group") == F.col("first_group")
     return kept.where(alone | fills).select(
         "repo", "engine", engine_paradigm(F.col("engine")).alias("paradigm"), "orm", "confidence", "source_of_truth"
     )
