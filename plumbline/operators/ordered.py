@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
+_PART = "__part"  # struct of the key columns and the bucket; a struct compares NULL keys as equal
 
 
 def time_bucket(ts: str, seconds: int) -> Column:
@@ -23,63 +23,52 @@ def id_bucket(column: str, width: int) -> Column:
 
 
 class Ordered:
-    """Rows ordered by ``order`` within ``keys``; ``bucket`` must be monotone in ``order``."""
+    """Rows ordered by ``order`` within ``keys``; ``bucket`` must be monotone in ``order``.
+
+    Windowing and the join that hands values over bucket edges use the same key, so the rows are
+    shuffled once.
+    """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], bucket: Column):
-        self.keys = keys
         self.order = order
-        self.df = df.withColumn(_BUCKET, bucket)
-        self._rows = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-        self._before = self._rows.rowsBetween(Window.unboundedPreceding, -1)
-        self._buckets = Window.partitionBy(*keys).orderBy(_BUCKET)
-
-    def _attach(self, local: DataFrame, carried: DataFrame) -> DataFrame:
-        """Null-safe join of one row per (key, bucket) back to the rows."""
-        cond = F.lit(True)
-        for k in [*self.keys, _BUCKET]:
-            cond = cond & local[k].eqNullSafe(carried[k])
-        kept = [local[c] for c in local.columns] + [carried["__carry"]]
-        return local.join(carried, cond, "left").select(*kept)
+        self.df = df.withColumn(_PART, F.struct(*keys, bucket.alias("__bucket")))
+        self._rows = Window.partitionBy(_PART).orderBy(*order)
+        self._buckets = Window.partitionBy(*[F.col(f"{_PART}.{k}") for k in keys]).orderBy(F.col(f"{_PART}.__bucket"))
+
+    def _tails(self, df: DataFrame, value: Column) -> DataFrame:
+        """One row per (key, bucket) with what the bucket hands on."""
+        return df.groupBy(_PART).agg(value.alias("__tail"))
+
+    def _join(self, local: DataFrame, tails: DataFrame, carry: Column) -> DataFrame:
+        return local.join(tails.withColumn("__carry", carry).drop("__tail"), _PART, "left")
 
     def previous(self, columns: list[str], name: str = "prev") -> DataFrame:
         """Adds struct ``name`` with ``columns`` of the preceding row of the key."""
         value = F.struct(*columns)
         local = self.df.withColumn("__local", F.lag(value).over(self._rows))
-        tails = self.df.groupBy(*self.keys, _BUCKET).agg(F.max_by(value, F.struct(*self.order)).alias("__tail"))
-        carried = tails.withColumn("__carry", F.lag("__tail").over(self._buckets)).drop("__tail")
-        return (
-            self._attach(local, carried)
-            .withColumn(name, F.coalesce("__local", "__carry"))
-            .drop("__local", "__carry", _BUCKET)
-        )
+        tails = self._tails(self.df, F.max_by(value, F.struct(*self.order)))
+        joined = self._join(local, tails, F.lag("__tail").over(self._buckets))
+        return joined.withColumn(name, F.coalesce("__local", "__carry")).drop("__local", "__carry", _PART)
 
     def latest(self, when: Column, columns: list[str], name: str) -> DataFrame:
         """Adds struct ``name``: ``columns`` of the latest earlier row of the key where ``when``."""
         marked = self.df.withColumn("__value", F.when(when, F.struct(*columns)))
-        local = marked.withColumn("__local", F.last("__value", ignorenulls=True).over(self._before))
-        tails = marked.groupBy(*self.keys, _BUCKET).agg(
-            F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*self.order))).alias("__tail")
-        )
+        before = self._rows.rowsBetween(Window.unboundedPreceding, -1)
+        local = marked.withColumn("__local", F.last("__value", ignorenulls=True).over(before))
+        place = F.when(F.col("__value").isNotNull(), F.struct(*self.order))
+        tails = self._tails(marked, F.max_by("__value", place))
         earlier = self._buckets.rowsBetween(Window.unboundedPreceding, -1)
-        carried = tails.withColumn("__carry", F.last("__tail", ignorenulls=True).over(earlier)).drop("__tail")
-        return (
-            self._attach(local, carried)
-            .withColumn(name, F.coalesce("__local", "__carry"))
-            .drop("__local", "__carry", "__value", _BUCKET)
-        )
+        joined = self._join(local, tails, F.last("__tail", ignorenulls=True).over(earlier))
+        return joined.withColumn(name, F.coalesce("__local", "__carry")).drop("__local", "__carry", "__value", _PART)
 
     def running_sum(self, column: str, name: str) -> DataFrame:
         """Adds the sum of ``column`` over the key's rows up to and including this one."""
         upto = self._rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = self.df.withColumn("__local", F.sum(column).over(upto))
-        totals = self.df.groupBy(*self.keys, _BUCKET).agg(F.sum(column).alias("__tail"))
+        tails = self._tails(self.df, F.sum(column))
         earlier = self._buckets.rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.withColumn("__carry", F.sum("__tail").over(earlier)).drop("__tail")
-        return (
-            self._attach(local, carried)
-            .withColumn(name, F.col("__local") + F.coalesce("__carry", F.lit(0)))
-            .drop("__local", "__carry", _BUCKET)
-        )
+        joined = self._join(local, tails, F.sum("__tail").over(earlier))
+        return joined.withColumn(name, F.col("__local") + F.coalesce("__carry", F.lit(0))).drop("__local", "__carry", _PART)
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

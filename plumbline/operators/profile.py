@@ -182,7 +182,7 @@ def low_card_domain(df: DataFrame, columns: list[str], max_values: int = 32) ->
     sketch = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
     few = [c for c in columns if sketch[c] <= max_values * 1.5 + 8]
     if not few:
-        few = columns[:1]
+        return df.selectExpr("'' AS column_name", "'' AS domain_value", "0L AS rows", "0L AS values").where("false")
     arms = ", ".join(f"'{c}', `{c}`" for c in few)
     long = df.selectExpr(f"stack({len(few)}, {arms}) AS (column_name, domain_value)")
     counts = long.groupBy("column_name", "domain_value").agg(F.count(F.lit(1)).alias("rows"))

@@ -38,6 +38,9 @@ CONFIG_RULES = [
     ("timeseries_no_retention", "retention_policy!", "M8", "warn", 3),
     ("timeseries_no_compression", "compression_policy!", "M18", "warn", 3),
     ("timeseries_no_rollup", "rollup_policy!", "M17", "warn", 3),
+    ("matview_no_refresh", "matview_refresh!", "M17", "warn", 2),
+    ("matview_blocks_readers", "matview_refresh~^blocking$", "M17", "warn", 2),
+    ("autovacuum_disabled", "autovacuum~^off$", "M18", "warn", 3),
     ("graph_lookup_unindexed", "lookup_index!", "M11", "warn", 3),
     ("vector_model_unversioned", "model_version!", "M19", "warn", 3),
     ("vector_no_index", "ann_index!", "M11", "warn", 4),

@@ -518,7 +518,7 @@ URL_REDACTED = "regexp_replace(url, ':pw[0-9]+@', ':****@')"
     f"""WITH m AS (SELECT store, max(value) FILTER (key = 'url') AS url, max(value) FILTER (key = 'runtime') AS runtime, max(value) FILTER (key = 'charset') AS charset,
           max(value) FILTER (key = 'validator') AS validator, max(value) FILTER (key = 'appendonly') AS appendonly, max(value) FILTER (key = 'ttl_policy') AS ttl, max(value) FILTER (key = 'retention_policy') AS ret,
           max(value) FILTER (key = 'compression_policy') AS comp, max(value) FILTER (key = 'rollup_policy') AS roll, max(value) FILTER (key = 'lookup_index') AS look, max(value) FILTER (key = 'model_version') AS mv,
-          max(value) FILTER (key = 'ann_index') AS ann FROM {{config_fx}} GROUP BY 1),
+          max(value) FILTER (key = 'ann_index') AS ann, max(value) FILTER (key = 'matview_refresh') AS mat, max(value) FILTER (key = 'autovacuum') AS av FROM {{config_fx}} GROUP BY 1),
         h AS (SELECT store, 'conn_insecure' AS rule, 'M10' AS module, 4 AS severity, {URL_REDACTED} AS observed FROM m WHERE url LIKE '%sslmode=disable%'
           UNION ALL SELECT store, 'pooler_session_features', 'M15', 4, {URL_REDACTED} FROM m WHERE url LIKE '%:6543/%' AND url LIKE '%prepared_statements=true%'
           UNION ALL SELECT store, 'serverless_direct', 'M15', 4, {URL_REDACTED} FROM m WHERE url LIKE '%:5432/%' AND runtime IN ('vercel', 'lambda')
@@ -530,6 +530,9 @@ URL_REDACTED = "regexp_replace(url, ':pw[0-9]+@', ':****@')"
           UNION ALL SELECT store, 'timeseries_no_retention', 'M8', 3, '(missing)' FROM m WHERE ret IS NULL
           UNION ALL SELECT store, 'timeseries_no_compression', 'M18', 3, '(missing)' FROM m WHERE comp IS NULL
           UNION ALL SELECT store, 'timeseries_no_rollup', 'M17', 3, '(missing)' FROM m WHERE roll IS NULL
+          UNION ALL SELECT store, 'matview_no_refresh', 'M17', 2, '(missing)' FROM m WHERE mat IS NULL
+          UNION ALL SELECT store, 'matview_blocks_readers', 'M17', 2, mat FROM m WHERE mat = 'blocking'
+          UNION ALL SELECT store, 'autovacuum_disabled', 'M18', 3, av FROM m WHERE av = 'off'
           UNION ALL SELECT store, 'graph_lookup_unindexed', 'M11', 3, '(missing)' FROM m WHERE look IS NULL
           UNION ALL SELECT store, 'vector_model_unversioned', 'M19', 3, '(missing)' FROM m WHERE mv IS NULL
           UNION ALL SELECT store, 'vector_no_index', 'M11', 4, '(missing)' FROM m WHERE ann IS NULL)

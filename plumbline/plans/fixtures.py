@@ -310,10 +310,12 @@ SELECT store, key, CASE key
     WHEN 'validator' THEN {words('strict|none', 'g % 2')}
     WHEN 'charset' THEN {words('utf8|utf8mb4|latin1', 'g % 3')}
     WHEN 'appendonly' THEN {words('yes|no', 'g % 2')}
+    WHEN 'matview_refresh' THEN {words('concurrent|blocking', 'g % 2')}
+    WHEN 'autovacuum' THEN {words('on|off', 'g % 2')}
     ELSE 'set' END AS value
 FROM (
-  SELECT c_custkey AS n, CAST(floor(c_custkey / 12) AS BIGINT) AS g, 'store_' || CAST(CAST(floor(c_custkey / 12) AS BIGINT) AS STRING) AS store,
-         {words('url|runtime|validator|charset|appendonly|retention_policy|compression_policy|ttl_policy|lookup_index|model_version|ann_index|rollup_policy', 'c_custkey % 12')} AS key
+  SELECT c_custkey AS n, CAST(floor(c_custkey / 14) AS BIGINT) AS g, 'store_' || CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS STRING) AS store,
+         {words('url|runtime|validator|charset|appendonly|retention_policy|compression_policy|ttl_policy|lookup_index|model_version|ann_index|rollup_policy|matview_refresh|autovacuum', 'c_custkey % 14')} AS key
   FROM {{customer}} WHERE (c_custkey * 7) % 5 <> 0) c
 """
 
