@@ -170,6 +170,34 @@ def schema_diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def _listed(df: DataFrame, kind: str, key: Column) -> DataFrame:
+    return df.select("store", F.lit(kind).alias("what"), F.concat(F.col("table_name"), F.lit("("), key, F.lit(")")).alias("object")).distinct()
+
+
+def key_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """Changes that the column diff leaves out: indexes and foreign keys added or dropped, and
+    NOT NULL lifted.  ``before`` and ``after`` hold the frames columns, indexes and fks."""
+
+    def keys(frames: dict[str, DataFrame]) -> DataFrame:
+        index = F.concat(F.when(F.col("is_unique"), "unique ").otherwise(""), F.array_join("columns", ","))
+        fk = F.concat(F.array_join("columns", ","), F.lit(" -> "), F.col("ref_table"), F.lit("."), F.array_join("ref_columns", ","))
+        required = frames["columns"].where("not_null")
+        return (
+            _listed(frames["indexes"], "index", index)
+            .unionByName(_listed(frames["fks"], "fk", fk))
+            .unionByName(_listed(required, "not_null", F.col("column_name")))
+        )
+
+    on = ["store", "what", "object"]
+    old, new = keys(before), keys(after)
+    live = after["columns"].select("store", F.concat("table_name", F.lit("("), "column_name", F.lit(")")).alias("object"))
+    dropped = old.join(new, on, "left_anti")
+    lifted = dropped.where("what = 'not_null'").join(live, ["store", "object"], "left_semi")
+    gone = dropped.where("what <> 'not_null'").unionByName(lifted)
+    made = new.where("what <> 'not_null'").join(old, on, "left_anti")
+    return gone.withColumn("kind", F.concat(F.lit("drop_"), "what")).unionByName(made.withColumn("kind", F.concat(F.lit("add_"), "what"))).drop("what")
+
+
 def schema_drift(artifact: DataFrame, history: DataFrame, key: list[str]) -> DataFrame:
     """Objects of one description that the other lacks, both ways."""
     a, h = artifact.select(*key), history.select(*key)

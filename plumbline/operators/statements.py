@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.grading import lookup
 from plumbline.functions.text import jvm, redact_secrets
-from plumbline.operators.ordered import Ordered, compute_once, time_bucket
+from plumbline.operators.ordered import compute_once, time_bucket
 
 # --- splitting --------------------------------------------------------------------------------
 
@@ -394,18 +394,37 @@ def n_plus_one_bursts(
     log: DataFrame, session: str, ts: str, event: str, gap_seconds: int, more_than: int, column: str = "statement"
 ) -> DataFrame:
     """Runs of one statement shape in a session with no gap above ``gap_seconds``, longer than
-    ``more_than``."""
-    shaped = log.select(session, ts, event, fingerprint_text(F.col(column)).alias("shape"))
-    keys, order = [session, "shape"], [ts, event]
+    ``more_than``.
+
+    Rows are cut into runs per (session, shape, time bucket) with a single shuffle.  Only the first
+    and last run of a bucket can continue in another one, so only those travel along the key.
+    """
+    limit = gap_seconds * 1_000_000
+    keys = [session, "shape"]
     bucket = time_bucket(ts, max(3600, gap_seconds))
-    stepped = Ordered(shaped, keys, order, bucket).previous([ts], "before")
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"before.{ts}").cast("timestamp"))
-    starts = F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)
-    runs = Ordered(stepped.withColumn("starts", starts).drop("before"), keys, order, bucket).running_sum("starts", "run")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return (
-        runs.groupBy(*keys, "run")
-        .agg(F.count(F.lit(1)).alias("repeats"), F.min(event).alias("first_event"), (F.max(micros) - F.min(micros)).alias("span_us"))
-        .where(F.col("repeats") > more_than)
-        .drop("run")
+    shaped = log.select(
+        session, ts, event, fingerprint_text(F.col(column)).alias("shape"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), bucket.alias("bucket")
+    )
+    part = Window.partitionBy(*keys, "bucket")
+    rows = part.orderBy(ts, event)
+    gap = F.col("us") - F.lag("us").over(rows)
+    starts = shaped.withColumn("starts", F.when(gap.isNull() | (gap > limit), 1).otherwise(0))
+    pieces = (
+        starts.withColumn("run", F.sum("starts").over(rows))
+        .groupBy(*keys, "bucket", "run")
+        .agg(F.count(F.lit(1)).alias("repeats"), F.min(event).alias("first_event"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+        .withColumn("last_run", F.max("run").over(part))
+    )
+    edge = (F.col("run") == 1) | (F.col("run") == F.col("last_run"))
+    along = Window.partitionBy(*keys).orderBy("lo", "first_event")
+    continues = F.coalesce(F.col("lo") - F.lag("hi").over(along) <= limit, F.lit(False))
+    joined = (
+        pieces.where(edge)
+        .withColumn("fresh", F.when(continues, 0).otherwise(1))
+        .withColumn("chain", F.sum("fresh").over(along))
+        .groupBy(*keys, "chain")
+        .agg(F.sum("repeats").alias("repeats"), F.min("first_event").alias("first_event"), (F.max("hi") - F.min("lo")).alias("span_us"))
+        .drop("chain")
     )
+    inside = pieces.where(~edge).select(*keys, "repeats", "first_event", (F.col("hi") - F.col("lo")).alias("span_us"))
+    return joined.unionByName(inside).where(F.col("repeats") > more_than)

@@ -438,6 +438,25 @@ def _(i):
     return diff.schema_diff_summary(i.estate_columns, i.estate_next_columns)
 
 
+def _keys_sql(name: str, columns: str, indexes: str, fks: str) -> str:
+    return f"""{name} AS (SELECT store, 'index' AS what, table_name || '(' || CASE WHEN is_unique THEN 'unique ' ELSE '' END || array_to_string(columns, ',') || ')' AS object FROM {indexes}
+      UNION SELECT store, 'fk', table_name || '(' || array_to_string(columns, ',') || ' -> ' || ref_table || '.' || array_to_string(ref_columns, ',') || ')' FROM {fks}
+      UNION SELECT store, 'not_null', table_name || '(' || column_name || ')' FROM {columns} WHERE not_null)"""
+
+
+@query(
+    "schema_diff_keys",
+    f"""WITH {_keys_sql('a', '{estate_next_columns}', '{estate_indexes}', '{estate_fks}')}, {_keys_sql('b', '{estate_columns}', '{estate_next_indexes}', '{estate_next_fks}')},
+        g AS (SELECT * FROM a EXCEPT SELECT * FROM b), n AS (SELECT * FROM b EXCEPT SELECT * FROM a)
+        SELECT store, object, 'drop_' || what AS kind FROM g WHERE what <> 'not_null' OR (store, object) IN (SELECT (store, table_name || '(' || column_name || ')') FROM {{estate_columns}})
+        UNION ALL SELECT store, object, 'add_' || what FROM n WHERE what <> 'not_null'""",
+)
+def _(i):
+    before = {"columns": i.estate_next_columns, "indexes": i.estate_indexes, "fks": i.estate_fks}
+    after = {"columns": i.estate_columns, "indexes": i.estate_next_indexes, "fks": i.estate_next_fks}
+    return diff.key_changes(before, after)
+
+
 DRIFT_KEY = ["store", "table_name", "column_name", "type"]
 
 

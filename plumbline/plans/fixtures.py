@@ -276,6 +276,14 @@ SELECT store, store_no, table_no + 1000000000, table_name || '_new', column_name
 FROM {{estate_columns}} WHERE table_no % 37 = 12
 """
 
+FIXTURES["estate_next_indexes"] = """
+SELECT store, table_name, index_name, columns, is_unique OR length(table_name) % 4 = 1 AS is_unique FROM {estate_indexes} WHERE length(index_name) % 5 <> 2
+"""
+
+FIXTURES["estate_next_fks"] = """
+SELECT store, table_name, columns, ref_table, ref_columns, on_delete, validated FROM {estate_fks} WHERE length(table_name) % 3 <> 1
+"""
+
 FIXTURES["estate_stores"] = f"""
 SELECT DISTINCT store, store_no, {words('postgres|mysql|planetscale|supabase|d1|mongodb|cockroachdb|dynamodb', 'store_no % 8')} AS platform,
        store_no % 20 AS major_version

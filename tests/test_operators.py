@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog_rules as cr
-from plumbline.operators import diff, graph, integrity, inventory, privacy, profile, seed, state_rules, vectors
+from plumbline.operators import diff, graph, integrity, inventory, privacy, profile, seed, state_rules, statements, vectors
 from plumbline.operators.ordered import Ordered, id_bucket, top_n
 from plumbline.sources import catalog as sc
 from plumbline.sources import files as sf
@@ -72,6 +72,25 @@ def test_lost_updates_against_brute_force(spark):
     assert want and got == want
 
 
+@FEW
+@given(hs.lists(hs.tuples(hs.sampled_from([1, 1, 2]), hs.integers(0, 20000)), min_size=1, max_size=80))
+def test_bursts_against_brute_force(spark, rows):
+    """Gaps around one hour, buckets of one hour: runs cross any number of bucket edges."""
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s) for _, s in rows]
+    df = spark.createDataFrame([(n, k, at[n], "SELECT 1") for n, (k, _) in enumerate(rows)], "e int, s int, ts timestamp_ntz, statement string")
+    want = []
+    for key in {k for k, _ in rows}:
+        run = []
+        for t, n in sorted((at[n], n) for n, (k, _) in enumerate(rows) if k == key):
+            if run and (t - run[-1][0]).total_seconds() > 900:
+                want.append((key, len(run), min(x[1] for x in run)))
+                run = []
+            run.append((t, n))
+        want.append((key, len(run), min(x[1] for x in run)))
+    got = statements.n_plus_one_bursts(df, "s", "ts", "e", 900, 0).collect()
+    assert sorted((r["s"], r["repeats"], r["first_event"]) for r in got) == sorted(want)
+
+
 def test_orphans_with_a_hot_missing_parent(spark):
     child = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, 99).when(F.col("id") % 10 == 1, None).otherwise(F.col("id") % 5).alias("fk"))
     parent = spark.range(5).withColumnRenamed("id", "pk")
