@@ -81,13 +81,3 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame to every row, as scalar subqueries."""
     return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
-
-
-def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later expressions and filters refer to by value.
-
-    They come out of a one-row generator, which the optimizer does not fold into the
-    expressions above it, so an expensive column is evaluated once per row.
-    """
-    made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.inline(F.array(made)))

@@ -6,14 +6,13 @@ and later patterns are not tried.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.grading import lookup
-from plumbline.functions.text import jvm, redact_secrets
-from plumbline.operators.ordered import compute_once, time_bucket
+from plumbline.functions.once import compute_once
+from plumbline.functions.text import jvm, mentions_any, redact_secrets
+from plumbline.operators.ordered import time_bucket
 
 # --- splitting --------------------------------------------------------------------------------
 
@@ -118,9 +117,7 @@ def _has(text: Column, pattern: str) -> Column:
 
 
 def _mentions(folded: Column, words: str) -> Column:
-    """Does lower-cased text contain any of the space-separated words?  Far cheaper than a
-    pattern, and tried before one."""
-    return reduce(lambda a, b: a | b, [folded.contains(w) for w in words.split(" ")])
+    return mentions_any(folded, words.split(" "))
 
 
 def _any(text: Column, patterns: list[str]) -> Column:

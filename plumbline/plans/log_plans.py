@@ -56,7 +56,7 @@ def _(i):
     f"SELECT doc_id, sha256({redact_sql('text')}) AS redacted_sha, {redact_sql('text')} <> text AS changed FROM documents",
 )
 def _(i):
-    redacted = i.documents.select("doc_id", "text", tx.redact_secrets(F.col("text")).alias("redacted"))
+    redacted = tx.redact_column(i.documents.select("doc_id", "text", F.col("text").alias("redacted")), "redacted")
     return redacted.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha"), (F.col("redacted") != F.col("text")).alias("changed"))
 
 
