@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -48,20 +46,12 @@ def constant_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataF
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of this machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor can reach: ``spark.checkpoint.dir`` as the cluster sets it, else the
+    checkpoint folder that the program set on its context.  There is no other fallback."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = os.environ.get("PLUMBLINE_LOCAL_SCRATCH")
-    if not fallback:
-        fallback = tempfile.mkdtemp(prefix="plumbline-")
-        os.environ["PLUMBLINE_LOCAL_SCRATCH"] = fallback
-    return fallback
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -74,4 +64,13 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     and a lost executor costs nothing but a re-read."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stage = df.sparkSession.read.schema(df.schema).parquet(path)
+    stage.stage_path = path
+    return stage
+
+
+def drop_stage(stage: DataFrame) -> None:
+    """Delete the files of a table made by ``cut_lineage`` that nothing will read again."""
+    spark = stage.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
