@@ -26,6 +26,16 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query
+def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.wavelet import read_documents, write_shards
+
+    documents = read_documents(write_shards(read_table(spark, sf_dir, "documents")))
+    return documents.select(
+        "doc_id", "start", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
