@@ -36,6 +36,14 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.simhash import hex_digits, near_copies
+
+    rows = near_copies(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
