@@ -44,6 +44,19 @@ def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.prefix_bpe import decode_documents, encode_documents
+
+    rows = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
