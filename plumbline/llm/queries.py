@@ -57,6 +57,16 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_disclosure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.disclosure import KINDS, find_private, span_list
+
+    found = find_private(read_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in KINDS]
+    every = found.withColumn("every", F.concat("spans", "terms"))
+    return every.select("doc_id", *counts, F.sha2(span_list("spans"), 256).alias("base_sha256"), span_list("every").alias("spans"))
+
+
 @query
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
