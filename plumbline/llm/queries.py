@@ -67,6 +67,18 @@ def op4_disclosure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", *counts, F.sha2(span_list("spans"), 256).alias("base_sha256"), span_list("every").alias("spans"))
 
 
+@query
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.rule_ledger import POLICIES, ledger
+
+    book = ledger(read_table(spark, sf_dir, "documents"))
+    passes = POLICIES["base-1"].passes(F.col("failed"))
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~passes).alias("base_failed"), (passes & POLICIES["full-1"].passes(F.col("failed"))).alias("kept"), "failed",
+    )
+
+
 @query
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
