@@ -59,16 +59,35 @@ class TextEncoder:
     chunk of a text is encoded once and remembered (``limit`` chunks per generation).
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = Remembered(limit)
+        # bytes of a token: in a byte-level vocabulary every character of a token stands for one
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, at in names.items():
+            self.sizes[at] = len(name)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=UINT32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode new chunks.  Those that start with a space before a word and end in no space may
+        follow each other in one text, whose ids are cut where a chunk's bytes end."""
+        plain = [c for c in new if c[0] == " " and not c[1:2].isspace() and not c[-1].isspace()]
+        odd = [c for c in new if not (c[0] == " " and not c[1:2].isspace() and not c[-1].isspace())]
+        self.known.new.update(zip(odd, self._library(odd), strict=True))
+        ids = np.frombuffer(self._library(["".join(plain)])[0], UINT32)
+        ends = np.cumsum([len(c.encode()) for c in plain])
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) * 4 + 4
+        data, last = ids.tobytes(), 0
+        for chunk, cut in zip(plain, cuts.tolist(), strict=True):
+            self.known.new[chunk] = data[last:cut]
+            last = cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [chunks(t) for t in texts]
         keys: set[str] = set()
@@ -77,7 +96,7 @@ class TextEncoder:
                 keys.update(p)
         new = self.known.missing(keys)
         if new:
-            self.known.new.update(zip(new, self._library(new), strict=True))
+            self._learn(new)
         get = self.known.new.__getitem__
         out = [b"" if p is None else b"".join(map(get, p)) for p in parts]
         whole = [i for i, p in enumerate(parts) if p is None]
