@@ -85,3 +85,14 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack_documents(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.attention_quality import fit, held_out, score_documents
+
+    documents = read_table(spark, sf_dir, "documents")
+    scores = score_documents(documents, fit(documents, read_table(spark, sf_dir, "labels")))
+    return scores.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
