@@ -96,3 +96,10 @@ def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op8_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.html_blocks import extract
+
+    return extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
