@@ -103,3 +103,15 @@ def op8_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.html_blocks import extract
 
     return extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.edit_embedding import compare_with_next
+
+    rows = compare_with_next(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
