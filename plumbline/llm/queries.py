@@ -115,3 +115,10 @@ def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+@query
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.passages import passage_rows, repeated_passages
+
+    return passage_rows(repeated_passages(read_table(spark, sf_dir, "documents")))
