@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ class Merges:
         key = a << 32 | b
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             known = self._pairs[key] = self._adjacent(a, b)
         return known
@@ -73,6 +74,26 @@ class Merges:
                 until, b = b + 1, self.left[b]
 
 
+    def extend(self, piece: bytes, last: list[int], upto: int) -> None:
+        """Continue ``last``, the last tokens of the prefixes of ``piece``, to the prefix of ``upto`` bytes.
+
+        A token ends a prefix if it may follow the last token of what is before it; just one does.
+        """
+        get, known, longest = self.ranks.get, self._pairs.get, self.longest
+        for end in range(len(last), upto + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(piece[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    break
+                before = last[start]
+                fits = known(before << 32 | token)
+                if fits or fits is None and self.adjacent(before, token):
+                    break
+            last.append(token)
+
+
 class PrefixTable:
     """The last token of every prefix of a piece.  Appends cost what is appended; an edit is
     encoded anew from its start until the table runs as before."""
@@ -81,18 +102,9 @@ class PrefixTable:
         self.merges, self.piece, self.last = merges, b"", [-1]
         self.append(piece)
 
-    def _next(self, piece: bytes, last: list[int], end: int) -> int:
-        merges = self.merges
-        for start in range(max(0, end - merges.longest), end):
-            token = merges.ranks.get(piece[start:end])
-            if token is not None and (start == 0 or merges.adjacent(last[start], token)):
-                return token
-        raise ValueError("a byte has no token")
-
     def append(self, more: bytes) -> None:
-        piece, last = self.piece + more, self.last
-        for end in range(len(self.piece) + 1, len(piece) + 1):
-            last.append(self._next(piece, last, end))
+        piece = self.piece + more
+        self.merges.extend(piece, self.last, len(piece))
         self.piece = piece
 
     def replace(self, start: int, end: int, new: bytes) -> int:
@@ -101,7 +113,7 @@ class PrefixTable:
         piece = self.piece[:start] + new + self.piece[end:]
         last, same = old[: start + 1], 0
         for at in range(start + 1, len(piece) + 1):
-            last.append(self._next(piece, last, at))
+            self.merges.extend(piece, last, at)
             before = at - shift
             # as many equal entries as the longest token is long settle all that follows
             same = same + 1 if at > start + len(new) + self.merges.longest and last[at] == old[before] else 0
@@ -123,7 +135,7 @@ class PrefixTable:
 class PrefixEncoder:
     """Encodes texts by a rank file, each match of ``pattern`` on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 150_000):
+    def __init__(self, path: str, pattern: str, limit: int = 250_000):
         import regex
 
         self.merges = Merges(read_ranks(path))
@@ -137,7 +149,7 @@ class PrefixEncoder:
         data = piece.encode()
         token = self.merges.ranks.get(data)
         ids = [token] if token is not None else PrefixTable(self.merges, data).tokens()
-        return np.array(ids, dtype=np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def _learn(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
@@ -219,10 +231,10 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = prefix_encoder(place, splitter)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                decoded = [encoder.decode(ids or []) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = batch.column(1)
+            values, edges = ids.values.to_numpy(), ids.offsets.to_pylist()
+            decoded = [encoder.decode(values[lo:hi].tolist()) for lo, hi in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
