@@ -200,12 +200,13 @@ def score_documents(docs: DataFrame, model: GatedAttention, id_col: str = "doc_i
 
 def keep_good(docs: DataFrame, model: GatedAttention, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score at least ``least``, with all their columns, in one pass."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                scores = model.score([encode_passages(t or "") for t in part.column(docs.columns.index(text_col)).to_pylist()])
+                scores = model.score([encode_passages(t or "") for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(scores >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,8 +9,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.llm.common import components, sliced, texts_of
 from plumbline.session import cut_lineage, drop_stage
@@ -133,7 +134,7 @@ def links(distinct: DataFrame, radius: int, depth: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document.
+    """``doc_id, fingerprint, component_id, component`` of every document (``component``: a fingerprint of it).
 
     Documents whose fingerprints differ in at most ``radius`` (even) bits are linked; a component
     is everything reachable, named after its least id.  Equal fingerprints are one node, however
@@ -153,10 +154,37 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42
     )
     grouped = cut_lineage(grouped, "print-groups")
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = cut_lineage(grouped.join(names, "component").select("fingerprint", "component_id"), "print-names")
+    named = cut_lineage(grouped.join(names, "component").select("fingerprint", "component_id", "component"), "print-names")
     drop_stage(grouped)
     drop_stage(nodes)
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies, with all its columns: that of the least id.
+
+    Rows that share an id are one document, for which the row of the least text stays.  Of a group
+    in which no row has an id, the row of the least text stays.
+    """
+    found = near_copies(docs, words, radius, seed, id_col, text_col)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = docs.join(kept, docs[id_col] == F.col("__kept"))
+    chosen = chosen.withColumn("__row", F.row_number().over(Window.partitionBy("__kept").orderBy(docs[text_col])))
+    chosen = chosen.where("__row = 1").select(*docs.columns)
+    nameless = cut_lineage(found.where("component_id IS NULL").select("fingerprint", "component").distinct(), "nameless")
+    if nameless.isEmpty():
+        return chosen
+    names, at = [*docs.columns, "__print"], docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t or "", words, seed) for t in batch.column(at).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
+
+    schema = StructType([*docs.schema.fields, StructField("__print", LongType())])
+    lone = docs.where(docs[id_col].isNull()).mapInArrow(run, schema).join(nameless, F.col("__print") == nameless["fingerprint"])
+    lone = lone.withColumn("__row", F.row_number().over(Window.partitionBy("component").orderBy(F.col(text_col)))).where("__row = 1")
+    return chosen.unionByName(lone.select(*docs.columns))
 
 
 def hex_digits(fingerprint) -> F.Column:
