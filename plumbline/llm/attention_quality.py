@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """
     bags, y = labelled_bags(docs, labels, label, sample, passages, id_col, text_col)
     if not bags:
-        bags, y = [np.zeros((1, FEATURES), dtype=np.float32)], np.array([0.5])
+        blank = train([np.zeros((1, FEATURES), dtype=np.float32)], np.array([0.5]), epochs=0)
+        return GatedAttention(blank.mean, blank.scale, {**blank.weights, "c": 0 * blank.weights["c"], "d": np.zeros(())})
     return train(bags, y)
 
 

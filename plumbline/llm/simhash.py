@@ -171,7 +171,7 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, i
     chosen = docs.join(kept, docs[id_col] == F.col("__kept"))
     chosen = chosen.withColumn("__row", F.row_number().over(Window.partitionBy("__kept").orderBy(docs[text_col])))
     chosen = chosen.where("__row = 1").select(*docs.columns)
-    nameless = cut_lineage(found.where("component_id IS NULL").select("fingerprint", "component").distinct(), "nameless")
+    nameless = cut_lineage(found.where("component_id IS NULL").select(F.col("fingerprint").alias("__of"), F.col("component").alias("__component")).distinct(), "nameless")
     if nameless.isEmpty():
         return chosen
     names, at = [*docs.columns, "__print"], docs.columns.index(text_col)
@@ -182,8 +182,8 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
 
     schema = StructType([*docs.schema.fields, StructField("__print", LongType())])
-    lone = docs.where(docs[id_col].isNull()).mapInArrow(run, schema).join(nameless, F.col("__print") == nameless["fingerprint"])
-    lone = lone.withColumn("__row", F.row_number().over(Window.partitionBy("component").orderBy(F.col(text_col)))).where("__row = 1")
+    lone = docs.where(docs[id_col].isNull()).mapInArrow(run, schema).join(nameless, F.col("__print") == F.col("__of"))
+    lone = lone.withColumn("__row", F.row_number().over(Window.partitionBy("__component").orderBy(F.col(text_col)))).where("__row = 1")
     return chosen.unionByName(lone.select(*docs.columns))
 
 
