@@ -43,57 +43,56 @@ DATE_LIKE = "(_at$|^valid_)"
 
 
 # What each rule reports.  Confidence "catalog" is that of the catalog it ran on.
-RULE_TEXT = """
-rule | module | status | severity | axis | confidence | magnitude | fixable
-money_as_float | M19 | fail | 5 | design | catalog | high | advisory
-csv_in_column | M19 | needs_api | 3 | design | speculative | medium | advisory
-eav | M19 | needs_api | 3 | both | speculative | medium | advisory
-no_primary_key | M19 | fail | 5 | both | catalog | high | advisory
-polymorphic_fk | M19 | warn | 3 | both | catalog | medium | advisory
-boolean_soup | M19 | warn | 3 | design | directional | medium | advisory
-fk_unindexed | M11 | warn | 3 | performance | catalog | medium | proposed
-esr_order | M11 | warn | 3 | performance | directional | medium | proposed
-index_type | M11 | warn | 3 | performance | directional | medium | proposed
-redundant_prefix | M12 | warn | 3 | performance | catalog | medium | proposed
-repeating_group | M1 | warn | 3 | design | directional | medium | advisory
-denormalized_label | M1 | warn | 3 | design | directional | medium | proposed
-int4_pk | M2 | warn | 4 | both | directional | medium | auto
-uuidv4_clustered_pk | M2 | warn | 3 | performance | directional | medium | advisory
-natural_key_pk | M2 | warn | 3 | design | directional | medium | advisory
-composite_pk_order | M2 | warn | 3 | performance | directional | medium | advisory
-no_fk_financial | M3 | fail | 5 | both | catalog | high | auto
-no_fk | M3 | warn | 3 | both | catalog | medium | auto
-fk_cascades_financial | M3 | warn | 4 | design | catalog | medium | proposed
-fk_no_action | M3 | warn | 3 | design | catalog | medium | proposed
-composite_fk_mismatch | M3 | warn | 3 | design | catalog | medium | advisory
-naive_timestamp | M4 | warn | 4 | design | catalog | medium | proposed
-free_text_status | M4 | warn | 2 | design | directional | medium | proposed
-json_catch_all | M4 | warn | 3 | design | directional | medium | proposed
-nullable | M5 | warn | 3 | design | catalog | medium | auto
-no_check | M5 | warn | 3 | design | catalog | medium | proposed
-no_unique | M5 | warn | 4 | design | directional | medium | proposed
-over_nullable_unique | M5 | warn | 4 | design | catalog | medium | advisory
-not_validated | M5 | warn | 3 | design | catalog | medium | auto
-no_default | M6 | warn | 2 | design | catalog | low | auto
-app_maintained | M6 | warn | 3 | design | directional | medium | proposed
-default_empty_string | M6 | warn | 2 | design | catalog | low | advisory
-serial_not_identity | M6 | warn | 2 | design | catalog | low | proposed
-boolean_no_default | M6 | warn | 2 | design | catalog | low | auto
-reserved_word | M7 | warn | 2 | design | directional | low | proposed
-fk_naming | M7 | warn | 1 | design | directional | low | proposed
-boolean_unprefixed | M7 | warn | 1 | design | directional | low | proposed
-opaque_name | M7 | warn | 1 | design | directional | low | advisory
-soft_delete_inconsistent | M8 | warn | 3 | design | directional | medium | proposed
-no_audit_trail | M8 | warn | 3 | design | directional | medium | proposed
-pii_no_retention_or_erasure | M8 | warn | 4 | design | directional | medium | advisory
-no_tenant_scope | M9 | warn | 4 | both | catalog | medium | proposed
-index_not_tenant_leading | M9 | warn | 3 | performance | catalog | medium | proposed
-unique_omits_tenant | M9 | warn | 4 | both | catalog | medium | proposed
-pii_unprotected | M10 | warn | 3 | design | directional | medium | advisory
-plaintext_secret | M10 | fail | 5 | design | catalog | high | advisory
-"""
-_RULE_ROWS = [[cell.strip() for cell in line.split("|")] for line in RULE_TEXT.strip().splitlines()]
-RULES = {row[0]: dict(zip(_RULE_ROWS[0], row, strict=True)) for row in _RULE_ROWS[1:]}
+RULE_COLUMNS = ["rule", "module", "status", "severity", "axis", "confidence", "magnitude", "fixable"]
+RULE_ROWS = [
+    ("money_as_float", "M19", "fail", "5", "design", "catalog", "high", "advisory"),
+    ("csv_in_column", "M19", "needs_api", "3", "design", "speculative", "medium", "advisory"),
+    ("eav", "M19", "needs_api", "3", "both", "speculative", "medium", "advisory"),
+    ("no_primary_key", "M19", "fail", "5", "both", "catalog", "high", "advisory"),
+    ("polymorphic_fk", "M19", "warn", "3", "both", "catalog", "medium", "advisory"),
+    ("boolean_soup", "M19", "warn", "3", "design", "directional", "medium", "advisory"),
+    ("fk_unindexed", "M11", "warn", "3", "performance", "catalog", "medium", "proposed"),
+    ("esr_order", "M11", "warn", "3", "performance", "directional", "medium", "proposed"),
+    ("index_type", "M11", "warn", "3", "performance", "directional", "medium", "proposed"),
+    ("redundant_prefix", "M12", "warn", "3", "performance", "catalog", "medium", "proposed"),
+    ("repeating_group", "M1", "warn", "3", "design", "directional", "medium", "advisory"),
+    ("denormalized_label", "M1", "warn", "3", "design", "directional", "medium", "proposed"),
+    ("int4_pk", "M2", "warn", "4", "both", "directional", "medium", "auto"),
+    ("uuidv4_clustered_pk", "M2", "warn", "3", "performance", "directional", "medium", "advisory"),
+    ("natural_key_pk", "M2", "warn", "3", "design", "directional", "medium", "advisory"),
+    ("composite_pk_order", "M2", "warn", "3", "performance", "directional", "medium", "advisory"),
+    ("no_fk_financial", "M3", "fail", "5", "both", "catalog", "high", "auto"),
+    ("no_fk", "M3", "warn", "3", "both", "catalog", "medium", "auto"),
+    ("fk_cascades_financial", "M3", "warn", "4", "design", "catalog", "medium", "proposed"),
+    ("fk_no_action", "M3", "warn", "3", "design", "catalog", "medium", "proposed"),
+    ("composite_fk_mismatch", "M3", "warn", "3", "design", "catalog", "medium", "advisory"),
+    ("naive_timestamp", "M4", "warn", "4", "design", "catalog", "medium", "proposed"),
+    ("free_text_status", "M4", "warn", "2", "design", "directional", "medium", "proposed"),
+    ("json_catch_all", "M4", "warn", "3", "design", "directional", "medium", "proposed"),
+    ("nullable", "M5", "warn", "3", "design", "catalog", "medium", "auto"),
+    ("no_check", "M5", "warn", "3", "design", "catalog", "medium", "proposed"),
+    ("no_unique", "M5", "warn", "4", "design", "directional", "medium", "proposed"),
+    ("over_nullable_unique", "M5", "warn", "4", "design", "catalog", "medium", "advisory"),
+    ("not_validated", "M5", "warn", "3", "design", "catalog", "medium", "auto"),
+    ("no_default", "M6", "warn", "2", "design", "catalog", "low", "auto"),
+    ("app_maintained", "M6", "warn", "3", "design", "directional", "medium", "proposed"),
+    ("default_empty_string", "M6", "warn", "2", "design", "catalog", "low", "advisory"),
+    ("serial_not_identity", "M6", "warn", "2", "design", "catalog", "low", "proposed"),
+    ("boolean_no_default", "M6", "warn", "2", "design", "catalog", "low", "auto"),
+    ("reserved_word", "M7", "warn", "2", "design", "directional", "low", "proposed"),
+    ("fk_naming", "M7", "warn", "1", "design", "directional", "low", "proposed"),
+    ("boolean_unprefixed", "M7", "warn", "1", "design", "directional", "low", "proposed"),
+    ("opaque_name", "M7", "warn", "1", "design", "directional", "low", "advisory"),
+    ("soft_delete_inconsistent", "M8", "warn", "3", "design", "directional", "medium", "proposed"),
+    ("no_audit_trail", "M8", "warn", "3", "design", "directional", "medium", "proposed"),
+    ("pii_no_retention_or_erasure", "M8", "warn", "4", "design", "directional", "medium", "advisory"),
+    ("no_tenant_scope", "M9", "warn", "4", "both", "catalog", "medium", "proposed"),
+    ("index_not_tenant_leading", "M9", "warn", "3", "performance", "catalog", "medium", "proposed"),
+    ("unique_omits_tenant", "M9", "warn", "4", "both", "catalog", "medium", "proposed"),
+    ("pii_unprotected", "M10", "warn", "3", "design", "directional", "medium", "advisory"),
+    ("plaintext_secret", "M10", "fail", "5", "design", "catalog", "high", "advisory"),
+]
+RULES = {row[0]: dict(zip(RULE_COLUMNS, row, strict=True)) for row in RULE_ROWS}
 
 
 @dataclass(frozen=True)
