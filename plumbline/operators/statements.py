@@ -129,8 +129,10 @@ def _pick(key: Column, values: dict[str, str], default: str) -> Column:
 
 
 def classify_migration(statements: DataFrame, column: str = "statement", known_gaps: bool = False) -> DataFrame:
-    """Adds ``op, reversible, lock_level, rewrite, destructive, note`` to each statement.
+    """Adds ``op, reversible, lock_level, rewrite, destructive, note`` and ``excerpt`` to each statement.
 
+    Everything is decided on the whole statement, which stays whole in ``column`` (white space
+    folded).  ``excerpt`` is for display: credentials are redacted before it is cut.
     ``known_gaps`` leaves TRUNCATE unclassified, as tools that look only at DDL do.
     """
     u, folded = F.col("__u"), F.col("__folded")
@@ -169,8 +171,9 @@ def classify_migration(statements: DataFrame, column: str = "statement", known_g
         rewrite=rewrites,
         destructive=k.isin(DESTRUCTIVE) | unscoped,
         note=note,
+        excerpt=shorten(redact_secrets(u)),
     )
-    return out.withColumn(column, shorten(u)).drop("__u", "__folded", "__class")
+    return out.withColumn(column, u).drop("__u", "__folded", "__class")
 
 
 # Migration finding rules, as rule -> (status, severity, confidence, fixable).
@@ -209,13 +212,27 @@ def migration_findings(classified: DataFrame, key: str, column: str = "statement
         part(2).alias("confidence"),
         F.lit("high").alias("magnitude"),
         part(3).alias("fixable"),
-        redact_secrets(u).alias("observed"),
+        F.col("excerpt").alias("observed"),
     )
 
 
+_NAME_PART = r'(?:"(?:[^"]|"")+"|`[^`]+`|\[[^\]]+\]|[\w$]+)'
+_TARGET = (
+    r"(?i)^(?:ALTER\s+TABLE|DROP\s+TABLE|TRUNCATE(?:\s+TABLE)?|UPDATE|DELETE\s+FROM|CREATE\s+TABLE"
+    r"|CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:(?:IF\s+NOT\s+EXISTS\s+)?"
+    + _NAME_PART
+    + r"(?:\." + _NAME_PART + r")*\s+)?ON)\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:ONLY\s+)?((?:"
+    + _NAME_PART + r"\.)*" + _NAME_PART + ")"
+)
+
+
 def target_table(statement: Column) -> Column:
-    """Table a statement changes, lower-cased; empty when none is named."""
-    return F.lower(F.regexp_extract(statement, r"(?i)^(?:ALTER\s+TABLE|DROP\s+TABLE|TRUNCATE(?:\s+TABLE)?|UPDATE|DELETE\s+FROM|CREATE\s+INDEX\s+\S+\s+ON)\s+\"?(\w+)", 1))
+    """Table a statement changes: the last part of its name, lower-cased and without quotes; empty
+    when none is named."""
+    named = F.regexp_extract(statement, _TARGET, 1)
+    last = F.regexp_extract(named, "(" + _NAME_PART + ")$", 1)
+    bare = F.regexp_replace(F.regexp_replace(last, r"^[\"`\[]|[\"`\]]$", ""), '""', '"')
+    return F.lower(bare)
 
 
 def migration_risk_by_size(classified: DataFrame, sizes: DataFrame, big_rows: int, column: str = "statement") -> DataFrame:

@@ -592,12 +592,12 @@ def _(i):
 
 @query(
     "time_gap_fill",
-    f"""WITH p AS (SELECT ts FROM events WHERE event_type = 'purchase'), c AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM p GROUP BY 1),
+    f"""WITH p AS (SELECT ts FROM events), c AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM p GROUP BY 1),
        g AS (SELECT unnest(generate_series((SELECT min(b) FROM c), (SELECT max(b) FROM c), INTERVAL 1 HOUR)) AS b)
        SELECT strftime(b, '{SQL_STAMP}') AS bucket, CAST(coalesce(n, 0) AS BIGINT) AS rows FROM g LEFT JOIN c USING (b)""",
 )
 def _(i):
-    filled = tm.gap_fill(i.events.where("event_type = 'purchase'"), "ts", "hour")
+    filled = tm.gap_fill(i.events, "ts", "hour")
     return filled.select(stamp("bucket").alias("bucket"), "rows")
 
 

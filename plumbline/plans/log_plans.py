@@ -142,11 +142,10 @@ def _(i):
 @query(
     "model_is_generic",
     """SELECT store, bool_or(lower(type) IN ('string', 'int', 'integer', 'bigint', 'boolean', 'bool', 'datetime', 'date', 'decimal', 'float', 'double', 'json', 'uuid', 'bytes')) AS generic
-       FROM {estate_columns} WHERE pk OR type = 'text' GROUP BY 1""",
+       FROM {estate_columns} GROUP BY 1""",
 )
 def _(i):
-    cols = i.estate_columns.where("pk OR type = 'text'")
-    return cols.groupBy("store").agg(F.bool_or(tx.is_generic_type(F.col("type"))).alias("generic"))
+    return i.estate_columns.groupBy("store").agg(F.bool_or(tx.is_generic_type(F.col("type"))).alias("generic"))
 
 
 RAW_DEFAULT = """CASE event_id % 4 WHEN 0 THEN '"it''s ' || CAST(event_id AS STRING) || '"' WHEN 1 THEN 'now()' WHEN 2 THEN CAST(event_id AS STRING) ELSE '''done''' END"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.inventory import IGNORED_DIRS
@@ -60,9 +60,10 @@ def load_migration_corpus(spark: SparkSession, root: str, glob: str = "*.sql") -
     )
 
 
-def load_file_inventory(spark: SparkSession, root: str, max_depth: int = 5, glob: str = "*") -> DataFrame:
-    """(repo, path, content, bytes) of the files up to ``max_depth`` folders below each repository
-    folder of ``root``; dependency and build folders are left out."""
+def load_file_inventory(spark: SparkSession, root: str, max_depth: int | None = None, glob: str = "*") -> DataFrame:
+    """(repo, path, content, bytes) of the files below each repository folder of ``root``; dependency
+    and build folders are left out.  A ``max_depth`` keeps the files that deep or less; what lies
+    deeper is counted by ``files_below``."""
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
@@ -72,8 +73,18 @@ def load_file_inventory(spark: SparkSession, root: str, max_depth: int = 5, glob
     below = F.regexp_replace(F.col("file"), "^.*?" + _quoted(root.rstrip("/")) + "/", "")
     split = raw.withColumn("below", below).withColumn("repo", F.regexp_extract("below", "^([^/]+)/", 1))
     inside = split.withColumn("path", F.regexp_replace("below", "^[^/]+/", ""))
-    depth = F.size(F.split("path", "/")) - 1
-    return inside.where((depth <= max_depth) & ~F.col("path").rlike(IGNORED_DIRS)).select("repo", "path", "content", "bytes")
+    kept = inside.where(~F.col("path").rlike(IGNORED_DIRS)).select("repo", "path", "content", "bytes")
+    return kept if max_depth is None else kept.where(_depth() <= max_depth)
+
+
+def _depth() -> Column:
+    return F.size(F.split("path", "/")) - 1
+
+
+def files_below(inventory: DataFrame, max_depth: int) -> DataFrame:
+    """Files and bytes per repository that a listing of this depth would leave out."""
+    deeper = inventory.where(_depth() > max_depth)
+    return deeper.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def _quoted(text: str) -> str:

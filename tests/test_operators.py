@@ -380,8 +380,10 @@ def test_corpus_and_inventory_walks(spark, tmp_path):
         f.write_text(text)
     corpus = sf.load_migration_corpus(spark, str(tmp_path))
     assert corpus.count() == 4
-    listed = {r["path"] for r in sf.load_file_inventory(spark, str(tmp_path)).collect()}
-    assert listed == {"001.sql", "deep/er/002.sql", "notes.txt"}
+    everything = sf.load_file_inventory(spark, str(tmp_path))
+    assert {r["path"] for r in everything.collect()} == {"001.sql", "deep/er/002.sql", "notes.txt", "1/2/3/4/5/6/far.sql"}
+    assert sf.load_file_inventory(spark, str(tmp_path), max_depth=5).count() == 3
+    assert [tuple(r) for r in sf.files_below(everything, 5).collect()] == [("repo", 1, 2)]
 
 
 def test_nested_fields(spark):

@@ -155,11 +155,38 @@ def test_known_gaps_leave_truncate_alone(spark):
     assert st.classify_migration(df, known_gaps=True).first()["op"] == "other"
 
 
-def test_statement_text_is_shortened_but_classified_whole(spark):
-    text = "SELECT " + "x, " * 200 + "y; ALTER TABLE a DROP COLUMN b"
-    row = st.classify_migration(spark.createDataFrame([(text,)], "statement string")).first()
-    assert row["op"] == "drop_column"
-    assert len(row["statement"]) == 240 and row["statement"].endswith("...")
+def test_statements_are_judged_whole(spark):
+    pad = ", ".join(f"ADD CONSTRAINT c{k} CHECK (v > {k})" for k in range(30))
+    long = [
+        ("a", f"ALTER TABLE orders ADD COLUMN c text /* {'x' * 400} */ NOT NULL", "notnull_no_default"),
+        ("b", f"ALTER TABLE orders ADD COLUMN c text NOT NULL /* {'x' * 400} */ DEFAULT 'v1'", "lock_blocking"),
+        ("c", f"ALTER TABLE orders {pad}, DROP COLUMN b", "destructive_irreversible"),
+        ("d", f"DELETE FROM orders /* {'x' * 400} */ WHERE id = 1", None),
+        ("e", f"UPDATE t SET url = '{'y' * 205} postgres://app:hunter2hunter2hunter2hunter2hunter2@host/db'", "destructive_irreversible"),
+    ]
+    classified = st.classify_migration(spark.createDataFrame([r[:2] for r in long], "id string, statement string"))
+    assert {r["id"]: r["statement"] for r in classified.collect()} == {r[0]: r[1] for r in long}
+    found = {r["id"].split(".")[1]: r for r in st.migration_findings(classified, "id").collect()}
+    assert {k: found[k]["id"].split(".")[2] if k in found else None for k, _, _ in long} == {k: rule for k, _, rule in long}
+    assert all(len(r["observed"]) <= 240 and "hunter" not in r["observed"] for r in found.values())
+
+
+def test_target_tables(spark):
+    named = {
+        "ALTER TABLE public.orders ADD COLUMN a int": "orders",
+        "ALTER TABLE ONLY orders DROP COLUMN a": "orders",
+        'ALTER TABLE IF EXISTS ONLY "Sales"."Order ""Lines""" RENAME TO x': 'order "lines"',
+        "DROP TABLE IF EXISTS `db`.`orders`": "orders",
+        "CREATE UNIQUE INDEX u ON orders (a)": "orders",
+        "CREATE INDEX CONCURRENTLY IF NOT EXISTS s.i ON ONLY s.orders USING btree (a)": "orders",
+        "CREATE INDEX ON orders (a)": "orders",
+        "TRUNCATE TABLE ONLY [dbo].[orders]": "orders",
+        "DELETE FROM a.b.orders WHERE x": "orders",
+        "update Orders set a = 1": "orders",
+        "SELECT 1": "",
+    }
+    df = spark.createDataFrame([(t,) for t in named], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", st.target_table(F.col("t")).alias("n")).collect()} == named
 
 
 def test_identifiers_and_types(spark):
