@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, NumericType
 
 from plumbline.operators.ordered import Ordered, time_bucket
 
@@ -30,21 +31,57 @@ def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str, sample: s
     )
 
 
-def orphan_matrix(fks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """One row per declared key ``(name, child, fk, parent, pk)``: child rows, null keys, orphans."""
+Relation = tuple[str, DataFrame, str, DataFrame, str]  # name, child, its column, parent, its key
+
+
+def _common(a: DataType, b: DataType) -> str:
+    """Type in which values of both compare as the engine would compare them."""
+    if a == b or not (isinstance(a, NumericType) and isinstance(b, NumericType)):
+        return "string"
+    return "bigint" if isinstance(a, IntegralType) and isinstance(b, IntegralType) else "double"
+
+
+def _children_and_parents(relations: list[Relation]) -> DataFrame:
+    """``name, v, n, parents`` of every key value of any side: rows on the child's side (``n``) and on
+    the parent's.
+
+    Every frame is scanned once, whatever number of its columns are asked for; both sides are
+    counted map-side and meet in one shuffle, as text.
+    """
+    frames: list[tuple[DataFrame, list[Column]]] = []
+
+    def ask(frame: DataFrame, key: Column) -> None:
+        for known, keys in frames:
+            if known is frame:
+                keys.append(key)
+                return
+        frames.append((frame, [key]))
+
+    for name, child, fk, parent, pk in relations:
+        kind = _common(child.schema[fk].dataType, parent.schema[pk].dataType)
+        for frame, column, n, p in ((child, fk, 1, 0), (parent, pk, 0, 1)):
+            value = F.col(column).cast(kind).cast("string")
+            ask(frame, F.struct(F.lit(name).alias("name"), value.alias("v"), F.lit(n).alias("n"), F.lit(p).alias("p")))
+    spread = [frame.select(F.explode(F.array(*keys)).alias("k")).select("k.*") for frame, keys in frames]
+    return reduce(DataFrame.unionByName, spread).groupBy("name", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("parents"))
 
-    def one(name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-        counts = child.groupBy(F.col(fk).alias("fk")).agg(F.count(F.lit(1)).alias("n"))
-        parents = parent.select(F.col(pk).alias("fk"), F.lit(True).alias("found")).dropDuplicates(["fk"])
-        joined = counts.join(parents, "fk", "left")
-        return joined.agg(
-            F.lit(name).alias("fk_name"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("child_rows"),
-            F.coalesce(F.sum(F.when(F.col("fk").isNull(), F.col("n"))), F.lit(0)).alias("null_keys"),
-            F.coalesce(F.sum(F.when(F.col("fk").isNotNull() & F.col("found").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
-        )
 
-    return reduce(DataFrame.unionByName, [one(*fk) for fk in fks])
+def _named(frame: DataFrame, names: list[str], label: str) -> DataFrame:
+    """A row for each name, also where neither side has any row."""
+    every = frame.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    return every.join(frame, "name", "left").na.fill(0).withColumnRenamed("name", label)
+
+
+def orphan_matrix(fks: list[Relation]) -> DataFrame:
+    """One row per declared key ``(name, child, fk, parent, pk)``: child rows, null keys, orphans."""
+    met = _children_and_parents(fks)
+    held, orphaned = F.col("v").isNotNull(), F.col("v").isNotNull() & (F.col("parents") == 0)
+    counted = met.groupBy("name").agg(
+        F.sum("n").alias("child_rows"),
+        F.sum(F.when(~held, F.col("n")).otherwise(0)).alias("null_keys"),
+        F.sum(F.when(orphaned, F.col("n")).otherwise(0)).alias("orphans"),
+    )
+    return _named(counted, [f[0] for f in fks], "fk_name")
 
 
 def childless_parents(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
@@ -60,16 +97,11 @@ def matched_children(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> D
     )
 
 
-def relationship_cardinality(name: str, parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
-    """Measured shape of a relationship: fewest and most children of any parent."""
-    counts = key_counts(child, fk)
-    per_parent = parent.select(F.col(pk).alias("fk")).join(counts, "fk", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    return per_parent.agg(
-        F.lit(name).alias("relationship"),
-        F.count(F.lit(1)).alias("parents"),
-        F.min("n").alias("min_children"),
-        F.max("n").alias("max_children"),
-    ).withColumn(
+def relationship_cardinality(relations: list[Relation]) -> DataFrame:
+    """Measured shape of each relationship: fewest and most children of any parent."""
+    met = _children_and_parents(relations).where("v IS NOT NULL AND parents > 0")
+    counted = met.groupBy("name").agg(F.sum("parents").alias("parents"), F.min("n").alias("min_children"), F.max("n").alias("max_children"))
+    return _named(counted, [r[0] for r in relations], "relationship").withColumn(
         "shape",
         F.concat(
             F.lit("1:"),
@@ -93,19 +125,11 @@ def cross_tenant_references(
     )
 
 
-def containment(candidates: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+def containment(candidates: list[Relation]) -> DataFrame:
     """Undeclared key candidates: share (basis points) of distinct child values the parent holds."""
-
-    def one(name: str, child: DataFrame, column: str, parent: DataFrame, pk: str) -> DataFrame:
-        values = child.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
-        keys = parent.select(F.col(pk).alias("v"), F.lit(1).alias("hit")).dropDuplicates(["v"])
-        return values.join(keys, "v", "left").agg(
-            F.lit(name).alias("candidate"),
-            F.count(F.lit(1)).alias("distinct_values"),
-            F.count("hit").alias("contained"),
-        )
-
-    out = reduce(DataFrame.unionByName, [one(*c) for c in candidates])
+    met = _children_and_parents(candidates).where("v IS NOT NULL AND n > 0")
+    counted = met.groupBy("name").agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(F.col("parents") > 0).alias("contained"))
+    out = _named(counted, [c[0] for c in candidates], "candidate")
     return out.withColumn(
         "contained_bp", F.expr("CASE WHEN distinct_values = 0 THEN 0 ELSE (10000 * contained) div distinct_values END")
     )
@@ -174,11 +198,11 @@ def temporal_bound_violations(
 ) -> DataFrame:
     """Child rows dated before their parent, per year of the parent."""
     p = parent.select(F.col(pk).alias(fk), F.col(parent_date))
-    return (
-        child.select(fk, child_date)
-        .join(p, fk)
-        .groupBy(F.year(parent_date).alias("parent_year"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(child_date) < F.col(parent_date)).alias("violations"))
+    # rows of a parent on one date are one row before the join, however many they are
+    dated = child.groupBy(fk, child_date).agg(F.count(F.lit(1)).alias("n"))
+    early = F.when(F.col(child_date) < F.col(parent_date), F.col("n")).otherwise(0)
+    return dated.join(p, fk).groupBy(F.year(parent_date).alias("parent_year")).agg(
+        F.sum("n").alias("rows"), F.sum(early).alias("violations")
     )
 
 

@@ -97,17 +97,22 @@ def quarantine(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """One finding per (store, id): the most severe status, then severity, then the firmest
-    confidence.  A map-side-combined minimum, so copies of one id never meet in one task."""
+    confidence, then the least values.
+
+    The three ranks are one number, whose minimum per id is a hash aggregation of narrow rows
+    combined map-side; only the findings that reach it are compared by their other columns.
+    """
     keys = [k for k in ("store", "id") if k in findings.columns]
     rest = [c for c in findings.columns if c not in keys]
-    order = F.struct(
-        rank_in("status", STATUSES).alias("s"),
-        (-F.col("severity")).alias("v"),
-        rank_in("confidence", CONFIDENCES).alias("c"),
-        *[F.col(c) for c in rest],
-    )
-    best = findings.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("f"))
-    return best.select(*keys, *[F.col(f"f.{c}") for c in rest])
+    # no severity is a severity of its own, before all others
+    grade = (rank_in("status", STATUSES) * 10_000 + F.coalesce(1_000 - F.col("severity"), F.lit(0))) * 10 + rank_in("confidence", CONFIDENCES)
+    graded = findings.withColumn("__grade", grade.cast("long"))
+    best = graded.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__grade").alias("__best"))
+    same = F.col("__grade") == F.col("__best")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    equal = graded.join(best, same).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("f"))
+    return equal.select(*keys, *[F.col(f"f.{c}") for c in rest])
 
 
 def by_axis(findings: DataFrame) -> DataFrame:
@@ -378,30 +383,32 @@ CHECKLIST = [
 RELATIONAL_ONLY = ["RLS on tenant tables", "FK indexes", "charset / utf8mb4"]
 
 
-def readiness_checklist(findings: DataFrame, drivers: int = 5) -> DataFrame:
-    """Fixed launch checklist per store: PASS, WARN, FAIL, NEEDS-LIVE or N-A, with the first
-    ``drivers`` finding ids behind each status and how many there are."""
-    rows = [(i + 1, name, name in RELATIONAL_ONLY, mods.split()) for i, (name, mods) in enumerate(CHECKLIST)]
-    checks = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("check_no"), F.lit(c).alias("check"), F.lit(r).alias("relational_only")) for n, c, r, _ in rows])
+def readiness_checklist(findings: DataFrame) -> DataFrame:
+    """Fixed launch checklist per store: PASS, WARN, FAIL, NEEDS-LIVE or N-A, and how many findings
+    drive each status (``readiness_drivers`` names them).  The findings are read once, and counted
+    per module before they meet the checks."""
+    checks = F.array(
+        *[
+            F.struct(
+                F.lit(n + 1).alias("check_no"), F.lit(name).alias("check"), F.lit(name in RELATIONAL_ONLY).alias("relational_only"),
+                F.array(*[F.lit(m) for m in mods.split()]).cast("array<string>").alias("modules"),
+            )
+            for n, (name, mods) in enumerate(CHECKLIST)
+        ]
     )
-    grid = findings.select("store", "paradigm").distinct().select("store", "paradigm", checks.alias("c")).select("store", "paradigm", "c.*")
-    answered = constant_frame(findings.sparkSession, [(n, m) for n, _, _, mods in rows for m in mods], "check_no int, parent string")
-    per_module = findings.withColumn("parent", parent_module(F.col("module"))).join(F.broadcast(answered), "parent")
-    open_ = F.col("status").isin("fail", "warn", "needs_api")
-    sums = per_module.groupBy("store", "check_no").agg(
+    per_module = findings.groupBy("store", "paradigm", parent_module(F.col("module")).alias("parent")).agg(
         F.count_if((F.col("status") == "fail") & (F.col("severity") >= 4)).alias("fails"),
         F.count_if(F.col("status").isin("warn", "fail")).alias("warns"),
         F.count_if(F.col("status") == "needs_api").alias("unknowns"),
         F.count_if(F.col("status") == "pass").alias("passes"),
-        F.count_if(open_).alias("driving"),
+        F.count_if(F.col("status").isin("fail", "warn", "needs_api")).alias("driving"),
     )
-    ids = per_module.where(open_).groupBy("store", "check_no", "id").agg(F.min(rank_in("status", STATUSES)).alias("s"))
-    first = top_n(ids, ["store", "check_no"], [F.asc("s"), F.asc("id")], drivers)
-    named = first.groupBy("store", "check_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("driver_ids")
+    laid = per_module.select("*", F.explode(checks).alias("c"))
+    answers = F.array_contains("c.modules", F.col("parent"))
+    counts = ["fails", "warns", "unknowns", "passes", "driving"]
+    out = laid.groupBy("store", "paradigm", "c.check_no", "c.check", "c.relational_only").agg(
+        *[F.coalesce(F.sum(F.when(answers, F.col(c))), F.lit(0)).alias(c) for c in counts]
     )
-    out = grid.join(sums, ["store", "check_no"], "left").join(named, ["store", "check_no"], "left")
     status = (
         F.when(F.col("relational_only") & (F.col("paradigm") != "relational"), "N-A")
         .when(F.col("fails") > 0, "FAIL")
@@ -410,14 +417,17 @@ def readiness_checklist(findings: DataFrame, drivers: int = 5) -> DataFrame:
         .when(F.col("passes") > 0, "PASS")
         .otherwise("NEEDS-LIVE")
     )
-    return out.select(
-        "store",
-        "check_no",
-        "check",
-        status.alias("result"),
-        F.coalesce("driving", F.lit(0)).alias("driving"),
-        F.coalesce("driver_ids", F.lit("")).alias("driver_ids"),
+    return out.select("store", "check_no", "check", status.alias("result"), "driving")
+
+
+def readiness_drivers(findings: DataFrame) -> DataFrame:
+    """``store, check_no, id, status``: every open finding behind a readiness check, with its worst status."""
+    answered = constant_frame(
+        findings.sparkSession, [(n + 1, m) for n, (_, mods) in enumerate(CHECKLIST) for m in mods.split()], "check_no int, parent string"
     )
+    open_ = findings.where(F.col("status").isin("fail", "warn", "needs_api")).withColumn("parent", parent_module(F.col("module")))
+    worst = open_.join(F.broadcast(answered), "parent").groupBy("store", "check_no", "id").agg(F.min(rank_in("status", STATUSES)).alias("s"))
+    return worst.select("store", "check_no", "id", F.array(*[F.lit(v) for v in STATUSES])[F.col("s")].alias("status"))
 
 
 def readiness_verdict(checklist: DataFrame) -> DataFrame:

@@ -90,8 +90,7 @@ RELATIONSHIPS = [
 
 @query("relationship_cardinality", " UNION ALL ".join(_card_sql(*r) for r in RELATIONSHIPS))
 def _(i):
-    out = [ri.relationship_cardinality(n, getattr(i, p), pk, getattr(i, c), fk) for n, p, pk, c, fk in RELATIONSHIPS]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return ri.relationship_cardinality([(n, getattr(i, c), fk, getattr(i, p), pk) for n, p, pk, c, fk in RELATIONSHIPS])
 
 
 @query(

@@ -28,11 +28,14 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return read_table(self.spark, self.sf_dir, name)
-        if name in FIXTURES:
+            frame = read_table(self.spark, self.sf_dir, name)
+        elif name in FIXTURES:
             sql = FIXTURES[name]
-            return self.spark.sql(sql, **{dep: getattr(self, dep) for dep in refs(sql)})
-        raise AttributeError(name)
+            frame = self.spark.sql(sql, **{dep: getattr(self, dep) for dep in refs(sql)})
+        else:
+            raise AttributeError(name)
+        setattr(self, name, frame)  # the same frame each time, so that operators can share its scan
+        return frame
 
 
 def refs(sql: str) -> list[str]:

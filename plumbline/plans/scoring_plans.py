@@ -245,11 +245,10 @@ CHECKLIST_SQL = f"""WITH {DEDUPED}, chk(check_no, "check", rel, mods) AS (VALUES
   g AS (SELECT s.store, s.paradigm, chk.* FROM (SELECT DISTINCT store, paradigm FROM d) s, chk),
   m AS (SELECT d.*, chk.check_no FROM d JOIN chk ON list_contains(string_split(mods, ' '), regexp_replace(d.module, '[a-z]$', ''))),
   c AS (SELECT store, check_no, count(*) FILTER (status = 'fail' AND severity >= 4) AS fails, count(*) FILTER (status IN ('warn', 'fail')) AS warns,
-     count(*) FILTER (status = 'needs_api') AS unk, count(*) FILTER (status = 'pass') AS passes, count(*) FILTER ({OPEN}) AS driving,
-     array_to_string(list_slice(list(id ORDER BY {RANK.format(c='status')}, id) FILTER ({OPEN}), 1, 5), ',') AS driver_ids FROM m GROUP BY 1, 2),
+     count(*) FILTER (status = 'needs_api') AS unk, count(*) FILTER (status = 'pass') AS passes, count(*) FILTER ({OPEN}) AS driving FROM m GROUP BY 1, 2),
   grid_out AS (SELECT g.store, g.check_no, g."check", CASE WHEN rel AND paradigm <> 'relational' THEN 'N-A' WHEN fails > 0 THEN 'FAIL' WHEN warns > 0 THEN 'WARN'
-     WHEN unk > 0 THEN 'NEEDS-LIVE' WHEN passes > 0 THEN 'PASS' ELSE 'NEEDS-LIVE' END AS result, CAST(coalesce(driving, 0) AS BIGINT) AS driving,
-     coalesce(driver_ids, '') AS driver_ids FROM g LEFT JOIN c USING (store, check_no))"""
+     WHEN unk > 0 THEN 'NEEDS-LIVE' WHEN passes > 0 THEN 'PASS' ELSE 'NEEDS-LIVE' END AS result, CAST(coalesce(driving, 0) AS BIGINT) AS driving
+     FROM g LEFT JOIN c USING (store, check_no))"""
 
 
 @query("readiness_checklist", f"{CHECKLIST_SQL} SELECT * FROM grid_out")
@@ -257,6 +256,11 @@ def _(i):
     return scoring.readiness_checklist(findings(i))
 
 
+@query("readiness_drivers", f"{CHECKLIST_SQL} SELECT DISTINCT store, check_no, id, status FROM m WHERE {OPEN}")
+def _(i):
+    return scoring.readiness_drivers(findings(i))
+
+
 @query(
     "readiness_verdict",
     f"""{CHECKLIST_SQL}, v AS (SELECT store, CAST(count(*) FILTER (result = 'FAIL') AS BIGINT) AS fails, CAST(count(*) FILTER (result IN ('WARN', 'NEEDS-LIVE')) AS BIGINT) AS caveats FROM grid_out GROUP BY 1)

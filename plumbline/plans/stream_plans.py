@@ -34,38 +34,34 @@ def _(i):
     return jobs.run_to_table(jobs.guard(commands).select("event_id", "label", "blocked"), jobs.fresh_base(i.spark, "guard"))
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
-
 @query(
     "stream_rollup",
     f"""SELECT strftime(b, '{SQL_STAMP}') AS start, strftime(b + INTERVAL 1 HOUR, '{SQL_STAMP}') AS "end", event_type, CAST(count(*) AS BIGINT) AS n
-        FROM (SELECT date_trunc('hour', ts) AS b, event_type FROM events) e WHERE b + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1, 2, 3""",
+        FROM (SELECT date_trunc('hour', ts) AS b, event_type FROM events) e GROUP BY 1, 2, 3""",
 )
 def _(i):
-    out = jobs.run_to_table(jobs.rollup(events(i), "ts", ["event_type"], "1 hour", "10 minutes"), jobs.fresh_base(i.spark, "rollup"))
+    out = jobs.final_state(jobs.rollup(events(i), "ts", ["event_type"], "1 hour", "10 minutes"), jobs.fresh_base(i.spark, "rollup"))
     return out.select(stamp("start").alias("start"), stamp("end").alias("end"), "event_type", "n")
 
 
 @query(
     "stream_hot_key",
     f"""WITH b AS (SELECT user_id, time_bucket(INTERVAL 30 MINUTE, ts) AS s FROM events), w AS (SELECT user_id, s FROM b UNION ALL SELECT user_id, s - INTERVAL 30 MINUTE FROM b)
-        SELECT strftime(s, '{SQL_STAMP}') AS start, user_id, CAST(count(*) AS BIGINT) AS n FROM w WHERE s + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1, 2 HAVING count(*) >= 2""",
+        SELECT strftime(s, '{SQL_STAMP}') AS start, user_id, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def _(i):
     hot = jobs.hot_keys(events(i), "ts", "user_id", "1 hour", "30 minutes", "10 minutes", 2)
-    return jobs.run_to_table(hot, jobs.fresh_base(i.spark, "hot")).withColumn("start", stamp("start"))
+    return jobs.final_state(hot, jobs.fresh_base(i.spark, "hot")).withColumn("start", stamp("start"))
 
 
 @query(
     "stream_sessions",
     f"""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)
-        SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 7200000000 AS end_us, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY user_id, run
-        HAVING max(ts) + INTERVAL 2 HOUR <= {CLOSED}""",
+        SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 7200000000 AS end_us, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY user_id, run""",
 )
 def _(i):
-    out = jobs.run_to_table(jobs.sessions(events(i), "ts", "user_id", "2 hours", "10 minutes"), jobs.fresh_base(i.spark, "sessions"))
+    out = jobs.final_state(jobs.sessions(events(i), "ts", "user_id", "2 hours", "10 minutes"), jobs.fresh_base(i.spark, "sessions"))
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
@@ -78,13 +74,12 @@ def _(i):
 
 @query(
     "stream_read_your_writes",
-    """SELECT r.session_id, r.object_id, w.event_id AS write_event, r.event_id AS read_event FROM {access_fx} r JOIN {access_fx} w ON r.session_id = w.session_id AND r.object_id = w.object_id
-       WHERE r.action = 'read' AND w.action = 'write' AND r.ts >= w.ts AND r.ts <= w.ts + INTERVAL 12 HOUR""",
+    """WITH a AS (SELECT *, max(CASE WHEN action = 'write' THEN struct_pack(t := ts, e := event_id) END) OVER (PARTITION BY session_id, object_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM {access_fx})
+       SELECT session_id, object_id, w.e AS write_event, event_id AS read_event FROM a WHERE action = 'read' AND ts <= w.t + INTERVAL 12 HOUR""",
 )
 def _(i):
     log = on_stream(i, "access_fx", events=events(i))
-    pairs = jobs.read_your_writes(log, "ts", ["session_id", "object_id"], "event_id", "12 HOURS", "1 hour")
-    return jobs.run_to_table(pairs, jobs.fresh_base(i.spark, "ryw"))
+    return jobs.read_your_writes(log, "ts", ["session_id", "object_id"], "event_id", "12 HOURS", jobs.fresh_base(i.spark, "ryw"))
 
 
 @query(

@@ -71,6 +71,16 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def drop_stage(stage: DataFrame) -> None:
     """Delete the files of a table made by ``cut_lineage`` that nothing will read again."""
-    spark = stage.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+    delete_folder(stage.sparkSession, stage.stage_path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of the shared store; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(path)) if store.exists(path) else []

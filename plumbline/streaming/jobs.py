@@ -1,8 +1,8 @@
 """The same checks on streams, as Structured Streaming queries.
 
 Sinks are tables under the shared folder; every query keeps its checkpoint there, so a restarted
-query goes on where it stopped.  Aggregations run in append mode behind a watermark: a window is
-written once, when no more rows for it are accepted.
+query goes on where it stopped.  In append mode behind a watermark a window is written once, when
+no more rows for it are accepted; ``final_state`` gives all windows, those still open included.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import Ordered, time_bucket
 from plumbline.operators.scoring import dedupe_findings
 from plumbline.operators.statements import guard_commands
-from plumbline.session import scratch_path
+from plumbline.session import delete_folder, folder_names, scratch_path
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, ts: str | None = None) -> DataFrame:
@@ -80,15 +81,34 @@ def idempotent(deliveries: DataFrame, ts: str, op_key: list[str], delay: str) ->
     return deliveries.withWatermark(ts, delay).dropDuplicatesWithinWatermark(op_key)
 
 
-def read_your_writes(log: DataFrame, ts: str, keys: list[str], event: str, lag: str, delay: str) -> DataFrame:
-    """Reads that follow a write of the same keys within ``lag``; both sides forget after it."""
-    writes = log.where("action = 'write'").select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col(ts).alias("w_ts"), F.col(event).alias("write_event"))
-    reads = log.where("action = 'read'").select(*keys, F.col(ts).alias("r_ts"), F.col(event).alias("read_event"))
-    cond = (F.col("r_ts") >= F.col("w_ts")) & (F.col("r_ts") <= F.col("w_ts") + F.expr(f"INTERVAL {lag}"))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"w_{k}"))
-    joined = reads.withWatermark("r_ts", delay).join(writes.withWatermark("w_ts", delay), cond)
-    return joined.select(*keys, "write_event", "read_event")
+def read_your_writes(log: DataFrame, ts: str, keys: list[str], event: str, lag: str, base: str) -> DataFrame:
+    """Reads that follow the latest write of the same keys within ``lag``.
+
+    Each batch is ordered together with the one latest write per key that earlier batches left,
+    so a read is reported once and the carried table holds one row per key.  Rows arrive in the
+    order of batches; within a batch they may come in any order.
+    """
+    spark = log.sparkSession
+    place = F.struct(ts, event)
+    schema = log.select(*keys, event, ts, "action").schema
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        before = [n for n in _versions(spark, base) if n < batch_id]
+        rows = batch.select(*keys, event, ts, "action")
+        if before:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{base}/state/{before[-1]}"))
+        rows = rows.withColumn("__at", F.col(ts))
+        ordered = Ordered(rows, keys, [ts, event], time_bucket(ts, 86_400))
+        judged = ordered.latest(F.col("action") == "write", [event, "__at"], "w")
+        found = judged.where((F.col("action") == "read") & (F.col(ts) <= F.col("w.__at") + F.expr(f"INTERVAL {lag}")))
+        found.select(*keys, F.col(f"w.{event}").alias("write_event"), F.col(event).alias("read_event")).write.mode("overwrite").parquet(f"{base}/out/batch-{batch_id}")
+        writes = rows.where("action = 'write'").groupBy(*keys).agg(F.max(place).alias("m"))
+        writes.select(*keys, f"m.{event}", f"m.{ts}", F.lit("write").alias("action")).write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
+        for n in before[:-1]:
+            delete_folder(spark, f"{base}/state/{n}")
+
+    run_batches(log, base, each)
+    return spark.read.parquet(f"{base}/out/*")
 
 
 def split_late(events: DataFrame, ts: str, delay_seconds: int, base: str) -> DataFrame:
@@ -112,19 +132,44 @@ def split_late(events: DataFrame, ts: str, delay_seconds: int, base: str) -> Dat
 
 
 def findings_latest(findings: DataFrame, base: str) -> DataFrame:
-    """Running most-severe state per finding: each batch writes only the findings that changed;
-    the newest version of each is the current state."""
+    """Running most-severe state per finding, as one table: each batch merges the table before it
+    with its own findings.  Replaying a batch rewrites its own table; older ones are deleted, so
+    neither state nor files grow with the number of batches."""
     spark = findings.sparkSession
-    running = dedupe_findings(findings)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/changes/batch-{batch_id}")
+        before = [n for n in _versions(spark, base) if n < batch_id]
+        merged = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{base}/state/{before[-1]}")) if before else batch
+        dedupe_findings(merged).write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
+        for n in before[:-1]:
+            delete_folder(spark, f"{base}/state/{n}")
+
+    run_batches(findings, base, each)
+    return _newest(findings, base)
+
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    return sorted(map(int, folder_names(spark, f"{base}/state")))
+
+
+def _newest(like: DataFrame, base: str) -> DataFrame:
+    """The table of the last batch; no rows before the first."""
+    spark, versions = like.sparkSession, _versions(like.sparkSession, base)
+    return spark.read.schema(like.schema).parquet(f"{base}/state/{versions[-1]}") if versions else spark.createDataFrame([], like.schema)
+
+
+def final_state(stream: DataFrame, base: str) -> DataFrame:
+    """Work off what is available in complete mode: the state of every window, open ones included."""
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
+        for n in _versions(spark, base):
+            if n < batch_id - 1:
+                delete_folder(spark, f"{base}/state/{n}")
 
-    run_batches(running, base, each, mode="update")
-    changes = spark.read.parquet(f"{base}/changes/*")
-    rest = [c for c in running.columns if c not in ("store", "id")]
-    newest = changes.groupBy("store", "id").agg(F.max_by(F.struct(*rest), "batch_id").alias("f"))
-    return newest.select("store", "id", *[F.col(f"f.{c}").alias(c) for c in rest])
+    run_batches(stream, base, each, mode="complete")
+    return _newest(stream, base)
 
 
 def fresh_base(spark: SparkSession, label: str) -> str:
