@@ -455,3 +455,24 @@ def test_metrics_and_config_join_the_audit(spark):
     assert rows["M12.i.index_unused"] == "warn"
     assert rows["M10.w.conn_insecure"] == "warn"
     assert rows["M3.w.orphan_rows"] == "needs_api"
+
+
+def test_ordered_buckets_in_runs(spark, monkeypatch):
+    from plumbline.operators import ordered
+
+    monkeypatch.setattr(ordered, "FAN", 2)
+    rows = [(None if k % 5 == 0 else k % 3, k * k % 101, k, k % 4 == 0) for k in range(150)]
+    df = spark.createDataFrame(rows, "k int, o int, id int, flag boolean")
+    for keys in (["k"], []):
+        window = Window.partitionBy(*keys).orderBy("o", "id")
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        want = df.select(
+            "id",
+            F.lag("id").over(window).alias("p"),
+            F.last(F.when(F.col("flag"), F.col("id")), ignorenulls=True).over(before).alias("l"),
+            F.sum("id").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+        )
+        by = ordered.Ordered(df, keys, ["o", "id"], ordered.id_bucket("o", 5))
+        got = by.previous(["id"], "p").select("id", F.col("p.id").alias("p"))
+        got = got.join(by.latest(F.col("flag"), ["id"], "l").select("id", F.col("l.id").alias("l")), "id").join(by.running_sum("id", "s").select("id", "s"), "id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
