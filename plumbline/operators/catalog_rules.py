@@ -450,26 +450,43 @@ def no_audit_companion(cat: Catalog) -> DataFrame:
     return _named(sensitive.join(covered, ["store", "lowered"], "left_anti"), "no_audit_trail", F.col("table_name"))
 
 
+def tenant_columns(cat: Catalog) -> DataFrame:
+    """``store, table_name, tenants``: the columns that scope a table to a tenant, if it has any."""
+    named = cat.columns.where(F.lower("column_name").isin(TENANT_COLUMNS))
+    return named.groupBy("store", "table_name").agg(F.collect_set(F.lower("column_name")).alias("tenants"))
+
+
 def tenant_missing(cat: Catalog) -> DataFrame:
-    """Tables of a multi-tenant store with no tenant column, or a nullable one."""
-    is_tenant = F.col("column_name") == "tenant_id"
-    per_table = cat.columns.groupBy("store", "table_name").agg(
-        F.bool_or(is_tenant).alias("scoped"), F.bool_or(is_tenant & ~F.col("not_null")).alias("nullable")
-    )
+    """Tables of a multi-tenant store with no tenant column, or none that must be set."""
+    is_tenant = F.lower("column_name").isin(TENANT_COLUMNS)
+    per_table = cat.columns.groupBy("store", "table_name").agg(F.bool_or(is_tenant & F.col("not_null")).alias("scoped"))
     shared = cat.columns.where(is_tenant).select("store").distinct()
-    hits = per_table.where("NOT scoped OR nullable").join(shared, "store", "left_semi")
+    hits = per_table.where("NOT scoped").join(shared, "store", "left_semi")
     return _named(hits, "no_tenant_scope", F.col("table_name"))
 
 
 def tenant_indexes(cat: Catalog, only: list[str] | None = None) -> DataFrame:
-    """Indexes of tenant tables that do not lead with the tenant, and unique ones that leave it out."""
-    tenants = cat.columns.where("column_name = 'tenant_id'").select("store", "table_name").distinct()
-    rules = {
-        "index_not_tenant_leading": F.element_at("columns", 1) != "tenant_id",
-        "unique_omits_tenant": F.col("is_unique") & ~F.array_contains("columns", "tenant_id"),
-    }
+    """Indexes and composite primary keys of tenant tables that do not lead with a tenant column;
+    unique indexes, and foreign keys between tenant tables, that leave it out."""
+    tenants = tenant_columns(cat)
+
+    def lowered(columns: str) -> Column:
+        return F.transform(columns, F.lower)
+
+    leads = F.array_contains("tenants", F.element_at(lowered("columns"), 1))
+    holds = F.arrays_overlap("tenants", lowered("columns"))
+    rules = {"index_not_tenant_leading": ~leads, "unique_omits_tenant": F.col("is_unique") & ~holds}
     chosen = {r: c for r, c in rules.items() if only is None or r in only}
-    return _hits(cat.indexes.join(tenants, ["store", "table_name"], "left_semi"), _index_object(), chosen)
+    out = _hits(cat.indexes.join(tenants, ["store", "table_name"]), _index_object(), chosen)
+    if "index_not_tenant_leading" in chosen:
+        keys = cat.primary_keys().where(F.size("pk") > 1).withColumnRenamed("pk", "columns").join(tenants, ["store", "table_name"])
+        out = out.unionByName(_named(keys.where(~leads), "index_not_tenant_leading", F.concat("table_name", F.lit(".pk"))))
+    if "unique_omits_tenant" in chosen:
+        parents = tenants.select("store", F.col("table_name").alias("ref_table"))
+        linked = cat.fks.join(tenants, ["store", "table_name"]).join(parents, ["store", "ref_table"], "left_semi")
+        named = F.concat("table_name", F.lit("."), F.array_join("columns", "_"))
+        out = out.unionByName(_named(linked.where(~holds), "unique_omits_tenant", named))
+    return out
 
 
 def index_duplicate(cat: Catalog) -> DataFrame:

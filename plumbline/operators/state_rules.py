@@ -30,7 +30,7 @@ CONFIG_RULES = [
     ("conn_insecure", "url~sslmode=disable", "M10", "warn", 4),
     ("pooler_session_features", "url~:6543/ url~prepared_statements=true", "M15", "warn", 4),
     ("serverless_direct", "runtime~^(vercel|lambda|netlify|cloudflare)$ url~:5432/", "M15", "warn", 4),
-    ("charset", "charset~^utf8$", "M4", "warn", 3),
+    ("charset", "charset~^utf8(mb3)?$", "M4", "warn", 3),
     ("doc_validator_off", "validator~^none$", "M5", "warn", 3),
     ("doc_validator_missing", "validator!", "M5", "warn", 3),
     ("kv_not_durable", "appendonly~^no$", "M12", "warn", 4),

@@ -65,6 +65,7 @@ COL = "store, table_name || '.' || column_name AS object"
 TEXTY = "regexp_matches(lower(type), '\\b(text|varchar|char|string)\\b')"
 BOOL = "type LIKE 'boolean%'"
 TENANT = "(SELECT DISTINCT store, table_name FROM {estate_columns} WHERE column_name = 'tenant_id')"
+TENANTS = "(SELECT store, table_name, list(DISTINCT column_name) AS tenants FROM {estate_columns} WHERE column_name IN ('tenant_id', 'org_id', 'account_id') GROUP BY 1, 2)"
 FKC = "(SELECT DISTINCT store, table_name, unnest(columns) AS column_name FROM {estate_fks})"
 PKS = "(SELECT store, table_name, list(column_name ORDER BY ordinal) AS pk FROM {estate_columns} WHERE pk GROUP BY 1, 2)"
 
@@ -272,20 +273,23 @@ rule_query("rule_plaintext_secret_column", "plaintext_secret", f"SELECT {COL} FR
 rule_query(
     "rule_tenant_missing",
     cr.tenant_missing,
-    f"""WITH t AS (SELECT store, table_name, bool_or(column_name = 'tenant_id') AS s, bool_or(column_name = 'tenant_id' AND NOT not_null) AS n FROM {C} GROUP BY 1, 2)
-        SELECT store, table_name AS object FROM t WHERE (NOT s OR n) AND store IN (SELECT store FROM t WHERE s)""",
+    f"""WITH t AS (SELECT store, table_name, bool_or(column_name IN ('tenant_id', 'org_id', 'account_id')) AS s, bool_or(column_name IN ('tenant_id', 'org_id', 'account_id') AND not_null) AS n FROM {C} GROUP BY 1, 2)
+        SELECT store, table_name AS object FROM t WHERE NOT n AND store IN (SELECT store FROM t WHERE s)""",
     "M9", "no_tenant_scope", "'warn'", "4", "both",
 )
 rule_query(
     "rule_tenant_not_leading",
     lambda c: cr.tenant_indexes(c, ["index_not_tenant_leading"]),
-    f"SELECT x.store, x.table_name || '.' || index_name AS object FROM {{estate_indexes}} x JOIN {TENANT} t USING (store, table_name) WHERE x.columns[1] <> 'tenant_id'",
+    f"""SELECT x.store, x.table_name || '.' || index_name AS object FROM {{estate_indexes}} x JOIN {TENANTS} t USING (store, table_name) WHERE NOT list_contains(tenants, x.columns[1])
+        UNION ALL SELECT p.store, p.table_name || '.pk' FROM {PKS} p JOIN {TENANTS} t USING (store, table_name) WHERE len(pk) > 1 AND NOT list_contains(tenants, pk[1])""",
     "M9", "index_not_tenant_leading", axis="performance",
 )
 rule_query(
     "rule_tenant_unique",
     lambda c: cr.tenant_indexes(c, ["unique_omits_tenant"]),
-    f"SELECT x.store, x.table_name || '.' || index_name AS object FROM {{estate_indexes}} x JOIN {TENANT} t USING (store, table_name) WHERE is_unique AND NOT list_contains(x.columns, 'tenant_id')",
+    f"""SELECT x.store, x.table_name || '.' || index_name AS object FROM {{estate_indexes}} x JOIN {TENANTS} t USING (store, table_name) WHERE is_unique AND NOT list_has_any(x.columns, tenants)
+        UNION ALL SELECT f.store, f.table_name || '.' || array_to_string(f.columns, '_') FROM {{estate_fks}} f JOIN {TENANTS} t USING (store, table_name)
+        JOIN {TENANTS} r ON r.store = f.store AND r.table_name = f.ref_table WHERE NOT list_has_any(f.columns, t.tenants)""",
     "M9", "unique_omits_tenant", "'warn'", "4", "both",
 )
 
@@ -541,7 +545,7 @@ URL_REDACTED = "regexp_replace(url, ':pw[0-9]+@', ':****@')"
         h AS (SELECT store, 'conn_insecure' AS rule, 'M10' AS module, 4 AS severity, {URL_REDACTED} AS observed FROM m WHERE url LIKE '%sslmode=disable%'
           UNION ALL SELECT store, 'pooler_session_features', 'M15', 4, {URL_REDACTED} FROM m WHERE url LIKE '%:6543/%' AND url LIKE '%prepared_statements=true%'
           UNION ALL SELECT store, 'serverless_direct', 'M15', 4, {URL_REDACTED} FROM m WHERE url LIKE '%:5432/%' AND runtime IN ('vercel', 'lambda')
-          UNION ALL SELECT store, 'charset', 'M4', 3, charset FROM m WHERE charset = 'utf8'
+          UNION ALL SELECT store, 'charset', 'M4', 3, charset FROM m WHERE charset IN ('utf8', 'utf8mb3')
           UNION ALL SELECT store, 'doc_validator_off', 'M5', 3, validator FROM m WHERE validator = 'none'
           UNION ALL SELECT store, 'doc_validator_missing', 'M5', 3, '(missing)' FROM m WHERE validator IS NULL
           UNION ALL SELECT store, 'kv_not_durable', 'M12', 4, appendonly FROM m WHERE appendonly = 'no'

@@ -316,7 +316,7 @@ SELECT store, key, CASE key
                     || {words('disable|require|verify-full', 'g % 3')} || CASE WHEN g % 4 = 1 THEN '&prepared_statements=true' ELSE '' END
     WHEN 'runtime' THEN {words('vercel|container|lambda|vm', 'g % 4')}
     WHEN 'validator' THEN {words('strict|none', 'g % 2')}
-    WHEN 'charset' THEN {words('utf8|utf8mb4|latin1', 'g % 3')}
+    WHEN 'charset' THEN {words('utf8|utf8mb4|latin1|utf8mb3', 'g % 4')}
     WHEN 'appendonly' THEN {words('yes|no', 'g % 2')}
     WHEN 'matview_refresh' THEN {words('concurrent|blocking', 'g % 2')}
     WHEN 'autovacuum' THEN {words('on|off', 'g % 2')}
