@@ -366,11 +366,11 @@ e AS (
   SELECT repo, path, 1 AS g, 'prisma' AS orm, 'established' AS confidence, split_part('postgres|mysql|sqlite|mongodb', '|', CAST(1 + r % 4 AS INT)) AS engine FROM f WHERE path LIKE '%prisma'
   UNION ALL SELECT repo, path, 3, 'activerecord', 'established', 'postgres' FROM f WHERE path LIKE '%.rb'
   UNION ALL SELECT repo, path, 6, 'mongoose', 'directional', 'mongodb' FROM f WHERE path LIKE '%user.js'
-  UNION ALL SELECT repo, path, 9, 'dependency', 'directional', split_part('postgres|mongodb|redis|neo4j', '|', CAST(1 + r % 4 AS INT)) FROM f WHERE path = 'package.json'
+  UNION ALL SELECT repo, path, 9, CASE r % 4 WHEN 1 THEN 'mongoose' ELSE 'unknown' END, 'directional', split_part('postgres|mongodb|redis|neo4j', '|', CAST(1 + r % 4 AS INT)) FROM f WHERE path = 'package.json'
   UNION ALL SELECT repo, path, 10, 'docker-compose', 'directional', split_part('postgres|redis|cassandra|', '|', CAST(1 + r % 4 AS INT)) FROM f WHERE path LIKE 'docker%' AND r % 4 <> 3
   UNION ALL SELECT repo, path, 11, 'connection-string', 'directional', split_part('postgres|mysql|mongodb|redis', '|', CAST(1 + r % 4 AS INT)) FROM f WHERE path = '.env')
 SELECT repo, engine, CASE engine WHEN 'mongodb' THEN 'document' WHEN 'redis' THEN 'key-value' WHEN 'cassandra' THEN 'wide-column' WHEN 'neo4j' THEN 'graph' ELSE 'relational' END AS paradigm,
-  orm, confidence, path AS source_of_truth
+  orm, CAST(NULL AS VARCHAR) AS platform, confidence, path AS source_of_truth
 FROM e WHERE g <= 6 OR g = (SELECT min(g) FROM e x WHERE x.repo = e.repo AND x.engine = e.engine)"""
 
 

@@ -306,7 +306,30 @@ def test_inventory_fills_gaps_only(spark):
     ]
     out = inventory.stack_inventory(spark.createDataFrame(files, "repo string, path string, content string")).collect()
     got = {(r["repo"], r["engine"], r["orm"]) for r in out}
-    assert got == {("r", "mysql", "prisma"), ("r", "redis", "dependency"), ("r", "postgres", "docker-compose"), ("q", "postgres", "raw-sql")}
+    assert got == {("r", "mysql", "prisma"), ("r", "redis", "unknown"), ("r", "postgres", "docker-compose"), ("q", "postgres", "raw-sql")}
+
+
+def test_every_signal_of_a_stack(spark):
+    files = [
+        ("a", "web/drizzle/meta/0001_snapshot.json", '{"dialect": "mysql"}'), ("a", "supabase/config.toml", ""), ("a", "db/structure.sql", "x"),
+        ("b", "app/models.py", "x"), ("b", "app/migrations/0002_more.py", ""), ("b", "app/migrations/0001_initial.py", ""),
+        ("c", "app/models.py", "import django"),
+        ("d", "alembic/versions/1.py", ""), ("e", "001.sql", "select"), ("e", "wrangler.toml", "[[ d1_databases ]]"),
+        ("f", "api/package.json", '{"dependencies": {"drizzle-orm": "1", "mongoose": "1", "mongodb": "1"}, "devDependencies": {"@aws-sdk/client-dynamodb": "3"}}'),
+        ("g", "node_modules/x/package.json", '{"dependencies": {"pg": "1"}}'), ("h", "drizzle.config.ts", ""),
+    ]
+    out = inventory.stack_inventory(spark.createDataFrame(files, "repo string, path string, content string")).collect()
+    assert {(r["repo"], r["engine"], r["orm"], r["platform"], r["confidence"], r["source_of_truth"]) for r in out} == {
+        ("a", "mysql", "drizzle", None, "established", "web/drizzle/meta/0001_snapshot.json"),
+        ("a", "postgres", "activerecord", "supabase", "established", "db/structure.sql"),
+        ("b", "postgres", "django", None, "directional", "app/migrations/0001_initial.py"),
+        ("d", "postgres", "alembic", None, "directional", "alembic/versions/1.py"),
+        ("e", "postgres", "raw-sql", None, "established", "001.sql"),
+        ("e", "d1", "raw-sql", "cloudflare-d1", "directional", "wrangler.toml"),
+        ("f", "mongodb", "mongoose", None, "directional", "api/package.json"),
+        ("f", "dynamodb", "unknown", None, "directional", "api/package.json"),
+        ("h", "postgres", "drizzle", None, "directional", "drizzle.config.ts"),
+    }
 
 
 # --- sources ----------------------------------------------------------------------------------------
