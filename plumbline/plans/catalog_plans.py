@@ -877,12 +877,23 @@ def _(i):
 
 @query(
     "write_report",
-    f"""{BASE} SELECT store, CAST(1 AS INT) AS tier, axis, value, band, capped, (SELECT count(*) FROM d WHERE d.store = scores.store) AS findings FROM scores""",
+    f"""{BASE}, w AS (SELECT store, max(value) FILTER (axis = 'design') AS design, max(value) FILTER (axis = 'performance') AS performance FROM scores GROUP BY 1)
+       SELECT store, CAST(1 AS INT) AS tier, 'engine of ' || store AS engine, axis, value, band, capped, (SELECT count(*) FROM d WHERE d.store = scores.store) AS findings,
+       (SELECT count(DISTINCT category) FROM s WHERE s.store = scores.store AND s.axis = scores.axis) AS categories,
+       (SELECT string_agg(category, ',' ORDER BY category) FROM (SELECT DISTINCT store, axis, category FROM s) c WHERE c.store = scores.store AND c.axis = scores.axis) AS names,
+       CASE WHEN design >= 70 AND performance >= 70 THEN 'solid and ready to scale' WHEN design >= 70 AND performance < 60 THEN 'clean model, will not carry load yet'
+       WHEN design < 60 AND performance >= 70 THEN 'fast today, the model is decaying' WHEN design < 60 AND performance < 60 THEN 'foundation problems, fix the caps first'
+       ELSE 'mixed, follow the prioritized actions' END AS interpretation FROM scores JOIN w USING (store)""",
 )
 def _(i):
     findings = scoring.dedupe_findings(i.findings_fx)
     path = scratch_path(i.spark, "report")
-    sf.write_report(findings, scoring.axis_scores(findings), path, "2026-01-01T00:00:00Z", 1)
-    reports = sf.read_reports(i.spark, path).select(F.col("target").alias("store"), "tier", F.explode("scores").alias("s"))
+    engines = i.findings_fx.select("store", F.concat(F.lit("engine of "), "store").alias("engine")).distinct()
+    sf.write_report(findings, path, "2026-01-01T00:00:00Z", 1, engines)
+    reports = sf.read_reports(i.spark, path).select(F.col("target").alias("store"), "tier", "engine", F.explode("scores").alias("s"))
     stored = i.spark.read.parquet(f"{path}/findings").groupBy("store").agg(F.count(F.lit(1)).alias("findings"))
-    return reports.select("store", "tier", "s.axis", "s.value", "s.band", "s.capped").join(stored, "store")
+    shown = reports.select(
+        "store", "tier", "engine", "s.axis", "s.value", "s.band", "s.capped", "s.interpretation",
+        F.size("s.categories").cast("long").alias("categories"), F.array_join("s.categories.name", ",").alias("names"),
+    )
+    return shown.join(stored, "store")

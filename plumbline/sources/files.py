@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import scoring
 from plumbline.operators.inventory import IGNORED_DIRS
 
 FINDING_JSON = (
@@ -91,27 +92,41 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def report_rows(scores: DataFrame, generated_at: str, tier: int) -> DataFrame:
-    """One nested JSON report per store; findings stay in their own table."""
-    per_axis = scores.groupBy("store", "paradigm").agg(
-        F.array_sort(F.collect_list(F.struct("axis", "value", "computed", "band", "capped", "needs_api_count"))).alias("scores")
+def report_rows(findings: DataFrame, generated_at: str, tier: int, engines: DataFrame | None = None) -> DataFrame:
+    """One nested JSON report per store: both axes with their categories and what they mean
+    together.  ``engines`` has the engine of each store; findings stay in their own table."""
+    scores = scoring.axis_scores(findings)
+    named = scoring.category_scores(findings).groupBy("store", "axis").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("category").alias("name"), "weight", "value", "active"))).alias("categories")
     )
+    told = scoring.score_interpretation(scores).select("store", "interpretation")
+    each = scores.join(named, ["store", "axis"], "left").join(told, "store")
+    none = F.array().cast("array<struct<name:string,weight:int,value:double,active:boolean>>")
+    each = each.withColumn("categories", F.coalesce("categories", none))
+    per_store = each.groupBy("store", "paradigm").agg(
+        F.array_sort(
+            F.collect_list(F.struct("axis", "value", "computed", "band", "capped", "interpretation", "needs_api_count", "categories"))
+        ).alias("scores")
+    )
+    per_store = per_store.join(engines.select("store", "engine"), "store", "left") if engines else per_store.withColumn("engine", F.lit(None).cast("string"))
     body = F.struct(
-        F.col("store").alias("target"), F.lit(generated_at).alias("generated_at"), F.lit(tier).alias("tier"), "paradigm", "scores"
+        F.col("store").alias("target"), F.lit(generated_at).alias("generated_at"), F.lit(tier).alias("tier"), "paradigm", "engine", "scores"
     )
-    return per_axis.select("store", F.to_json(body).alias("value"))
+    return per_store.select("store", F.to_json(body).alias("value"))
 
 
-def write_report(findings: DataFrame, scores: DataFrame, path: str, generated_at: str, tier: int) -> None:
-    """Reports as JSON lines and findings as Parquet partitioned by store."""
-    report_rows(scores, generated_at, tier).select("value").write.mode("error").text(f"{path}/reports")
+def write_report(findings: DataFrame, path: str, generated_at: str, tier: int, engines: DataFrame | None = None) -> None:
+    """Findings as Parquet partitioned by store, and reports on what was stored as JSON lines."""
     # Rebalancing splits a store that holds much of the data and merges small ones.
     findings.hint("rebalance", "store").write.mode("error").partitionBy("store").parquet(f"{path}/findings")
+    stored = findings.sparkSession.read.schema(findings.schema).parquet(f"{path}/findings")
+    report_rows(stored, generated_at, tier, engines).select("value").write.mode("error").text(f"{path}/reports")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    categories = "array<struct<name:string,weight:int,value:double,active:boolean>>"
     schema = (
-        "target string, generated_at string, tier int, paradigm string, "
-        "scores array<struct<axis:string,value:double,computed:double,band:string,capped:boolean,needs_api_count:bigint>>"
+        "target string, generated_at string, tier int, paradigm string, engine string, scores array<struct<axis:string,value:double,"
+        f"computed:double,band:string,capped:boolean,interpretation:string,needs_api_count:bigint,categories:{categories}>>"
     )
     return spark.read.schema(schema).json(f"{path}/reports")
