@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import top_n
+from plumbline.session import cut_lineage
 
 QUERY_BLOCK = 2048  # queries handed to one pass; more queries mean more passes
 METRICS = ("cosine", "l2", "ip")
@@ -74,6 +75,10 @@ def _partial_top_k(query_ids: list, queries: np.ndarray, k: int, metric: str, gr
                 owner = batch.column("grp").to_numpy(zero_copy_only=False)
                 d = np.where(np.array(query_ids)[:, None] == owner[None, :], d, np.inf)
             new = np.broadcast_to(batch.column("id").to_numpy(zero_copy_only=False), d.shape)
+            if d.shape[1] > 4 * k:  # only what is as near as the k-th nearest can matter
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                near = (d <= edge).any(axis=0)
+                new, d = new[:, near], d[:, near]
             ids, dist = np.concatenate([ids, new], axis=1), np.concatenate([dist, d], axis=1)
             order = np.lexsort((ids, dist), axis=1)[:, :k]
             ids, dist = np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
@@ -87,27 +92,54 @@ def _partial_top_k(query_ids: list, queries: np.ndarray, k: int, metric: str, gr
     return best
 
 
+def vector_status(vec: str, dim: int, metric: str = "cosine") -> Column:
+    """Why a vector cannot be compared with queries of ``dim`` dimensions; ``ok`` if it can."""
+    unset = F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    zero = F.lit(metric == "cosine") & F.forall(vec, lambda x: x == 0)
+    return (
+        F.when(F.col(vec).isNull(), "null").when(F.size(vec) != dim, "dimension").when(unset, "not_finite").when(zero, "zero").otherwise("ok")
+    )
+
+
+def comparable_vectors(df: DataFrame, vec: str, dim: int, metric: str = "cosine") -> DataFrame:
+    """Vectors per status: what a nearest-neighbour search of this dimension leaves out, and why."""
+    return df.groupBy(vector_status(vec, dim, metric).alias("status")).agg(F.count(F.lit(1)).alias("vectors"))
+
+
 def knn_exact(
     df: DataFrame, id_col: str, vec: str, queries: DataFrame, k: int, metric: str = "cosine", within: str | None = None
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query ``(query_id, query_vec)``, exactly.
 
-    Distances are rounded to 9 decimals before ranking and ties go to the smaller id.  Queries
-    travel with the task in blocks of bounded size; a larger set is worked off block by block.
+    Distances are rounded to 9 decimals before ranking and ties go to the smaller id; ids are
+    integers.  Queries are computed once, and travel with the task in blocks of bounded size.  All
+    queries must have one dimension and be comparable, or the call fails; vectors that are not
+    comparable with them are left out, and ``comparable_vectors`` counts them by reason.
     With ``within``, only vectors whose column ``within`` equals the query id compete.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    empty = df.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    asked = cut_lineage(queries.select("query_id", "query_vec", F.size("query_vec").alias("dim")), "knn-queries")
+    shape = asked.agg(F.count(F.lit(1)).alias("n"), F.min("dim").alias("low"), F.max("dim").alias("high")).first()
+    if not shape["n"]:
+        return empty
+    if shape["low"] != shape["high"]:
+        raise ValueError(f"queries of {shape['low']} and {shape['high']} dimensions")
+    bad = asked.where(vector_status("query_vec", shape["low"], metric) != "ok").limit(1).collect()
+    if bad:
+        raise ValueError(f"query {bad[0]['query_id']} cannot be compared")
+    blocks = -(-shape["n"] // QUERY_BLOCK)
     block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     owner = F.col(within).cast("long") if within else F.lit(0).cast("long")
+    usable = df.where(vector_status(vec, shape["low"], metric) == "ok")
+    source = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"), owner.alias("grp"))
     passes = []
     for b in range(blocks):
-        rows = queries.where(block_of == b).orderBy("query_id").collect()
+        rows = asked.where(block_of == b).orderBy("query_id").collect()
         if not rows:
             continue
         matrix = np.array([r["query_vec"] for r in rows], dtype=np.float64)
-        source = df.where(F.size(vec) == matrix.shape[1]).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"), owner.alias("grp"))
         task = _partial_top_k([int(r["query_id"]) for r in rows], matrix, k, metric, within is not None)
         passes.append(source.mapInArrow(task, "query_id long, id long, distance double"))
     best = reduce(DataFrame.unionByName, passes)

@@ -39,6 +39,21 @@ for _metric in vectors.METRICS:
     _knn(_metric)
 
 
+ODD = "CASE vec_id % 7 WHEN 0 THEN {zero} WHEN 1 THEN {short} WHEN 2 THEN {nan} WHEN 3 THEN NULL ELSE embedding END"
+
+
+@query(
+    "comparable_vectors",
+    """SELECT CASE vec_id % 7 WHEN 0 THEN 'zero' WHEN 1 THEN 'dimension' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'null' ELSE 'ok' END AS status,
+       CAST(count(*) AS BIGINT) AS vectors FROM embeddings GROUP BY 1""",
+)
+def _(i):
+    odd = ODD.format(
+        zero="transform(embedding, x -> CAST(0 AS FLOAT))", short="slice(embedding, 1, 63)", nan="transform(embedding, (x, k) -> IF(k = 5, CAST('NaN' AS FLOAT), x))"
+    )
+    return vectors.comparable_vectors(i.embeddings.withColumn("embedding", F.expr(odd)), "embedding", 64)
+
+
 @query(
     "vector_dim_check",
     "SELECT CAST(len(embedding) AS INT) AS dim, CAST(count(*) AS BIGINT) AS vectors, len(embedding) = 64 AS matches FROM embeddings GROUP BY len(embedding)",

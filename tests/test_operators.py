@@ -499,3 +499,17 @@ def test_ordered_buckets_in_runs(spark, monkeypatch):
         got = by.previous(["id"], "p").select("id", F.col("p.id").alias("p"))
         got = got.join(by.latest(F.col("flag"), ["id"], "l").select("id", F.col("l.id").alias("l")), "id").join(by.running_sum("id", "s").select("id", "s"), "id")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nearest_neighbours_tell_what_they_leave_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.5, 0.5])] + [(k, [1.0, k / 10]) for k in range(10, 200)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    status = {r["status"]: r["vectors"] for r in vectors.comparable_vectors(df, "v", 2).collect()}
+    assert status == {"ok": 192, "zero": 1, "dimension": 1, "null": 1, "not_finite": 1}
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "query_id int, query_vec array<double>")
+    got = {(r["query_id"], r["id"]) for r in vectors.knn_exact(df, "id", "v", asked, 2).collect()}
+    assert got == {(7, 1), (7, 6), (8, 199), (8, 198)}
+    assert vectors.knn_exact(df, "id", "v", asked.limit(0), 2).collect() == []
+    for bad in ([(1, [1.0]), (2, [1.0, 2.0])], [(1, [0.0, 0.0])]):
+        with pytest.raises(ValueError):
+            vectors.knn_exact(df, "id", "v", spark.createDataFrame(bad, "query_id int, query_vec array<double>"), 2)
