@@ -122,3 +122,22 @@ def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.passages import passage_rows, repeated_passages
 
     return passage_rows(repeated_passages(read_table(spark, sf_dir, "documents")))
+
+
+ORACLES["op5_rule_ledger"] = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT rid, k, count(*) OVER (PARTITION BY rid, array_to_string(ws[k:k + 7], ' ')) AS times FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS k FROM w) x),
+rep AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(k, k + 8)) AS pos FROM win WHERE times > 1) x GROUP BY 1),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS n_same,
+    length(regexp_replace(t, '[^\pL]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_capitals, len(list_filter(ws, lambda x: suffix(x, '!'))) AS n_exclaimed
+  FROM w JOIN l USING (rid) LEFT JOIN rep USING (rid)),
+f AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_same > 20 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_capitals > 50 * n_letters THEN 64 ELSE 0 END + CASE WHEN 100 * n_exclaimed > 30 * n_words THEN 128 ELSE 0 END
+    + CASE WHEN 100 * n_letters < 50 * word_chars THEN 256 ELSE 0 END AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+"""
