@@ -20,16 +20,21 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts in slices of about ``chars`` bytes, so that a batch of long texts is not
-    turned into Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (the first two columns) in slices of about ``chars`` bytes."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         sizes = np.diff(np.frombuffer(_offsets(texts), dtype=np.int32 if pa.types.is_string(texts.type) else np.int64))
         edges = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // chars)) + 1
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
             if hi > lo:
-                yield ids.slice(lo, hi - lo), texts.slice(lo, hi - lo).to_pylist()
+                yield ids.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The same with texts as Python strings, so that a batch of long texts is not turned into them at once."""
+    for ids, texts in slices(batches, chars):
+        yield ids, texts.to_pylist()
 
 
 def _offsets(texts: pa.Array) -> memoryview:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from plumbline.llm.common import UINT32
 
 # A space inside a run of white space is the only place where cutting before a space changes tokens.
-_UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSAFE = f"{_SPACE}{_SPACE}{_SPACE}|{_SPACE}{_SPACE}\\z"
 
 
 def vocabulary(name: str) -> str:
@@ -26,45 +28,82 @@ class Remembered:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys: list) -> list:
         """The keys that are not known; the others are all in ``new`` afterwards."""
-        absent = keys.difference(self.new)
-        found = absent.intersection(self.old)
-        if len(self.new) + len(absent) > self.limit:
-            kept = {k: self.new[k] for k in keys.difference(absent)}
-            kept.update((k, self.old[k]) for k in found)
-            self.old, self.new = self.new, kept
-            return list(absent.difference(found))
-        self.new.update((k, self.old[k]) for k in found)
-        return list(absent.difference(found))
-
-
-def chunks(text: str) -> list[str] | None:
-    """Pieces of ``text`` that start at a space, each of which a pattern of the kind
-    ``' ?letters| ?digits| ?others|spaces'`` splits as it does within the text; none if the text
-    holds a longer run of white space."""
-    if _UNSAFE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    pieces = [" " + x for x in rest]
-    if first:
-        pieces.insert(0, first)
-    return pieces
-
-
-class TextEncoder:
-    """Encodes texts as little-endian 32-bit ids with the ``tokenizers`` library.
-
-    Special tokens are never added, and their strings in a text are ordinary text.  Each distinct
-    chunk of a text is encoded once and remembered (``limit`` chunks per generation).
+        new, old = self.new, self.old
+        absent = [k for k in keys if k not in new]
+        if len(new) + len(absent) > self.limit:
+            self.old, self.new = new, {k: new[k] for k in keys if k in new}
+            for k in absent:
+                if k in old:
+                    self.new[k] = old[k]
+        else:
+            new.update((k, old[k]) for k in absent if k in old)
+        return [k for k in absent if k not in self.new]
+
+
+class ChunkEncoder:
+    """Encodes texts by chunks that start at a space, each distinct one once.
+
+    A pattern of the kind ``' ?letters| ?digits| ?others|spaces'`` splits a chunk as it splits it
+    within the text, unless the space stands in a longer run of white space; texts with such a
+    run are encoded whole.  At most twice ``limit`` chunks are remembered.
     """
 
+    def __init__(self, limit: int):
+        self.known = Remembered(limit)
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks, as 32-bit integers."""
+        raise NotImplementedError
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text."""
+        raise NotImplementedError
+
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        new = self.known.missing(keys)
+        if new:
+            self.known.new.update(zip(new, self.learn(new), strict=True))
+        return list(map(self.known.new.__getitem__, keys))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids start (one more for the end)."""
+        if not len(texts):
+            return np.zeros(0, UINT32), np.zeros(1, np.int64)
+        parts = pc.split_pattern(texts, " ")
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        flat = parts.flatten()
+        coded = flat.dictionary_encode()
+        at = coded.indices.to_numpy().copy()
+        starts = flat.take(pa.array(first)).to_pylist()
+        distinct = coded.dictionary.to_pylist()
+        opening = {s: len(distinct) + k for k, s in enumerate(dict.fromkeys(s for s in starts if s))}
+        table = self._ids([" " + k for k in distinct] + list(opening))
+        nothing = len(table)
+        at[first] = [opening.get(s, nothing) for s in starts]
+        table.append(b"")
+        ends = np.append(first[1:], len(at))
+        for k in np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)).tolist():
+            at[first[k] : ends[k]] = nothing
+            at[first[k]] = len(table)
+            table.append(self.whole(texts[k].as_py()))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        values = pa.array(np.frombuffer(b"".join(table), UINT32))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), values)
+        lengths = np.add.reduceat(sizes[at], first)
+        return lists.take(pa.array(at)).flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])
+
+
+class TextEncoder(ChunkEncoder):
+    """The ``tokenizers`` library: special tokens are never added, and their strings in a text are ordinary text."""
+
     def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
+        super().__init__(limit)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Remembered(limit)
         # bytes of a token: in a byte-level vocabulary every character of a token stands for one
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(names.values()) + 1, dtype=np.int64)
@@ -74,35 +113,21 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=UINT32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new chunks.  Those that start with a space before a word and end in no space may
-        follow each other in one text, whose ids are cut where a chunk's bytes end."""
-        plain = [c for c in new if c[0] == " " and not c[1:2].isspace() and not c[-1].isspace()]
-        odd = [c for c in new if not (c[0] == " " and not c[1:2].isspace() and not c[-1].isspace())]
-        self.known.new.update(zip(odd, self._library(odd), strict=True))
-        ids = np.frombuffer(self._library(["".join(plain)])[0], UINT32)
-        ends = np.cumsum([len(c.encode()) for c in plain])
-        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) * 4 + 4
-        data, last = ids.tobytes(), 0
-        for chunk, cut in zip(plain, cuts.tolist(), strict=True):
-            self.known.new[chunk] = data[last:cut]
-            last = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        keys: set[str] = set()
-        for p in parts:
-            if p:
-                keys.update(p)
-        new = self.known.missing(keys)
-        if new:
-            self._learn(new)
-        get = self.known.new.__getitem__
-        out = [b"" if p is None else b"".join(map(get, p)) for p in parts]
-        whole = [i for i, p in enumerate(parts) if p is None]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def whole(self, text: str) -> bytes:
+        return self._library([text])[0]
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Chunks that start with a space before a word and end in no space may follow each other
+        in one text, whose ids are cut where a chunk's bytes end."""
+        plain = [c[0] == " " and not c[1:2].isspace() and not c[-1].isspace() for c in new]
+        joined = [c for c, p in zip(new, plain, strict=True) if p]
+        ids = np.frombuffer(self.whole("".join(joined)), UINT32)
+        ends = np.cumsum([len(c.encode()) for c in joined])
+        cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) * 4 + 4).tolist()
+        data = ids.tobytes()
+        together = iter([data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+        alone = iter(self._library([c for c, p in zip(new, plain, strict=True) if not p]))
+        return [next(together) if p else next(alone) for p in plain]
 
 
 @functools.lru_cache(maxsize=4)

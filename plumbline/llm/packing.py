@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.taskcontext import TaskContext
 
-from plumbline.llm.common import UINT32, sliced, texts_of
+from plumbline.llm.common import UINT32, slices, texts_of
 from plumbline.llm.encoding import text_encoder, vocabulary
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -91,8 +91,10 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base = text_encoder(path), TaskContext.get().partitionId() << 40
         ids, tokens, held = [], [], 0
-        for some, texts in sliced(batches):
-            encoded = [t + end for t in encoder.encode(texts)]
+        for some, texts in slices(batches, 8_000_000):
+            values, edges = encoder.encode(texts)
+            data, edges = values.tobytes(), (4 * edges).tolist()
+            encoded = [data[a:b] + end for a, b in zip(edges, edges[1:], strict=False)]
             ids.append(some)
             tokens += encoded
             held += sum(map(len, encoded)) // 4

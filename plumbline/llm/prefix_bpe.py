@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import sliced, texts_of
-from plumbline.llm.encoding import Remembered, chunks, vocabulary
+from plumbline.llm.common import slices, texts_of
+from plumbline.llm.encoding import ChunkEncoder, Remembered, vocabulary
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,15 +132,16 @@ class PrefixTable:
         return out[::-1]
 
 
-class PrefixEncoder:
+class PrefixEncoder(ChunkEncoder):
     """Encodes texts by a rank file, each match of ``pattern`` on its own, without special tokens."""
 
     def __init__(self, path: str, pattern: str, limit: int = 250_000):
         import regex
 
+        super().__init__(limit)
         self.merges = Merges(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces, self.chunks = Remembered(limit), Remembered(limit)
+        self.pieces = Remembered(limit)
         size = max(self.merges.data) + 1
         self.vocabulary = [self.merges.data.get(i, b"") for i in range(size)]
 
@@ -151,20 +152,15 @@ class PrefixEncoder:
         ids = [token] if token is not None else PrefixTable(self.merges, data).tokens()
         return array("i", ids).tobytes()
 
-    def _learn(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        new = self.pieces.missing(set().union(*split))
-        self.pieces.new.update((p, self._piece(p)) for p in new)
+    def learn(self, new: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in new]
+        pieces = self.pieces.missing(list(set().union(*split)))
+        self.pieces.new.update((p, self._piece(p)) for p in pieces)
         get = self.pieces.new.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as native 32-bit integers."""
-        parts = [chunks(t) for t in texts]
-        new = self.chunks.missing(set().union(*(p for p in parts if p)))
-        self.chunks.new.update(zip(new, self._learn(new), strict=True))
-        get = self.chunks.new.__getitem__
-        return [self._learn([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+    def whole(self, text: str) -> bytes:
+        return self.learn([text])[0]
 
     def append(self, text: str, ids: list[int], tail: str) -> list[int]:
         """Ids of ``text + tail`` from the ids of ``text``.
@@ -201,9 +197,8 @@ def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or vocabulary("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def _lists(tokens: list[bytes]) -> pa.Array:
-    offsets = np.cumsum([0, *(len(t) // 4 for t in tokens)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(tokens), np.int32)))
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int32)))
 
 
 def encode_documents(
@@ -218,8 +213,8 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = prefix_encoder(place, splitter)
-        for ids, texts in sliced(batches):
-            yield pa.RecordBatch.from_arrays([ids, _lists(encoder.encode(texts))], ["doc_id", "ids"])
+        for ids, texts in slices(batches, 8_000_000):
+            yield pa.RecordBatch.from_arrays([ids, _lists(*encoder.encode(texts))], ["doc_id", "ids"])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -251,7 +246,7 @@ def append_documents(
         encoder = prefix_encoder(place, splitter)
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-            longer = [np.array(encoder.append(text or "", ids or [], tail or ""), np.int32).tobytes() for text, ids, tail in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(longer)], ["doc_id", "ids"])
+            longer = [encoder.append(text or "", ids or [], tail or "") for text, ids, tail in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(longer, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(docs[id_col], docs[text_col], docs[ids_col], docs[tail_col]).mapInArrow(run, f"doc_id {source}, ids array<int>")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from plumbline.llm.common import UINT32, sliced, texts_of
+from plumbline.llm.common import UINT32, slices, texts_of
 from plumbline.llm.encoding import text_encoder, vocabulary
 from plumbline.session import cut_lineage, scratch_path
 
@@ -226,11 +226,13 @@ def write_shards(
             row = {"part": part, "shard": shard, "path": f"{target}/{name}", "n_docs": len(ids), "n_tokens": held}
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        for some, texts in sliced(batches):
-            for doc_id, encoded in zip(some.to_pylist(), encoder.encode(texts), strict=True):
+        for some, texts in slices(batches, 8_000_000):
+            values, edges = encoder.encode(texts)
+            data, edges = values.tobytes(), (4 * edges).tolist()
+            for doc_id, lo, hi in zip(some.to_pylist(), edges, edges[1:], strict=False):
                 ids.append(doc_id)
-                tokens.append(encoded + end)
-                held += len(encoded) // 4 + 1
+                tokens.append(data[lo:hi] + end)
+                held += (hi - lo) // 4 + 1
                 if held >= shard_tokens:
                     yield close()
                     ids, tokens, held, shard = [], [], 0, shard + 1
@@ -274,7 +276,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 
 def count_tokens(manifest: DataFrame, tokens: list[int]) -> DataFrame:
-    """``token, n``: how often each token occurs in all files, by rank alone."""
+    """``token, n``: how often each of these tokens occurs in all files, by rank alone."""
+    tokens = sorted(set(tokens))
 
     def rows(shard: Shard, start: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.int64()), "n": pa.array([shard.matrix.count(t) for t in tokens], pa.int64())})
