@@ -9,7 +9,7 @@
     audit.scores().show()
     audit.next_actions().orderBy("priority", "id").show()
 
-Every step adds findings; nothing runs until a result is asked for.  Checks whose input was not
+Every step adds findings; the checks run once, when a result is first asked for.  Checks whose input was not
 given appear as ``needs_api``.
 """
 
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import constant_frame
+from plumbline.session import constant_frame, cut_lineage
 from plumbline.operators import catalog_rules, integrity, profile, scoring, state_rules
 from plumbline.sources.catalog import catalog_from_frames
 
@@ -47,6 +47,7 @@ class Audit:
         self._fks: list[ForeignKey] = []
         self._catalog: catalog_rules.Catalog | None = None
         self._parts: list[DataFrame] = []
+        self._found: tuple[int, DataFrame] | None = None
         self._inputs: dict[str, DataFrame | None] = {"evidence": None, "metrics": None, "config": None, "data": None}
 
     def catalog(
@@ -124,7 +125,13 @@ class Audit:
         )
 
     def findings(self) -> DataFrame:
-        """All findings, one per id, unproven checks included."""
+        """All findings, one per id, unproven checks included.  They are written to the shared folder
+        once, so that scores, actions and checklist do not run the checks again."""
+        if self._found is None or self._found[0] != len(self._parts):
+            self._found = len(self._parts), cut_lineage(self._all_findings(), "findings")
+        return self._found[1]
+
+    def _all_findings(self) -> DataFrame:
         here = self.spark.range(1).select(F.lit(self.store).alias("store"))
         missing = state_rules.stamp_missing(self.spark, here, self._inputs, NEEDS)
         constant = {"axis": "both", "confidence": "speculative", "magnitude": "medium", "fixable": "advisory"}

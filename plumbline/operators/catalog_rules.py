@@ -10,6 +10,7 @@ Rules return hits ``(store, rule, object)``; ``findings`` turns hits into findin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -37,6 +38,7 @@ SECRET_COLUMN = "(password|secret|token|api_key|private_key)"
 RETENTION_HINT = "(retention|purge|anonymi|expires)"
 TENANT_COLUMNS = ["tenant_id", "org_id", "account_id"]
 SOFT_DELETE = ["deleted_at", "is_deleted"]
+CONTAINMENT_METHODS = ["gin", "gist", "spgist", "fulltext", "inverted"]
 DERIVED_HINT = "(^total|_total|full_name|_count$|search_vector)"
 OPAQUE = "^(data|info|value|flag|temp|tmp|col[0-9]*)$"
 DATE_LIKE = "(_at$|^valid_)"
@@ -177,14 +179,28 @@ def confidence_downgrade(rows: DataFrame, model_confidence: str) -> DataFrame:
 # --- rules on single columns --------------------------------------------------------------------
 
 
-def column_conditions() -> dict[str, Column]:
-    """Rule -> condition over one row of ``columns``."""
+def tokens(name: str) -> Column:
+    """Words of an identifier, at underscores and capitals, in lower case."""
+    parted = F.regexp_replace(F.regexp_replace(F.col(name), "([a-z0-9])([A-Z])", "$1_$2"), "[^A-Za-z0-9]+", "_")
+    return F.split(F.lower(parted), "_")
+
+
+def _names(pattern: str, token_bounded: bool) -> Column:
+    """Does a column's name hold a hint, anywhere or as a word of its own (``fee`` but not ``coffee``)?"""
+    if not token_bounded:
+        return _is("column_name", pattern)
+    words = re.search(r"\(([a-z|]+)\)", pattern).group(1).split("|")
+    return F.arrays_overlap(tokens("column_name"), F.array(*[F.lit(w + s) for w in words for s in ("", "s")]))
+
+
+def column_conditions(token_bounded: bool = False) -> dict[str, Column]:
+    """Rule -> condition over one row of ``columns``; ``token_bounded`` takes hints as whole words."""
     name, kind = F.lower("column_name"), F.lower("type")
     default = F.trim(F.coalesce(F.col("default_expr"), F.lit("")))
     text, boolean = _is("type", TEXT_TYPE), kind.startswith("bool")
     return {
-        "money_as_float": _is("column_name", MONEY_HINT) & _is("type", FLOAT_TYPE),
-        "csv_in_column": _is("column_name", CSV_HINT) & text,
+        "money_as_float": _names(MONEY_HINT, token_bounded) & _is("type", FLOAT_TYPE),
+        "csv_in_column": _names(CSV_HINT, token_bounded) & text,
         "int4_pk": F.col("pk") & kind.isin("int", "int4", "integer", "serial"),
         "uuidv4_clustered_pk": F.col("pk") & (kind == "uuid") & default.rlike("(?i)(gen_random_uuid|uuid_generate_v4)"),
         "natural_key_pk": F.col("pk") & name.rlike(NATURAL_KEY),
@@ -206,8 +222,8 @@ def column_conditions() -> dict[str, Column]:
     }
 
 
-def column_rules(cat: Catalog, only: list[str] | None = None) -> DataFrame:
-    rules = {r: c for r, c in column_conditions().items() if only is None or r in only}
+def column_rules(cat: Catalog, only: list[str] | None = None, token_bounded: bool = False) -> DataFrame:
+    rules = {r: c for r, c in column_conditions(token_bounded).items() if only is None or r in only}
     return _hits(cat.columns, _column(), rules)
 
 
@@ -522,9 +538,14 @@ def index_esr(cat: Catalog, predicates: DataFrame) -> DataFrame:
 
 
 def index_type_fit(cat: Catalog, predicates: DataFrame) -> DataFrame:
-    """Containment predicates on json or text columns, which an ordinary index cannot serve."""
+    """Containment predicates on json or text columns that no fitting index serves: an ordinary one
+    does not.  ``method`` of the indexes, where known, says which fit."""
     special = cat.columns.where(F.lower("type").isin("json", "jsonb") | _is("type", TEXT_TYPE)).select("store", "table_name", "column_name")
     hits = predicates.where("role = 'containment'").join(special, ["store", "table_name", "column_name"], "left_semi")
+    if "method" in cat.indexes.columns:
+        fitting = cat.indexes.where(F.lower("method").isin(CONTAINMENT_METHODS))
+        served = fitting.select("store", "table_name", F.explode("columns").alias("column_name"))
+        hits = hits.join(served, ["store", "table_name", "column_name"], "left_anti")
     return _named(hits, "index_type", _column())
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import constant_frame
 from plumbline.functions.text import redact_secrets
+from plumbline.operators.ordered import top_n
+from plumbline.session import constant_frame
 
 _DAY_US = 86_400_000_000
 
@@ -61,20 +62,23 @@ def latest_metrics(history: DataFrame) -> DataFrame:
 
 def metric_rules(history: DataFrame, rules: list[tuple] = METRIC_RULES) -> DataFrame:
     """Every object against every rule.  A metric that was never recorded is ``needs_api``; a
-    history shorter than the rule asks for makes the result directional."""
+    history shorter than the rule asks for makes the result directional.  An index that its
+    latest ``enforces_constraint`` marks as unique or backing a constraint is never unused."""
     latest = latest_metrics(history)
     spark = history.sparkSession
     schema = "rule string, metric string, cmp string, threshold double, days int, module string, rule_status string, severity int"
     table = F.broadcast(constant_frame(spark, rules, schema))
     every = F.explode(F.array(*[F.lit(m) for m in sorted({r[1] for r in rules})]))
     grid = latest.select("store", "object").distinct().withColumn("metric", every)
-    known = grid.join(latest, ["store", "object", "metric"], "left").join(table, "metric")
+    backing = latest.where("metric = 'enforces_constraint' AND value > 0").select("store", "object", F.lit(True).alias("backs"))
+    known = grid.join(latest, ["store", "object", "metric"], "left").join(table, "metric").join(backing, ["store", "object"], "left")
     hit = (
         F.when(F.col("cmp") == "<=", F.col("value") <= F.col("threshold"))
         .when(F.col("cmp") == ">", F.col("value") > F.col("threshold"))
         .otherwise(F.col("value") >= F.col("threshold"))
     )
-    status = F.when(F.col("value").isNull(), "needs_api").when(hit, F.col("rule_status")).otherwise("pass")
+    needed = (F.col("rule") == "index_unused") & F.col("backs").isNotNull()
+    status = F.when(F.col("value").isNull(), "needs_api").when(hit & ~needed, F.col("rule_status")).otherwise("pass")
     short = F.col("window_us") < F.col("days").cast("long") * _DAY_US
     confidence = F.when(F.col("value").isNull(), "speculative").when(short, "directional").otherwise("established")
     return known.select(
@@ -89,6 +93,31 @@ def metric_rules(history: DataFrame, rules: list[tuple] = METRIC_RULES) -> DataF
     )
 
 
+def top_dead_tuples(history: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` tables of each store with the highest share of dead rows."""
+    latest = latest_metrics(history.where("metric = 'dead_ratio'")).select("store", "object", F.col("value").alias("dead_ratio"))
+    return top_n(latest, ["store"], [F.desc("dead_ratio"), F.asc("object")], n)
+
+
+def pool_capacity(history: DataFrame, reserved: int = 3) -> DataFrame:
+    """Connections that all pools may open against what the server takes and can usefully run.
+
+    Latest ``pool_size`` times ``instances`` above ``max_connections`` less the ``reserved`` ones
+    fails; above ``2 * cores + 1`` it is a warning; without the first three it is needs_api.
+    """
+    asked = ["pool_size", "instances", "max_connections", "cores"]
+    latest = latest_metrics(history.where(F.col("metric").isin(asked)))
+    wide = latest.groupBy("store", "object").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in asked])
+    opened, room = F.col("pool_size") * F.col("instances"), F.col("max_connections") - reserved
+    status = (
+        F.when(opened.isNull() | room.isNull(), "needs_api")
+        .when(opened > room, "fail")
+        .when(opened > 2 * F.col("cores") + 1, "warn")
+        .otherwise("pass")
+    )
+    return wide.select("store", "object", opened.alias("connections"), room.alias("room"), status.alias("status"))
+
+
 def metric_trend(history: DataFrame, metric: str, ceiling: float) -> DataFrame:
     """Change of a metric per object between first and last sample, and whole days until a
     ceiling; -1 where it does not grow."""

@@ -522,6 +522,38 @@ def _(i):
     return sr.metric_rules(i.metrics_fx)
 
 
+@query(
+    "top_dead_tuples",
+    """SELECT store, object, value AS dead_ratio, CAST(row_number() OVER (PARTITION BY store ORDER BY value DESC, object) AS INT) AS rank
+       FROM (SELECT store, object, arg_max(value, ts) AS value FROM {metrics_fx} WHERE metric = 'dead_ratio' GROUP BY 1, 2) l QUALIFY rank <= 20""",
+)
+def _(i):
+    return sr.top_dead_tuples(i.metrics_fx)
+
+
+POOLS = """SELECT 's' || CAST(s_nationkey AS STRING) AS store, 'p' || CAST(s_suppkey AS STRING) AS object, DATE '2024-01-01' AS ts,
+  split_part('pool_size|instances|max_connections|cores', '|', CAST(m AS INT)) AS metric, CAST(CASE m WHEN 1 THEN 2 + s_suppkey % 20 WHEN 2 THEN 1 + s_suppkey % 7 WHEN 3 THEN 100 ELSE 4 * (1 + s_suppkey % 5) END AS DOUBLE) AS value
+  FROM supplier CROSS JOIN (VALUES (1), (2), (3), (4)) v(m) WHERE m <> 1 + s_suppkey % 9"""
+
+
+@query(
+    "pool_capacity",
+    f"""WITH h AS ({POOLS}), w AS (SELECT store, object, max(value) FILTER (metric = 'pool_size') * max(value) FILTER (metric = 'instances') AS connections,
+         max(value) FILTER (metric = 'max_connections') - 3 AS room, max(value) FILTER (metric = 'cores') AS cores FROM h GROUP BY 1, 2)
+       SELECT store, object, connections, room, CASE WHEN connections IS NULL OR room IS NULL THEN 'needs_api' WHEN connections > room THEN 'fail' WHEN connections > 2 * cores + 1 THEN 'warn' ELSE 'pass' END AS status FROM w""",
+)
+def _(i):
+    values = F.array(
+        (2 + F.col("s_suppkey") % 20).cast("double"), (1 + F.col("s_suppkey") % 7).cast("double"), F.lit(100.0), (4 * (1 + F.col("s_suppkey") % 5)).cast("double")
+    )
+    names = F.array(*[F.lit(m) for m in ("pool_size", "instances", "max_connections", "cores")])
+    history = i.supplier.select(
+        F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("store"), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("object"),
+        F.lit("2024-01-01").cast("date").alias("ts"), F.posexplode(F.arrays_zip(names.alias("metric"), values.alias("value"))).alias("m", "x"), "s_suppkey",
+    ).where(F.col("m") != F.col("s_suppkey") % 9)
+    return sr.pool_capacity(history.select("store", "object", "ts", F.col("x.metric").alias("metric"), F.col("x.value").alias("value")))
+
+
 @query(
     "metric_trend",
     """WITH s AS (SELECT store, object, CAST(count(*) AS BIGINT) AS samples, arg_min(value, ts) AS first_value, arg_max(value, ts) AS last_value, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us

@@ -513,3 +513,26 @@ def test_nearest_neighbours_tell_what_they_leave_out(spark):
     for bad in ([(1, [1.0]), (2, [1.0, 2.0])], [(1, [0.0, 0.0])]):
         with pytest.raises(ValueError):
             vectors.knn_exact(df, "id", "v", spark.createDataFrame(bad, "query_id int, query_vec array<double>"), 2)
+
+
+def test_names_as_whole_words(spark):
+    columns = [("s", "t", c, 1, "real", False, True, "", False) for c in ("coffee_grade", "fee", "serviceFee", "total_fees", "price")]
+    schema = "store string, table_name string, column_name string, ordinal int, type string, pk boolean, not_null boolean, default_expr string, has_check boolean"
+    cat = cr.Catalog(spark.createDataFrame(columns, schema), None, None)
+    for bounded, missed in ((False, set()), (True, {"t.coffee_grade"})):
+        hits = {r["object"] for r in cr.column_rules(cat, ["money_as_float"], bounded).collect()}
+        assert hits == {f"t.{c[2]}" for c in columns} - missed
+
+
+def test_fitting_indexes_serve_containment(spark):
+    columns = spark.createDataFrame([("s", "t", c, "jsonb") for c in "ab"], "store string, table_name string, column_name string, type string")
+    indexes = spark.createDataFrame([("s", "t", "i", ["a"], False, "GIN"), ("s", "t", "j", ["b"], False, "btree")], "store string, table_name string, index_name string, columns array<string>, is_unique boolean, method string")
+    asked = spark.createDataFrame([("s", "t", c, "containment") for c in "ab"], "store string, table_name string, column_name string, role string")
+    assert [r["object"] for r in cr.index_type_fit(cr.Catalog(columns, None, indexes), asked).collect()] == ["t.b"]
+
+
+def test_constraint_indexes_are_never_unused(spark):
+    rows = [("s", o, m, dt.datetime(2024, 1, d), v) for d in (1, 20) for o, m, v in (("i", "idx_scan", 0.0), ("j", "idx_scan", 0.0), ("j", "enforces_constraint", 1.0))]
+    history = spark.createDataFrame(rows, "store string, object string, metric string, ts timestamp, value double")
+    got = {r["object"]: r["status"] for r in state_rules.metric_rules(history).collect() if r["id"].endswith("index_unused")}
+    assert got == {"i": "warn", "j": "pass"}
