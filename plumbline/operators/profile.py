@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import Ordered, with_totals
+from plumbline.session import constant_frame
 
 INT4_MAX = 2147483647
 
@@ -57,21 +58,34 @@ def soft_delete_resurrection(df: DataFrame, key: list[str], deleted: str) -> Dat
     return df.groupBy(*key).agg(live.alias("live_rows"), dead.alias("deleted_rows")).where("live_rows > 0 AND deleted_rows > 0")
 
 
+def _as_text(columns: list[str]) -> Column:
+    """Values of some columns as one text, equal for equal values alone."""
+    return F.to_json(F.struct(*columns))
+
+
+def _spread(df: DataFrame, rows: list[Column]) -> DataFrame:
+    """Each row repeated for several purposes (structs of one type), from one scan."""
+    return df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _for_each(names: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for every name, also where the table has none; ``names`` are constants."""
+    return names.join(counted, keys, "left").na.fill(0)
+
+
 def candidate_key_profile(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
     """Rows, distinct values and rows with nulls of each candidate, and whether it is a key."""
 
-    def one(cols: list[str]) -> DataFrame:
+    def row(cols: list[str]) -> Column:
         has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-        groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-        return groups.agg(
-            F.lit(",".join(cols)).alias("candidate"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.count_if(~has_null).alias("distinct_values"),
-            F.coalesce(F.sum(F.when(has_null, F.col("n"))), F.lit(0)).alias("null_rows"),
-        )
+        return F.struct(F.lit(",".join(cols)).alias("candidate"), _as_text(cols).alias("v"), has_null.alias("missing"))
 
-    out = reduce(DataFrame.unionByName, [one(c) for c in candidates])
-    return out.withColumn("is_key", F.expr("rows = distinct_values AND null_rows = 0"))
+    groups = _spread(df, [row(c) for c in candidates]).groupBy("candidate", "v", "missing").agg(F.count(F.lit(1)).alias("n"))
+    counted = groups.groupBy("candidate").agg(
+        F.sum("n").alias("rows"), F.count_if(~F.col("missing")).alias("distinct_values"), F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("null_rows")
+    )
+    names = constant_frame(df.sparkSession, [(",".join(c),) for c in candidates], "candidate string")
+    return _for_each(names, counted, ["candidate"]).withColumn("is_key", F.expr("rows = distinct_values AND null_rows = 0"))
 
 
 def key_headroom(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -133,18 +147,16 @@ def fd_discovery(df: DataFrame, columns: list[str]) -> DataFrame:
 def partial_dependency(df: DataFrame, key: list[str], non_key: list[str]) -> DataFrame:
     """Non-key columns fixed by a strict subset of a composite key."""
     subsets = [list(s) for n in range(1, len(key)) for s in combinations(key, n)]
-
-    def one(subset: list[str], column: str) -> DataFrame:
-        pairs = df.select(*subset, column).distinct()
-        per = pairs.groupBy(*subset).agg(F.count(F.lit(1)).alias("ys"))
-        return per.agg(
-            F.lit(",".join(subset)).alias("key_part"),
-            F.lit(column).alias("column_name"),
-            F.coalesce(F.max("ys"), F.lit(0)).alias("max_values"),
-        )
-
-    out = reduce(DataFrame.unionByName, [one(s, c) for s in subsets for c in non_key])
-    return out.withColumn("partial", F.col("max_values") <= 1)
+    cases = [(",".join(s), c) for s in subsets for c in non_key]
+    rows = [
+        F.struct(F.lit(",".join(s)).alias("key_part"), F.lit(c).alias("column_name"), _as_text(s).alias("k"), _as_text([c]).alias("v"))
+        for s in subsets
+        for c in non_key
+    ]
+    per = _spread(df, rows).distinct().groupBy("key_part", "column_name", "k").agg(F.count(F.lit(1)).alias("ys"))
+    counted = per.groupBy("key_part", "column_name").agg(F.max("ys").alias("max_values"))
+    names = constant_frame(df.sparkSession, cases, "key_part string, column_name string")
+    return _for_each(names, counted, ["key_part", "column_name"]).withColumn("partial", F.col("max_values") <= 1)
 
 
 # --- values ---------------------------------------------------------------------------------
@@ -290,17 +302,12 @@ def read_fan_out(df: DataFrame, session: str, fingerprint: Column) -> DataFrame:
 
 
 def key_cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact distinct values of each candidate partition key or tag."""
-
-    def one(c: str) -> DataFrame:
-        groups = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        return groups.agg(
-            F.lit(c).alias("column_name"),
-            F.count(F.lit(1)).alias("distinct_values"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        )
-
-    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+    """Exact distinct values of each candidate partition key or tag, from one scan."""
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]
+    groups = _spread(df, rows).where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = groups.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("rows"))
+    names = constant_frame(df.sparkSession, [(c,) for c in columns], "column_name string")
+    return _for_each(names, counted, ["column_name"])
 
 
 def key_cardinality_approx(df: DataFrame, columns: list[str], rsd: float = 0.02) -> DataFrame:

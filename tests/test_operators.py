@@ -536,3 +536,11 @@ def test_constraint_indexes_are_never_unused(spark):
     history = spark.createDataFrame(rows, "store string, object string, metric string, ts timestamp, value double")
     got = {r["object"]: r["status"] for r in state_rules.metric_rules(history).collect() if r["id"].endswith("index_unused")}
     assert got == {"i": "warn", "j": "pass"}
+
+
+@pytest.mark.parametrize(("name", "most"), [("candidate_key_profile", 2), ("partial_dependency", 1), ("key_cardinality", 1), ("relationship_cardinality", 7), ("fk_candidate_containment", 5), ("orphan_matrix", 10), ("readiness_checklist", 2)])
+def test_tables_are_scanned_once(spark, sf_dir, name, most):
+    from plumbline.plans import registry
+
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= most, plan
