@@ -10,6 +10,7 @@ from plumbline.functions.text import jvm
 # Type families and the shape of their seed values.
 INT_TYPE = jvm(r"(?i)\b(serial|bigserial|bigint|integer|int|number|smallint)\b")
 DATE_TYPE = "(?i)(timestamp|datetime|date)"
+ARRAY_TYPE = r"(?i)\[\d*\]\s*$|^array\b"
 NUMERIC_TYPE = "(?i)(numeric|decimal|float|double|real|money)"
 
 
@@ -17,7 +18,8 @@ def seed_value(i: Column, name: Column, type_name: Column, pk: Column, allowed:
     """Value ``i`` (0-based) of a column; a pure function of its arguments."""
     n = (i + 1).cast("string")
     return (
-        F.when(F.size(allowed) > 0, F.try_element_at(allowed, (i % F.greatest(F.size(allowed), F.lit(1)) + 1).cast("int")))
+        F.when(type_name.rlike(ARRAY_TYPE), "{}")
+        .when(F.size(allowed) > 0, F.try_element_at(allowed, (i % F.greatest(F.size(allowed), F.lit(1)) + 1).cast("int")))
         .when(type_name.rlike("(?i)uuid"), F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(n, 12, "0")))
         .when(pk | type_name.rlike(INT_TYPE), n)
         .when(type_name.rlike("(?i)bool"), F.when(i % 2 == 0, "true").otherwise("false"))

@@ -17,9 +17,9 @@ FINDING_JSON = (
 )
 
 
-def load_findings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Findings from JSON files that hold an array or ``{"findings": [...]}``; with
-    ``multi_line=False`` one finding per line, a layout that splits within a file."""
+def load_findings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Findings from JSON files with one finding (or ``{"findings": [...]}``) per line, which split
+    within a file; with ``multi_line`` from files that hold one array or object, a task for each."""
     schema = f"{FINDING_JSON}, findings array<struct<{_as_struct(FINDING_JSON)}>>"
     raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     plain = [c for c in raw.columns if c != "findings"]

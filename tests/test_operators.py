@@ -386,7 +386,7 @@ def test_findings_from_array_and_object(spark, tmp_path):
     one = {"id": "M1.t.x", "module": "M1", "status": "fail", "severity": 4, "expected_impact": {"axis": "design", "confidence": "established", "magnitude": "high", "rationale": "r"}, "evidence": {"observed": "o"}}
     (tmp_path / "a.json").write_text(json.dumps([one, {**one, "id": "M1.t.y"}], indent=1))
     (tmp_path / "b.json").write_text(json.dumps({"findings": [{**one, "id": "M1.t.z"}]}))
-    rows = {r["id"]: (r["axis"], r["observed"]) for r in sf.load_findings(spark, str(tmp_path)).collect()}
+    rows = {r["id"]: (r["axis"], r["observed"]) for r in sf.load_findings(spark, str(tmp_path), multi_line=True).collect()}
     assert rows == {f"M1.t.{c}": ("design", "o") for c in "xyz"}
 
 
@@ -544,3 +544,9 @@ def test_tables_are_scanned_once(spark, sf_dir, name, most):
 
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= most, plan
+
+
+def test_array_columns_are_seeded_empty(spark):
+    types = spark.createDataFrame([("text[]",), ("int[3]",), ("array<int>",), ("text",)], "t string")
+    got = types.select("t", seed.seed_value(F.lit(0), F.lit("c"), F.col("t"), F.lit(False), F.array().cast("array<string>")).alias("v"))
+    assert {r["t"]: r["v"] for r in got.collect()} == {"text[]": "{}", "int[3]": "{}", "array<int>": "{}", "text": "c_1"}
