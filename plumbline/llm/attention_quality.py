@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sliced, texts_of
+from plumbline.llm.common import map_batches, sliced, texts_of
 
 PASSAGE_WORDS = 64
 CLASSES = 56
@@ -168,7 +168,7 @@ def labelled_bags(
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     # rows that repeat an id could exceed the bound
-    found = texts.mapInArrow(run, f"doc_id {kind}, y int, x binary").orderBy("doc_id", "x").limit(sample).collect()
+    found = map_batches(texts, run, f"doc_id {kind}, y int, x binary").orderBy("doc_id", "x").limit(sample).collect()
     return [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found], np.array([r["y"] for r in found], dtype=np.float64)
 
 
@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, model: GatedAttention, id_col: str = "doc_i
         for ids, texts in sliced(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(model.score([encode_passages(t) for t in texts]))], ["doc_id", "score"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: GatedAttention, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -210,4 +210,4 @@ def keep_good(docs: DataFrame, model: GatedAttention, least: float = 0.3, text_c
                 scores = model.score([encode_passages(t or "") for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,25 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow``, after which a task gives back the memory it has freed: Python workers live on,
+    and what their allocators keep would be missing in later stages."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(released, schema)
+
+
+def release_memory() -> None:
+    """Return free pages of Arrow's pool and, where the C library can, of its heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts (the first two columns) in slices of about ``chars`` bytes."""
     for batch in batches:
@@ -29,6 +49,8 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterato
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
             if hi > lo:
                 yield ids.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+                if chars >= 4_000_000:
+                    release_memory()
 
 
 def sliced(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list[str]]]:

@@ -98,7 +98,7 @@ class ChunkEncoder:
 class TextEncoder(ChunkEncoder):
     """The ``tokenizers`` library: special tokens are never added, and their strings in a text are ordinary text."""
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 120_000):
         from tokenizers import Tokenizer
 
         super().__init__(limit)

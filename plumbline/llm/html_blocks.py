@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sliced
+from plumbline.llm.common import map_batches, sliced
 
 # Names of HTML elements.
 BLOCKS = set(
@@ -242,4 +242,4 @@ def extract(pages: DataFrame, labelled: list[tuple] = LABELLED, id_col: str = "p
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), batch.column(1).slice(lo, len(rows)), text], ["page_id", "url", "text"])
 
     kinds = [source.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return source.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    return map_batches(source, run, f"page_id {kinds[0]}, url {kinds[1]}, text string")

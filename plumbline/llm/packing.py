@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.taskcontext import TaskContext
 
-from plumbline.llm.common import UINT32, slices, texts_of
+from plumbline.llm.common import UINT32, map_batches, slices, texts_of
 from plumbline.llm.encoding import text_encoder, vocabulary
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -106,4 +106,4 @@ def pack_documents(
             yield group_rows(ids, tokens, base)[0]
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return map_batches(source, run, f"doc_id {kind}, {PIECES}")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import slices, texts_of
+from plumbline.llm.common import map_batches, slices, texts_of
 from plumbline.llm.encoding import ChunkEncoder, Remembered, vocabulary
 
 
@@ -135,7 +135,7 @@ class PrefixTable:
 class PrefixEncoder(ChunkEncoder):
     """Encodes texts by a rank file, each match of ``pattern`` on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, limit: int = 120_000):
         import regex
 
         super().__init__(limit)
@@ -216,7 +216,7 @@ def encode_documents(
         for ids, texts in slices(batches, 8_000_000):
             yield pa.RecordBatch.from_arrays([ids, _lists(*encoder.encode(texts))], ["doc_id", "ids"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -232,7 +232,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def append_documents(
@@ -249,4 +249,4 @@ def append_documents(
             longer = [encoder.append(text or "", ids or [], tail or "") for text, ids, tail in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(longer, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col], docs[text_col], docs[ids_col], docs[tail_col]).mapInArrow(run, f"doc_id {source}, ids array<int>")
+    return map_batches(docs.select(docs[id_col], docs[text_col], docs[ids_col], docs[tail_col]), run, f"doc_id {source}, ids array<int>")

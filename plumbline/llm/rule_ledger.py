@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sliced, texts_of
+from plumbline.llm.common import map_batches, sliced, texts_of
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -96,7 +96,7 @@ def ledger(docs: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, np.ascontiguousarray(table.T))], ["doc_id", *MEASURES])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    measured = source.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{m} long" for m in MEASURES)]))
+    measured = map_batches(source, run, ", ".join([f"doc_id {kind}", *(f"{m} long" for m in MEASURES)]))
     failed = F.lit(0).cast("long")
     for bit, (_, condition) in enumerate(rules or RULES):
         failed = failed.bitwiseOR(F.when(F.expr(condition), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plumbline.llm.common import components, sliced, texts_of
+from plumbline.llm.common import components, map_batches, sliced, texts_of
 from plumbline.session import cut_lineage, drop_stage
 
 BITS = 64
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
             prints = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
 @functools.lru_cache(maxsize=256)
@@ -182,7 +182,7 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
 
     schema = StructType([*docs.schema.fields, StructField("__print", LongType())])
-    lone = docs.where(docs[id_col].isNull()).mapInArrow(run, schema).join(nameless, F.col("__print") == F.col("__of"))
+    lone = map_batches(docs.where(docs[id_col].isNull()), run, schema).join(nameless, F.col("__print") == F.col("__of"))
     lone = lone.withColumn("__row", F.row_number().over(Window.partitionBy("__component").orderBy(F.col(text_col)))).where("__row = 1")
     return chosen.unionByName(lone.select(*docs.columns))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from plumbline.llm.common import UINT32, slices, texts_of
+from plumbline.llm.common import UINT32, map_batches, slices, texts_of
 from plumbline.llm.encoding import text_encoder, vocabulary
 from plumbline.session import cut_lineage, scratch_path
 
@@ -240,7 +240,7 @@ def write_shards(
             yield close()
 
     written = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = cut_lineage(written.mapInArrow(run, "part int, shard int, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = cut_lineage(map_batches(written, run, "part int, shard int, path string, n_docs long, n_tokens long"), "manifest")
     # one row per partition of the sort, then one per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -259,7 +259,7 @@ def _over_shards(manifest: DataFrame, columns: str, rows) -> DataFrame:
                 yield from rows(load_shard(row["path"]), row["start"])
 
     files = max(1, manifest.count())
-    return manifest.repartition(min(files, 20_000)).mapInArrow(run, columns)
+    return map_batches(manifest.repartition(min(files, 20_000)), run, columns)
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
