@@ -41,16 +41,36 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` (64 bits as a long) of every whole text; null texts count as empty."""
+def word_prints(text: str, seeds: int) -> list[int]:
+    """SimHashes of the set of lower-cased words, one for each seed; zero for a text of no words."""
+    words = set(text.encode().lower().split())
+    if not words:
+        return [0] * seeds
+    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = []
+    for seed in range(1, seeds + 1):
+        h = (base ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = ((h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)).astype("<u8")
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprints(
+    docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", word_seeds: int = 0
+) -> DataFrame:
+    """``doc_id, fingerprint`` (64 bits as a long) of every whole text, and ``w1, w2, ..`` of its set of
+    words for as many ``word_seeds``; null texts count as empty."""
     source = texts_of(docs, id_col, text_col)
+    names = ["doc_id", "fingerprint", *(f"w{k + 1}" for k in range(word_seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in sliced(batches):
-            prints = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+            prints = np.array([[fingerprint(t, words, seed), *word_prints(t, word_seeds)] for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T)], names)
 
-    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    kinds = [f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]
+    return map_batches(source, run, ", ".join(kinds))
 
 
 @functools.lru_cache(maxsize=256)
@@ -60,14 +80,16 @@ def flips(width: int, most: int) -> np.ndarray:
     return np.array(masks, dtype=np.uint64)
 
 
-def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_000_000) -> np.ndarray:
+def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_000_000, direct: bool = False) -> np.ndarray:
     """Least fingerprint each of ``prints`` is linked to by variants whose first ``depth`` bits are ``cell``.
 
     Two fingerprints collide on a variant within ``half`` bits of both.  Instead of all pairs, the
     owners of a variant are checked against its least owner and united.  A cell of more than
     ``limit`` variants is worked off in halves, so memory stays bounded however dense it is.
+    With ``direct``, what is returned is not the least of all that are united, but two rows: the
+    least that a fingerprint itself collides with, and the closest below it.
     """
-    root = np.arange(len(prints))
+    root, below = np.arange(len(prints)), np.full(len(prints), -1)
     work = [(np.arange(len(prints)), cell, depth)]
     while work:
         of, cell, depth = work.pop()
@@ -88,7 +110,7 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
             variants.append(((prints[mine] & low)[:, None] ^ masks).ravel())
             owners.append(np.repeat(mine, len(masks)))
         variant, owner = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(variant)
+        order = np.lexsort((owner, variant)) if direct else np.argsort(variant)
         variant, owner = variant[order], owner[order]
         same = variant[1:] == variant[:-1]
         if not same.any():
@@ -98,6 +120,11 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
         first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         group = np.cumsum(np.concatenate([[False], variant[1:] != variant[:-1]]))
         least = np.minimum.reduceat(owner, first)[group]
+        if direct:
+            np.minimum.at(root, owner, least)
+            follows = np.flatnonzero(variant[1:] == variant[:-1]) + 1
+            np.maximum.at(below, owner[follows], owner[follows - 1])
+            continue
         ok = np.bitwise_count(prints[owner] ^ prints[least]) <= 2 * half
         owner, least = owner[ok], least[ok]
         while True:  # unite: the lower of two roots takes over the other
@@ -109,11 +136,14 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
             root = root[root]
             if (root == before).all():
                 break
+    if direct:
+        return prints[np.stack([root, np.where(below < 0, root, below)])]
     return prints[root]
 
 
-def links(distinct: DataFrame, radius: int, depth: int) -> DataFrame:
-    """``a, b``: fingerprints within ``radius`` bits of each other, as a forest over all such pairs.
+def links(distinct: DataFrame, radius: int, depth: int, direct: bool = False) -> DataFrame:
+    """``a, b``: fingerprints within ``radius`` bits of each other, as a forest over all such pairs; with
+    ``direct``, in each cell the least and the closest that a fingerprint collides with.
 
     The variants of a fingerprint travel by their first ``depth`` bits: one row per prefix that a
     variant can have, from which the receiving task makes the variants with that prefix.
@@ -126,29 +156,93 @@ def links(distinct: DataFrame, radius: int, depth: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         prints = np.unique(table.column("fingerprint").to_numpy().view(np.uint64))
-        root = forest(prints, key[0].as_py(), depth, half)
-        linked = root != prints
-        return pa.table({"a": prints[linked].view(np.int64), "b": root[linked].view(np.int64)})
+        found = np.atleast_2d(forest(prints, key[0].as_py(), depth, half, direct=direct))
+        prints = np.broadcast_to(prints, found.shape)
+        linked = found != prints
+        return pa.table({"a": prints[linked].view(np.int64), "b": found[linked].view(np.int64)})
 
     return cells.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _depth(nodes: int) -> int:
+    """Bits that part the cells: a cell holds about a hundred fingerprints before the variants of their
+    neighbours come in, or fewer."""
+    return min(24, max(11, nodes.bit_length() - 7))
+
+
+BROADCAST_ROWS = 500_000
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, seeds: int, radius: int, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``a, b``: fingerprints of texts whose shingles of ``width`` words have a Jaccard similarity of
+    ``similarity`` or more.
+
+    SimHashes of word sets move far less with an edit than those of shingles, so they meet within the
+    radius; what meets (equal prints with the least of them, and those with the least they are
+    linked to) is verified on the whole texts.  A node's text is that of its least id.
+    """
+    chosen = prints.join(nodes.select(F.col("fingerprint").alias("f"), "first"), (F.col("fingerprint") == F.col("f")) & (F.col("doc_id") == F.col("first")))
+    chosen = cut_lineage(chosen.select("doc_id", "fingerprint", *(f"w{k + 1}" for k in range(seeds))).dropDuplicates(["fingerprint"]), "word-prints")
+    depth, pairs = _depth(chosen.count()), []
+    for k in range(seeds):
+        heads = cut_lineage(chosen.groupBy(F.col(f"w{k + 1}").alias("w")).agg(F.min("fingerprint").alias("head")), "word-heads")
+        same = chosen.join(heads, F.col(f"w{k + 1}") == F.col("w")).select(F.col("fingerprint").alias("a"), F.col("head").alias("b"))
+        near = links(heads.select(F.col("w").alias("fingerprint")), radius, depth, direct=True)
+        ends = [heads.select(F.col("w").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
+        pairs += [same, near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))]
+    asked = cut_lineage(functools.reduce(DataFrame.union, pairs).where("a <> b").distinct(), "word-pairs")
+    wanted = cut_lineage(asked.select("a").union(asked.select("b")).distinct().join(chosen, F.col("a") == F.col("fingerprint")).select("doc_id", "fingerprint"), "word-nodes")
+    # the texts are not shuffled for a few ids
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = cut_lineage(texts_of(docs, id_col, text_col).join(ids, "doc_id").groupBy("fingerprint").agg(F.min("text").alias("text")), "word-texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = _shingles(x, width), _shingles(y, width)
+                near.append(len(p & q) >= similarity * len(p | q))
+            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+    both = asked.join(texts.select(F.col("fingerprint").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(texts.select(F.col("fingerprint").alias("b"), F.col("text").alias("y")), "b")
+    return map_batches(both.select("a", "b", "x", "y"), verify, "a long, b long")
+
+
+def _shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+
+
+def near_copies(
+    docs: DataFrame,
+    words: int = 4,
+    radius: int = 4,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float | None = None,
+    width: int = 5,
+    word_seeds: int = 4,
+) -> DataFrame:
     """``doc_id, fingerprint, component_id, component`` of every document (``component``: a fingerprint of it).
 
-    Documents whose fingerprints differ in at most ``radius`` (even) bits are linked; a component
-    is everything reachable, named after its least id.  Equal fingerprints are one node, however
-    many documents share it.  Null and empty texts have fingerprint zero and are linked like any
-    other; null ids are never a component's name unless it has no other; rows that repeat stay;
-    an empty table gives no rows.
+    Documents whose fingerprints differ in at most ``radius`` (even) bits are linked; with a
+    ``similarity``, so are those whose shingles of ``width`` words have that Jaccard similarity, as far as one
+    of ``word_seeds`` SimHashes of their words meets.  A component is everything reachable, named
+    after its least id.  Equal fingerprints are one node, however many documents share it.  Null
+    and empty texts have fingerprint zero and are linked like any other; null ids are never a
+    component's name unless it has no other; rows that repeat stay; an empty table gives no rows.
     """
     if radius % 2:
         raise ValueError("half the radius must be whole")
-    prints = cut_lineage(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
+    seeds = word_seeds if similarity is not None else 0
+    prints = cut_lineage(fingerprints(docs, words, seed, id_col, text_col, seeds), "fingerprints")
     nodes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
-    # about a hundred fingerprints to a cell before the variants of their neighbours come in
-    depth = min(24, max(4, nodes.count().bit_length() - 7))
-    found = components(links(nodes.select("fingerprint"), radius, depth), "print-links")
+    linked = links(nodes.select("fingerprint"), radius, _depth(nodes.count()))
+    if similarity is not None:
+        linked = linked.union(similar_links(docs, prints, nodes, seeds, radius, similarity, width, id_col, text_col))
+    found = components(linked, "print-links")
     grouped = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
     )
@@ -160,13 +254,15 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8
+) -> DataFrame:
     """One document of each group of near copies, with all its columns: that of the least id.
 
     Rows that share an id are one document, for which the row of the least text stays.  Of a group
     in which no row has an id, the row of the least text stays.
     """
-    found = near_copies(docs, words, radius, seed, id_col, text_col)
+    found = cut_lineage(near_copies(docs, words, radius, seed, id_col, text_col, similarity), "near-copies")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     chosen = docs.join(kept, docs[id_col] == F.col("__kept"))
     chosen = chosen.withColumn("__row", F.row_number().over(Window.partitionBy("__kept").orderBy(docs[text_col])))

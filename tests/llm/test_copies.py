@@ -100,11 +100,37 @@ def test_near_copies_against_all_pairs(make):
     assert {r["doc_id"]: (r["fingerprint"] & (1 << 64) - 1, r["component_id"]) for r in rows} == {i: (prints[i], name[i]) for i in prints}
 
 
+def similar(x, y):
+    a, b = (({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for w in ((t or "").lower().split() for t in (x, y)))
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_similar_texts_are_one_group(make):
+    texts = dict(copies())
+    for k in range(6):
+        words = prose(20 + k, 300).split()
+        texts[500 + k] = " ".join(words)
+        for at in (30, 90, 150, 210):
+            words[at + k] = "changed"
+        texts[400 + k] = " ".join(words)
+    prints = {i: plain_fingerprint(t or "") for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4]
+    alike = [(a, b) for a in texts for b in texts if similar(texts[a], texts[b])]
+    got = {}
+    for r in simhash.near_copies(make(texts.items()), similarity=0.8).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == groups(near + alike)
+    assert len(groups(near + alike)) < len(groups(near))
+
+
 def test_one_of_each_group_stays(make, edge, nothing):
     texts = copies()
-    kept = simhash.keep_one(make(texts))
     prints = {i: plain_fingerprint(t or "") for i, t in texts}
     links = [(a, b) for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= 4]
+    kept = simhash.keep_one(make(texts), similarity=None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups(links))
+    links += [(a, b) for a, x in texts for b, y in texts if similar(x, y)]
+    kept = simhash.keep_one(make(texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups(links))
     rows = simhash.keep_one(edge).collect()
     # 2, 9 and 9 are copies; 3 and 7 and the null without an id are without words
