@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.llm.common import components, map_batches, sliced, texts_of
+from plumbline.llm.passages import shingle_hashes
 from plumbline.session import cut_lineage, drop_stage
 
 BITS = 64
@@ -41,36 +42,55 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def word_prints(text: str, seeds: int) -> list[int]:
-    """SimHashes of the set of lower-cased words, one for each seed; zero for a text of no words."""
-    words = set(text.encode().lower().split())
-    if not words:
-        return [0] * seeds
-    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out = []
-    for seed in range(1, seeds + 1):
-        h = (base ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = ((h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)).astype("<u8")
-        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
-    return out
+BANDS, ROWS = 30, 5
+_KEYS = np.array([k * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(1, BANDS * ROWS + 1)], dtype=np.uint64)
+
+
+def shingle_set(text: str, width: int, known: dict[bytes, int]) -> np.ndarray:
+    """Hashes of the lower-cased text's set of shingles of ``width`` words, ascending; a shorter text is one shingle."""
+    words = text.encode().lower().split()
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], dtype=np.uint64)
+    return np.unique(shingle_hashes(words, width, known))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each band of ``ROWS`` min-hashes, the number of the band in it."""
+    least = np.full(len(_KEYS), np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 2_048):  # a long text does not grow the table
+        h = (shingles[at : at + 2_048] ^ _KEYS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        np.minimum(least, h.min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64)
 
 
 def fingerprints(
-    docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", word_seeds: int = 0
+    docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", width: int = 0
 ) -> DataFrame:
-    """``doc_id, fingerprint`` (64 bits as a long) of every whole text, and ``w1, w2, ..`` of its set of
-    words for as many ``word_seeds``; null texts count as empty."""
+    """``doc_id, fingerprint`` (64 bits as a long) of every whole text; null texts count as empty.
+
+    With a ``width`` also ``node`` (hash of the text, as ``xxhash64``), ``size`` of its set of shingles of so many
+    words, and their ``bands``."""
     source = texts_of(docs, id_col, text_col)
-    names = ["doc_id", "fingerprint", *(f"w{k + 1}" for k in range(word_seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in sliced(batches):
-            prints = np.array([[fingerprint(t, words, seed), *word_prints(t, word_seeds)] for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T)], names)
-
-    kinds = [f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]
-    return map_batches(source, run, ", ".join(kinds))
+            prints = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64)
+            columns = {"doc_id": ids, "fingerprint": pa.array(prints.view(np.int64))}
+            if width:
+                known: dict[bytes, int] = {}
+                sets = [shingle_set(t, width, known) for t in texts]
+                nodes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], dtype=np.uint64)
+                keys = np.concatenate([bands(x) for x in sets]) if sets else np.zeros(0, dtype=np.uint64)
+                at = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
+                columns |= {"node": pa.array(nodes.view(np.int64)), "size": pa.array([len(x) for x in sets], pa.int64())}
+                columns["bands"] = pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    more = ", node long, size long, bands array<long>" if width else ""
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long{more}")
 
 
 @functools.lru_cache(maxsize=256)
@@ -80,16 +100,14 @@ def flips(width: int, most: int) -> np.ndarray:
     return np.array(masks, dtype=np.uint64)
 
 
-def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_000_000, direct: bool = False) -> np.ndarray:
+def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_000_000) -> np.ndarray:
     """Least fingerprint each of ``prints`` is linked to by variants whose first ``depth`` bits are ``cell``.
 
     Two fingerprints collide on a variant within ``half`` bits of both.  Instead of all pairs, the
     owners of a variant are checked against its least owner and united.  A cell of more than
     ``limit`` variants is worked off in halves, so memory stays bounded however dense it is.
-    With ``direct``, what is returned is not the least of all that are united, but two rows: the
-    least that a fingerprint itself collides with, and the closest below it.
     """
-    root, below = np.arange(len(prints)), np.full(len(prints), -1)
+    root = np.arange(len(prints))
     work = [(np.arange(len(prints)), cell, depth)]
     while work:
         of, cell, depth = work.pop()
@@ -110,7 +128,7 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
             variants.append(((prints[mine] & low)[:, None] ^ masks).ravel())
             owners.append(np.repeat(mine, len(masks)))
         variant, owner = np.concatenate(variants), np.concatenate(owners)
-        order = np.lexsort((owner, variant)) if direct else np.argsort(variant)
+        order = np.argsort(variant)
         variant, owner = variant[order], owner[order]
         same = variant[1:] == variant[:-1]
         if not same.any():
@@ -120,11 +138,6 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
         first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         group = np.cumsum(np.concatenate([[False], variant[1:] != variant[:-1]]))
         least = np.minimum.reduceat(owner, first)[group]
-        if direct:
-            np.minimum.at(root, owner, least)
-            follows = np.flatnonzero(variant[1:] == variant[:-1]) + 1
-            np.maximum.at(below, owner[follows], owner[follows - 1])
-            continue
         ok = np.bitwise_count(prints[owner] ^ prints[least]) <= 2 * half
         owner, least = owner[ok], least[ok]
         while True:  # unite: the lower of two roots takes over the other
@@ -136,14 +149,11 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
             root = root[root]
             if (root == before).all():
                 break
-    if direct:
-        return prints[np.stack([root, np.where(below < 0, root, below)])]
     return prints[root]
 
 
-def links(distinct: DataFrame, radius: int, depth: int, direct: bool = False) -> DataFrame:
-    """``a, b``: fingerprints within ``radius`` bits of each other, as a forest over all such pairs; with
-    ``direct``, in each cell the least and the closest that a fingerprint collides with.
+def links(distinct: DataFrame, radius: int, depth: int) -> DataFrame:
+    """``a, b``: fingerprints within ``radius`` bits of each other, as a forest over all such pairs.
 
     The variants of a fingerprint travel by their first ``depth`` bits: one row per prefix that a
     variant can have, from which the receiving task makes the variants with that prefix.
@@ -156,8 +166,7 @@ def links(distinct: DataFrame, radius: int, depth: int, direct: bool = False) ->
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         prints = np.unique(table.column("fingerprint").to_numpy().view(np.uint64))
-        found = np.atleast_2d(forest(prints, key[0].as_py(), depth, half, direct=direct))
-        prints = np.broadcast_to(prints, found.shape)
+        found = forest(prints, key[0].as_py(), depth, half)
         linked = found != prints
         return pa.table({"a": prints[linked].view(np.int64), "b": found[linked].view(np.int64)})
 
@@ -173,45 +182,74 @@ def _depth(nodes: int) -> int:
 BROADCAST_ROWS = 500_000
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, seeds: int, radius: int, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``a, b``: fingerprints of texts whose shingles of ``width`` words have a Jaccard similarity of
-    ``similarity`` or more.
+def similar_links(docs: DataFrame, prints: DataFrame, grouped: DataFrame, similarity: float, width: int, text_col: str) -> DataFrame:
+    """``a, b``: components of ``grouped`` that hold texts whose shingles of ``width`` words have a Jaccard
+    similarity of ``similarity`` or more.
 
-    SimHashes of word sets move far less with an edit than those of shingles, so they meet within the
-    radius; what meets (equal prints with the least of them, and those with the least they are
-    linked to) is verified on the whole texts.  A node's text is that of its least id.
+    Texts that share a band of min-hashes are asked, unless they are known to be one component or their sizes
+    rule it out.  A round asks the next few members of each band against all others; a band is done when its
+    members are one component or all have been asked, so none of its pairs is left out.
     """
-    chosen = prints.join(nodes.select(F.col("fingerprint").alias("f"), "first"), (F.col("fingerprint") == F.col("f")) & (F.col("doc_id") == F.col("first")))
-    chosen = cut_lineage(chosen.select("doc_id", "fingerprint", *(f"w{k + 1}" for k in range(seeds))).dropDuplicates(["fingerprint"]), "word-prints")
-    depth, pairs = _depth(chosen.count()), []
-    for k in range(seeds):
-        heads = cut_lineage(chosen.groupBy(F.col(f"w{k + 1}").alias("w")).agg(F.min("fingerprint").alias("head")), "word-heads")
-        same = chosen.join(heads, F.col(f"w{k + 1}") == F.col("w")).select(F.col("fingerprint").alias("a"), F.col("head").alias("b"))
-        near = links(heads.select(F.col("w").alias("fingerprint")), radius, depth, direct=True)
-        ends = [heads.select(F.col("w").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
-        pairs += [same, near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))]
-    asked = cut_lineage(functools.reduce(DataFrame.union, pairs).where("a <> b").distinct(), "word-pairs")
-    wanted = cut_lineage(asked.select("a").union(asked.select("b")).distinct().join(chosen, F.col("a") == F.col("fingerprint")).select("doc_id", "fingerprint"), "word-nodes")
-    # the texts are not shuffled for a few ids
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = cut_lineage(texts_of(docs, id_col, text_col).join(ids, "doc_id").groupBy("fingerprint").agg(F.min("text").alias("text")), "word-texts")
+    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = nodes.join(grouped.select("fingerprint", F.col("component").alias("part")), "fingerprint")
+    nodes = cut_lineage(nodes.select("node", "size", "part", "bands"), "band-nodes")
+    rows = nodes.select("node", "size", "part", F.explode("bands").alias("band"))
+    mixed = rows.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
+    rows = cut_lineage(rows.join(mixed, "band").select("band", "node", "size", "part", F.col("part").alias("label")), "band-rows")
+    drop_stage(nodes)
+    asked = found = None
+    heads = 1
+    while not rows.isEmpty():
+        chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("node"))).where(F.col("n") <= heads)
+        chosen = cut_lineage(chosen.select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "part", "label"))), "band-heads")
+        met = chosen.join(rows, "band").where("node_a < node AND label_a <> label").where(F.least("size", "size_a") >= F.greatest("size", "size_a") * similarity)
+        pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "part_a", F.col("part").alias("part_b")).dropDuplicates(["a", "b"])
+        pairs = cut_lineage(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "band-pairs")
+        verified = cut_lineage(verified_pairs(docs, pairs, similarity, width, text_col), "similar")
+        asked = pairs.select("a", "b") if asked is None else asked.union(pairs.select("a", "b"))
+        found = verified if found is None else found.union(verified)
+        # the chosen have been asked against all others of their band
+        after = chosen.groupBy("band").agg(F.max("node_a").alias("after"))
+        rest = (rows if verified.isEmpty() else _relabelled(rows, found)).join(after, "band").where("node > after").drop("after")
+        rest = cut_lineage(rest, "band-rest")
+        mixed = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+        following = cut_lineage(rest.join(mixed, "band").select("band", "node", "size", "part", "label"), "band-rows")
+        for stage in (rows, chosen, rest):
+            drop_stage(stage)
+        rows, heads = following, heads * 4
+    drop_stage(rows)
+    return found
+
+
+def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with the component that each one's part has by the links found."""
+    names = components(found, "similar-links").select(F.col("node").alias("part"), F.col("component").alias("named"))
+    return rows.join(names, "part", "left").select("band", "node", "size", "part", F.coalesce("named", "part").alias("label"))
+
+
+def verified_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: int, text_col: str) -> DataFrame:
+    """``a, b`` (the parts) of those pairs whose texts have the similarity; texts are known by their hash."""
+    wanted = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
+    # the texts are not shuffled for a few nodes
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    texts = cut_lineage(texts.join(few, "node").groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = _shingles(x, width), _shingles(y, width)
-                near.append(len(p & q) >= similarity * len(p | q))
-            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+            near, known, sets = [], {}, {}
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (sets[t] if t in sets else sets.setdefault(t, shingle_set(t, width, known)) for t in (x.as_py(), y.as_py()))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(both >= similarity * (len(p) + len(q) - both))
+                if len(sets) > 200:
+                    sets.clear()
+            kept = batch.filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    both = asked.join(texts.select(F.col("fingerprint").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("fingerprint").alias("b"), F.col("text").alias("y")), "b")
-    return map_batches(both.select("a", "b", "x", "y"), verify, "a long, b long")
-
-
-def _shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
-    words = text.encode().lower().split()
-    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return map_batches(both.select("part_a", "part_b", "x", "y"), verify, "a long, b long").distinct()
 
 
 def near_copies(
@@ -223,30 +261,32 @@ def near_copies(
     text_col: str = "text",
     similarity: float | None = None,
     width: int = 5,
-    word_seeds: int = 4,
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id, component`` of every document (``component``: a fingerprint of it).
 
     Documents whose fingerprints differ in at most ``radius`` (even) bits are linked; with a
     ``similarity``, so are those whose shingles of ``width`` words have that Jaccard similarity, as far as one
-    of ``word_seeds`` SimHashes of their words meets.  A component is everything reachable, named
+    of ``BANDS`` bands of ``ROWS`` min-hashes meets (at 0.8, all but 7 pairs in a million).  A component is everything reachable, named
     after its least id.  Equal fingerprints are one node, however many documents share it.  Null
     and empty texts have fingerprint zero and are linked like any other; null ids are never a
     component's name unless it has no other; rows that repeat stay; an empty table gives no rows.
     """
     if radius % 2:
         raise ValueError("half the radius must be whole")
-    seeds = word_seeds if similarity is not None else 0
-    prints = cut_lineage(fingerprints(docs, words, seed, id_col, text_col, seeds), "fingerprints")
+    prints = cut_lineage(fingerprints(docs, words, seed, id_col, text_col, width if similarity is not None else 0), "fingerprints")
     nodes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
-    linked = links(nodes.select("fingerprint"), radius, _depth(nodes.count()))
-    if similarity is not None:
-        linked = linked.union(similar_links(docs, prints, nodes, seeds, radius, similarity, width, id_col, text_col))
-    found = components(linked, "print-links")
+    found = components(links(nodes.select("fingerprint"), radius, _depth(nodes.count())), "print-links")
     grouped = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
     )
     grouped = cut_lineage(grouped, "print-groups")
+    if similarity is not None:
+        alike = similar_links(docs, prints, grouped, similarity, width, text_col)
+        if alike is not None:
+            united = components(alike, "similar-links").select(F.col("node").alias("component"), F.col("component").alias("united"))
+            before, grouped = grouped, grouped.join(united, "component", "left").select("fingerprint", "first", F.coalesce("united", "component").alias("component"))
+            grouped = cut_lineage(grouped, "print-groups")
+            drop_stage(before)
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     named = cut_lineage(grouped.join(names, "component").select("fingerprint", "component_id", "component"), "print-names")
     drop_stage(grouped)

@@ -123,6 +123,54 @@ def test_similar_texts_are_one_group(make):
     assert len(groups(near + alike)) < len(groups(near))
 
 
+def shuffled_vocabulary():
+    """Many orders of one set of words, and near copies of some of them."""
+    rng = random.Random(8)
+    vocabulary = prose(77, 300).split()
+    texts = []
+    for k in range(40):
+        words = rng.sample(vocabulary, len(vocabulary))
+        texts.append((k, " ".join(words)))
+        if k % 4 == 0:
+            for j in range(3):  # words change places, so the set of words stays
+                at = 20 + 90 * j
+                words[at], words[at + 1] = words[at + 1], words[at]
+                texts.append((1_000 + 10 * k + j, " ".join(words)))
+    return rng.sample(texts, len(texts))
+
+
+def test_similar_texts_of_one_vocabulary_are_one_group(make):
+    texts = dict(shuffled_vocabulary())
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4]
+    alike = [(a, b) for a in texts for b in texts if similar(texts[a], texts[b])]
+    got = {}
+    for r in simhash.near_copies(make(texts.items()), similarity=0.8).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == groups(near + alike)
+    assert len(groups(near + alike)) == 40 < len(groups(near))
+
+
+def test_pairs_of_a_band_are_all_asked(make):
+    # a chain: each is similar to the next alone, and all share long passages
+    words = prose(60, 400).split()
+    texts = {}
+    for k in range(14):
+        texts[k] = " ".join(words)
+        for j in range(3):
+            words[(k * 29 + j * 131) % 400] = f"new{k}x{j}"
+    texts |= {100 + k: " ".join(f"only{k}y{j}" if j % 17 == k % 17 else w for j, w in enumerate(prose(60, 400).split())) for k in range(12)}
+    alike = [(a, b) for a in texts for b in texts if similar(texts[a], texts[b])]
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4]
+    rows = simhash.near_copies(make([*texts.items(), (None, texts[3] + " end")]), similarity=0.8).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g - {None}) for g in got.values()} == groups(near + alike)
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [r["component_id"] for r in rows if r["doc_id"] == 3]
+
+
 def test_one_of_each_group_stays(make, edge, nothing):
     texts = copies()
     prints = {i: plain_fingerprint(t or "") for i, t in texts}
