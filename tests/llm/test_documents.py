@@ -78,6 +78,27 @@ def test_sanitised_texts(make, edge, nothing):
     assert disclosure.sanitise(nothing).collect() == disclosure.find_private(nothing).collect() == []
 
 
+def test_terms_far_from_the_value_and_without_it(make):
+    texts = [(k, f"Kwyjibo {prose(k, 60)} write to one@acme.org {prose(k + 50, 30)}") for k in range(8)]
+    texts += [(100 + k, f"write to {prose(k + 200, 40)}") for k in range(80)] + [(300, "a kwyjibo, alone: Kwyjibo")]
+    rows = {r["doc_id"]: r for r in disclosure.find_private(make(texts)).collect()}
+    assert [(t["start"], t["end"]) for t in rows[3]["terms"]] == [(0, 7)]  # 400 characters before it
+    assert [(t["start"], t["end"]) for t in rows[300]["terms"]] == [(2, 9), (18, 25)]
+    got = {r["doc_id"]: r["text"] for r in disclosure.sanitise(make(texts), remove=2.0).collect()}
+    assert got[300] == "a <TERM>, alone: <TERM>" and got[3].startswith("<TERM> ")
+
+
+def test_copies_do_not_hide_a_term_and_entities_link_values(make):
+    texts = [(k, f"{prose(k, 20)} ask Zorblax 10.0.0.1 {prose(k + 50, 20)}") for k in range(4)]
+    texts += [(50 + k, texts[0][1]) for k in range(30)] + [(100 + k, f"{prose(k + 100, 30)}") for k in range(80)]
+    texts += [(200 + k, f"{prose(k + 300, 20)} Kwyjibo p{k}@acme.org {prose(k + 400, 20)}") for k in range(4)]
+    texts += [(210 + k, f"{prose(k + 500, 20)} Quuxor 10.7.7.{k} {prose(k + 600, 20)}") for k in range(4)]
+    rows = {r["doc_id"]: r for r in disclosure.find_private(make(texts)).collect()}
+    for k, text in texts:
+        want = {"Zorblax", "Kwyjibo", "Quuxor"}.intersection(text.split())
+        assert want <= {text[t["start"] : t["end"]] for t in rows[k]["terms"]}
+
+
 def test_native_plan(make):
     found = disclosure.find_private(make(private_texts()))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
