@@ -124,6 +124,13 @@ def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_rows(repeated_passages(read_table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.lexical import build_index, search
+
+    return search(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op12_grammar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.chat import format_conversations, loss_text, parse
@@ -196,3 +203,16 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM p
 """
+
+ORACLES["op11_range_maximum_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+tf AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY t),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+q AS (SELECT iid, item_id, t, count(*) AS times FROM (SELECT iid, item_id, unnest(ts) AS t FROM i) x GROUP BY ALL),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
