@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,10 +12,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.llm.common import components, map_batches, sliced, texts_of
-from plumbline.llm.passages import shingle_hashes
 from plumbline.session import cut_lineage, drop_stage
 
 BITS = 64
@@ -42,55 +41,18 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-BANDS, ROWS = 30, 5
-_KEYS = np.array([k * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(1, BANDS * ROWS + 1)], dtype=np.uint64)
-
-
-def shingle_set(text: str, width: int, known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of the lower-cased text's set of shingles of ``width`` words, ascending; a shorter text is one shingle."""
-    words = text.encode().lower().split()
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], dtype=np.uint64)
-    return np.unique(shingle_hashes(words, width, known))
-
-
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each band of ``ROWS`` min-hashes, the number of the band in it."""
-    least = np.full(len(_KEYS), np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 2_048):  # a long text does not grow the table
-        h = (shingles[at : at + 2_048] ^ _KEYS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        np.minimum(least, h.min(axis=1), out=least)
-    rows = least.astype("<u8").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64)
-
-
-def fingerprints(
-    docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", width: int = 0
-) -> DataFrame:
-    """``doc_id, fingerprint`` (64 bits as a long) of every whole text; null texts count as empty.
-
-    With a ``width`` also ``node`` (hash of the text, as ``xxhash64``), ``size`` of its set of shingles of so many
-    words, and their ``bands``."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint`` (64 bits as a long) and ``digest`` (MD5 of the text) of every whole text; null
+    texts count as empty, rows that repeat stay, an empty table gives no rows."""
     source = texts_of(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in sliced(batches):
             prints = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64)
-            columns = {"doc_id": ids, "fingerprint": pa.array(prints.view(np.int64))}
-            if width:
-                known: dict[bytes, int] = {}
-                sets = [shingle_set(t, width, known) for t in texts]
-                nodes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], dtype=np.uint64)
-                keys = np.concatenate([bands(x) for x in sets]) if sets else np.zeros(0, dtype=np.uint64)
-                at = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
-                columns |= {"node": pa.array(nodes.view(np.int64)), "size": pa.array([len(x) for x in sets], pa.int64())}
-                columns["bands"] = pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_pydict(columns)
+            digests = [hashlib.md5(t.encode(), usedforsecurity=False).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "fingerprint": pa.array(prints.view(np.int64)), "digest": pa.array(digests, pa.string())})
 
-    more = ", node long, size long, bands array<long>" if width else ""
-    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long{more}")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long, digest string")
 
 
 @functools.lru_cache(maxsize=256)
@@ -152,25 +114,51 @@ def forest(prints: np.ndarray, cell: int, depth: int, half: int, limit: int = 3_
     return prints[root]
 
 
-def links(distinct: DataFrame, radius: int, depth: int) -> DataFrame:
+def cells_of(distinct: DataFrame, half: int, depth: int) -> DataFrame:
+    """``cell, fingerprint``: every prefix of ``depth`` bits that a variant of the fingerprint can have."""
+    masks = F.array(*[F.lit(int(m)) for m in flips(depth, half)])
+    prefix = F.shiftrightunsigned("fingerprint", BITS - depth)
+    return distinct.select(F.explode(F.transform(masks, lambda m: prefix.bitwiseXOR(m))).alias("cell"), "fingerprint")
+
+
+def deeper(cells: DataFrame, half: int, depth: int, more: int) -> DataFrame:
+    """The rows of cells of ``depth`` bits by the cells of ``more`` further bits that their variants reach."""
+    prefix = F.shiftrightunsigned("fingerprint", BITS - depth)
+    left = F.lit(half) - F.bit_count(prefix.bitwiseXOR(F.col("cell")))
+    masks = F.array(*[F.struct(F.lit(int(m)).alias("mask"), F.lit(int(m).bit_count()).alias("cost")) for m in flips(more, half)])
+    following = F.shiftrightunsigned("fingerprint", BITS - depth - more).bitwiseAND((1 << more) - 1)
+    children = F.transform(F.filter(masks, lambda m: m["cost"] <= left), lambda m: F.shiftleft("cell", more).bitwiseOR(following.bitwiseXOR(m["mask"])))
+    return cells.select(F.explode(children).alias("cell"), "fingerprint")
+
+
+def links(distinct: DataFrame, radius: int, depth: int, crowd: int = 200_000) -> DataFrame:
     """``a, b``: fingerprints within ``radius`` bits of each other, as a forest over all such pairs.
 
     The variants of a fingerprint travel by their first ``depth`` bits: one row per prefix that a
-    variant can have, from which the receiving task makes the variants with that prefix.
+    variant can have, from which the receiving task makes the variants with that prefix.  Cells of more
+    than ``crowd`` fingerprints are dealt out by further bits before anything is gathered, as often as it takes.
     """
     half = radius // 2
-    masks = F.array(*[F.lit(int(m)) for m in flips(depth, half)])
-    cells = distinct.select(
-        F.explode(F.transform(masks, lambda m: F.shiftrightunsigned("fingerprint", BITS - depth).bitwiseXOR(m))).alias("cell"), "fingerprint"
-    )
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        prints = np.unique(table.column("fingerprint").to_numpy().view(np.uint64))
-        found = forest(prints, key[0].as_py(), depth, half)
-        linked = found != prints
-        return pa.table({"a": prints[linked].view(np.int64), "b": found[linked].view(np.int64)})
+    def joined(cells: DataFrame, depth: int) -> DataFrame:
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            prints = np.unique(table.column("fingerprint").to_numpy().view(np.uint64))
+            found = forest(prints, key[0].as_py(), depth, half)
+            linked = found != prints
+            return pa.table({"a": prints[linked].view(np.int64), "b": found[linked].view(np.int64)})
 
-    return cells.groupBy("cell").applyInArrow(run, "a long, b long")
+        return cells.groupBy("cell").applyInArrow(run, "a long, b long")
+
+    cells, out = cells_of(distinct, half, depth), None
+    while True:
+        crowded = cells.groupBy("cell").count().where(F.col("count") > crowd).select("cell")
+        crowded = cut_lineage(crowded, "crowded-cells")
+        if depth + 8 >= BITS or crowded.isEmpty():
+            found = joined(cells, depth)
+            return found if out is None else out.union(found)
+        found = joined(cells.join(crowded, "cell", "left_anti"), depth)
+        out = found if out is None else out.union(found)
+        cells, depth = deeper(cells.join(crowded, "cell", "left_semi"), half, depth, 8), depth + 8
 
 
 def _depth(nodes: int) -> int:
@@ -179,148 +167,52 @@ def _depth(nodes: int) -> int:
     return min(24, max(11, nodes.bit_length() - 7))
 
 
-BROADCAST_ROWS = 500_000
-
-
-def similar_links(docs: DataFrame, prints: DataFrame, grouped: DataFrame, similarity: float, width: int, text_col: str) -> DataFrame:
-    """``a, b``: components of ``grouped`` that hold texts whose shingles of ``width`` words have a Jaccard
-    similarity of ``similarity`` or more.
-
-    Texts that share a band of min-hashes are asked, unless they are known to be one component or their sizes
-    rule it out.  A round asks the next few members of each band against all others; a band is done when its
-    members are one component or all have been asked, so none of its pairs is left out.
-    """
-    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = nodes.join(grouped.select("fingerprint", F.col("component").alias("part")), "fingerprint")
-    nodes = cut_lineage(nodes.select("node", "size", "part", "bands"), "band-nodes")
-    rows = nodes.select("node", "size", "part", F.explode("bands").alias("band"))
-    mixed = rows.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    rows = cut_lineage(rows.join(mixed, "band").select("band", "node", "size", "part", F.col("part").alias("label")), "band-rows")
-    drop_stage(nodes)
-    asked = found = None
-    heads = 1
-    while not rows.isEmpty():
-        chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("node"))).where(F.col("n") <= heads)
-        chosen = cut_lineage(chosen.select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "part", "label"))), "band-heads")
-        met = chosen.join(rows, "band").where("node_a < node AND label_a <> label").where(F.least("size", "size_a") >= F.greatest("size", "size_a") * similarity)
-        pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "part_a", F.col("part").alias("part_b")).dropDuplicates(["a", "b"])
-        pairs = cut_lineage(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "band-pairs")
-        verified = cut_lineage(verified_pairs(docs, pairs, similarity, width, text_col), "similar")
-        asked = pairs.select("a", "b") if asked is None else asked.union(pairs.select("a", "b"))
-        found = verified if found is None else found.union(verified)
-        # the chosen have been asked against all others of their band
-        after = chosen.groupBy("band").agg(F.max("node_a").alias("after"))
-        rest = (rows if verified.isEmpty() else _relabelled(rows, found)).join(after, "band").where("node > after").drop("after")
-        rest = cut_lineage(rest, "band-rest")
-        mixed = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        following = cut_lineage(rest.join(mixed, "band").select("band", "node", "size", "part", "label"), "band-rows")
-        for stage in (rows, chosen, rest):
-            drop_stage(stage)
-        rows, heads = following, heads * 4
-    drop_stage(rows)
-    return found
-
-
-def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows with the component that each one's part has by the links found."""
-    names = components(found, "similar-links").select(F.col("node").alias("part"), F.col("component").alias("named"))
-    return rows.join(names, "part", "left").select("band", "node", "size", "part", F.coalesce("named", "part").alias("label"))
-
-
-def verified_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: int, text_col: str) -> DataFrame:
-    """``a, b`` (the parts) of those pairs whose texts have the similarity; texts are known by their hash."""
-    wanted = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
-    # the texts are not shuffled for a few nodes
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    texts = cut_lineage(texts.join(few, "node").groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, known, sets = [], {}, {}
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (sets[t] if t in sets else sets.setdefault(t, shingle_set(t, width, known)) for t in (x.as_py(), y.as_py()))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                near.append(both >= similarity * (len(p) + len(q) - both))
-                if len(sets) > 200:
-                    sets.clear()
-            kept = batch.filter(pa.array(near, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return map_batches(both.select("part_a", "part_b", "x", "y"), verify, "a long, b long").distinct()
-
-
-def near_copies(
-    docs: DataFrame,
-    words: int = 4,
-    radius: int = 4,
-    seed: int = 42,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    similarity: float | None = None,
-    width: int = 5,
-) -> DataFrame:
-    """``doc_id, fingerprint, component_id, component`` of every document (``component``: a fingerprint of it).
-
-    Documents whose fingerprints differ in at most ``radius`` (even) bits are linked; with a
-    ``similarity``, so are those whose shingles of ``width`` words have that Jaccard similarity, as far as one
-    of ``BANDS`` bands of ``ROWS`` min-hashes meets (at 0.8, all but 7 pairs in a million).  A component is everything reachable, named
-    after its least id.  Equal fingerprints are one node, however many documents share it.  Null
-    and empty texts have fingerprint zero and are linked like any other; null ids are never a
-    component's name unless it has no other; rows that repeat stay; an empty table gives no rows.
-    """
+def linked_prints(prints: DataFrame, radius: int) -> DataFrame:
+    """``fingerprint, component_id, component`` of every distinct fingerprint, written to the shared folder."""
     if radius % 2:
         raise ValueError("half the radius must be whole")
-    prints = cut_lineage(fingerprints(docs, words, seed, id_col, text_col, width if similarity is not None else 0), "fingerprints")
     nodes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
     found = components(links(nodes.select("fingerprint"), radius, _depth(nodes.count())), "print-links")
     grouped = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
     )
     grouped = cut_lineage(grouped, "print-groups")
-    if similarity is not None:
-        alike = similar_links(docs, prints, grouped, similarity, width, text_col)
-        if alike is not None:
-            united = components(alike, "similar-links").select(F.col("node").alias("component"), F.col("component").alias("united"))
-            before, grouped = grouped, grouped.join(united, "component", "left").select("fingerprint", "first", F.coalesce("united", "component").alias("component"))
-            grouped = cut_lineage(grouped, "print-groups")
-            drop_stage(before)
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     named = cut_lineage(grouped.join(names, "component").select("fingerprint", "component_id", "component"), "print-names")
     drop_stage(grouped)
     drop_stage(nodes)
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "component")
+    return named
 
 
-def keep_one(
-    docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8
-) -> DataFrame:
-    """One document of each group of near copies, with all its columns: that of the least id.
+def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id, component, digest`` of every document (``component``: a fingerprint of it).
 
-    Rows that share an id are one document, for which the row of the least text stays.  Of a group
-    in which no row has an id, the row of the least text stays.
+    Documents whose fingerprints differ in at most ``radius`` (even) bits are linked.  A component is everything
+    reachable, named after its least id.  Equal fingerprints are one node, however many documents share it.  Null
+    and empty texts have fingerprint zero and are linked like any other; null ids are never a
+    component's name unless it has no other; rows that repeat stay; an empty table gives no rows.
     """
-    found = cut_lineage(near_copies(docs, words, radius, seed, id_col, text_col, similarity), "near-copies")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = docs.join(kept, docs[id_col] == F.col("__kept"))
-    chosen = chosen.withColumn("__row", F.row_number().over(Window.partitionBy("__kept").orderBy(docs[text_col])))
-    chosen = chosen.where("__row = 1").select(*docs.columns)
-    nameless = cut_lineage(found.where("component_id IS NULL").select(F.col("fingerprint").alias("__of"), F.col("component").alias("__component")).distinct(), "nameless")
-    if nameless.isEmpty():
-        return chosen
-    names, at = [*docs.columns, "__print"], docs.columns.index(text_col)
+    prints = cut_lineage(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
+    return prints.join(linked_prints(prints, radius), "fingerprint").select("doc_id", "fingerprint", "component_id", "component", "digest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t or "", words, seed) for t in batch.column(at).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
-
-    schema = StructType([*docs.schema.fields, StructField("__print", LongType())])
-    lone = map_batches(docs.where(docs[id_col].isNull()), run, schema).join(nameless, F.col("__print") == F.col("__of"))
-    lone = lone.withColumn("__row", F.row_number().over(Window.partitionBy("__component").orderBy(F.col(text_col)))).where("__row = 1")
-    return chosen.unionByName(lone.select(*docs.columns))
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies, with all its columns: that of the least id.
+
+    Rows are told apart by id and text, so unlike texts that share an id are documents of their own; of
+    a group's rows with the least id the one of the least digest stays, of exact repeats of a row one.  A row
+    without an id stays only where no row of its group has one.
+    """
+    found = near_copies(docs, words, radius, seed, id_col, text_col)
+    of_row = found.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    least = of_row.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "n")).alias("kept"))
+    kept = cut_lineage(least.select(F.col("kept.doc_id").alias("__id"), F.col("kept.digest").alias("__digest"), F.col("kept.n").alias("__n")), "kept")
+    digest = F.md5(F.coalesce(docs[text_col], F.lit("")))
+    chosen = docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    if not kept.where("__n > 1").isEmpty():
+        order = Window.partitionBy("__id", "__digest").orderBy(F.lit(0))
+        chosen = chosen.withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return chosen.select(*[chosen[c] for c in docs.columns])
 
 
 def hex_digits(fingerprint) -> F.Column:

@@ -100,84 +100,10 @@ def test_near_copies_against_all_pairs(make):
     assert {r["doc_id"]: (r["fingerprint"] & (1 << 64) - 1, r["component_id"]) for r in rows} == {i: (prints[i], name[i]) for i in prints}
 
 
-def similar(x, y):
-    a, b = (({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for w in ((t or "").lower().split() for t in (x, y)))
-    return len(a & b) >= 0.8 * len(a | b)
-
-
-def test_similar_texts_are_one_group(make):
-    texts = dict(copies())
-    for k in range(6):
-        words = prose(20 + k, 300).split()
-        texts[500 + k] = " ".join(words)
-        for at in (30, 90, 150, 210):
-            words[at + k] = "changed"
-        texts[400 + k] = " ".join(words)
-    prints = {i: plain_fingerprint(t or "") for i, t in texts.items()}
-    near = [(a, b) for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4]
-    alike = [(a, b) for a in texts for b in texts if similar(texts[a], texts[b])]
-    got = {}
-    for r in simhash.near_copies(make(texts.items()), similarity=0.8).collect():
-        got.setdefault(r["component_id"], set()).add(r["doc_id"])
-    assert {frozenset(g) for g in got.values()} == groups(near + alike)
-    assert len(groups(near + alike)) < len(groups(near))
-
-
-def shuffled_vocabulary():
-    """Many orders of one set of words, and near copies of some of them."""
-    rng = random.Random(8)
-    vocabulary = prose(77, 300).split()
-    texts = []
-    for k in range(40):
-        words = rng.sample(vocabulary, len(vocabulary))
-        texts.append((k, " ".join(words)))
-        if k % 4 == 0:
-            for j in range(3):  # words change places, so the set of words stays
-                at = 20 + 90 * j
-                words[at], words[at + 1] = words[at + 1], words[at]
-                texts.append((1_000 + 10 * k + j, " ".join(words)))
-    return rng.sample(texts, len(texts))
-
-
-def test_similar_texts_of_one_vocabulary_are_one_group(make):
-    texts = dict(shuffled_vocabulary())
-    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
-    near = [(a, b) for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4]
-    alike = [(a, b) for a in texts for b in texts if similar(texts[a], texts[b])]
-    got = {}
-    for r in simhash.near_copies(make(texts.items()), similarity=0.8).collect():
-        got.setdefault(r["component_id"], set()).add(r["doc_id"])
-    assert {frozenset(g) for g in got.values()} == groups(near + alike)
-    assert len(groups(near + alike)) == 40 < len(groups(near))
-
-
-def test_pairs_of_a_band_are_all_asked(make):
-    # a chain: each is similar to the next alone, and all share long passages
-    words = prose(60, 400).split()
-    texts = {}
-    for k in range(14):
-        texts[k] = " ".join(words)
-        for j in range(3):
-            words[(k * 29 + j * 131) % 400] = f"new{k}x{j}"
-    texts |= {100 + k: " ".join(f"only{k}y{j}" if j % 17 == k % 17 else w for j, w in enumerate(prose(60, 400).split())) for k in range(12)}
-    alike = [(a, b) for a in texts for b in texts if similar(texts[a], texts[b])]
-    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
-    near = [(a, b) for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4]
-    rows = simhash.near_copies(make([*texts.items(), (None, texts[3] + " end")]), similarity=0.8).collect()
-    got = {}
-    for r in rows:
-        got.setdefault(r["component_id"], set()).add(r["doc_id"])
-    assert {frozenset(g - {None}) for g in got.values()} == groups(near + alike)
-    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [r["component_id"] for r in rows if r["doc_id"] == 3]
-
-
 def test_one_of_each_group_stays(make, edge, nothing):
     texts = copies()
     prints = {i: plain_fingerprint(t or "") for i, t in texts}
     links = [(a, b) for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= 4]
-    kept = simhash.keep_one(make(texts), similarity=None)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups(links))
-    links += [(a, b) for a, x in texts for b, y in texts if similar(x, y)]
     kept = simhash.keep_one(make(texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups(links))
     rows = simhash.keep_one(edge).collect()
@@ -187,6 +113,23 @@ def test_one_of_each_group_stays(make, edge, nothing):
     assert simhash.near_copies(nothing).collect() == simhash.keep_one(nothing).collect() == []
 
 
+def test_unlike_texts_of_one_id_all_stay(make):
+    texts = [(1, prose(1, 90)), (1, prose(2, 90)), (1, prose(1, 90)), (2, prose(2, 90)), (None, prose(3, 90)), (None, prose(4, 90)), (None, prose(1, 90))]
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(make(texts)).collect()), key=repr)
+    assert kept == sorted([texts[0], texts[1], texts[4], texts[5]], key=repr)
+
+
+@pytest.mark.parametrize("crowd", [3, 40])
+def test_crowded_cells_are_dealt_out(spark, crowd):
+    rng = np.random.default_rng(crowd)
+    prints = rng.integers(0, 1 << 62, 60)
+    near = [int(p) ^ sum(1 << int(b) for b in rng.integers(0, 64, 2)) for p in np.repeat(prints[:4], 40)]
+    values = sorted({int(np.int64(np.uint64(v & (1 << 64) - 1))) if v < 1 << 63 else v - (1 << 64) for v in [*prints.tolist(), *near]})
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long"), 4, 6, crowd).collect()
+    every = [(a, b) for a in values for b in values if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
+    assert groups([(r["a"], r["b"]) for r in found] + [(v, v) for v in values]) == groups(every)
+
+
 def test_odd_radius_is_refused(edge):
     with pytest.raises(ValueError):
         simhash.near_copies(edge, radius=3)
