@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import map_batches, slices, texts_of
-from plumbline.llm.encoding import ChunkEncoder, Remembered, vocabulary
+from plumbline.llm.encoding import ChunkEncoder, vocabulary
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,13 +135,12 @@ class PrefixTable:
 class PrefixEncoder(ChunkEncoder):
     """Encodes texts by a rank file, each match of ``pattern`` on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 120_000):
+    def __init__(self, path: str, pattern: str, limit: int = 40_000_000):
         import regex
 
         super().__init__(limit)
         self.merges = Merges(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces = Remembered(limit)
         size = max(self.merges.data) + 1
         self.vocabulary = [self.merges.data.get(i, b"") for i in range(size)]
 
@@ -152,15 +151,14 @@ class PrefixEncoder(ChunkEncoder):
         ids = [token] if token is not None else PrefixTable(self.merges, data).tokens()
         return array("i", ids).tobytes()
 
-    def learn(self, new: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in new]
-        pieces = self.pieces.missing(list(set().union(*split)))
-        self.pieces.new.update((p, self._piece(p)) for p in pieces)
-        get = self.pieces.new.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = [self.split(t) for t in new.to_pylist()]
+        pieces = {p: self._piece(p) for p in set().union(*split)}
+        ids = [b"".join(map(pieces.__getitem__, s)) for s in split]
+        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
     def whole(self, text: str) -> bytes:
-        return self.learn([text])[0]
+        return b"".join(map(self._piece, self.split(text)))
 
     def append(self, text: str, ids: list[int], tail: str) -> list[int]:
         """Ids of ``text + tail`` from the ids of ``text``.
