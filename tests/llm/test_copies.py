@@ -209,6 +209,58 @@ def test_repeats_are_cut_and_the_rest_stays(make, edge, nothing):
     assert passages.remove_repeats(nothing).collect() == passages.passage_rows(passages.repeated_passages(nothing)).collect() == []
 
 
+def near_pairs():
+    """Pairs of documents that share a passage but for some words, by its length and the number of changes."""
+    draw, texts, cells = random.Random(11), {}, {}
+
+    def words(n):
+        return [f"v{draw.randrange(30_000)}" for _ in range(n)]
+
+    for n, changes in ((55, 0), (60, 1), (80, 1), (100, 2), (150, 3), (300, 6)):
+        for _ in range(30):
+            passage = words(n)
+            other = list(passage)
+            for at in draw.sample(range(n), changes):
+                other[at] = f"u{draw.randrange(30_000)}"
+            k = len(texts)
+            texts[k] = " ".join(words(draw.randrange(40)) + passage + words(draw.randrange(40)))
+            start = draw.randrange(40)
+            texts[k + 1] = " ".join(words(start) + other + words(draw.randrange(40)))
+            a, b = shingles(passage), shingles(other)
+            if len(a & b) >= 0.8 * len(a | b):
+                cells.setdefault((n, changes), []).append((k, k + 1, start, n))
+    return texts, cells
+
+
+def test_near_passages_are_found(make):
+    texts, cells = near_pairs()
+    found = {}
+    for r in passages.repeated_passages(make(texts.items())).collect():
+        found.setdefault((r["head"], r["doc"]), set()).update(range(r["start"], r["end"]))
+    for cell, pairs in cells.items():
+        caught = [len(found.get((a, b), set()) & set(range(s, s + n))) >= 0.8 * n for a, b, s, n in pairs]
+        assert sum(caught) >= 0.9 * len(pairs), (cell, sum(caught), len(pairs))
+    assert {p for p in found} <= {(a, b) for pairs in cells.values() for a, b, _, _ in pairs} | {(k, k + 1) for k in texts}
+
+
+def test_longest_stretch_by_hand():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        equal = rng.random(rng.integers(1, 40)) < rng.random()
+        lo, hi = passages.longest_stretch(equal, 0.8)
+        sizes = [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if equal[a:b].mean() >= 0.8 and equal[a] and equal[b - 1]]
+        assert hi - lo >= max((s for s in sizes), default=0) - 1 and (hi == lo or equal[lo:hi].mean() >= 0.8)
+
+
+def test_rows_of_one_id_are_cut_by_their_own_text(make):
+    shared, other = prose(700, 60), prose(701, 80)
+    texts = [(1, prose(5, 40) + " " + shared), (2, shared + " " + prose(6, 40)), (2, other), (None, other + " end"), (None, prose(9, 30))]
+    got = sorted(((r["doc_id"], r["text"]) for r in passages.remove_repeats(make(texts)).collect()), key=repr)
+    assert got == sorted([texts[0], (2, prose(6, 40)), (2, ""), texts[3], texts[4]], key=repr)
+    pairs = {(r["doc"], r["head"]) for r in passages.repeated_passages(make(texts)).collect()}
+    assert pairs == {(2, 1), (2, passages.LEAST_LONG)}
+
+
 def test_cut_words_keeps_what_is_around():
     text = " a b\nc  d e\n"
     assert passages.cut_words(text, []) == text
