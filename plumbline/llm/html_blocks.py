@@ -20,16 +20,26 @@ BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot "
     "th thead title tr ul".split()
 )
-SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "button", "select", "head", "title")
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "button", "select", "title"}
+# Silent elements whose content is text alone, those that end where a block of the page starts, and what a head may hold.
+RAW = {"script", "style", "textarea", "title"}
+INLINE = {"button", "select"}
+OF_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+OF_PAGE = {"article", "blockquote", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "main", "ol", "p", "section", "table", "ul"}
 MARGINS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 CONTENT = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Names of classes, ids and roles that margins go by.
+# Names that margins go by in classes, ids and roles, and words that such names are made up with.
 MARGIN_NAMES = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|nav\w*|menu|breadcrumbs?"
-    r"|sidebar|widget|related|share|sharing|social|comments?|replies|reply|disqus|footer|header|masthead|copyright|pagination|pager|login|search)(?![a-z])"
+    r"ads?|advert\w*|banners?|sponsor\w*|promos?|promotions?|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscribe|nav|navbar|navigation|menus?|breadcrumbs?"
+    r"|sidebars?|widgets?|related|share|sharing|social|comments?|commentlist|replies|reply|disqus|footer|header|masthead|copyright|pagination|pager|login|signin|search|complementary|contentinfo"
 )
+NEUTRAL = re.compile(
+    r"\d+|aside|area|bar|block|body|bottom|box|btn|button|col|container|content|entry|footer|form|global|group|header|inner|item|items|left|links?|list|main|mobile|module|outer|page"
+    r"|panel|primary|right|row|secondary|section|site|slot|sticky|text|title|top|unit|wrap|wrapper|zone"
+)
+COMMENTS = {"comment", "comments", "commentlist", "reply", "replies"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -39,8 +49,6 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WHITE = re.compile(r"[ \t\n\r\f\v ]+")
-#: Decoded references must not be taken for markup, nor for the end of a block.
-
 NUMBERS = ["words", "links", "before_words", "before_links", "after_words", "after_links", "margin", "inside", "heading", "ends"]
 
 
@@ -51,41 +59,79 @@ class Block:
     text: str
     words: int
     linked: int
-    margin: bool
+    margin: float
     inside: bool
     heading: bool
 
 
+def named_margin(names: str) -> float:
+    """Whether class names, ids or roles say margin: 1 if a whole name does, beside neutral words; 1/2 if only a part of one."""
+    found = 0.0
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+        hits = [bool(MARGIN_NAMES.fullmatch(p)) for p in parts]
+        if any(hits):
+            whole = all(h or NEUTRAL.fullmatch(p) for h, p in zip(hits, parts, strict=True))
+            found = max(found, 1.0 if whole else 0.5)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order, without scripts, styles, comments and hidden parts."""
+    """Text blocks of a page in order, without scripts, styles, comments and hidden parts.
+
+    What authors leave open ends where browsers end it: a head at the first element that it cannot hold, a silent
+    element with the element around it, a button or select also where a block of the page starts.
+    """
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element; margin, content or hidden from there on
+    stack: list[tuple[str, float, bool, bool]] = []  # element; margin, content or hidden from there on
+    skipped: list[str] = []  # silent elements and what is open in them
+    at = links = 0
+    in_head = False
 
     def close() -> None:
         text = WHITE.sub(" ", html.unescape("".join(t for t, _ in parts))).strip()
         if text:
             words = len(text.split())
             linked = sum(len(html.unescape(t).split()) for t, in_link in parts if in_link)
-            _, margin, inside, hidden = stack[-1] if stack else ("", False, False, False)
+            _, margin, inside, hidden = stack[-1] if stack else ("", 0.0, False, False)
             if not hidden:
                 found.append(Block(text, words, min(words, linked), margin, inside, any(s[0] in HEADINGS for s in stack)))
         parts.clear()
 
-    at = links = 0
-    skip_until = ""
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not skip_until:
+        if m.start() > at and not skipped and not in_head:
             parts.append((page[at : m.start()], links > 0))
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
-        if skip_until:
-            if m[1] and name == skip_until:
-                skip_until = ""
+        if in_head and (name not in OF_HEAD or m[1]):
+            in_head = in_head and bool(m[1]) and name != "head"
+            if m[1]:
+                continue
+        if name in RAW and not m[1]:
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if skipped:
+            if m[1]:
+                if name in skipped:
+                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                    continue
+                if not any(s[0] == name for s in stack):
+                    continue
+                skipped.clear()
+            elif skipped[0] in INLINE and name in OF_PAGE:
+                skipped.clear()
+            else:
+                if name not in VOID and not m[3].endswith("/"):
+                    skipped.append(name)
+                continue
+        if name == "head":
+            in_head = not m[1]
             continue
         if name in BLOCKS:
             close()
@@ -98,11 +144,8 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if name in SILENT:
-            if name in ("script", "style", "textarea", "title"):  # their content is text alone
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif not m[3].endswith("/"):
-                skip_until = name
+            if not m[3].endswith("/"):
+                skipped.append(name)
             continue
         if name == "a":
             links += 1
@@ -112,14 +155,17 @@ def blocks(page: str) -> list[Block]:
             while stack and stack[-1][0] == name:
                 stack.pop()
         attributes = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])}
-        named = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()
-        _, margin, inside, hidden = stack[-1] if stack else ("", False, False, False)
-        margin = margin or name in MARGINS or bool(MARGIN_NAMES.search(named))
+        named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
+        _, margin, inside, hidden = stack[-1] if stack else ("", 0.0, False, False)
+        if name in CONTENT:
+            # their own names say little but for comments, which some pages write as articles
+            margin = 1.0 if margin == 1 or COMMENTS.intersection(named.lower().split()) else 0.0
+            inside = inside or margin == 0
+        elif name not in ("body", "html"):
+            margin = max(margin, 1.0 if name in MARGINS else named_margin(named) if named.strip() else 0.0)
         hidden = hidden or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
-        if name in CONTENT and not margin:
-            inside = True
         stack.append((name, margin, inside, hidden))
-    if at < len(page) and not skip_until:
+    if at < len(page) and not skipped and not in_head:
         parts.append((page[at:], links > 0))
     close()
     return found
@@ -174,6 +220,12 @@ LABELLED = [
     (45, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (90, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 1, 0), (60, 0.05, 12, 0.0, 70, 0.0, 1, 0, 0, 1, 0),
     (4, 0.0, 3, 0.0, 5, 0.0, 1, 0, 0, 0, 0), (15, 0.0, 30, 0.0, 25, 0.0, 1, 1, 0, 1, 0), (40, 0.0, 70, 0.0, 60, 0.0, 1, 1, 0, 1, 0),
     (6, 0.0, 50, 0.0, 45, 0.0, 1, 1, 1, 0, 0), (3, 1.0, 60, 0.0, 50, 0.0, 1, 1, 0, 0, 0), (7, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1, 0, 0),
+    # names that say margin in part: text by its words and links, on both sides
+    (45, 0.0, 60, 0.0, 50, 0.0, 0.5, 0, 0, 1, 1), (30, 0.05, 9, 0.0, 70, 0.0, 0.5, 0, 0, 1, 1), (90, 0.0, 7, 0.0, 0, 0.0, 0.5, 0, 0, 1, 1), (22, 0.0, 3, 1.0, 40, 0.0, 0.5, 0, 0, 1, 1),
+    (60, 0.1, 2, 1.0, 1, 1.0, 0.5, 0, 0, 1, 1), (8, 0.0, 4, 0.0, 65, 0.0, 0.5, 1, 1, 0, 1), (5, 0.0, 40, 0.0, 30, 0.0, 0.5, 1, 0, 1, 1), (35, 0.0, 20, 0.0, 25, 0.0, 0.5, 1, 0, 1, 1),
+    (7, 0.0, 0, 0.0, 60, 0.0, 0.5, 0, 1, 0, 1), (12, 0.0, 50, 0.0, 45, 0.0, 0.5, 0, 0, 1, 1),
+    (3, 1.0, 2, 1.0, 4, 1.0, 0.5, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 2, 1.0, 0.5, 0, 0, 0, 0), (15, 0.8, 30, 0.0, 3, 1.0, 0.5, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0.5, 0, 0, 0, 0), (5, 1.0, 60, 0.0, 50, 0.0, 0.5, 1, 0, 0, 0),
+    (25, 0.9, 10, 1.0, 8, 1.0, 0.5, 0, 0, 1, 0),
     # stray short text without a container: dates, by-lines, rights
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (5, 0.2, 3, 1.0, 0, 0.0, 0, 0, 0, 1, 0),
     (1, 0.0, 0, 0.0, 25, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0),

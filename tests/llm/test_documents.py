@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 
 import corpus_pipeline
@@ -218,6 +219,35 @@ def test_main_text_of_pages(spark):
     assert html_blocks.extract(frame.limit(0)).collect() == []
 
 
+LONG = ["The museum opened its new wing on Monday, and many people came to see what had been built there over the last three years.", "Most of them stayed for hours; the guides said that they had never seen the rooms so full, not even on the first day of the year."]
+TWO = "".join(f"<p>{p}</p>" for p in LONG)
+
+
+@pytest.mark.parametrize(
+    "made",
+    [
+        f"<html><head><title>t</title><meta charset=utf-8><body><article>{TWO}</article></body></html>",
+        f"<head><title>t</title><link rel=x><article>{TWO}</article>",
+        f'<body class="single has-sidebar"><article>{TWO}</article></body>',
+        f'<html class="no-js login"><body id=search><main class="site-header">{TWO}</main></body></html>',
+        f'<article class="post no-comments">{TWO}</article>',
+        f'<div id="login-security-report">{TWO}</div>',
+        f"<article><div><button>Share it</div>{TWO}</article>",
+        f"<article><button>Share it {TWO}</article>",
+        f"<article><svg><g><svg><text>inner</text></svg><text>outer words</text></g></svg>{TWO}</article>",
+        f"<article><svg><title>t</title><style>x</style><path d=0 /></svg>{TWO}<noscript><p>Turn scripts on</p></noscript></article>",
+        f'<div class="content-with-sidebar"><div class=entry>{TWO}</div></div><div class="widget-area"><p>{LONG[0]}</p></div>',
+        f'{TWO}<div class="comment-list"><p>{LONG[1]}</p></div><div id="site-footer"><p>{LONG[1]}</p></div>',
+        f'<article>{TWO}</article><article class="comment even"><p>{LONG[0]}</p></article>',
+        f'<select><option>One<option>Two</select>{TWO}<ul class="nav-menu"><li><a href=x>{LONG[0]}</a></ul>',
+        f"<template><article><p>{LONG[0]}</p></article></template><article>{TWO}</article>",
+        f'<div class="row col-8"><section>{TWO}</section></div><aside>{TWO}</aside><div role="complementary">{TWO}</div>',
+    ],
+)
+def test_pages_of_other_makes(made):
+    assert html_blocks.main_blocks(made, html_blocks.grow_tree()) == LONG
+
+
 def test_pages_against_their_markup(spark):
     pages = read_table(spark, "/root/testdata/sf0.01", "pages").collect()
     tree = html_blocks.grow_tree()
