@@ -100,6 +100,24 @@ def test_copies_do_not_hide_a_term_and_entities_link_values(make):
         assert want <= {text[t["start"] : t["end"]] for t in rows[k]["terms"]}
 
 
+def test_words_of_a_template_and_chance_disclose_nothing(make):
+    draw = random.Random(12)
+    words = [f"word{k}" for k in range(4_000)]
+    texts = [(k, f"please write to info{k}@acme.org about the {' '.join(draw.sample(words, 6))} tickets") for k in range(300)]
+    texts += [(1_000 + k, f"the museum sells tickets at the {' '.join(draw.sample(words, 6))}") for k in range(25)]
+    texts += [(2_000 + k, "wrote from " + " ".join(draw.sample(words, 12))) for k in range(3_000)]
+    # long texts share rare words by chance with a number that stands in several of them
+    texts += [(6_000 + k, f"{' '.join(draw.sample(words, 300))} 10.9.8.7") for k in range(8)]
+    texts += [(7_000 + k, f"Kwyjibo {' '.join(draw.sample(words, 8))} wrote from k{k % 2}@home.net") for k in range(10)]
+    texts += [(8_000, "kwyjibo alone")]
+    rows = disclosure.find_private(make(texts)).collect()
+    text = dict(texts)
+    found = {(r["doc_id"], text[r["doc_id"]][t["start"] : t["end"]]) for r in rows for t in r["terms"]}
+    assert {w for _, w in found} == {"Kwyjibo", "kwyjibo"} and {d for d, _ in found} == {7_000 + k for k in range(10)} | {8_000}
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(make(texts)).collect()}
+    assert all(clean[i] == t for i, t in texts if 1_000 <= i < 6_000)
+
+
 def test_native_plan(make):
     found = disclosure.find_private(make(private_texts()))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
