@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import lexer
 from plumbline.functions.grading import lookup
 from plumbline.functions.once import compute_once
 from plumbline.functions.text import jvm, mentions_any, redact_secrets
@@ -16,19 +17,9 @@ from plumbline.operators.ordered import time_bucket
 
 # --- splitting --------------------------------------------------------------------------------
 
-# A quote closes at the first matching quote that no backslash precedes; an open quote runs on.
-_QUOTED = "|".join(rf"{q}[\s\S]*?(?:(?<!\\){q}|\z)" for q in ("'", '"', "`"))
-_COMMENT = r"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
-_STATEMENT = rf"((?:[^;'\"`]|{_QUOTED})++)"
-
-
 def split_statements(files: DataFrame, path: str, body: str) -> DataFrame:
-    """Top-level statements of each file in order, comments dropped, quotes respected."""
-    bare = F.regexp_replace(F.col(body), rf"({_QUOTED})|{_COMMENT}", "$1")
-    pieces = F.regexp_extract_all(bare, F.lit(_STATEMENT), F.lit(1))
-    trimmed = F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    kept = F.filter(trimmed, lambda s: s != "")
-    return files.select(path, F.posexplode(kept).alias("pos", "statement"))
+    """Top-level statements of each file in order, comments dropped, quotes and dollar-quoted bodies respected."""
+    return files.select(path, F.posexplode(lexer.statements(F.col(body))).alias("pos", "statement"))
 
 
 def fold(statement: Column) -> Column:
@@ -217,28 +208,40 @@ def migration_findings(classified: DataFrame, key: str, column: str = "statement
 
 
 _NAME_PART = r'(?:"(?:[^"]|"")+"|`[^`]+`|\[[^\]]+\]|[\w$]+)'
+_NAME = rf"(?:{_NAME_PART}\.)*{_NAME_PART}"
 _TARGET = (
-    r"(?i)^(?:ALTER\s+TABLE|DROP\s+TABLE|TRUNCATE(?:\s+TABLE)?|UPDATE|DELETE\s+FROM|CREATE\s+TABLE"
-    r"|CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:(?:IF\s+NOT\s+EXISTS\s+)?"
-    + _NAME_PART
-    + r"(?:\." + _NAME_PART + r")*\s+)?ON)\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:ONLY\s+)?((?:"
-    + _NAME_PART + r"\.)*" + _NAME_PART + ")"
+    r"(?i)^(?:ALTER\s+TABLE|DROP\s+TABLE|TRUNCATE(?:\s+TABLE)?|UPDATE|DELETE\s+FROM"
+    r"|CREATE\s+(?:(?:GLOBAL|LOCAL)\s+)?(?:TEMP(?:ORARY)?\s+|UNLOGGED\s+|FOREIGN\s+)?TABLE"
+    rf"|CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s+)?ON|DROP\s+INDEX\s+{_NAME}\s+ON)"
+    rf"\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:ONLY\s+)?({_NAME})"
 )
+_LISTED = rf"(?i)^(?:DROP\s+TABLE|TRUNCATE(?:\s+TABLE)?)\s+(?:IF\s+EXISTS\s+)?((?:ONLY\s+)?{_NAME}(?:\s*,\s*(?:ONLY\s+)?{_NAME})*+)"
+
+
+def _bare(name: Column) -> Column:
+    """Last part of a name, lower-cased and without quotes."""
+    last = F.regexp_extract(name, "(" + _NAME_PART + ")$", 1)
+    return F.lower(F.regexp_replace(F.regexp_replace(last, r"^[\"`\[]|[\"`\]]$", ""), '""', '"'))
 
 
 def target_table(statement: Column) -> Column:
-    """Table a statement changes: the last part of its name, lower-cased and without quotes; empty
-    when none is named."""
-    named = F.regexp_extract(statement, _TARGET, 1)
-    last = F.regexp_extract(named, "(" + _NAME_PART + ")$", 1)
-    bare = F.regexp_replace(F.regexp_replace(last, r"^[\"`\[]|[\"`\]]$", ""), '""', '"')
-    return F.lower(bare)
+    """Table a statement changes, the first of several: the last part of its name, lower-cased and without
+    quotes; empty when none is named."""
+    return _bare(F.regexp_extract(statement, _TARGET, 1))
+
+
+def target_tables(statement: Column) -> Column:
+    """All tables a statement changes: those that ``DROP TABLE`` or ``TRUNCATE`` lists, else its target; one empty
+    name when none is named."""
+    listed = F.regexp_extract(statement, _LISTED, 1)
+    names = F.transform(lexer.clauses(listed), lambda n: _bare(F.regexp_replace(n, r"(?i)^ONLY\s+", "")))
+    return F.when(listed != "", F.array_distinct(names)).otherwise(F.array(target_table(statement)))
 
 
 def migration_risk_by_size(classified: DataFrame, sizes: DataFrame, big_rows: int, column: str = "statement") -> DataFrame:
-    """Blocking statements against the measured size of their table; unknown size is needs_api."""
+    """Blocking statements against the measured size of each table they change; unknown size is needs_api."""
     blocking = F.col("rewrite") | F.col("lock_level").isin(BLOCKING_LOCKS)
-    risky = classified.where(blocking).withColumn("table_name", target_table(F.col(column)))
+    risky = classified.where(blocking).withColumn("table_name", F.explode(target_tables(F.col(column))))
     known = sizes.select("table_name", "rows")
     joined = risky.join(known, "table_name", "left")
     return joined.withColumn(

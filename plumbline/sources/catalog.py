@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import constant_frame
+from plumbline.functions import lexer
 from plumbline.functions.text import jvm
+from plumbline.session import constant_frame
 
 COLUMN_SCHEMA = (
     "store string, table_name string, column_name string, ordinal int, type string, not_null boolean, pk boolean, "
@@ -139,65 +140,104 @@ def catalog_from_snapshot_json(spark: SparkSession, path: str) -> dict[str, Data
 
 # --- DDL corpora --------------------------------------------------------------------------------
 
-# The statements and clauses read from DDL text.
-CREATE_TABLE = r'(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?["`]?([\w.]+)["`]?\s*\(([\s\S]*?)\)\s*;'
-CREATE_INDEX = r'(?i)CREATE\s+(UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?["`]?(\w+)["`]?\s+ON\s+["`]?([\w.]+)["`]?\s*\(([^)]*)\)'
-TOP_LEVEL_PART = r"((?:[^,()]|\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\))++)"
-COLUMN_HEAD = r'(?i)^["`]?(\w+)["`]?\s+([A-Za-z0-9_]+(?:\s*\([^)]*\))?(?:\s+with\s+time\s+zone)?(?:\s+precision)?)'
-COLUMN_DEFAULT = r"(?i)\bDEFAULT\s+([^,]+?)(?:\s+(?:NOT\s+NULL|UNIQUE|PRIMARY|REFERENCES|CHECK)|$)"
+_NAME = r'(?:"(?:[^"]|"")+"|`[^`]+`|\[[^\]]+\]|[\w$]+)'
+_PATH = rf"((?:{_NAME}\.)*{_NAME})"
+
+# The statements and clauses read from DDL text.  Clauses are matched with a hole for each
+# string literal (``lexer.hollow``), so words in a literal are no keywords.
+CREATE_TABLE = rf"(?i)^CREATE\s+(?:(?:GLOBAL|LOCAL)\s+)?(?:TEMP(?:ORARY)?\s+|UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_PATH}\s*\(([\s\S]*)$"
+ALTER_TABLE = rf"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{_PATH}\s+(ADD\b[\s\S]*)$"
+CREATE_INDEX = rf"(?i)^CREATE\s+(UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?:{_PATH}\s+)?ON\s+(?:ONLY\s+)?{_PATH}\s*(?:USING\s+\w+\s*)?\(([\s\S]*)$"
+_BRACKETS = r"\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)"
+COLUMN_HEAD = (
+    rf"(?i)^({_NAME})\s+([A-Za-z0-9_]+(?:\s+varying)?(?:\s*\([^)]*\))?(?:\s+with(?:out)?\s+time\s+zone)?(?:\s+precision)?(?:\s+unsigned)?(?:\s*\[\])*)"
+)
+_AFTER_DEFAULT = r"NOT\s+NULL|NULL|UNIQUE|PRIMARY|REFERENCES|CHECK|CONSTRAINT|GENERATED|COLLATE|COMMENT|ON\s+UPDATE|AUTO_INCREMENT"
+COLUMN_DEFAULT = rf"(?i)\bDEFAULT\s+((?:[^\s(]|{_BRACKETS}|\s+(?!(?:{_AFTER_DEFAULT})\b|$))+)"
 IDENTITY = r"(?i)\b(GENERATED\s+(?:ALWAYS|BY\s+DEFAULT)\s+AS\s+IDENTITY|AUTO_INCREMENT|(?:big|small)?serial)\b"
 ALLOWED = r"(?i)\bCHECK\s*\([^)]*?\bIN\s*\(([^)]+)\)"
-REFERENCES = r'(?i)REFERENCES\s+["`]?([\w.]+)["`]?\s*(?:\(([^)]+)\))?'
-TABLE_PK = r"(?i)^(?:CONSTRAINT\s+\S+\s+)?PRIMARY\s+KEY\s*\(([^)]+)\)"
-TABLE_UNIQUE = r"(?i)^(?:CONSTRAINT\s+\S+\s+)?UNIQUE\s*\(([^)]+)\)"
-TABLE_FK = r'(?i)^(?:CONSTRAINT\s+\S+\s+)?FOREIGN\s+KEY\s*\(([^)]+)\)\s*REFERENCES\s+["`]?([\w.]+)["`]?\s*\(([^)]+)\)'
-TABLE_CONSTRAINT = r"(?i)^(CONSTRAINT\b|PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|CHECK)"
+REFERENCES = rf"(?i)REFERENCES\s+{_PATH}\s*(?:\(([^)]+)\))?"
+_CONSTRAINT = rf"(?i)^(?:CONSTRAINT\s+{_NAME}\s+)?"
+TABLE_PK = _CONSTRAINT + r"PRIMARY\s+KEY\s*(?:USING\s+\w+\s*)?\(([^)]+)\)"
+TABLE_UNIQUE = _CONSTRAINT + rf"UNIQUE\s*(?:KEY\s*|INDEX\s*)?({_NAME})?\s*\(([^)]+)\)"
+TABLE_KEY = rf"(?i)^(?:FULLTEXT\s+|SPATIAL\s+)?(?:KEY|INDEX)\s+({_NAME})?\s*(?:USING\s+\w+\s*)?\(([\s\S]+)\)"
+TABLE_FK = _CONSTRAINT + rf"FOREIGN\s+KEY\s*(?:{_NAME}\s*)?\(([^)]+)\)\s*REFERENCES\s+{_PATH}\s*(?:\(([^)]+)\))?"
+TABLE_CONSTRAINT = (
+    r"(?i)^(?:CONSTRAINT\s|PRIMARY\s+KEY\b|UNIQUE\s*(?:KEY|INDEX)?[^(]*\(|FOREIGN\s+KEY\b|CHECK\s*\(|EXCLUDE\s|LIKE\s|PERIOD\s+FOR\s"
+    r"|(?:FULLTEXT\s+|SPATIAL\s+)?(?:KEY|INDEX)\s+[^(]*\()"
+)
+
+
+def _bare(name: Column) -> Column:
+    """An identifier without its quotes."""
+    return F.regexp_replace(F.regexp_replace(name, r'^["`\[]|["`\]]$', ""), '""', '"')
 
 
 def _names(column: Column) -> Column:
-    """Comma list of identifiers as an array, quotes and blanks removed."""
-    return F.transform(F.split(column, ","), lambda c: F.trim(F.regexp_replace(c, r'["`\s]', "")))
+    """Clauses that name columns, in order: identifiers without quotes, lengths and directions; expressions as they are."""
+    named = rf"(?i)^({_NAME})(?:\s*\(\d+\))?(?:\s+(?:ASC|DESC|NULLS|FIRST|LAST|COLLATE|\w+_ops)\b[\s\S]*)?$"
+    return F.transform(lexer.clauses(column), lambda c: F.when(c.rlike(jvm(named)), _bare(F.regexp_extract(c, jvm(named), 1))).otherwise(c))
 
 
 def _local(name: Column) -> Column:
-    return F.regexp_replace(name, r"^.*\.", "")
+    """A table's name without its schema, which may stand within the quotes too."""
+    return F.regexp_replace(_bare(F.regexp_extract(name, rf"({_NAME})$", 1)), r"^.*\.", "")
+
+
+def ddl_statements(corpus: DataFrame, store: str, text: str) -> DataFrame:
+    """(store, statement): every statement of the corpus, without comments."""
+    return corpus.select(F.col(store).alias("store"), F.explode(lexer.statements(F.col(text))).alias("statement"))
 
 
 def ddl_parts(corpus: DataFrame, store: str, text: str) -> DataFrame:
-    """(store, table_name, pos, part): the comma-separated parts of every CREATE TABLE."""
-    names = F.regexp_extract_all(F.col(text), F.lit(CREATE_TABLE), F.lit(1))
-    bodies = F.regexp_extract_all(F.col(text), F.lit(CREATE_TABLE), F.lit(2))
-    tables = corpus.select(F.col(store).alias("store"), F.explode(F.arrays_zip(names.alias("n"), bodies.alias("b"))).alias("t"))
-    parts = F.transform(F.regexp_extract_all(F.col("t.b"), F.lit(TOP_LEVEL_PART), F.lit(1)), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    kept = F.filter(parts, lambda p: p != "")
-    return tables.select("store", _local(F.col("t.n")).alias("table_name"), F.posexplode(kept).alias("pos", "part"))
+    """(store, table_name, pos, part, hollow, literals): the clauses of every CREATE TABLE, and the constraints that
+    ALTER TABLE adds, without place.  What follows the bracket that closes a table, as storage options, is none of its clauses."""
+    found = ddl_statements(corpus, store, text)
+    s = F.col("statement")
+    made = found.where(s.rlike(CREATE_TABLE)).select(
+        "store", _local(F.regexp_extract(s, CREATE_TABLE, 1)).alias("table_name"), F.posexplode(lexer.clauses(F.regexp_extract(s, CREATE_TABLE, 2))).alias("pos", "part")
+    )
+    added = found.where(s.rlike(jvm(ALTER_TABLE))).select(
+        "store", _local(F.regexp_extract(s, jvm(ALTER_TABLE), 1)).alias("table_name"), F.explode(lexer.clauses(F.regexp_extract(s, jvm(ALTER_TABLE), 2))).alias("part")
+    )
+    added = added.select("store", "table_name", F.lit(None).cast("int").alias("pos"), F.regexp_replace("part", r"(?i)^ADD\s+", "").alias("part"))
+    every = made.unionByName(added.where(F.col("part").rlike(jvm(TABLE_CONSTRAINT))))
+    return every.select("*", lexer.hollow(F.col("part")).alias("hollow"), lexer.literals(F.col("part")).alias("literals"))
+
+
+def _filled(pattern: str) -> Column:
+    """The first group of a pattern in a clause, with its literals."""
+    whole = r"^([\s\S]*?)" + pattern
+    return lexer.filled(F.regexp_extract("hollow", whole, 2), F.regexp_extract("hollow", whole, 1), F.col("literals"))
+
+
+def _value(item: Column) -> Column:
+    """An item of a list of values: a literal without its quotes."""
+    return F.when(item.startswith("'"), F.replace(F.regexp_replace(item, "^'|'$", ""), F.lit("''"), F.lit("'"))).otherwise(item)
 
 
 def ddl_columns(parts: DataFrame) -> DataFrame:
     """Column rows of a parsed corpus; a table-level PRIMARY KEY marks its columns."""
-    p = F.col("part")
+    p = F.col("hollow")
     table_pk = (
         parts.where(p.rlike(TABLE_PK))
         .select("store", "table_name", F.explode(_names(F.regexp_extract(p, TABLE_PK, 1))).alias("column_name"))
         .distinct()
         .withColumn("in_pk", F.lit(True))
     )
-    cols = parts.where(~p.rlike(jvm(TABLE_CONSTRAINT)) & p.rlike(COLUMN_HEAD)).select(
+    cols = parts.where(F.col("pos").isNotNull() & ~p.rlike(jvm(TABLE_CONSTRAINT)) & p.rlike(COLUMN_HEAD)).select(
         "store",
         "table_name",
-        F.regexp_extract(p, COLUMN_HEAD, 1).alias("column_name"),
+        _bare(F.regexp_extract(p, COLUMN_HEAD, 1)).alias("column_name"),
         F.col("pos").cast("int").alias("ordinal"),
-        F.lower(F.trim(F.regexp_extract(p, COLUMN_HEAD, 2))).alias("type"),
+        F.lower(F.trim(lexer.filled(F.regexp_extract(p, COLUMN_HEAD, 2), F.lit(""), F.col("literals")))).alias("type"),
         p.rlike(jvm(r"(?i)\bNOT\s+NULL\b")).alias("not_null"),
         p.rlike(jvm(r"(?i)\bPRIMARY\s+KEY\b")).alias("own_pk"),
         p.rlike(jvm(r"(?i)\bUNIQUE\b")).alias("is_unique"),
-        F.trim(F.regexp_extract(p, jvm(COLUMN_DEFAULT), 1)).alias("default_expr"),
+        F.trim(_filled(jvm(COLUMN_DEFAULT))).alias("default_expr"),
         p.rlike(jvm(IDENTITY)).alias("is_identity"),
         p.rlike(jvm(r"(?i)\bCHECK\b")).alias("has_check"),
-        F.when(
-            p.rlike(jvm(ALLOWED)),
-            F.transform(F.split(F.regexp_extract(p, jvm(ALLOWED), 1), ","), lambda v: F.regexp_replace(F.trim(v), "^'|'$", "")),
-        ).alias("allowed"),
+        F.when(p.rlike(jvm(ALLOWED)), F.transform(lexer.clauses(_filled(jvm(ALLOWED))), _value)).alias("allowed"),
     )
     return (
         cols.join(table_pk, ["store", "table_name", "column_name"], "left")
@@ -207,45 +247,55 @@ def ddl_columns(parts: DataFrame) -> DataFrame:
 
 
 def ddl_fks(parts: DataFrame) -> DataFrame:
-    """Foreign keys declared on columns (default target column ``id``) and on tables."""
-    p = F.col("part")
+    """Foreign keys declared on columns and on tables; the target column is ``id`` where none is named."""
+    p = F.col("hollow")
+
+    def target(pattern: str, n: int) -> Column:
+        named = F.regexp_extract(p, pattern, n)
+        return F.when(named == "", F.array(F.lit("id"))).otherwise(_names(named))
+
     table_level = parts.where(p.rlike(TABLE_FK)).select(
         "store",
         "table_name",
         _names(F.regexp_extract(p, TABLE_FK, 1)).alias("columns"),
         _local(F.regexp_extract(p, TABLE_FK, 2)).alias("ref_table"),
-        _names(F.regexp_extract(p, TABLE_FK, 3)).alias("ref_columns"),
+        target(TABLE_FK, 3).alias("ref_columns"),
     )
-    target = F.regexp_extract(p, REFERENCES, 2)
     inline = parts.where(~p.rlike(jvm(TABLE_CONSTRAINT)) & p.rlike(REFERENCES)).select(
         "store",
         "table_name",
-        F.array(F.regexp_extract(p, COLUMN_HEAD, 1)).alias("columns"),
+        F.array(_bare(F.regexp_extract(p, COLUMN_HEAD, 1))).alias("columns"),
         _local(F.regexp_extract(p, REFERENCES, 1)).alias("ref_table"),
-        F.when(target == "", F.array(F.lit("id"))).otherwise(_names(target)).alias("ref_columns"),
+        target(REFERENCES, 2).alias("ref_columns"),
     )
     return table_level.unionByName(inline)
 
 
 def ddl_indexes(corpus: DataFrame, store: str, text: str, parts: DataFrame) -> DataFrame:
-    """Table-level UNIQUE constraints and CREATE INDEX statements."""
-    p = F.col("part")
-    unique = parts.where(p.rlike(TABLE_UNIQUE)).select(
-        "store", "table_name", F.lit("").alias("index_name"), _names(F.regexp_extract(p, TABLE_UNIQUE, 1)).alias("columns"), F.lit(True).alias("is_unique")
-    )
+    """UNIQUE constraints and keys declared on tables, and CREATE INDEX statements."""
+    p, s = F.col("hollow"), F.col("statement")
 
-    def group(n: int) -> Column:
-        return F.regexp_extract_all(F.col(text), F.lit(CREATE_INDEX), F.lit(n))
+    def declared(pattern: str, unique: bool) -> DataFrame:
+        named = F.coalesce(_bare(F.regexp_extract(p, pattern, 1)), F.lit(""))
+        return parts.where(p.rlike(pattern)).select(
+            "store", "table_name", named.alias("index_name"), _names(F.regexp_extract(p, pattern, 2)).alias("columns"), F.lit(unique).alias("is_unique")
+        )
 
-    made = corpus.select(
-        F.col(store).alias("store"),
-        F.explode(F.arrays_zip(group(1).alias("u"), group(2).alias("n"), group(3).alias("t"), group(4).alias("c"))).alias("x"),
-    ).select(
-        "store", _local(F.col("x.t")).alias("table_name"), F.col("x.n").alias("index_name"), _names(F.col("x.c")).alias("columns"), (F.col("x.u") != "").alias("is_unique")
+    made = ddl_statements(corpus, store, text).where(s.rlike(CREATE_INDEX)).select(
+        "store",
+        _local(F.regexp_extract(s, CREATE_INDEX, 3)).alias("table_name"),
+        _local(F.regexp_extract(s, CREATE_INDEX, 2)).alias("index_name"),
+        _names(F.regexp_extract(s, CREATE_INDEX, 4)).alias("columns"),
+        (F.regexp_extract(s, CREATE_INDEX, 1) != "").alias("is_unique"),
     )
-    return unique.unionByName(made)
+    return declared(TABLE_UNIQUE, True).unionByName(declared(TABLE_KEY, False)).unionByName(made)
 
 
 def catalog_from_ddl_corpus(corpus: DataFrame, store: str = "store", text: str = "value") -> dict[str, DataFrame]:
+    """Catalog frames from DDL text, one or more statements to a row.
+
+    Comments, string literals, quoted names and dollar-quoted bodies are lexed, so what stands in them neither
+    ends a statement nor counts as a keyword; a table ends with the bracket that closes it.
+    """
     parts = ddl_parts(corpus, store, text)
     return {"columns": ddl_columns(parts), "fks": ddl_fks(parts), "indexes": ddl_indexes(corpus, store, text, parts)}

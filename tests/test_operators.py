@@ -359,6 +359,43 @@ def test_ddl_corpus(spark):
     assert idx == {("", ("amount", "kind"), True), ("ix", ("customer_id", "id"), False)}
 
 
+def test_ddl_as_people_write_it(spark):
+    ddl = r"""
+    -- CREATE TABLE nothing (x int);
+    CREATE TABLE `a` (
+      id int unsigned NOT NULL AUTO_INCREMENT, -- the key, of course (really
+      `na me` varchar(20) DEFAULT 'a,b (c' NOT NULL, /* one, two; */ note text DEFAULT 'not null unique, it''s; primary key' COMMENT 'check (x',
+      kind enum('x','y, z') default 'y, z', price decimal(10,2) default (coalesce(1, (2 + 3))) check (price in (1, 2)), state text check (state in ('on, off', 'it''s')),
+      PRIMARY KEY (`id`), UNIQUE KEY uq (`na me`, kind), KEY ix (price DESC, note(10)), CONSTRAINT fk FOREIGN KEY (id) REFERENCES b
+    ) ENGINE=InnoDB COMMENT='t; (x int';
+    CREATE TABLE b (x int);
+    CREATE TEMP TABLE "S""q".[c d] ("from" timestamp without time zone default now() at time zone 'utc' not null, tags text[] default '{}', v character varying(9) null);
+    CREATE FUNCTION f() RETURNS int AS $$ CREATE TABLE no (x int); $$ LANGUAGE sql;
+    ALTER TABLE ONLY public.b ADD CONSTRAINT b_pk PRIMARY KEY (x), ADD CONSTRAINT b_fk FOREIGN KEY (x) REFERENCES s.a (id) ON DELETE CASCADE;
+    CREATE INDEX ON b USING gin (lower(x), (x || ','), "q, r" DESC NULLS LAST);
+    CREATE TABLE copied AS SELECT 1; CREATE TABLE open_end (y int, z text default 'x'
+    """
+    made = sc.catalog_from_ddl_corpus(spark.createDataFrame([("s", ddl)], "store string, value string"))
+    cols = {(r["table_name"], r["column_name"]): r for r in made["columns"].collect()}
+    assert set(cols) == {
+        *((("a", c)) for c in ("id", "na me", "note", "kind", "price", "state")), ("b", "x"), *((("c d", c)) for c in ("from", "tags", "v")), ("open_end", "y"), ("open_end", "z"),
+    }
+    got = {k: (r["type"], r["not_null"], r["pk"], r["is_unique"], r["default_expr"], r["is_identity"], r["allowed"]) for k, r in cols.items()}
+    assert got[("a", "id")] == ("int unsigned", True, True, False, "", True, None)
+    assert got[("a", "na me")] == ("varchar(20)", True, False, False, "'a,b (c'", False, None)
+    assert got[("a", "note")] == ("text", False, False, False, "'not null unique, it''s; primary key'", False, None)
+    assert got[("a", "kind")] == ("enum('x','y, z')", False, False, False, "'y, z'", False, None)
+    assert got[("a", "price")] == ("decimal(10,2)", False, False, False, "(coalesce(1, (2 + 3)))", False, ["1", "2"])
+    assert got[("a", "state")] == ("text", False, False, False, "", False, ["on, off", "it's"])
+    assert got[("b", "x")] == ("int", False, True, False, "", False, None)
+    assert got[("c d", "from")] == ("timestamp without time zone", True, False, False, "now() at time zone 'utc'", False, None)
+    assert got[("c d", "tags")][:5] == ("text[]", False, False, False, "'{}'") and got[("c d", "v")][0] == "character varying(9)"
+    fks = {(r["table_name"], tuple(r["columns"]), r["ref_table"], tuple(r["ref_columns"])) for r in made["fks"].collect()}
+    assert fks == {("a", ("id",), "b", ("id",)), ("b", ("x",), "a", ("id",))}
+    idx = {(r["table_name"], r["index_name"], tuple(r["columns"]), r["is_unique"]) for r in made["indexes"].collect()}
+    assert idx == {("a", "uq", ("na me", "kind"), True), ("a", "ix", ("price", "note"), False), ("b", "", ("lower(x)", "(x || ',')", "q, r"), False)}
+
+
 def test_snapshot_with_composite_keys(spark, tmp_path):
     doc = {
         "store": "s",

@@ -114,6 +114,13 @@ def test_splitter(spark):
     assert split(spark, "select 'open; quote") == ["select 'open; quote"]
 
 
+def test_splitter_keeps_dollar_bodies(spark):
+    body = "create function f() returns int as $$ begin; return 'x; $'; end; $$ language plpgsql"
+    assert split(spark, f"{body}; select $1; select $t$ a; $$ b; $t$ || 'c'; d") == [body, "select $1", "select $t$ a; $$ b; $t$ || 'c'", "d"]
+    assert split(spark, "select $$ -- no comment; $$; x") == ["select $$ -- no comment; $$", "x"]
+    assert split(spark, "do $$ open; body") == ["do $$ open; body"]
+
+
 def test_splitter_survives_long_text(spark):
     body = "; ".join(f"insert into t values ('{n};{'x' * 50}')" for n in range(20000))
     assert len(split(spark, body)) == 20000
@@ -171,6 +178,18 @@ def test_statements_are_judged_whole(spark):
     assert all(len(r["observed"]) <= 240 and "hunter" not in r["observed"] for r in found.values())
 
 
+def test_all_target_tables(spark):
+    named = {
+        'DROP TABLE IF EXISTS a, s."B, c" , `d` CASCADE': ["a", "b, c", "d"],
+        "TRUNCATE ONLY a, ONLY x.b RESTART IDENTITY": ["a", "b"],
+        "TRUNCATE TABLE a": ["a"],
+        "ALTER TABLE a ADD COLUMN b int, ADD COLUMN c int": ["a"],
+        "SELECT 1": [""],
+    }
+    df = spark.createDataFrame([(t,) for t in named], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", st.target_tables(F.col("t")).alias("n")).collect()} == named
+
+
 def test_target_tables(spark):
     named = {
         "ALTER TABLE public.orders ADD COLUMN a int": "orders",
@@ -184,6 +203,10 @@ def test_target_tables(spark):
         "DELETE FROM a.b.orders WHERE x": "orders",
         "update Orders set a = 1": "orders",
         "SELECT 1": "",
+        "CREATE TEMP TABLE t (a int)": "t",
+        "CREATE GLOBAL TEMPORARY TABLE IF NOT EXISTS s.t (a int)": "t",
+        "DROP INDEX i ON orders": "orders",
+        "DROP TABLE a, b": "a",
     }
     df = spark.createDataFrame([(t,) for t in named], "t string")
     assert {r["t"]: r["n"] for r in df.select("t", st.target_table(F.col("t")).alias("n")).collect()} == named
