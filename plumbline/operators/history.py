@@ -9,14 +9,21 @@ from plumbline.operators.ordered import Ordered
 
 
 def validity_overlap(df: DataFrame, key: str, start: str, end: str, tie: str, bucket: Column) -> DataFrame:
-    """Versions of an entity that overlap their predecessor or leave a gap after it."""
-    stepped = Ordered(df, [key], [start, tie], bucket).previous([start, end, tie], "before")
-    before_end = F.col(f"before.{end}")
+    """Versions of an entity that overlap an earlier one or leave a gap after all earlier ones.
+
+    A version is held against the earlier one that lasts longest, so one that lies within another, or follows
+    such a one, is judged by what is still open when it starts.  A version holds from its start to before its end; a null end is
+    open, a null start is before all others.  Of versions that last equally long the one of the greatest ``tie`` is named.
+    """
+    lasts = F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("end"), F.col(tie).alias("version"))
+    swept = Ordered(df, [key], [start, tie], bucket).running_max(lasts, "before")
+    begins, open_end = F.col(start), F.col("before.open")
+    overlap = open_end | begins.isNull() | (begins < F.col("before.end"))
     return (
-        stepped.where(F.col("before").isNotNull())
-        .withColumn("problem", F.when(F.col(start) < before_end, "overlap").when(F.col(start) > before_end, "gap"))
+        swept.where(F.col("before").isNotNull())
+        .withColumn("problem", F.when(overlap, "overlap").when(begins > F.col("before.end"), "gap"))
         .where("problem IS NOT NULL")
-        .select(key, F.col(f"before.{tie}").alias("previous_version"), F.col(tie).alias("version"), "problem")
+        .select(key, F.col("before.version").alias("previous_version"), F.col(tie).alias("version"), "problem")
     )
 
 

@@ -10,7 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, NumericType
+from pyspark.sql.types import (
+    BinaryType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, LongType, NumericType, StringType, TimestampNTZType, TimestampType,
+)
 
 from plumbline.operators.ordered import Ordered, time_bucket
 
@@ -34,19 +36,55 @@ def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str, sample: s
 Relation = tuple[str, DataFrame, str, DataFrame, str]  # name, child, its column, parent, its key
 
 
-def _common(a: DataType, b: DataType) -> str:
-    """Type in which values of both compare as the engine would compare them."""
-    if a == b or not (isinstance(a, NumericType) and isinstance(b, NumericType)):
-        return "string"
-    return "bigint" if isinstance(a, IntegralType) and isinstance(b, IntegralType) else "double"
+def common_type(a: DataType, b: DataType) -> DataType:
+    """Type in which the engine compares values of both; an error where it has none."""
+    if a == b:
+        return a
+    if isinstance(a, NumericType) and isinstance(b, NumericType):
+        if any(isinstance(t, (FloatType, DoubleType)) for t in (a, b)):
+            return DoubleType()
+        if isinstance(a, IntegralType) and isinstance(b, IntegralType):
+            return LongType()
+        return DecimalType(38, max(t.scale if isinstance(t, DecimalType) else 0 for t in (a, b)))
+    times = (DateType, TimestampType, TimestampNTZType)
+    if isinstance(a, times) and isinstance(b, times):
+        return TimestampNTZType() if TimestampType() not in (a, b) else TimestampType()
+    raise ValueError(f"no common type of {a.simpleString()} and {b.simpleString()}")
+
+
+def key_value(value: Column, kind: DataType) -> Column:
+    """A value as ``(l long, s string)``, equal for equal values of its type alone: numbers and times of whole
+    units stay numbers, only what is none travels as text."""
+    number, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    if isinstance(kind, (IntegralType, BooleanType)):
+        number = value.cast("long")
+    elif isinstance(kind, DateType):
+        number = F.unix_date(value).cast("long")
+    elif isinstance(kind, TimestampType):
+        number = F.unix_micros(value)
+    elif isinstance(kind, TimestampNTZType):
+        # whole seconds by the calendar, whatever the session's zone, and the micros beyond them
+        days = F.unix_date(value.cast("date")).cast("long")
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.floor(F.date_part(F.lit("seconds"), value)).cast("int")
+        micros = F.pmod((F.date_part(F.lit("seconds"), value) * 1_000_000).cast("long"), F.lit(1_000_000))
+        number = (days * 86_400 + seconds) * 1_000_000 + micros
+    elif isinstance(kind, (FloatType, DoubleType)):
+        text = (value.cast("double") + F.lit(0.0)).cast("string")  # one zero
+    elif isinstance(kind, BinaryType):
+        text = F.hex(value)
+    elif isinstance(kind, (StringType, DecimalType)):
+        text = value.cast("string")
+    else:
+        raise ValueError(f"values of type {kind.simpleString()} are no keys")
+    return F.struct(number.alias("l"), text.alias("s"))
 
 
 def _children_and_parents(relations: list[Relation]) -> DataFrame:
-    """``name, v, n, parents`` of every key value of any side: rows on the child's side (``n``) and on
-    the parent's.
+    """``name, held, n, parents`` of every key value of any side: whether it is a value, rows on the child's side (``n``)
+    and on the parent's.
 
     Every frame is scanned once, whatever number of its columns are asked for; both sides are
-    counted map-side and meet in one shuffle, as text.
+    counted map-side and meet in one shuffle, by the number of the relation and the typed value.
     """
     frames: list[tuple[DataFrame, list[Column]]] = []
 
@@ -57,13 +95,14 @@ def _children_and_parents(relations: list[Relation]) -> DataFrame:
                 return
         frames.append((frame, [key]))
 
-    for name, child, fk, parent, pk in relations:
-        kind = _common(child.schema[fk].dataType, parent.schema[pk].dataType)
-        for frame, column, n, p in ((child, fk, 1, 0), (parent, pk, 0, 1)):
-            value = F.col(column).cast(kind).cast("string")
-            ask(frame, F.struct(F.lit(name).alias("name"), value.alias("v"), F.lit(n).alias("n"), F.lit(p).alias("p")))
-    spread = [frame.select(F.explode(F.array(*keys)).alias("k")).select("k.*") for frame, keys in frames]
-    return reduce(DataFrame.unionByName, spread).groupBy("name", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("parents"))
+    for at, (_, child, fk, parent, pk) in enumerate(relations):
+        kind = common_type(child.schema[fk].dataType, parent.schema[pk].dataType)
+        for frame, column, is_child in ((child, fk, True), (parent, pk, False)):
+            ask(frame, F.struct(F.lit(at).alias("at"), F.lit(is_child).alias("child"), key_value(F.col(column).cast(kind), kind).alias("v")))
+    spread = [frame.select(F.explode(F.array(*keys)).alias("k")).select("k.at", "k.child", "k.v.l", "k.v.s") for frame, keys in frames]
+    met = reduce(DataFrame.unionByName, spread).groupBy("at", "l", "s").agg(F.count_if(F.col("child")).alias("n"), F.count_if(~F.col("child")).alias("parents"))
+    name = F.element_at(F.array(*[F.lit(r[0]) for r in relations]), F.col("at") + 1)
+    return met.select(name.alias("name"), (F.col("l").isNotNull() | F.col("s").isNotNull()).alias("held"), "n", "parents")
 
 
 def _named(frame: DataFrame, names: list[str], label: str) -> DataFrame:
@@ -75,7 +114,7 @@ def _named(frame: DataFrame, names: list[str], label: str) -> DataFrame:
 def orphan_matrix(fks: list[Relation]) -> DataFrame:
     """One row per declared key ``(name, child, fk, parent, pk)``: child rows, null keys, orphans."""
     met = _children_and_parents(fks)
-    held, orphaned = F.col("v").isNotNull(), F.col("v").isNotNull() & (F.col("parents") == 0)
+    held, orphaned = F.col("held"), F.col("held") & (F.col("parents") == 0)
     counted = met.groupBy("name").agg(
         F.sum("n").alias("child_rows"),
         F.sum(F.when(~held, F.col("n")).otherwise(0)).alias("null_keys"),
@@ -99,7 +138,7 @@ def matched_children(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> D
 
 def relationship_cardinality(relations: list[Relation]) -> DataFrame:
     """Measured shape of each relationship: fewest and most children of any parent."""
-    met = _children_and_parents(relations).where("v IS NOT NULL AND parents > 0")
+    met = _children_and_parents(relations).where("held AND parents > 0")
     counted = met.groupBy("name").agg(F.sum("parents").alias("parents"), F.min("n").alias("min_children"), F.max("n").alias("max_children"))
     return _named(counted, [r[0] for r in relations], "relationship").withColumn(
         "shape",
@@ -127,7 +166,7 @@ def cross_tenant_references(
 
 def containment(candidates: list[Relation]) -> DataFrame:
     """Undeclared key candidates: share (basis points) of distinct child values the parent holds."""
-    met = _children_and_parents(candidates).where("v IS NOT NULL AND n > 0")
+    met = _children_and_parents(candidates).where("held AND n > 0")
     counted = met.groupBy("name").agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(F.col("parents") > 0).alias("contained"))
     out = _named(counted, [c[0] for c in candidates], "candidate")
     return out.withColumn(
@@ -135,6 +174,47 @@ def containment(candidates: list[Relation]) -> DataFrame:
     )
 
 
+def _family(kind: DataType) -> str | None:
+    """Columns of one family are compared with each other; None for those that are no keys."""
+    if isinstance(kind, IntegralType):
+        return "number"
+    return {StringType: "text", DateType: "date", TimestampType: "instant", TimestampNTZType: "time"}.get(type(kind))
+
+
+def inclusion_dependencies(frames: dict[str, DataFrame], columns: list[tuple[str, str]] | None = None, least_bp: int = 10_000) -> DataFrame:
+    """``child, child_column, parent, parent_column, distinct_values, contained, contained_bp``: every pair of columns
+    where the parent's is unique and holds at least ``least_bp`` basis points of the child's distinct values.
+
+    No candidates are needed: ``columns`` (``table, column``; all that can be keys, if not given) are read in one
+    scan of each table and meet by value in one shuffle.  A value is then one row with the set of columns that hold
+    it, equal sets are counted together, and only these few sets are taken apart into pairs.  Nulls refer to
+    nothing; a column without values includes and is included nowhere.
+    """
+    asked = columns or [(t, f.name) for t, frame in frames.items() for f in frame.schema if _family(f.dataType)]
+    kinds = [frames[t].schema[c].dataType for t, c in asked]
+    spread = []
+    for table in dict.fromkeys(t for t, _ in asked):
+        mine = [k for k, (t, _) in enumerate(asked) if t == table]
+        values = [F.struct(F.lit(k).alias("at"), F.lit(_family(kinds[k])).alias("family"), key_value(F.col(asked[k][1]), kinds[k]).alias("v")) for k in mine]
+        spread.append(frames[table].select(F.explode(F.array(*values)).alias("k")).select("k.at", "k.family", "k.v.l", "k.v.s"))
+    held = reduce(DataFrame.unionByName, spread).where("l IS NOT NULL OR s IS NOT NULL").groupBy("family", "l", "s", "at").agg(F.count(F.lit(1)).alias("n"))
+    value = held.groupBy("family", "l", "s").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("n") > 1).alias("twice")))).alias("holders"))
+    sets = value.groupBy("holders").agg(F.count(F.lit(1)).alias("values"))
+    each = sets.select("holders", "values", F.explode("holders").alias("c"))
+    of_column = each.groupBy(F.col("c.at").alias("at")).agg(F.sum("values").alias("distinct_values"), F.max("c.twice").alias("twice"))
+    pairs = each.select(F.col("c.at").alias("child_at"), "values", F.explode("holders").alias("p")).where("child_at <> p.at")
+    pairs = pairs.groupBy("child_at", F.col("p.at").alias("parent_at")).agg(F.sum("values").alias("contained"))
+    unique = of_column.where(~F.col("twice")).select(F.col("at").alias("parent_at"))
+    found = pairs.join(unique, "parent_at").join(of_column.select(F.col("at").alias("child_at"), "distinct_values"), "child_at")
+    found = found.withColumn("contained_bp", F.expr("CAST((10000 * contained) div distinct_values AS BIGINT)")).where(F.col("contained_bp") >= least_bp)
+    tables, names = (F.array(*[F.lit(x[k]) for x in asked]) for k in (0, 1))
+    return found.select(
+        F.element_at(tables, F.col("child_at") + 1).alias("child"), F.element_at(names, F.col("child_at") + 1).alias("child_column"),
+        F.element_at(tables, F.col("parent_at") + 1).alias("parent"), F.element_at(names, F.col("parent_at") + 1).alias("parent_column"),
+        "distinct_values", "contained", "contained_bp",
+    )
+
+
 def read_your_writes(
     log: DataFrame, user: str, entity: str, ts: str, action: str, event: str, lag_seconds: int, bucket_seconds: int = 3600
 ) -> DataFrame:

@@ -101,6 +101,22 @@ class Ordered:
         joined = self._join(local, carried)
         return joined.withColumn(name, F.col("__local") + F.coalesce("__carry", F.lit(0))).drop("__local", "__carry", _PART)
 
+    def running_max(self, value: Column, name: str) -> DataFrame:
+        """Adds ``name``: the greatest ``value`` of all earlier rows of the key."""
+        before = self._rows.rowsBetween(Window.unboundedPreceding, -1)
+        marked = self.df.withColumn("__value", value)
+        local = marked.withColumn("__local", F.max("__value").over(before))
+        tails = self._tails(marked, F.max("__value"))
+        carried = self._carried(
+            tails,
+            lambda w: F.max("__tail").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            F.max("__tail"),
+            lambda w: F.max("__total").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            F.greatest,
+        )
+        joined = self._join(local, carried)
+        return joined.withColumn(name, F.greatest("__local", "__carry")).drop("__local", "__carry", "__value", _PART)
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key.  The rank filter is pushed below the shuffle by the optimizer

@@ -58,11 +58,6 @@ def soft_delete_resurrection(df: DataFrame, key: list[str], deleted: str) -> Dat
     return df.groupBy(*key).agg(live.alias("live_rows"), dead.alias("deleted_rows")).where("live_rows > 0 AND deleted_rows > 0")
 
 
-def _as_text(columns: list[str]) -> Column:
-    """Values of some columns as one text, equal for equal values alone."""
-    return F.to_json(F.struct(*columns))
-
-
 def _spread(df: DataFrame, rows: list[Column]) -> DataFrame:
     """Each row repeated for several purposes (structs of one type), from one scan."""
     return df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -73,19 +68,28 @@ def _for_each(names: DataFrame, counted: DataFrame, keys: list[str]) -> DataFram
     return names.join(counted, keys, "left").na.fill(0)
 
 
-def candidate_key_profile(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
-    """Rows, distinct values and rows with nulls of each candidate, and whether it is a key."""
+def _grouped(df: DataFrame, sets: list[list[str]]) -> tuple[DataFrame, list[str], dict[tuple[str, ...], int]]:
+    """Counts ``n`` of the distinct values of several sets of columns, from one scan and typed: ``g`` numbers the
+    set, columns outside it are null.  Also all columns, and the number of each set."""
+    every = list(dict.fromkeys(c for s in sets for c in s))
+    numbers = {tuple(s): sum(1 << len(every) - 1 - k for k, c in enumerate(every) if c not in s) for s in sets}
+    distinct = list({n: list(s) for s, n in numbers.items()}.values())
+    return df.groupingSets(distinct, *every).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n")), every, numbers
 
-    def row(cols: list[str]) -> Column:
-        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-        return F.struct(F.lit(",".join(cols)).alias("candidate"), _as_text(cols).alias("v"), has_null.alias("missing"))
 
-    groups = _spread(df, [row(c) for c in candidates]).groupBy("candidate", "v", "missing").agg(F.count(F.lit(1)).alias("n"))
-    counted = groups.groupBy("candidate").agg(
+def candidate_key_profile(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
+    """Rows, distinct values and rows with nulls of each candidate, and whether it is a key."""
+    groups, every, numbers = _grouped(df, candidates)
+    missing = F.lit(False)
+    for c in every:
+        within = [n for s, n in numbers.items() if c in s]
+        missing = missing | (F.col("g").isin(within) & F.col(c).isNull())
+    groups = groups.select("g", "n", missing.alias("missing"))
+    counted = groups.groupBy("g").agg(
         F.sum("n").alias("rows"), F.count_if(~F.col("missing")).alias("distinct_values"), F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("null_rows")
     )
-    names = constant_frame(df.sparkSession, [(",".join(c),) for c in candidates], "candidate string")
-    return _for_each(names, counted, ["candidate"]).withColumn("is_key", F.expr("rows = distinct_values AND null_rows = 0"))
+    names = constant_frame(df.sparkSession, [(",".join(c), numbers[tuple(c)]) for c in candidates], "candidate string, g long")
+    return _for_each(names, counted, ["g"]).drop("g").withColumn("is_key", F.expr("rows = distinct_values AND null_rows = 0"))
 
 
 def key_headroom(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -147,16 +151,11 @@ def fd_discovery(df: DataFrame, columns: list[str]) -> DataFrame:
 def partial_dependency(df: DataFrame, key: list[str], non_key: list[str]) -> DataFrame:
     """Non-key columns fixed by a strict subset of a composite key."""
     subsets = [list(s) for n in range(1, len(key)) for s in combinations(key, n)]
-    cases = [(",".join(s), c) for s in subsets for c in non_key]
-    rows = [
-        F.struct(F.lit(",".join(s)).alias("key_part"), F.lit(c).alias("column_name"), _as_text(s).alias("k"), _as_text([c]).alias("v"))
-        for s in subsets
-        for c in non_key
-    ]
-    per = _spread(df, rows).distinct().groupBy("key_part", "column_name", "k").agg(F.count(F.lit(1)).alias("ys"))
-    counted = per.groupBy("key_part", "column_name").agg(F.max("ys").alias("max_values"))
-    names = constant_frame(df.sparkSession, cases, "key_part string, column_name string")
-    return _for_each(names, counted, ["key_part", "column_name"]).withColumn("partial", F.col("max_values") <= 1)
+    pairs, _, numbers = _grouped(df, [[*s, c] for s in subsets for c in non_key])
+    counted = pairs.groupBy("g", *key).agg(F.count(F.lit(1)).alias("ys")).groupBy("g").agg(F.max("ys").alias("max_values"))
+    cases = [(",".join(s), c, numbers[(*s, c)]) for s in subsets for c in non_key]
+    names = constant_frame(df.sparkSession, cases, "key_part string, column_name string, g long")
+    return _for_each(names, counted, ["g"]).drop("g").withColumn("partial", F.col("max_values") <= 1)
 
 
 # --- values ---------------------------------------------------------------------------------

@@ -124,6 +124,25 @@ def _(i):
     return ri.containment([(n, getattr(i, c), f, getattr(i, p), k) for n, c, f, p, k in CANDIDATES])
 
 
+KEYLIKE = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["event_id", "user_id"],
+}
+
+
+@query(
+    "fk_inclusion_discovery",
+    "WITH v AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 3" for t, cs in KEYLIKE.items() for c in cs)
+    + """), d AS (SELECT t, c, count(*) AS distinct_values, max(n) = 1 AS is_key FROM v GROUP BY ALL),
+         p AS (SELECT a.t AS child, a.c AS child_column, b.t AS parent, b.c AS parent_column, count(*) AS contained FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+       SELECT child, child_column, parent, parent_column, x.distinct_values, contained, CAST(10000 * contained // x.distinct_values AS BIGINT) AS contained_bp
+       FROM p JOIN d x ON child = x.t AND child_column = x.c JOIN d y ON parent = y.t AND parent_column = y.c AND y.is_key WHERE 10000 * contained // x.distinct_values >= 9500""",
+)
+def _(i):
+    return ri.inclusion_dependencies({t: getattr(i, t) for t in KEYLIKE}, [(t, c) for t, cs in KEYLIKE.items() for c in cs], 9_500)
+
+
 @query(
     "read_your_writes",
     """SELECT r.session_id, r.object_id, w.event_id AS write_event, r.event_id AS read_event,

@@ -171,7 +171,7 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 
 FIXTURES["validity_fx"] = """
 SELECT o_custkey AS entity_id, o_orderkey AS version_id, o_orderdate AS valid_from,
-       o_orderdate + INTERVAL 30 DAY AS valid_to
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 400 DAY ELSE o_orderdate + INTERVAL 30 DAY END AS valid_to
 FROM {orders}
 """
 

@@ -136,8 +136,11 @@ def _(i):
 
 @query(
     "validity_overlap",
-    """WITH s AS (SELECT *, lag(version_id) OVER w AS previous_version, lag(valid_to) OVER w AS pt FROM {validity_fx} WINDOW w AS (PARTITION BY entity_id ORDER BY valid_from, version_id))
-       SELECT entity_id, previous_version, version_id AS version, CASE WHEN valid_from < pt THEN 'overlap' ELSE 'gap' END AS problem FROM s WHERE previous_version IS NOT NULL AND valid_from <> pt""",
+    """WITH p AS (SELECT v.entity_id, e.version_id AS previous_version, v.version_id AS version,
+                 CASE WHEN e.valid_to IS NULL OR v.valid_from < e.valid_to THEN 'overlap' WHEN v.valid_from > e.valid_to THEN 'gap' END AS problem
+          FROM {validity_fx} v JOIN {validity_fx} e ON v.entity_id = e.entity_id AND (e.valid_from < v.valid_from OR (e.valid_from = v.valid_from AND e.version_id < v.version_id))
+          QUALIFY row_number() OVER (PARTITION BY v.version_id ORDER BY e.valid_to DESC NULLS FIRST, e.version_id DESC) = 1)
+       SELECT * FROM p WHERE problem IS NOT NULL""",
 )
 def _(i):
     bucket = time_bucket("valid_from", 90 * 86400)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog_rules as cr
-from plumbline.operators import diff, graph, integrity, inventory, privacy, profile, seed, state_rules, statements, vectors
+from plumbline.operators import diff, graph, history, integrity, inventory, privacy, profile, seed, state_rules, statements, vectors
 from plumbline.operators.ordered import Ordered, id_bucket, top_n
 from plumbline.sources import catalog as sc
 from plumbline.sources import files as sf
@@ -107,6 +108,68 @@ def test_orphan_matrix_of_empty_child(spark):
     assert (row["child_rows"], row["null_keys"], row["orphans"]) == (0, 0, 0)
 
 
+def test_keys_of_unlike_types_compare_as_the_engine_does(spark):
+    def orphans(child, parent):
+        a, b = (spark.sql(f"SELECT * FROM VALUES {v} AS t(k)") for v in (child, parent))
+        return integrity.orphan_matrix([("x", a, "k", b, "k")]).first()["orphans"]
+
+    assert orphans("(9007199254740993L)", "(9007199254740992BD)") == 1
+    assert orphans("(9007199254740993L), (2L)", "(9007199254740993BD), (2.00BD)") == 0
+    assert orphans("(date'2024-01-02')", "(timestamp'2024-01-02 00:00:00')") == 0
+    assert orphans("(date'2024-01-02')", "(timestamp_ntz'2024-01-02 00:00:00'), (timestamp_ntz'2024-01-02 00:00:01')") == 0
+    assert orphans("(timestamp_ntz'1960-01-02 03:04:05.000001')", "(timestamp_ntz'1960-01-02 03:04:05.000002')") == 1
+    assert orphans("(timestamp'1960-01-02 03:04:05.000001')", "(timestamp_ntz'1960-01-02 03:04:05.000001')") == 0
+    assert orphans("(0.0D), (1.5D)", "(-0.0D), (1.5BD)") == 0
+    assert orphans("(1), (2)", "(1L)") == 1 and orphans("('1')", "('1 ')") == 1 and orphans("(X'01')", "(X'01')") == 0
+    with pytest.raises(ValueError):
+        orphans("('1')", "(1)")
+
+
+def test_microseconds_part_keys(spark):
+    df = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 00:00:00.000001', 1, 'x'), (timestamp'2024-01-01 00:00:00.000002', 1, 'y'), (NULL, 2, NULL) AS t(ts, k, v)")
+    got = {r["candidate"]: r for r in profile.candidate_key_profile(df, [["ts"], ["k", "v"], ["v", "k"], ["k"]]).collect()}
+    assert (got["ts"]["distinct_values"], got["ts"]["null_rows"], got["ts"]["is_key"]) == (2, 1, False)
+    assert [(got[c]["rows"], got[c]["distinct_values"], got[c]["null_rows"]) for c in ("k,v", "v,k", "k")] == [(3, 2, 1), (3, 2, 1), (3, 2, 0)]
+    part = {(r["key_part"], r["column_name"]): r["max_values"] for r in profile.partial_dependency(df, ["ts", "k"], ["v"]).collect()}
+    assert part == {("ts", "v"): 1, ("k", "v"): 2}
+    assert [tuple(r) for r in profile.candidate_key_profile(df.limit(0), [["ts"]]).collect()] == [("ts", 0, 0, 0, True)]
+
+
+def test_inclusion_dependencies_by_brute_force(spark):
+    draw = random.Random(3)
+    tables = {
+        "p": [(k, f"n{k}", k % 4) for k in range(30)],
+        "c": [(draw.choice([None, *range(30)]), f"n{draw.randrange(31)}", k) for k in range(80)],
+        "e": [(None, None, None)],
+    }
+    frames = {t: spark.createDataFrame(rows, f"{t}1 {'long' if t == 'p' else 'int'}, {t}2 string, {t}3 int") for t, rows in tables.items()}
+    values = {(t, f"{t}{k + 1}"): [r[k] for r in rows if r[k] is not None] for t, rows in tables.items() for k in range(3)}
+    for least in (10_000, 9_000, 1):
+        want = {
+            (*a, *b, len(set(x)), len(set(x) & set(y)))
+            for a, x in values.items() for b, y in values.items()
+            if a != b and len(set(y)) == len(y) and set(x) & set(y) and 10_000 * len(set(x) & set(y)) // len(set(x)) >= least
+        }
+        assert {tuple(r)[:6] for r in integrity.inclusion_dependencies(frames, least_bp=least).collect()} == want
+
+
+@pytest.mark.parametrize("width", [3, 1_000])
+def test_versions_are_held_against_all_that_is_open(spark, width):
+    draw = random.Random(width)
+    rows = [("a", 1, 1, 100), ("a", 2, 2, 3), ("a", 3, 5, 6), ("b", 4, 1, None), ("b", 5, 2, None), ("c", 6, 1, 2), ("c", 7, 2, 3), ("c", 8, 9, 10), ("c", 9, None, 1)]
+    rows += [("d", 100 + k, draw.randrange(60), draw.choice([None, *range(60)])) for k in range(60)] + [("f", 200 + k, 3 * k, 3 * k + draw.choice([1, 3, 9])) for k in range(40)]
+    df = spark.createDataFrame(rows, "e string, v int, s int, t int")
+    want = set()
+    for e, v, s, t in rows:
+        before = [(t2 is None, t2 or 0, v2) for e2, v2, s2, t2 in rows if e2 == e and (s2 is not None, s2 or 0, v2) < (s is not None, s or 0, v)]
+        if before:
+            is_open, end, name = max(before)
+            problem = "overlap" if is_open or s is None or s < end else "gap" if s > end else None
+            want |= {(e, name, v, problem)} if problem else set()
+    got = history.validity_overlap(df, "e", "s", "t", "v", F.floor(F.col("s") / width).cast("long"))
+    assert {tuple(r) for r in got.collect()} == want and ("a", 1, 3, "overlap") in want and ("b", 4, 5, "overlap") in want
+
+
 def test_functional_dependencies(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "b", "x"), (2, "b", "x"), (None, "c", "x")], "k int, d string, e string")
     assert profile.fd_check(df, "k", "d").first()["holds"] is True
