@@ -866,6 +866,48 @@ def _(i):
     return idx.unionByName(made["fks"].select("store", "table_name", F.lit("fk").alias("kind"), cols, target.alias("target")))
 
 
+# One text per customer, written as people write DDL: comments, storage options, quoted defaults, dollar-quoted bodies.
+DDL_SHAPES = r"""-- customer {k}: CREATE TABLE nothing (x int
+CREATE TEMP TABLE scratch_{k} (a int) ENGINE=MEMORY COMMENT='t; (x';
+CREATE FUNCTION f() RETURNS int AS $$ CREATE TABLE no (x int); $$ LANGUAGE sql;
+CREATE TABLE `shop`.`t {k}` (
+  id bigint NOT NULL AUTO_INCREMENT, -- the key, of course (really
+  `full name` varchar(40) DEFAULT '{n}, b (c; it''s' NOT NULL, /* one, two; */ note text DEFAULT 'not null, unique' COMMENT 'check (x',
+  PRIMARY KEY (`id`), KEY ix (`full name` DESC)
+) ENGINE=InnoDB COMMENT='{n}; (y int';
+DROP TABLE IF EXISTS scratch_{k}, `shop`.`old, {k}`"""
+
+
+def ddl_shapes(i):
+    text = F.replace(F.replace(F.lit(DDL_SHAPES), F.lit("{k}"), F.col("c_custkey").cast("string")), F.lit("{n}"), F.col("c_name"))
+    return i.customer.select("c_custkey", F.col("c_mktsegment").alias("store"), text.alias("value"))
+
+
+@query(
+    "catalog_from_ddl_shapes",
+    """SELECT c_mktsegment AS store, 'scratch_' || c_custkey AS table_name, 'a' AS column_name, CAST(0 AS INT) AS ordinal, 'int' AS type, false AS not_null, false AS pk, '' AS default_expr, false AS is_identity FROM customer
+       UNION ALL SELECT c_mktsegment, 't ' || c_custkey, 'id', 0, 'bigint', true, true, '', true FROM customer
+       UNION ALL SELECT c_mktsegment, 't ' || c_custkey, 'full name', 1, 'varchar(40)', true, false, chr(39) || c_name || ', b (c; it' || chr(39) || chr(39) || 's' || chr(39), false FROM customer
+       UNION ALL SELECT c_mktsegment, 't ' || c_custkey, 'note', 2, 'text', false, false, chr(39) || 'not null, unique' || chr(39), false FROM customer""",
+)
+def _(i):
+    made = sc.catalog_from_ddl_corpus(ddl_shapes(i))["columns"]
+    return made.select("store", "table_name", "column_name", "ordinal", "type", "not_null", "pk", "default_expr", "is_identity")
+
+
+@query(
+    "statement_targets",
+    """SELECT c_custkey, pos, unnest(tables) AS table_name FROM (
+         SELECT c_custkey, CAST(0 AS INT) AS pos, ['scratch_' || c_custkey] AS tables FROM customer UNION ALL SELECT c_custkey, 1, [''] FROM customer
+         UNION ALL SELECT c_custkey, 2, ['t ' || c_custkey] FROM customer UNION ALL SELECT c_custkey, 3, ['scratch_' || c_custkey, 'old, ' || c_custkey] FROM customer) x""",
+)
+def _(i):
+    from plumbline.operators.statements import split_statements, target_tables
+
+    split = split_statements(ddl_shapes(i), "c_custkey", "value")
+    return split.select("c_custkey", F.col("pos").cast("int").alias("pos"), F.explode(target_tables(F.col("statement"))).alias("table_name"))
+
+
 @query(
     "load_findings",
     """SELECT store, module, status, axis, confidence, CAST(count(*) AS BIGINT) AS findings, CAST(sum(severity) AS BIGINT) AS severity FROM {findings_fx} GROUP BY ALL""",
@@ -876,7 +918,26 @@ def _(i):
         "store", "paradigm", "id", "module", "status", "severity", "fixable", F.struct("axis", "confidence", "magnitude").alias("expected_impact")
     )
     nested.write.json(path)
-    loaded = sf.load_findings(i.spark, path, multi_line=False)
+    loaded = sf.load_findings(i.spark, path)
+    return loaded.groupBy("store", "module", "status", "axis", "confidence").agg(F.count(F.lit(1)).alias("findings"), F.sum("severity").alias("severity"))
+
+
+@query(
+    "load_findings_arrays",
+    """SELECT store, module, status, axis, confidence, CAST(count(*) AS BIGINT) AS findings, CAST(sum(severity) AS BIGINT) AS severity FROM {findings_fx} GROUP BY ALL""",
+)
+def _(i):
+    # reports as they are written by hand-made tools: per store and module one indented array, {"findings": [...]}, or lines
+    path = scratch_path(i.spark, "findings")
+    one = F.struct("store", "paradigm", "id", "module", "status", "severity", "fixable", F.struct("axis", "confidence", "magnitude").alias("expected_impact"))
+    many = i.findings_fx.groupBy("store", "module").agg(F.collect_list(one).alias("fs"))
+    pretty = F.to_json("fs", {"pretty": "true"})
+    shape = F.pmod(F.xxhash64("store", "module"), F.lit(3))
+    body = F.when(shape == 0, pretty).when(shape == 1, F.concat(F.lit('{\n "version": 1, "findings": '), pretty, F.lit("}\n"))).otherwise(
+        F.array_join(F.transform("fs", lambda f: F.to_json(f)), "\n")
+    )
+    many.select(body.alias("value"), F.concat_ws("-", "store", "module").alias("part")).write.partitionBy("part").text(path)
+    loaded = sf.load_findings(i.spark, f"{path}/*")
     return loaded.groupBy("store", "module", "status", "axis", "confidence").agg(F.count(F.lit(1)).alias("findings"), F.sum("severity").alias("severity"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import lexer
+from plumbline.functions.once import compute_once
 from plumbline.functions.text import jvm
 from plumbline.session import constant_frame
 
@@ -194,15 +195,17 @@ def ddl_parts(corpus: DataFrame, store: str, text: str) -> DataFrame:
     ALTER TABLE adds, without place.  What follows the bracket that closes a table, as storage options, is none of its clauses."""
     found = ddl_statements(corpus, store, text)
     s = F.col("statement")
-    made = found.where(s.rlike(CREATE_TABLE)).select(
-        "store", _local(F.regexp_extract(s, CREATE_TABLE, 1)).alias("table_name"), F.posexplode(lexer.clauses(F.regexp_extract(s, CREATE_TABLE, 2))).alias("pos", "part")
-    )
-    added = found.where(s.rlike(jvm(ALTER_TABLE))).select(
-        "store", _local(F.regexp_extract(s, jvm(ALTER_TABLE), 1)).alias("table_name"), F.explode(lexer.clauses(F.regexp_extract(s, jvm(ALTER_TABLE), 2))).alias("part")
-    )
-    added = added.select("store", "table_name", F.lit(None).cast("int").alias("pos"), F.regexp_replace("part", r"(?i)^ADD\s+", "").alias("part"))
+
+    def held(pattern: str) -> DataFrame:
+        """Statements of a kind with their table and clauses, each worked out once."""
+        named = _local(F.regexp_extract(s, pattern, 1))
+        return compute_once(found.where(s.rlike(pattern)), table_name=named, parts=lexer.clauses(F.regexp_extract(s, pattern, 2))).drop("statement")
+
+    made = held(CREATE_TABLE).select("store", "table_name", F.posexplode("parts").alias("pos", "part"))
+    added = held(jvm(ALTER_TABLE)).select("store", "table_name", F.lit(None).cast("int").alias("pos"), F.explode("parts").alias("part"))
+    added = added.withColumn("part", F.regexp_replace("part", r"(?i)^ADD\s+", ""))
     every = made.unionByName(added.where(F.col("part").rlike(jvm(TABLE_CONSTRAINT))))
-    return every.select("*", lexer.hollow(F.col("part")).alias("hollow"), lexer.literals(F.col("part")).alias("literals"))
+    return compute_once(every, hollow=lexer.hollow(F.col("part")), literals=lexer.literals(F.col("part")))
 
 
 def _filled(pattern: str) -> Column:

@@ -17,11 +17,26 @@ FINDING_JSON = (
 )
 
 
-def load_findings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Findings from JSON files with one finding (or ``{"findings": [...]}``) per line, which split
-    within a file; with ``multi_line`` from files that hold one array or object, a task for each."""
+def load_findings(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Findings from JSON files: one finding, ``{"findings": [...]}`` or array per line, or one such value over many lines.
+
+    Files whose every line is a value are split within a file; the others are read whole, a task for each, and
+    one that holds no JSON value fails the job.  ``multi_line`` says which kind all files are, where that is known;
+    then nothing is read twice, and what is not of that kind fails the job.
+    """
     schema = f"{FINDING_JSON}, findings array<struct<{_as_struct(FINDING_JSON)}>>"
-    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    if multi_line is None:
+        lines = spark.read.schema(f"{schema}, __broken string").option("columnNameOfCorruptRecord", "__broken").json(path)
+        lines = lines.select("*", F.col("_metadata.file_path").alias("__file"))
+        # the reader wants a column of the data beside the broken line; no id is a NUL
+        whole = lines.where((F.col("__broken").isNotNull()) & (F.coalesce("id", F.lit("")) != "\0")).select("__file").distinct()
+        broken = sorted(r["f"] for r in whole.select(F.url_decode("__file").alias("f")).collect())  # names of files, which the driver lists to read them anyway
+        raw = lines.join(whole, "__file", "left_anti").drop("__file", "__broken") if broken else lines.drop("__file", "__broken")
+        if broken:
+            raw = raw.unionByName(reader.option("multiLine", True).json(broken))
+    else:
+        raw = reader.option("multiLine", multi_line).json(path)
     plain = [c for c in raw.columns if c != "findings"]
     each = raw.select(F.explode(F.coalesce("findings", F.array(F.struct(*plain)))).alias("f")).select("f.*")
     impact = {c: F.coalesce(c, f"expected_impact.{c}") for c in ("axis", "confidence", "magnitude")}

@@ -398,6 +398,25 @@ def test_every_signal_of_a_stack(spark):
 # --- sources ----------------------------------------------------------------------------------------
 
 
+def test_findings_in_any_layout(spark, tmp_path):
+    found = [{"id": f"f{k}", "store": "s", "severity": k, "evidence": {"observed": "a\nb"}, "axis": "design"} for k in range(5)]
+    files = {
+        "indented.json": json.dumps(found, indent=2), "one line.json": json.dumps(found), "lines.json": "\n".join(map(json.dumps, found)) + "\n",
+        "report.json": json.dumps({"version": 1, "findings": found}, indent=4), "report line.json": json.dumps({"findings": found}),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    rows = sf.load_findings(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["store"], r["severity"], r["observed"], r["axis"]) for r in rows) == sorted([(f["id"], "s", f["severity"], "a\nb", "design") for f in found] * 5)
+    for name in ("indented.json", "report.json"):
+        assert len(sf.load_findings(spark, str(tmp_path / name)).collect()) == len(sf.load_findings(spark, str(tmp_path / name), multi_line=True).collect()) == 5
+        with pytest.raises(Exception, match="FAILFAST|[Mm]alformed"):
+            sf.load_findings(spark, str(tmp_path / name), multi_line=False).collect()
+    (tmp_path / "broken.json").write_text('[{"id": "x"},')
+    with pytest.raises(Exception, match="FAILFAST|[Mm]alformed"):
+        sf.load_findings(spark, str(tmp_path)).collect()
+
+
 def test_ddl_corpus(spark):
     ddl = """
     CREATE TABLE customers (id bigint GENERATED ALWAYS AS IDENTITY PRIMARY KEY, email text NOT NULL UNIQUE, created_at timestamp with time zone DEFAULT now());
