@@ -1,11 +1,13 @@
 """Graphs: dependency levels and cycles of table catalogs, degrees and bounded traversal of data.
 
-Iterations are bounded by path length and every round is written to the shared folder, so a lost
-executor re-reads the last round instead of replaying all of them.  No closure is built.
+The keys of one store are a small graph, so stores of up to ``together`` edges are each worked off in one go, all
+in one job.  Larger stores take rounds that are bounded by path length; every round is written to the shared folder, so a
+lost executor re-reads the last round instead of replaying all of them.  No closure is built.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,23 +44,110 @@ def _peel(nodes: DataFrame, edges: DataFrame, head: str, tail: str, label: str)
         level += 1
 
 
-def load_order(nodes: DataFrame, fks: DataFrame) -> DataFrame:
+TOGETHER = 50_000  # edges of a store that a task takes at once
+
+
+def _by_size(edges: DataFrame, together: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of stores that have at most ``together`` of them, and the larger stores, if there are any."""
+    large = cut_lineage(edges.groupBy("store").count().where(F.col("count") > together).select("store"), "large-stores")
+    return (edges, None) if large.isEmpty() else (edges.join(large, "store", "left_anti"), large)
+
+
+def _of_each(edges: pd.DataFrame, head: str, tail: str) -> dict[str, list[str]]:
+    """Nodes at the ``tail`` of the edges of each node at their ``head``."""
+    out: dict[str, list[str]] = {}
+    for a, b in zip(edges[head], edges[tail], strict=True):
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def levels_of(edges: pd.DataFrame) -> dict[str, int]:
+    """Level of every node of ``child, parent`` edges: one more than the highest of its parents; -1 on or behind a cycle."""
+    children, waits = _of_each(edges, "parent", "child"), edges.groupby("child")["parent"].size().to_dict()
+    levels = dict.fromkeys([*edges["child"], *edges["parent"]], -1)
+    front, level = [n for n in levels if n not in waits], 0
+    while front:
+        following = []
+        for node in front:
+            levels[node] = level
+            for child in children.get(node, ()):
+                waits[child] -= 1
+                if not waits[child]:
+                    following.append(child)
+        front, level = following, level + 1
+    return levels
+
+
+def components_of(edges: pd.DataFrame) -> list[list[str]]:
+    """Strongly connected components of ``child, parent`` edges: in the reverse of the order in which a walk leaves the
+    nodes, each is reached backward from its first."""
+    forward, backward = _of_each(edges, "child", "parent"), _of_each(edges, "parent", "child")
+    seen, left = set(), []
+    for start in forward:
+        walk = [] if start in seen else [(start, iter(forward[start]))]
+        seen.add(start)
+        while walk:
+            node, rest = walk[-1]
+            step = next((n for n in rest if n not in seen), None)
+            if step is None:
+                left.append(node)
+                walk.pop()
+            else:
+                seen.add(step)
+                walk.append((step, iter(forward.get(step, ()))))
+    out, taken = [], set()
+    for start in reversed(left):
+        if start not in taken:
+            taken.add(start)
+            out.append([start])
+            for node in out[-1]:  # grows as it is walked
+                new = [n for n in backward.get(node, ()) if n not in taken]
+                taken.update(new)
+                out[-1] += dict.fromkeys(new)
+    return out
+
+
+def load_order(nodes: DataFrame, fks: DataFrame, together: int = TOGETHER) -> DataFrame:
     """Topological level per table, parents first; -1 for tables on or behind a cycle."""
     nodes = cut_lineage(nodes.select("store", "table_name").distinct(), "order-nodes")
     edges = cut_lineage(_edges(fks, nodes), "order-edges")
-    placed, left, _ = _peel(nodes, edges, "child", "parent", "order")
-    return placed.unionByName(left.withColumn("level", F.lit(-1)))
+    small, large = _by_size(edges, together)
 
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found = levels_of(group)
+        return pd.DataFrame({"store": key[0], "table_name": list(found), "level": list(found.values())})
 
-def fk_cycles(nodes: DataFrame, fks: DataFrame) -> DataFrame:
-    """Tables on a foreign-key cycle with the cycle's size.
+    found = small.groupBy("store").applyInPandas(run, "store string, table_name string, level int")
+    rest = nodes if large is None else nodes.join(large, "store", "left_anti")
+    order = rest.join(found, ["store", "table_name"], "left").select("store", "table_name", F.coalesce("level", F.lit(0)).alias("level"))
+    if large is None:
+        return order
+    placed, left, _ = _peel(nodes.join(large, "store"), edges.join(large, "store"), "child", "parent", "order")
+    return order.unionByName(placed).unionByName(left.withColumn("level", F.lit(-1)))
+
+
+def fk_cycles(nodes: DataFrame, fks: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """Tables on a foreign-key cycle with the cycle's size (strongly connected components of two or more)."""
+    nodes = cut_lineage(nodes.select("store", "table_name").distinct(), "cycle-nodes")
+    edges = cut_lineage(_edges(fks, nodes), "cycle-edges")
+    small, large = _by_size(edges, together)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], n, len(c)) for c in components_of(group) if len(c) > 1 for n in c]
+        return pd.DataFrame(rows, columns=["store", "table_name", "cycle_tables"])
+
+    found = small.groupBy("store").applyInPandas(run, "store string, table_name string, cycle_tables long")
+    found = found.withColumn("severity", F.lit(4))
+    return found if large is None else found.unionByName(_cycles_in_rounds(nodes.join(large, "store"), edges.join(large, "store")))
+
+
+def _cycles_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Cycles of stores too large for a task.
 
     Tables outside any cycle are peeled off from both ends.  What is left is split into strongly
     connected components: spread the largest label forward, then collect, backward from each
     label's owner, the tables that carry it.
     """
-    nodes = cut_lineage(nodes.select("store", "table_name").distinct(), "cycle-nodes")
-    edges = cut_lineage(_edges(fks, nodes), "cycle-edges")
     found = None
     while True:
         _, nodes, edges = _peel(nodes, edges, "child", "parent", "cycle-down")

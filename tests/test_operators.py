@@ -303,6 +303,29 @@ def test_cycles_and_levels(spark):
     assert levels == {"a": -1, "b": -1, "c": -1, "d": -1, "e": -1, "h": -1, "f": 0, "g": 1}
 
 
+@pytest.mark.parametrize("together", [0, 12, 1_000])
+def test_cycles_and_levels_of_stores_of_any_size(spark, together):
+    draw = random.Random(5)
+    fks = [(s, f"t{draw.randrange(12)}", f"t{draw.randrange(14)}") for s, n in (("a", 9), ("b", 14), ("c", 22)) for _ in range(n)]
+    fks += [("d", f"t{k}", f"t{k - 1}") for k in range(1, 9)]
+    names = [(s, f"t{k}") for s in "abcd" for k in range(13)]
+    edges = {(s, c, p) for s, c, p in fks if c != p and p != "t13"}
+    reach = set(edges)
+    while more := {(s, a, c) for s, a, b in reach for s2, b2, c in edges if s == s2 and b == b2} - reach:
+        reach |= more
+    on_cycle = {(s, a) for s, a, b in reach if a == b}
+    cycles = {(s, a, sum((s, a, b) in reach and (s, b, a) in reach for _, b in names[:13])) for s, a in on_cycle}
+    bad = on_cycle | {(s, a) for s, a, b in reach if (s, b) in on_cycle}
+
+    def level(s, n):
+        return -1 if (s, n) in bad else max((1 + level(s, p) for s2, c, p in edges if (s2, c) == (s, n)), default=0)
+
+    nodes, keys = spark.createDataFrame(names, "store string, table_name string"), spark.createDataFrame(fks, "store string, table_name string, ref_table string")
+    got = graph.fk_cycles(nodes, keys, together).collect()
+    assert {(r["store"], r["table_name"], r["cycle_tables"]) for r in got} == cycles and len(cycles) == len(got)
+    assert {tuple(r) for r in graph.load_order(nodes, keys, together).collect()} == {(s, n, level(s, n)) for s, n in names}
+
+
 def test_acyclic_catalog_has_no_cycles(spark):
     nodes = spark.createDataFrame([("s", "a"), ("s", "b")], "store string, table_name string")
     fks = spark.createDataFrame([("s", "a", ["b_id"], "b", ["id"], "", True)], FK_SCHEMA)
