@@ -200,7 +200,10 @@ def score_documents(docs: DataFrame, model: GatedAttention, id_col: str = "doc_i
 
 
 def keep_good(docs: DataFrame, model: GatedAttention, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents that score at least ``least``, with all their columns, in one pass."""
+    """The documents that score at least ``least``, with all their columns, in one pass.
+
+    Null texts score as empty ones and stay null; rows that repeat are judged alike and all stay or go; ids play
+    no part, null ones neither; an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

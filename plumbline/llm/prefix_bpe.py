@@ -236,7 +236,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
 def append_documents(
     docs: DataFrame, tail_col: str, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids"
 ) -> DataFrame:
-    """``doc_id, ids`` of text and tail together, from the ids that the text already has."""
+    """``doc_id, ids`` of text and tail together, from the ids that the text already has.
+
+    Null texts, ids and tails count as empty; rows that repeat and null ids stay; an empty table gives no rows."""
     place, splitter = _defaults(path, pattern)
     source = texts_of(docs, id_col, text_col).schema["doc_id"].dataType.simpleString()
 

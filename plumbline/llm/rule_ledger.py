@@ -128,7 +128,7 @@ def ablations(book: DataFrame, policies: list[Policy], rules: list[tuple[str, st
     """What each rule of each policy does: ``version, rule, n_docs, n_failed, n_only, n_kept,
     n_kept_without``.
 
-    The ledger is counted once by its bits, before any shuffle; policies and rules are then
+    Rows that repeat count each; an empty ledger gives no rows.  The ledger is counted once by its bits, before any shuffle; policies and rules are then
     bitwise sums over at most as many rows as there are combinations of bits.
     """
     counts = book.groupBy("failed").agg(F.count("*").alias("n"))

@@ -276,7 +276,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 
 def count_tokens(manifest: DataFrame, tokens: list[int]) -> DataFrame:
-    """``token, n``: how often each of these tokens occurs in all files, by rank alone."""
+    """``token, n``: how often each of these tokens occurs in all files, by rank alone.
+
+    A token asked for twice is one row, one that occurs nowhere has ``n`` 0; without files there are no rows."""
     tokens = sorted(set(tokens))
 
     def rows(shard: Shard, start: int) -> Iterator[pa.RecordBatch]:
@@ -286,7 +288,10 @@ def count_tokens(manifest: DataFrame, tokens: list[int]) -> DataFrame:
 
 
 def find_token(manifest: DataFrame, token: int) -> DataFrame:
-    """``doc_id, position, place``: every occurrence of a token, in its document and overall."""
+    """``doc_id, position, place``: every occurrence of a token, in its document and overall.
+
+    Rows that shared an id, or had none, are documents of their own under that id; without files, or where
+    the token does not occur, there are no rows."""
 
     def rows(shard: Shard, start: int) -> Iterator[pa.RecordBatch]:
         at = shard.matrix.occurrences(token)
