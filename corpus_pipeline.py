@@ -13,27 +13,38 @@ from plumbline.session import cut_lineage, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of passages, taught by the labels, does not reject."""
+    """Documents that the classifier of passages, taught by the labels, does not reject.
+
+    All columns stay.  Null texts are judged as empty ones; repeated rows go or stay together; empty tables stay empty."""
     return keep_good(docs, fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies by SimHash."""
+    """One document, that of the least id, of each group of near copies by SimHash.
+
+    All columns stay.  Texts without words, null ones too, are one group; rows are told apart by id and text, and a row
+    without an id stays only where no row of its group has one; empty tables stay empty."""
     return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has."""
+    """Documents without the passages that an earlier document has.
+
+    All rows and columns stay, null texts as they are; rows that share an id are cut each by its own text."""
     return remove_repeats(docs)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without personal data and the terms that disclose it."""
+    """Documents without personal data and the terms that disclose it.
+
+    All rows and columns stay, null texts as they are; repeated rows are treated alike."""
     return sanitise(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2,048 tokens."""
+    """Pieces of all documents in sequences of at most 2,048 tokens.
+
+    A null or empty text is its end id alone; rows that share an id are documents of their own; empty tables give no pieces."""
     return pack_documents(docs)
 
 
