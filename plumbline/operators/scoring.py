@@ -370,15 +370,15 @@ def fix_plan(findings: DataFrame) -> DataFrame:
 
 # Readiness checks and the modules that answer each.
 CHECKLIST = [
-    ("PITR / backups", ""),
-    ("RLS on tenant tables", "M9 M10"),
-    ("FK indexes", "M11"),
-    ("Money as numeric", "M19"),
-    ("timestamptz / UTC", "M4"),
-    ("Connection pooling sized", "M15"),
-    ("Migration reversibility", "M22"),
-    ("Secrets not in schema", "M10"),
-    ("charset / utf8mb4", "M4"),
+    ("PITR / backups", []),
+    ("RLS on tenant tables", ["M9", "M10"]),
+    ("FK indexes", ["M11"]),
+    ("Money as numeric", ["M19"]),
+    ("timestamptz / UTC", ["M4"]),
+    ("Connection pooling sized", ["M15"]),
+    ("Migration reversibility", ["M22"]),
+    ("Secrets not in schema", ["M10"]),
+    ("charset / utf8mb4", ["M4"]),
 ]
 RELATIONAL_ONLY = ["RLS on tenant tables", "FK indexes", "charset / utf8mb4"]
 
@@ -391,7 +391,7 @@ def readiness_checklist(findings: DataFrame) -> DataFrame:
         *[
             F.struct(
                 F.lit(n + 1).alias("check_no"), F.lit(name).alias("check"), F.lit(name in RELATIONAL_ONLY).alias("relational_only"),
-                F.array(*[F.lit(m) for m in mods.split()]).cast("array<string>").alias("modules"),
+                F.array(*[F.lit(m) for m in mods]).cast("array<string>").alias("modules"),
             )
             for n, (name, mods) in enumerate(CHECKLIST)
         ]
@@ -423,7 +423,7 @@ def readiness_checklist(findings: DataFrame) -> DataFrame:
 def readiness_drivers(findings: DataFrame) -> DataFrame:
     """``store, check_no, id, status``: every open finding behind a readiness check, with its worst status."""
     answered = constant_frame(
-        findings.sparkSession, [(n + 1, m) for n, (_, mods) in enumerate(CHECKLIST) for m in mods.split()], "check_no int, parent string"
+        findings.sparkSession, [(n + 1, m) for n, (_, mods) in enumerate(CHECKLIST) for m in mods], "check_no int, parent string"
     )
     open_ = findings.where(F.col("status").isin("fail", "warn", "needs_api")).withColumn("parent", parent_module(F.col("module")))
     worst = open_.join(F.broadcast(answered), "parent").groupBy("store", "check_no", "id").agg(F.min(rank_in("status", STATUSES)).alias("s"))

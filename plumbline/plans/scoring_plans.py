@@ -239,7 +239,7 @@ def _(i):
 
 
 CHECK_VALUES = ", ".join(
-    f"({n + 1}, '{name}', {str(name in scoring.RELATIONAL_ONLY).lower()}, '{mods}')" for n, (name, mods) in enumerate(scoring.CHECKLIST)
+    f"({n + 1}, '{name}', {str(name in scoring.RELATIONAL_ONLY).lower()}, '{' '.join(mods)}')" for n, (name, mods) in enumerate(scoring.CHECKLIST)
 )
 CHECKLIST_SQL = f"""WITH {DEDUPED}, chk(check_no, "check", rel, mods) AS (VALUES {CHECK_VALUES}),
   g AS (SELECT s.store, s.paradigm, chk.* FROM (SELECT DISTINCT store, paradigm FROM d) s, chk),
