@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from plumbline.operators import dependencies, documents
 from plumbline.operators import integrity as ri
 from plumbline.operators import profile as pf
 from plumbline.operators import timeseries as tm
@@ -355,6 +358,29 @@ def _(i):
     return pf.fd_discovery(i.part, FD_COLUMNS)
 
 
+LATTICE_COLUMNS = ["o_orderkey", "o_custkey", "c_nationkey", "c_mktsegment", "o_orderpriority", "currency", "area"]
+
+
+def _lattice_sql(table: str, columns: list[str], most: int) -> str:
+    """Every set of columns grouped on its own, then what holds without a smaller set that does."""
+    sets = [s for n in range(most + 1) for s in combinations(columns, n)]
+    held, arms = [], []
+    for k, s in enumerate(sets):
+        answers = [*[f"max(d_{y}) <= 1 AS h_{y}" for y in columns if y not in s], "max(n) <= 1 AS h_key"]
+        counted = ", ".join(f"count(DISTINCT {y}) + max(CASE WHEN {y} IS NULL THEN 1 ELSE 0 END) AS d_{y}" for y in columns if y not in s)
+        held.append(f"s{k} AS MATERIALIZED (SELECT {', '.join(answers)} FROM (SELECT {counted}, count(*) AS n FROM {table} {'GROUP BY ' + ', '.join(s) if s else ''}) t)")
+        parts = [j for j, p in enumerate(sets) if set(p) < set(s)]
+        for y in [*[c for c in columns if c not in s], "key"]:
+            rest = " AND ".join(["TRUE", *[f"NOT (SELECT h_{y} FROM s{j})" for j in parts], *[f"NOT (SELECT h_key FROM s{j})" for j in parts]])
+            arms.append(f"SELECT '{','.join(s)}' AS determinant, '{'*' if y == 'key' else y}' AS dependent, {len(s)} AS \"columns\" FROM s{k} WHERE h_{y} AND {rest}")
+    return f"WITH {', '.join(held)} {' UNION ALL '.join(arms)}"
+
+
+@query("minimal_dependencies", _lattice_sql("{orders_wide_fx}", LATTICE_COLUMNS, 2))
+def _(i):
+    return dependencies.minimal_dependencies(i.orders_wide_fx, LATTICE_COLUMNS, 2)
+
+
 DEPENDENTS = ["l_shipdate", "l_returnflag"]
 
 
@@ -450,6 +476,23 @@ def _(i):
     return pf.json_key_profile(i.events, "props")
 
 
+@query(
+    "json_path_profile",
+    r"""WITH d AS (SELECT event_id, CASE WHEN json_valid(doc) THEN CAST(doc AS JSON) END AS j FROM {docs_fx}),
+       m AS (SELECT fullkey, path AS above, CASE WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(type) WHEN type = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
+                    regexp_full_match(fullkey, '.*\[[0-9]+\]') AS place FROM (SELECT t.* FROM d, json_tree(d.j) t) x),
+       n AS (SELECT regexp_replace(regexp_replace(fullkey, '\[[0-9]+\]', '[*]', 'g'), '\."([^"]*)"', '[''\1'']', 'g') AS path,
+                    regexp_replace(regexp_replace(above, '\[[0-9]+\]', '[*]', 'g'), '\."([^"]*)"', '[''\1'']', 'g') AS above, kind, place FROM m),
+       v AS (SELECT path, above, place, CAST(count(*) AS BIGINT) AS "values", string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(DISTINCT nullif(kind, 'null')) > 1 AS mixed FROM n GROUP BY 1, 2, 3),
+       h AS (SELECT path AS above, kind = 'array' AS place, CAST(count(*) AS BIGINT) AS parents FROM n WHERE kind IN ('object', 'array') GROUP BY 1, 2)
+       SELECT path, parents, "values", CASE WHEN NOT place THEN CAST(10000 * "values" // parents AS BIGINT) END AS share_bp, kinds, mixed,
+              NOT place AND 10000 * "values" // parents >= 9500 AS stable FROM v JOIN h USING (above, place) WHERE path <> '$'
+       UNION ALL SELECT '$', (SELECT count(*) FROM d), "values", CAST(10000 * "values" // (SELECT count(*) FROM d) AS BIGINT), kinds, mixed, FALSE FROM v WHERE path = '$'""",
+)
+def _(i):
+    return documents.json_path_profile(i.docs_fx, "doc")
+
+
 @query(
     "json_key_explosion",
     """WITH k AS (SELECT DISTINCT unnest(json_keys(json_object('k' || CAST(user_id AS VARCHAR), event_id))) AS json_key FROM events)

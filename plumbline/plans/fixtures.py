@@ -131,6 +131,26 @@ UNION ALL SELECT 'migrations/' || CAST(user_id AS STRING) || '/' || CAST(event_i
 UNION ALL SELECT 'migrations/' || CAST(user_id AS STRING) || '/' || CAST(event_id AS STRING) || '.sql', 3, 'SELECT 1' FROM {{events}} WHERE event_id % 3 = 0
 """
 
+# Orders told with their customer, as an unnormalised table would hold them.
+FIXTURES["orders_wide_fx"] = """
+SELECT o_orderkey, o_custkey, c_nationkey, c_mktsegment, o_orderpriority, 'EUR' AS currency,
+       CASE WHEN c_nationkey % 4 = 1 THEN NULL ELSE c_mktsegment || '-' || CAST(c_nationkey AS STRING) END AS area
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+
+# Nested documents: keys that come and go, one of changing kind, arrays in arrays, null and malformed rows.
+# Braces are chr(123) and chr(125), since templates fill names in braces.
+FIXTURES["docs_fx"] = """
+SELECT event_id, CASE WHEN event_id % 89 = 7 THEN CAST(NULL AS STRING) ELSE
+       chr(123) || '"id": ' || CAST(event_id AS STRING) || ', "user": ' || chr(123) || '"no": ' || CAST(user_id AS STRING)
+       || ', "seen": ' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"' || event_type || '"' END
+       || CASE WHEN event_id % 25 = 0 THEN '' ELSE ', "lang": "en"' END || chr(125) || ', "props": ' || props
+       || ', "amount": ' || CASE WHEN event_id % 7 = 0 THEN '"n/a"' ELSE CAST(event_id % 100 AS STRING) || '.5' END
+       || CASE WHEN event_id % 5 = 0 THEN ', "tags": ["' || event_type || '", ' || chr(123) || '"first seen": true, "deep": [[' || CAST(user_id AS STRING) || '], []]' || chr(125) || ']' ELSE '' END
+       || CASE WHEN event_id % 97 = 11 THEN '' ELSE chr(125) END END AS doc
+FROM {events}
+"""
+
 # Object access log: reads and writes of an entity by a session.
 FIXTURES["access_fx"] = """
 SELECT event_id, user_id % 40 AS session_id, event_id % 25 AS object_id, ts,

@@ -1,6 +1,7 @@
 """Operators against brute force on small frames, including badly skewed ones."""
 
 import datetime as dt
+import itertools
 import json
 import random
 
@@ -12,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog_rules as cr
-from plumbline.operators import diff, graph, history, integrity, inventory, privacy, profile, seed, state_rules, statements, vectors
+from plumbline.operators import dependencies, diff, documents, graph, history, integrity, inventory, privacy, profile, seed, state_rules, statements, vectors
 from plumbline.operators.ordered import Ordered, id_bucket, top_n
 from plumbline.sources import catalog as sc
 from plumbline.sources import files as sf
@@ -178,6 +179,67 @@ def test_functional_dependencies(spark):
     assert found == {("k", "d"): True, ("d", "k"): True, ("k", "e"): False, ("e", "k"): False, ("d", "e"): False, ("e", "d"): False}
 
 
+@pytest.mark.parametrize("sample_rows", [40, 100_000])
+def test_minimal_dependencies_by_brute_force(spark, sample_rows):
+    draw = random.Random(5)
+    rows = []
+    for k in range(300):
+        a, b = draw.choice([None, 1, 2, 3]), draw.choice(["x", "y", None])
+        rows.append((a, b, None if a is None else a * 2.0, f"{a}{b}", k // 2, 7, k % 2))
+    columns = ["a", "b", "c", "d", "e f", "g", "h"]
+    held = {}
+    for s in (s for n in range(4) for s in itertools.combinations(range(7), n)):
+        for y in [y for y in [*range(7), "*"] if y not in s]:
+            groups = {}
+            for n, r in enumerate(rows):
+                groups.setdefault(tuple(r[c] for c in s), set()).add(n if y == "*" else r[y])
+            held[s, y] = all(len(v) == 1 for v in groups.values())
+    want = set()
+    for (s, y), ok in held.items():
+        parts = [p for n in range(len(s)) for p in itertools.combinations(s, n)]
+        if ok and not any(held[p, y] or held[p, "*"] for p in parts):
+            want.add((",".join(columns[c] for c in s), y if y == "*" else columns[y], len(s)))
+    df = spark.createDataFrame(rows, "a int, b string, c double, d string, `e f` int, g int, h int")
+    got = [tuple(r) for r in dependencies.minimal_dependencies(df, columns, 3, sample_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("e f,h", "*", 2) in want and ("a,b", "d", 2) in want
+    # rows that repeat leave no key; in an empty table the empty set is one
+    assert "*" not in {r["dependent"] for r in dependencies.minimal_dependencies(df.union(df), columns, 2, sample_rows).collect()}
+    assert {tuple(r) for r in dependencies.minimal_dependencies(df.limit(0), ["a"], 1).collect()} == {("", "a", 0), ("", "*", 0)}
+    with pytest.raises(ValueError):
+        dependencies.minimal_dependencies(df, ["a", "a"])
+
+
+def test_json_paths_by_brute_force(spark):
+    texts = ['{"a":[1,{"b":null}],"c d":"x","f":1.5}', '{"a":{"b":2},"f":"t","it\'s":[]}', None, '{"x":', "5", '[[true,"s"],[]]', '{"a":1,"a":2}', "{}", '{"f":{"":1}}', "", "null"]
+    texts += ['{"deep":' * 8 + "1" + "}" * 8] * 3
+    want, holders = {}, {}
+
+    def meet(value, path, above):
+        kind = {bool: "boolean", str: "string", dict: "object", list: "array", type(None): "null"}.get(type(value), "number")
+        want.setdefault((path, above), []).append(kind)
+        holders[path, kind] = holders.get((path, kind), 0) + 1
+        if kind == "object":
+            for k, v in value.items():
+                meet(v, path + (f".{k}" if k.isidentifier() else "['" + k.replace("'", "\\'") + "']"), (path, "object"))
+        for v in value if kind == "array" else []:
+            meet(v, path + "[*]", (path, "array"))
+
+    for t in texts:
+        if t and t.count('"a"') < 2 and t != '{"x":':
+            meet(json.loads(t), "$", None)
+    expected = {}
+    for (path, above), kinds in want.items():
+        parents = holders[above] if above else len(texts)
+        share = None if above and above[1] == "array" else 10_000 * len(kinds) // parents
+        met = set(kinds)
+        expected[path] = (parents, len(kinds), share, ",".join(sorted(met)), len(met - {"null"}) > 1, bool(above) and share is not None and share >= 9500)
+    df = spark.createDataFrame([(t, 1) for t in texts], "j string, value int")
+    got = {r["path"]: tuple(r)[1:] for r in documents.json_path_profile(df, "j").collect()}
+    assert got == expected and len([p for p in got if p.endswith(".deep")]) == 8
+    assert documents.json_path_profile(df.limit(0), "j").collect() == []
+    assert [tuple(r) for r in documents.json_path_profile(df.where("j IS NULL"), "j").collect()] == [("$", 1, 0, 0, "", False, False)]
+
+
 def test_narrowing(spark):
     df = spark.createDataFrame([("abc", 1.5, 70000), ("abcdef", 2.0, 5), (None, None, None)], "s string, d double, i int")
     out = {r["column_name"]: r["lost"] for r in profile.narrowing_loss(df, [("s", "varchar(4)"), ("d", "int"), ("i", "smallint")]).collect()}
