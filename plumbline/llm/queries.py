@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import constant_frame, read_table
+from plumbline.session import constant_frame, cut_lineage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,13 +107,14 @@ def op8_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.edit_embedding import compare_with_next
+    from plumbline.llm.edit_embedding import compare_with_next, linked_prints
 
-    rows = compare_with_next(read_table(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    compared = compare_with_next(read_table(spark, sf_dir, "documents")).withColumn("edited", F.sha2("edited", 256))
+    rows = cut_lineage(compared, "edit-rows")
+    return rows.join(linked_prints(rows), "fingerprint").select(
+        "doc_id", "n_chars", F.col("edited").alias("edited_sha256"),
         F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
-        "near_edited", "near_next",
+        "near_edited", "near_next", "component_id",
     )
 
 

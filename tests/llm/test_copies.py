@@ -349,3 +349,38 @@ def test_near_copies_by_edit_fingerprints(make):
     assert {frozenset(g) for g in got.values()} == want and all(min(g) == c for c, g in got.items())
 
 
+def test_near_copies_against_all_pairs(make):
+    """Texts of 20 to 2,000 characters around the bound: all links are kept, and none is made up."""
+    draw = random.Random(11)
+    texts = []
+    for g in range(14):
+        base = prose(1_000 + g, draw.choice([4, 8, 20, 60, 120, 250]))
+        for _ in range(10):
+            t = list(base)
+            for _ in range(int(len(t) * draw.choice([0, 0.005, 0.01, 0.02, 0.04]))):
+                at, change = draw.randrange(len(t)), draw.randrange(3)
+                t[at : at + (change != 1)] = [] if change == 2 else [draw.choice("xyz")]
+            texts.append((len(texts), "".join(t)))
+    docs = make(texts)
+    prints = {r["doc_id"]: r["fingerprint"] for r in edit_embedding.fingerprints(docs).collect()}
+    links = [(a, b) for a in prints for b in prints if a <= b and edit_embedding.likeness(prints[a], prints[b]) >= 0.8]
+    got = {}
+    for r in edit_embedding.near_copies(docs).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == groups(links) and all(min(g) == c for c, g in got.items())
+    assert len(links) > 400 and len(got) > 20
+    assert edit_embedding.near_copies(docs.limit(0)).collect() == []
+
+
+def test_near_copies_of_a_text_and_a_longer_one_meet_on_one_level():
+    least = 0.8
+    for n in range(1, 2 * edit_embedding.SAMPLES):
+        for m in range(n, 2 * edit_embedding.SAMPLES):
+            if n >= least * m:
+                a, b = (set(edit_embedding._spans(bytes([0]) + bytes(x), least)) for x in (n, m))
+                assert a & b, (n, m)
+    for n in range(2 * edit_embedding.SAMPLES - 60, 2 * edit_embedding.SAMPLES):
+        for m in range(edit_embedding.SAMPLES, edit_embedding.SAMPLES + 60):
+            if n // 2 >= least * m:
+                a, b = set(edit_embedding._spans(bytes([4]) + bytes(n), least)), set(edit_embedding._spans(bytes([5]) + bytes(m), least))
+                assert a & b, (n, m)
