@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, map_batches, sliced, texts_of
@@ -206,69 +206,135 @@ def compare_with_next(docs: DataFrame, seed: int = SEED, buckets: int | None = N
     return map_batches(sorted_rows.select("bucket", "ahead", "doc_id", "text"), run, schema)
 
 
-def _spans(print_: bytes, least: float) -> Iterator[tuple[int, int]]:
-    """``level, span``: where a fingerprint is banded, by samples below ``span`` of a level.
+@functools.lru_cache(maxsize=4096)
+def _width(n: int, least: float) -> int:
+    """Samples in a block of the keys for pairs whose shorter side has ``n`` samples.
 
-    Texts alike by ``least`` differ in length by no more, so nearly all lie on one level and in one
-    octave of samples, and share the lower bound of that octave.  Those near an edge go there too:
-    a text that may have a longer partner on the next level, or a shorter one below.
+    Such a pair differs in at most ``wrong`` of them.  Of three blocks, two are equal unless two differ,
+    so some key of two blocks is equal if there are more than ``wrong`` / 2 threes: the widest block of
+    which there are as many is taken; without any, single samples are keys (0).
     """
-    level, n = print_[0], len(print_) - 1
-    if not n:
-        return
-    octave = 1 << n.bit_length() - 1
-    yield level, octave
-    crossing = int(least * SAMPLES)
-    if octave >= SAMPLES and n // 2 >= crossing:
-        yield level + 1, crossing
-    if level and crossing and n * least < SAMPLES:
-        yield level, crossing
-    if not level and octave > 1 and n * least < octave:
-        yield level, octave // 2
+    wrong = n - math.ceil(least * n - 1e-9)
+    return next((w for w in range(8, 0, -1) if 2 * (n // (3 * w)) > wrong), 0)
+
+
+@functools.lru_cache(maxsize=65536)
+def _places(level: int, n: int, least: float) -> tuple[tuple[int, int], ...]:
+    """``level, width`` of the keys of a fingerprint of ``n`` samples: on its own level those of every
+    length that its shorter partners may have, on higher ones, where its partners are longer, those of its own."""
+    own = {_width(m, least) for m in range(max(1, math.ceil(least * n - 1e-9)), n + 1)}
+    found, up = [(level, w) for w in sorted(own)], 1
+    while n >> up and n >> up >= least * SAMPLES - 1e-9:
+        found.append((level + up, _width(n >> up, least)))
+        up += 1
+    return tuple(found)
+
+
+def _spans(print_: bytes, least: float) -> Iterator[tuple[int, int]]:
+    """``level, width``: on which levels a fingerprint has keys, and of which blocks."""
+    yield from _places(print_[0], len(print_) - 1, least)
+
 
+def _mixed(v: np.ndarray) -> np.ndarray:
+    v = (v ^ v >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ v >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return v ^ v >> np.uint64(32)
 
-def _hashed(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
+def _padded(prints: list[np.ndarray], blank: int = 0) -> np.ndarray:
+    out = np.full((len(prints), 2 * SAMPLES), blank, dtype=np.int16 if blank else np.uint8)
+    for row, p in zip(out, prints, strict=True):
+        row[: len(p)] = p
+    return out
 
-_BANDED = "band long, node long, level int, span int"
-_BANDED_NAMES = ["band", "node", "level", "span"]
 
+def _place_keys(prints: list[np.ndarray], level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``row, key``: two equal blocks of every whole three, or single samples if ``width`` is 0."""
+    size, blocks = (3 * width, 3) if width else (1, 1)
+    threes = np.array([len(p) for p in prints]) // size
+    most = int(threes.max(initial=0))
+    cells = _padded(prints)[:, : most * size].reshape(len(prints), most, blocks, -1).astype(np.uint64)
+    codes = (cells << np.arange(0, 8 * cells.shape[3], 8, dtype=np.uint64)).sum(axis=3, dtype=np.uint64)
+    row, three = np.nonzero(np.arange(most) < threes[:, None])
+    keys = []
+    for k, (x, y) in enumerate([(0, 1), (0, 2), (1, 2)] if width else [(0, 0)]):
+        place = _mixed(np.uint64(level << 32 | width << 24 | k << 16) + three.astype(np.uint64))
+        keys.append(_mixed(_mixed(place + codes[row, three, x]) + codes[row, three, y]).view(np.int64))
+    return np.tile(row, len(keys)), np.concatenate(keys)
 
-def _bands(nodes: DataFrame, least: float, bands: int, rows: int, seed: int) -> DataFrame:
-    """``band, node, level, span``: the keys of every fingerprint."""
+
+def _keys(nodes: DataFrame, least: float, seed: int) -> DataFrame:
+    """``key, node, level``: the keys of every fingerprint; two alike by ``least`` or more share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for node, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for level, span in _spans(p, least):
-                    if span not in chosen:
-                        chosen[span] = np.random.default_rng((seed, span)).integers(0, span, (bands, rows))
-                    drawn = at_level(p, level, seed)[chosen[span]].tobytes()
-                    place = bytes([level, span])
-                    for k in range(bands):
-                        out[0].append(_hashed(place, bytes([k]), drawn[k * rows : (k + 1) * rows]))
-                    for column, value in zip(out[1:], (node, level, span), strict=True):
-                        column.extend([value] * bands)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], _BANDED_NAMES)
+            numbers, at = batch.column(0).to_numpy(), {}
+            for k, p in enumerate(batch.column(1).to_pylist()):
+                for place in _spans(p, least):
+                    at.setdefault(place, []).append((k, p))
+            for (level, width), found in at.items():
+                for lo in range(0, len(found), 2_000):
+                    part = found[lo : lo + 2_000]
+                    row, key = _place_keys([at_level(p, level, seed) for _, p in part], level, width)
+                    node = numbers[np.array([k for k, _ in part])[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(np.full(len(key), level, np.int32))], ["key", "node", "level"])
+
+    return map_batches(nodes.select("node", "fingerprint"), run, "key long, node long, level int")
 
-    return map_batches(nodes.select("node", "fingerprint"), run, _BANDED)
 
+TILE = 512
 
-def _narrowed(members: DataFrame, more: int, turn: int, seed: int) -> DataFrame:
-    """Members of bands (``band, node, level, span, fingerprint``) by ``more`` further samples."""
+
+def _parted(rest: DataFrame, least: float, seed: int) -> DataFrame:
+    """``a, b``: all pairs alike by ``least`` or more between the components of each key, of
+    ``rest(key, level, n, node, component, fingerprint)``.
+
+    A key's members are dealt out to parts of about ``TILE``, and every two parts meet in a tile of their own, so
+    that a key of many members is work for many tasks.
+    """
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiles = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "level", "node", "component", "fingerprint")
+
+    def near(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        i, j, part, node, component = (tile.column(c).to_numpy() for c in ("i", "j", "part", "node", "component"))
+        prints, level = tile.column("fingerprint").to_pylist(), tile.column("level")[0].as_py()
+        seen = [at_level(p, level, seed) for p in prints]
+        sizes, own = np.array([len(p) for p in seen]), np.array([p[0] == level for p in prints])
+        ours, theirs = _padded(seen, -1), _padded(seen, -2)
+        a, b = [], []
+        for k in range(len(node)):
+            # within a part each pair once; between parts the first with the second
+            against = np.arange(k + 1, len(node)) if i[0] == j[0] else np.flatnonzero(part == j[0]) if part[k] == i[0] else np.zeros(0, dtype=np.int64)
+            # two of a lower level compare on that one
+            against = against[(component[against] != component[k]) & (own[against] | own[k])]
+            if len(against):
+                equal = (theirs[against] == ours[k]).sum(axis=1)
+                alike = against[equal / np.maximum(sizes[against], sizes[k]) >= least]
+                a.append(np.full(len(alike), node[k]))
+                b.append(node[alike])
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def checked(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+            found = [near(table.slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], ["a", "b"])
+
         for batch in batches:
-            found = []
-            for band, level, span, p in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
-                picks = np.random.default_rng((seed, turn, band & (1 << 64) - 1)).integers(0, span, more)
-                found.append(_hashed(band.to_bytes(8, "little", signed=True), at_level(p, level, seed)[picks].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *[batch.column(k) for k in (1, 2, 3)]], _BANDED_NAMES)
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            tile = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
+            edges = np.concatenate([[0], np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1])
+            if len(edges) > 1:  # the last tile may go on in the next batch
+                yield checked(held, edges)
+                held = held.slice(int(edges[-1]))
+        if held is not None and held.num_rows:
+            yield checked(held, np.array([0, held.num_rows]))
 
-    return map_batches(members.select(*_BANDED_NAMES, "fingerprint"), run, _BANDED)
+    return map_batches(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float, seed: int) -> DataFrame:
@@ -285,45 +351,36 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float, seed: int) -> DataF
     return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def linked_prints(prints: DataFrame, least: float = 0.8, bands: int = 20, rows: int = 6, more: int = 3, seed: int = SEED) -> DataFrame:
+def linked_prints(prints: DataFrame, least: float = 0.8, seed: int = SEED) -> DataFrame:
     """``fingerprint, component_id`` for every distinct fingerprint of ``prints(doc_id, fingerprint)``: components of
-    the links between fingerprints alike by ``least`` or more, named by their least ``doc_id``.
+    the links between fingerprints alike by ``least`` (above 0) or more, named by their least ``doc_id``.
 
-    Bit-sampled banding: fingerprints meet on ``rows`` sampled symbols in any of ``bands``.  Each band
-    chooses a head by a hash of its own, and all its members are checked against it.  A band whose
-    members are by then in one component is done.  Of the others all members go on, those already linked
-    too, parted by ``more`` further samples, to another head each; they are only checked against heads
-    of other components.  So no pairs of a group are listed, links are never between unlike
-    fingerprints, and a hot band costs a row per member and turn.  Banding is a matter of chance: a pair
-    alike by 0.8 shares none of 20 bands in 1 of 400 cases.
+    All such links count: two fingerprints alike share a key for certain (``_width``).  Each key's head is its member of
+    the least hash, which the keys of a group have in common, and all members are checked against it.  A key whose
+    members are by then in one component is done; of the others, all members of different components are checked against each other.  So groups
+    of copies cost a row per member and key, and a key that many unlike fingerprints share, as those of one
+    long heading, costs their pairs.
 
     Rows that repeat count once; an empty table gives no rows; the fingerprint of the empty text is alone.
     """
-    spark = prints.sparkSession
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()), "edit-nodes")  # numbers are fixed by being written
-    members = cut_lineage(_bands(nodes, least, bands, rows, seed), "edit-bands")
-    named = spark.createDataFrame([], "node long, component long")
-    turn = 0
-    while not members.isEmpty():
-        heads = members.groupBy("band").agg(F.min_by("node", F.xxhash64("band", "node")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        heads = cut_lineage(heads, "edit-heads")
-        pairs = members.join(heads, "band").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        if turn:
-            sides = [named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab"]
-            pairs = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
-        found = cut_lineage(_alike(pairs, nodes, least, seed), "edit-found")
-        if not found.isEmpty():  # a component so far is a star; what was found ties stars together
-            stars = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            named = cut_lineage(components(stars.union(found), "edit-links"), "edit-named")
-        # heads have met everyone in their band; bands of one component have nothing left to link
-        labelled = members.join(heads, "band").where("node <> head").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        unsettled = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        turn += 1
-        following = cut_lineage(_narrowed(labelled.join(unsettled, "band").join(nodes.select("node", "fingerprint"), "node"), more, turn, seed), "edit-bands")
-        for stage in (members, heads, found):
-            drop_stage(stage)
-        members = following
+    within = Window.partitionBy("key")
+    chosen = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(within)["node"]
+    members = _keys(nodes, least, seed).withColumns({"n": F.count(F.lit(1)).over(within), "head": chosen}).where("n > 1 AND node <> head")
+    members = cut_lineage(members, "edit-members")
+    pairs = members.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    found = cut_lineage(_alike(pairs, nodes, least, seed), "edit-found")
+    named = cut_lineage(components(found, "edit-links"), "edit-named")
+    # heads have met everyone who shares their key; keys of one component have nothing left to link
+    labelled = members.where("n > 2").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unsettled = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = labelled.join(unsettled, "key").join(nodes.select("node", "fingerprint"), "node")
+    more = cut_lineage(_parted(rest, least, seed), "edit-more")
+    if not more.isEmpty():  # a component so far is a star; what was found ties stars together
+        named = cut_lineage(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "edit-links"), "edit-named")
+    for stage in (members, found, more):
+        drop_stage(stage)
     grouped = nodes.join(named, "node", "left").select("fingerprint", "first", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     return cut_lineage(grouped.join(names, "component").select("fingerprint", "component_id"), "edit-names")

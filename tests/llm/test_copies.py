@@ -384,3 +384,74 @@ def test_near_copies_of_a_text_and_a_longer_one_meet_on_one_level():
             if n // 2 >= least * m:
                 a, b = set(edit_embedding._spans(bytes([4]) + bytes(n), least)), set(edit_embedding._spans(bytes([5]) + bytes(m), least))
                 assert a & b, (n, m)
+
+
+def near_prints():
+    """Fingerprints at the bound by chance, some a level apart, and many that are alike in their first half alone."""
+    rng = np.random.default_rng(21)
+    prints = []
+
+    def add(level, samples):
+        prints.append(bytes([level]) + samples.astype(np.uint8).tobytes())
+
+    for k in range(1_500):
+        n = int(rng.integers(4, 256))
+        text = rng.integers(0, 40, n)
+        other = text.copy()
+        other[rng.permutation(n)[: n // 5]] += 40  # as many as a pair may differ in
+        level = 0 if n < 128 else int(rng.integers(0, 5))
+        add(level, text)
+        add(level, other[: n if k % 3 else max(1, n - n // 40)])
+    for _ in range(200):
+        lower = rng.integers(0, 40, int(rng.integers(220, 256)))
+        add(2, lower)
+        half = edit_embedding.at_level(prints[-1], 3, edit_embedding.SEED).copy()
+        half[rng.permutation(len(half))[: len(half) // 20]] += 40
+        add(3, np.concatenate([half, rng.integers(0, 40, 128 - len(half) if len(half) < 128 else 0)]))
+    heading = rng.integers(0, 40, 70)
+    tails = rng.integers(0, 40, (700, 70))
+    tails[600:] = tails[:100]
+    tails[600:, rng.permutation(70)[:25]] += 40
+    for tail in tails:
+        add(1, np.concatenate([heading, tail]))
+    return sorted(set(prints))
+
+
+def test_all_links_between_edit_fingerprints_are_kept(spark):
+    prints = near_prints()
+    links = [(k, k) for k in range(len(prints))]
+    for level in {p[0] for p in prints}:
+        mine = [k for k, p in enumerate(prints) if p[0] in (level - 1, level)]
+        views = [edit_embedding.at_level(prints[k], level, edit_embedding.SEED) for k in mine]
+        size, ours = np.array([len(v) for v in views]), np.full((len(mine), 256), -1)
+        for row, v in zip(ours, views, strict=True):
+            row[: len(v)] = v
+        theirs, own = np.where(ours < 0, -2, ours), np.array([prints[k][0] == level for k in mine])
+        for x, k in enumerate(mine):
+            if own[x]:
+                alike = (theirs == ours[x]).sum(axis=1) / np.maximum(size, size[x]) >= 0.8
+                links += [(k, mine[y]) for y in np.flatnonzero(alike) if mine[y] != k]
+    assert all(edit_embedding.likeness(prints[a], prints[b]) >= 0.8 for a, b in links)
+    assert len(links) > len(prints) + 2_000
+    docs = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(prints)], "doc_id long, fingerprint binary")
+    got = {}
+    for r in edit_embedding.linked_prints(docs).collect():
+        got.setdefault(r["component_id"], set()).add(prints.index(bytes(r["fingerprint"])))
+    assert {frozenset(g) for g in got.values()} == groups(links) and all(min(g) == c for c, g in got.items())
+
+
+def test_fingerprints_alike_share_a_key_however_they_differ():
+    rng = np.random.default_rng(22)
+    for m in range(4, 256):
+        for n in {m, -(-4 * m // 5), (m + -(-4 * m // 5)) // 2}:
+            equal, longer = -(-4 * m // 5), rng.integers(0, 200, m)
+            shorter = longer[:n].copy()
+            for wrong in (rng.permutation(n)[: n - equal], np.arange(0, n, max(1, n // max(1, n - equal)))[: n - equal], np.arange(n - equal)):
+                other = shorter.copy()
+                other[wrong] += 40
+                shared = [set(), set()]
+                for side, samples in zip(shared, (other, longer), strict=True):
+                    for level, width in edit_embedding._spans(bytes([0]) + samples.astype(np.uint8).tobytes(), 0.8):
+                        if not level:
+                            side.update(edit_embedding._place_keys([samples.astype(np.uint8)], level, width)[1].tolist())
+                assert shared[0] & shared[1], (n, m)
