@@ -93,16 +93,16 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``key`` is equal for equal rows alone, ``text_key`` for equal texts.  ``links`` are the entities of each
     span (its value, mailbox and domain of an address, subnet of a number, digits of others) with the
-    context: the hash of the value and ``reach`` code points before and after it.  ``terms`` are the
+    context, the hash of the value and ``reach`` code points before and after it, and the hash of the value in lower case.  ``terms`` are the
     distinct words outside personal data, for texts that have any.
     """
     rows = spanned(docs, id_col, text_col)
     around = f"substring(text, greatest(s.start - {reach}, 0) + 1, least({reach}, s.start)), substring(text, s.end + 1, {reach})"
-    near = f"""transform(spans, s -> named_struct('context', xxhash64(s.value, {around}), 'entities', CASE
+    near = f"""transform(spans, s -> named_struct('context', xxhash64(s.value, {around}), 'value', xxhash64(lower(s.value)), 'entities', CASE
         WHEN s.kind = 'email' THEN array(concat('value:', s.value), concat('mailbox:', lower(substring_index(s.value, '@', 1))), concat('domain:', lower(substring_index(s.value, '@', -1))))
         WHEN s.kind = 'ip' THEN array(concat('value:', s.value), concat('subnet:', substring_index(s.value, '.', 3)))
         ELSE array(concat('value:', s.value), concat(s.kind, ':', regexp_replace(s.value, '[^0-9]', ''))) END))"""
-    links = f"flatten(transform({near}, n -> transform(n.entities, e -> named_struct('entity', e, 'context', n.context))))"
+    links = f"flatten(transform({near}, n -> transform(n.entities, e -> named_struct('entity', e, 'context', n.context, 'value', n.value))))"
     return rows.select(
         "doc_id", row_key("doc_id", "text").alias("key"), F.md5(F.col("text").cast("binary")).alias("text_key"), "spans",
         F.expr(links).alias("links"), F.when(F.size("spans") > 0, words_of("masked")).alias("terms"),
@@ -140,8 +140,9 @@ def disclosures(
     the whole of each.  A term is marked if all of this holds:
 
     * The entity identifies: it stands in ``min_contexts`` different contexts, so that rare words of a text whose
-      value occurs once are not taken for its sign, and in fewer than ``public_from``; what stands in more, as the
-      domain of a mail service, is public and no one's.  Copies of a passage are one context.
+      value occurs once are not taken for its sign.  Copies of a passage are one context.  A mailbox, domain or
+      subnet that ``public_from`` or more different values share, as the domain of a mail service, is public and no
+      one's; a value is someone's however often it stands.
     * The term shares ``min_contexts`` of them.
     * The term singles the entity out: at least a share ``posterior`` of all texts that hold the term hold the entity.
     * That is no accident: were words dealt out by chance, fewer than ``2 ** -bits`` pairs of all terms and
@@ -152,11 +153,14 @@ def disclosures(
     """
     units = found.where("size(links) > 0").dropDuplicates(["text_key"])
     each = units.select("text_key", F.explode("links").alias("l"), F.size("terms").alias("words"))
-    each = each.groupBy("text_key", "l.entity").agg(F.min("l.context").alias("context"), F.first("words").alias("words"))
+    each = each.groupBy("text_key", "l.entity").agg(F.min("l.context").alias("context"), F.first("words").alias("words"), F.collect_set("l.value").alias("values"))
     each = cut_lineage(each, "private-entities")
+    members = each.where("entity RLIKE '^(mailbox|domain|subnet):'").select("entity", F.explode("values").alias("value")).distinct()
+    public = members.groupBy("entity").count().where(F.col("count") >= public_from).select("entity")
+    each = each.drop("values")
     # a pair has no more contexts than its entity
     entities = each.groupBy("entity").agg(F.count("*").alias("n_value"), F.count_distinct("context").alias("n"), F.sum("words").alias("words"))
-    entities = cut_lineage(entities.where((F.col("n") >= min_contexts) & (F.col("n") < public_from)).drop("n"), "linked-entities")
+    entities = cut_lineage(entities.where(F.col("n") >= min_contexts).drop("n").join(public, "entity", "left_anti"), "linked-entities")
     kept = each.join(entities.select("entity"), "entity").join(units.select("text_key", "terms"), "text_key")
     alike = kept.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = alike.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)

@@ -118,6 +118,18 @@ def test_words_of_a_template_and_chance_disclose_nothing(make):
     assert all(clean[i] == t for i, t in texts if 1_000 <= i < 6_000)
 
 
+def test_a_value_in_many_texts_is_still_someones(make):
+    draw = random.Random(13)
+    words = [f"word{k}" for k in range(4_000)]
+    texts = [(k, f"Kwyjibo {' '.join(draw.sample(words, 12))} wrote from one@home.net {' '.join(draw.sample(words, 12))}") for k in range(60)]
+    texts += [(100 + k, f"tickets {' '.join(draw.sample(words, 12))} wrote from p{k}@mail.org {' '.join(draw.sample(words, 12))}") for k in range(60)]
+    texts += [(1_000 + k, "wrote from " + " ".join(draw.sample(words, 24))) for k in range(1_000)] + [(3_000, "kwyjibo, alone")]
+    text = dict(texts)
+    found = {(r["doc_id"], text[r["doc_id"]][t["start"] : t["end"]]) for r in disclosure.find_private(make(texts)).collect() for t in r["terms"]}
+    assert found >= {(k, "Kwyjibo") for k in range(60)} | {(3_000, "kwyjibo")}
+    assert not {w for _, w in found} & {"tickets"} and not any(100 <= d < 3_000 for d, _ in found)
+
+
 def test_native_plan(make):
     found = disclosure.find_private(make(private_texts()))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
