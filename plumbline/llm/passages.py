@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_batches, sliced, texts_of
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, drop_stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -102,7 +102,8 @@ _NAMES = ["value", "doc", "pos", "head", "head_pos"]
 
 
 def window_links(docs: DataFrame, width: int, length: int, hashes: int) -> DataFrame:
-    """``value, doc, pos, head, head_pos``: every window with the first one that has its value.
+    """``value, doc, pos, head, head_pos``: every window with the first one that has its value; a document's
+    own later windows of a value lead to itself.
 
     Windows meet by one shuffle on their value.  Within a slice of a task, only the first window
     of a value travels on its own; the others are already linked to it, so a passage that a third
@@ -116,10 +117,8 @@ def window_links(docs: DataFrame, width: int, length: int, hashes: int) -> DataF
                 continue
             order, new, head = _heads(w["value"], w["doc"], w["pos"])
             value, doc, pos = (w[c][order] for c in ("value", "doc", "pos"))
-            known = pa.array(new)
             heads = [pa.array(a[head], mask=new) for a in (doc, pos)]
-            same = ~new & (doc == doc[head])  # a document's own repeats are no links
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(doc), pa.array(pos), *heads], _NAMES).filter(pa.array(~same) if same.any() else pa.array(np.ones(len(known), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(doc), pa.array(pos), *heads], _NAMES)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -135,9 +134,8 @@ def window_links(docs: DataFrame, width: int, length: int, hashes: int) -> DataF
             first = np.flatnonzero(new)
             head_doc = np.concatenate([[last[1] if last else 0], doc[first]])[at + 1]
             head_pos = np.concatenate([[last[2] if last else 0], pos[first]])[at + 1]
-            other = ~new & (doc != head_doc)
-            if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[other]) for a in (value, doc, pos, head_doc, head_pos)], _NAMES)
+            if not new.all():
+                yield pa.RecordBatch.from_arrays([pa.array(a[~new]) for a in (value, doc, pos, head_doc, head_pos)], _NAMES)
             last = value[-1], head_doc[-1], head_pos[-1]
 
     windows = map_batches(docs, emit, LINK)
@@ -247,6 +245,181 @@ def matching(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> li
     return out
 
 
+TILE = 1024
+SHARED = "key long, doc long, at long, first long, last long, low long, high long"
+
+
+def _shared_starts(table: pa.Table, hashes: int, enough: int) -> pa.RecordBatch:
+    """``SHARED`` rows of whole documents' windows ``value, doc, pos, low, high``: the starts from ``first`` to
+    ``last`` that windows of two functions hold, by a key of both values; of them ``low`` to ``high`` are open."""
+    value, doc, pos, low, high = (table.column(c).to_numpy() for c in ("value", "doc", "pos", "low", "high"))
+    at = pos >> 32
+    first, last = at - (pos >> 16 & 0xFFFF), at - (pos & 0xFFFF)
+    order = np.lexsort((first, doc))
+    value, doc, at, first, last, low, high = (a[order] for a in (value, doc, at, first, last, low, high))
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    sizes = np.maximum.reduceat(last, np.flatnonzero(new)) + 1
+    line = (np.cumsum(sizes) - sizes)[np.cumsum(new) - 1]  # document after document on one line
+    rows = [np.flatnonzero((value & 0xFF) == j) for j in range(hashes)]
+    xs, ys = [], []
+    for i in range(hashes):
+        for j in range(i + 1, hashes) if enough > 1 else [i]:
+            x, y = rows[i], rows[j]
+            if enough > 1 and len(y):  # windows of one function share no start
+                lo = np.searchsorted((line + last)[y], (line + first)[x])
+                n = np.maximum(0, np.searchsorted((line + first)[y], (line + last)[x], side="right") - lo)
+                x, y = np.repeat(x, n), y[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            elif enough > 1:
+                x = y
+            xs.append(x)
+            ys.append(y)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    key = _mix(_mix(value[x].view(np.uint64)) + value[y].view(np.uint64)).view(np.int64)
+    columns = [key, doc[x], at[x], np.maximum(first[x], first[y]), np.minimum(last[x], last[y]), np.maximum(low[x], low[y]), np.minimum(high[x], high[y])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "at", "first", "last", "low", "high"])
+
+
+def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Rows of a tile that ask, and for each as many earlier ones as it takes to give all its open starts
+    that have a similar passage one; those that share the most shingles are tried first."""
+    asks, doc, first, low, high = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "doc", "first", "low", "high"))
+    shingles = [np.frombuffer(b, "<u4") for b in tile.column("shingles").to_pylist()]
+    asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(asking) or not len(others):
+        return [], []
+    flat, owner = np.concatenate(shingles), np.repeat(np.arange(len(asks)), [len(x) for x in shingles])
+    theirs = ~asks[owner]
+    vocabulary = np.intersect1d(flat[theirs], flat[~theirs])
+    if not len(vocabulary):
+        return [], []
+    code = np.searchsorted(vocabulary, flat)
+    code[code == len(vocabulary)] = 0
+    known = vocabulary[code] == flat
+    code[~known] = len(vocabulary)
+    has = np.zeros((len(asks), len(vocabulary) + 1), dtype=bool)
+    has[owner, code] = True
+    has[:, -1] = False
+    edges = np.cumsum([0, *map(len, shingles)])
+    own = np.zeros((len(asking), len(others)), dtype=np.float32)
+    for lo in range(0, len(vocabulary), 4096):
+        part = has[:, lo : lo + 4096].astype(np.float32)
+        own += part[asking] @ part[others].T
+    ours, heads = [], []
+    for u, shares in zip(asking, own, strict=True):
+        text, codes = shingles[u], code[edges[u] : edges[u + 1]]
+        starts = np.zeros(len(text) - length + 1, dtype=bool)
+        starts[low[u] - first[u] : high[u] - first[u] + 1] = True
+        # a set of n shingles and one that is similar share n * similarity; two of ``length`` each share more
+        distinct = np.unique(text).size == len(text)
+        bound = similarity * (length - len(text) + np.unique(text).size)
+        near = np.flatnonzero((shares >= max(1.0, bound)) & (doc[others] < doc[u]))
+        if not len(near):
+            continue
+        total = np.cumsum(has[np.ix_(others[near], codes)], axis=1, dtype=np.int32)
+        inside = total[:, length - 1 :] - np.concatenate([np.zeros((len(near), 1), np.int32), total[:, : len(text) - length]], axis=1)
+        good = inside >= (2 * similarity / (1 + similarity) * length - 1e-9 if distinct else max(1.0, bound))
+        order = np.lexsort((doc[others[near]], -shares[near]))
+        for k in order.tolist():
+            if not (good[k] & starts).any():
+                continue
+            m = others[near[k]]
+            done = np.zeros(len(starts), dtype=bool)
+            for a, b, *_ in matching(text, shingles[m], length, similarity):
+                done[a : b - length + 1] = True
+            if (done & starts).any():
+                ours.append(int(u))
+                heads.append(int(m))
+                starts &= ~done
+                if not starts.any():
+                    break
+    return ours, heads
+
+
+def hidden_links(source: DataFrame, links: DataFrame, found: DataFrame, width: int, length: int, similarity: float, hashes: int, enough: int) -> DataFrame:
+    """Links as of ``window_links`` to earlier documents that the first one of a value hides.
+
+    A window whose passages lie in what was found has its repeat.  Of the others, and of all windows of
+    the values that more than two windows have, starts that windows of two functions hold meet under
+    both values; all that are open are compared with all earlier ones of their key, by the shingles around them.  A
+    key's rows are dealt out to parts of about ``TILE``, every two of which meet in a tile of their own.
+    """
+    words = length + width - 1
+    every = links.select("value", "doc", "pos").union(links.select("value", F.col("head").alias("doc"), F.col("head_pos").alias("pos"))).distinct()
+    # a document may have a value more than once, and what repeats there need not be its first place
+    crowded = every.groupBy("value").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 2 AND least < most").select("value")
+    cuts = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    place = F.shiftright("pos", 32)
+    windows = every.join(crowded, "value").join(cuts, "doc", "left").withColumns(
+        {"first": place - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)), "last": place - F.col("pos").bitwiseAND(F.lit(0xFFFF))}
+    )
+    # a repeat that begins before the first start settles starts from there on, one that ends behind the last up to it
+    before = F.array_max(F.transform(F.filter("cuts", lambda c: (c["start"] <= F.col("first"))), lambda c: c["end"] - words + 1))
+    behind = F.array_min(F.transform(F.filter("cuts", lambda c: (c["end"] >= F.col("last") + words)), lambda c: c["start"] - 1))
+    windows = windows.select("value", "doc", "pos", F.greatest("first", before).alias("low"), F.least("last", behind).alias("high"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["doc"]):
+            yield _shared_starts(table, hashes, enough)
+
+    shared = map_batches(windows.repartition("doc").sortWithinPartitions("doc"), meet, SHARED)
+    key = Window.partitionBy("key")
+    opened = F.col("low") <= F.col("high")
+    shared = shared.withColumns({"n": F.count(F.lit(1)).over(key), "least": F.min("doc").over(key), "asking": F.max(F.when(opened, F.col("doc"))).over(key)})
+    live = shared.where("asking > least").drop("asking", "least")
+    columns = ["key", "n", "at", "first", "last", "low", "high"]
+    by_doc = live.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[bytes, int] = {}
+            for doc, text, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                hashed = shingle_hashes(text.as_py().encode().lower().split(), width, known).astype("<u4")
+                out = {c: pa.array([r[c] for r in rows], pa.int64()) for c in columns}
+                out |= {"doc": pa.array([doc] * len(rows), pa.int64()), "shingles": pa.array([hashed[r["first"] : r["last"] + length].tobytes() for r in rows], pa.binary())}
+                yield pa.RecordBatch.from_pydict(out)
+
+    around = source.withColumnRenamed("doc_id", "doc").join(by_doc, "doc").select("doc", "text", "rows")
+    schema = ", ".join(f"{c} long" for c in [*columns, "doc"]) + ", shingles binary"
+    rows = map_batches(around, contexts, schema)
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    roles = F.array(F.struct(F.lit(False).alias("asks"), F.col("other").alias("i"), F.col("part").alias("j")), F.struct(F.lit(True).alias("asks"), F.col("part").alias("i"), F.col("other").alias("j")))
+    tiles = dealt.withColumn("role", F.explode(F.filter(roles, lambda r: ~r["asks"] | opened))).select(
+        "key", "role.i", "role.j", "role.asks", "doc", "at", "first", "last", "low", "high", "shingles"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["key", "i", "j"]):
+            cells = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            edges = np.flatnonzero(np.concatenate([[True], (cells[:, 1:] != cells[:, :-1]).any(axis=0), [True]])).tolist()
+            ours, heads = [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                found = _partners(table.slice(lo, hi - lo), length, similarity)
+                ours += [lo + k for k in found[0]]
+                heads += [lo + k for k in found[1]]
+            at, first, last, doc, value = (table.column(c).to_numpy() for c in ("at", "first", "last", "doc", "key"))
+            pos = at << 32 | at - first << 16 | at - last
+            mine, theirs = np.array(ours, dtype=np.int64), np.array(heads, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (value[mine], doc[mine], pos[mine], doc[theirs], pos[theirs])], _NAMES)
+
+    return map_batches(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "at"), compare, LINK)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a group of these columns ends."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        cells = np.stack([held.column(c).to_numpy() for c in columns])
+        edges = np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0)) + 1
+        if len(edges):
+            yield held.slice(0, int(edges[-1]))
+            held = held.slice(int(edges[-1]))
+    if held is not None and held.num_rows:
+        yield held
+
+
 REPEAT = "doc long, start long, end long, head long, head_start long, head_end long, similarity double"
 
 
@@ -298,7 +471,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _repeats(source: DataFrame, words: int, width: int, similarity: float, hashes: int, enough: int) -> DataFrame:
     """``repeated_passages`` of ``doc_id, text`` whose ids are distinct."""
     length = words - width + 1
-    found = cut_lineage(chains(window_links(source, width, length, hashes), width, length, enough), "chains")
+    links = cut_lineage(window_links(source, width, length, hashes), "window-links")
+    found = _verified(source, chains(links.where("doc <> head"), width, length, enough), width, length, similarity)
+    more = cut_lineage(hidden_links(source, links, found, width, length, similarity, hashes, enough), "hidden-links")
+    drop_stage(links)
+    if more.isEmpty():
+        return found
+    # each of these starts of passages is held by as many functions as are asked for
+    return cut_lineage(found.union(_verified(source, chains(more, width, length, 1), width, length, similarity)).distinct(), "repeats")
+
+
+def _verified(source: DataFrame, chained: DataFrame, width: int, length: int, similarity: float) -> DataFrame:
+    """The passages of ``repeated_passages`` in these chains, by their texts."""
+    found = cut_lineage(chained, "chains")
     ranges = found.select(F.col("doc").alias("doc_id"), "lo", "hi").union(found.select("head", "head_lo", "head_hi")).distinct()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +518,10 @@ def _repeats(source: DataFrame, words: int, width: int, similarity: float, hashe
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     verified = map_batches(both.select("doc", "lo", "head", "head_lo", "own", "theirs"), verify, REPEAT).distinct()
-    return cut_lineage(verified, "repeats")  # small beside the texts, and read more than once
+    verified = cut_lineage(verified, "repeats")  # small beside the texts, and read more than once
+    for stage in (found, parts):
+        drop_stage(stage)
+    return verified
 
 
 def passage_rows(repeats: DataFrame) -> DataFrame:

@@ -455,3 +455,28 @@ def test_fingerprints_alike_share_a_key_however_they_differ():
                         if not level:
                             side.update(edit_embedding._place_keys([samples.astype(np.uint8)], level, width)[1].tolist())
                 assert shared[0] & shared[1], (n, m)
+
+
+def test_decoys_hide_no_passage(make):
+    """Pairs that share a passage come after texts that hold parts of it, which are the first to have its windows."""
+    draw, texts, pairs = random.Random(31), [], []
+
+    def words(n):
+        return [f"v{draw.randrange(30_000)}" for _ in range(n)]
+
+    for k in range(40):
+        passage, changed = words(60), k % 2
+        for lo in (0, 30, 0, 30):
+            texts.append(words(30) + passage[lo : lo + 30] + words(30))
+        for _ in range(2):
+            start = draw.randrange(40)
+            pairs.append((len(texts), start))
+            texts.append(words(start) + passage + words(20))
+        if changed:
+            texts[-1][pairs[-1][1] + 20] = "changed"
+    found = {}
+    for r in passages.repeated_passages(make([(i, " ".join(t)) for i, t in enumerate(texts)])).collect():
+        found.setdefault((r["head"], r["doc"]), set()).update(range(r["start"], r["end"]))
+    caught = [set(range(s, s + 60)) <= found.get((a, b), set()) for (a, _), (b, s) in zip(pairs[::2], pairs[1::2], strict=True)]
+    assert all(caught[::2]) and sum(caught[1::2]) >= 18
+    assert set(found) <= {(a, b) for (a, _), (b, _) in zip(pairs[::2], pairs[1::2], strict=True)}
