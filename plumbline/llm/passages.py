@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -279,6 +280,22 @@ def _shared_starts(table: pa.Table, hashes: int, enough: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "at", "first", "last", "low", "high"])
 
 
+def _first_places(text: np.ndarray, length: int) -> np.ndarray:
+    """For each place and start of a passage 1 if the place is in it, as the first with its shingle, else 0."""
+    order = np.argsort(text, kind="stable")
+    before = np.full(len(text), -1)
+    again = np.flatnonzero(text[order][1:] == text[order][:-1]) + 1
+    before[order[again]] = order[again - 1]
+    start, place = np.arange(len(text) - length + 1), np.arange(len(text))[:, None]
+    return ((place >= start) & (place < start + length) & (before[:, None] < start)).astype(np.float32)
+
+
+@functools.lru_cache(maxsize=256)
+def _places(n: int, length: int) -> np.ndarray:
+    """The same where no shingle stands twice."""
+    return _first_places(np.arange(n), length)
+
+
 def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int], list[int]]:
     """Rows of a tile that ask, and for each as many earlier ones as it takes to give all its open starts
     that have a similar passage one; those that share the most shingles are tried first."""
@@ -304,34 +321,41 @@ def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int]
     for lo in range(0, len(vocabulary), 4096):
         part = has[:, lo : lo + 4096].astype(np.float32)
         own += part[asking] @ part[others].T
+    order = np.lexsort((flat, owner))
+    again = np.concatenate([[False], (np.diff(flat[order].astype(np.int64)) == 0) & (np.diff(owner[order]) == 0)])
+    repeats = np.bincount(owner[order][again], minlength=len(asks))
+    least = np.maximum(1, length - repeats)  # no passage has fewer distinct shingles
     ours, heads = [], []
     for u, shares in zip(asking, own, strict=True):
         text, codes = shingles[u], code[edges[u] : edges[u + 1]]
-        starts = np.zeros(len(text) - length + 1, dtype=bool)
-        starts[low[u] - first[u] : high[u] - first[u] + 1] = True
-        # a set of n shingles and one that is similar share n * similarity; two of ``length`` each share more
-        distinct = np.unique(text).size == len(text)
-        bound = similarity * (length - len(text) + np.unique(text).size)
-        near = np.flatnonzero((shares >= max(1.0, bound)) & (doc[others] < doc[u]))
+        near = np.flatnonzero((shares >= max(1.0, similarity * least[u] - 1e-4)) & (doc[others] < doc[u]))
         if not len(near):
             continue
-        total = np.cumsum(has[np.ix_(others[near], codes)], axis=1, dtype=np.int32)
-        inside = total[:, length - 1 :] - np.concatenate([np.zeros((len(near), 1), np.int32), total[:, : len(text) - length]], axis=1)
-        good = inside >= (2 * similarity / (1 + similarity) * length - 1e-9 if distinct else max(1.0, bound))
+        starts = np.zeros(len(text) - length + 1, dtype=bool)
+        starts[low[u] - first[u] : high[u] - first[u] + 1] = True
+        places = _first_places(text, length) if repeats[u] else _places(len(text), length)
+        sizes = places.sum(axis=0)
+        # sets of x and y shingles that are similar share as many as this
+        bound = np.maximum(similarity * sizes, similarity / (1 + similarity) * (sizes + least[others[near], None])) - 1e-4
+        inside = has[np.ix_(others[near], codes)].astype(np.float32) @ places
+        inside[inside < bound] = 0
+        best = np.where(starts, 0, np.inf)  # shared with a partner so far; more is another passage, as much is the same again
         order = np.lexsort((doc[others[near]], -shares[near]))
-        for k in order.tolist():
-            if not (good[k] & starts).any():
+        for k in order[(inside > best).any(axis=1)[order]].tolist():
+            if not (inside[k] > best).any():
                 continue
             m = others[near[k]]
+            stretches = matching(text, shingles[m], length, similarity)
             done = np.zeros(len(starts), dtype=bool)
-            for a, b, *_ in matching(text, shingles[m], length, similarity):
+            for a, b, *_ in stretches:
                 done[a : b - length + 1] = True
+            if stretches:
+                best = np.maximum(best, inside[k])
             if (done & starts).any():
                 ours.append(int(u))
                 heads.append(int(m))
                 starts &= ~done
-                if not starts.any():
-                    break
+                best[done] = np.inf
     return ours, heads
 
 
