@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_batches, sliced, texts_of
@@ -246,16 +246,32 @@ def matching(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> li
     return out
 
 
+def _again(text: np.ndarray, length: int) -> np.ndarray:
+    """Which places have the shingle of a place less than ``length`` before."""
+    order, out = np.argsort(text, kind="stable"), np.zeros(len(text), dtype=bool)
+    out[order[1:]] = (text[order][1:] == text[order][:-1]) & (np.diff(order) < length)
+    return out
+
+
+def equal_runs(x: np.ndarray, y: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Ranges of ``length`` or more places of ``x`` that stand in ``y`` as they are, on the diagonal of both starts or
+    of both ends.  None holds a shingle twice within ``length``, so the same windows are drawn from both."""
+    n, out, once = min(len(x), len(y)), set(), ~_again(x, length)
+    for lead in {0, len(x) - n}:
+        equal = (x[lead : lead + n] == (y[len(y) - n :] if lead or len(y) == n else y[:n])) & once[lead : lead + n]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
+        out |= {(lead + lo, lead + hi) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if hi - lo >= length}
+    return sorted(out)
+
+
 TILE = 1024
 SHARED = "key long, doc long, at long, first long, last long, low long, high long"
 
 
 def _shared_starts(table: pa.Table, hashes: int, enough: int) -> pa.RecordBatch:
-    """``SHARED`` rows of whole documents' windows ``value, doc, pos, low, high``: the starts from ``first`` to
+    """``SHARED`` rows of whole documents' windows ``value, doc, at, first, last, low, high``: the starts from ``first`` to
     ``last`` that windows of two functions hold, by a key of both values; of them ``low`` to ``high`` are open."""
-    value, doc, pos, low, high = (table.column(c).to_numpy() for c in ("value", "doc", "pos", "low", "high"))
-    at = pos >> 32
-    first, last = at - (pos >> 16 & 0xFFFF), at - (pos & 0xFFFF)
+    value, doc, at, first, last, low, high = (table.column(c).to_numpy() for c in ("value", "doc", "at", "first", "last", "low", "high"))
     order = np.lexsort((first, doc))
     value, doc, at, first, last, low, high = (a[order] for a in (value, doc, at, first, last, low, high))
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
@@ -298,25 +314,50 @@ def _places(n: int, length: int) -> np.ndarray:
 
 def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int], list[int]]:
     """Rows of a tile that ask, and for each as many earlier ones as it takes to give all its open starts
-    that have a similar passage one; those that share the most shingles are tried first."""
-    asks, doc, first, low, high = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "doc", "first", "low", "high"))
+    that have a similar passage one.  Equal text around the centre is tried first, then those that share the most
+    shingles, of which one has to be ``beyond`` what the row's own head has as it is."""
+    asks, doc, at, first, low, high = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "doc", "at", "first", "low", "high"))
     shingles = [np.frombuffer(b, "<u4") for b in tile.column("shingles").to_pylist()]
     asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
     if not len(asking) or not len(others):
         return [], []
-    flat, owner = np.concatenate(shingles), np.repeat(np.arange(len(asks)), [len(x) for x in shingles])
-    theirs = ~asks[owner]
-    vocabulary = np.intersect1d(flat[theirs], flat[~theirs])
-    if not len(vocabulary):
-        return [], []
+    edges = np.cumsum([0, *map(len, shingles)])
+    flat, owner = np.concatenate(shingles), np.repeat(np.arange(len(asks)), np.diff(edges))
+    # rows of a key have their centre's shingle in common, and no passage reaches further from it than its length
+    aligned = np.where(asks, -1, -2)[:, None].repeat(2 * length - 1, axis=1)
+    aligned[owner, np.arange(len(flat)) - edges[owner] + (first - at)[owner] + length - 1] = flat
+    ours, heads, rest = [], [], {}
+    for u in asking.tolist():
+        earlier = others[: np.searchsorted(doc[others], doc[u])]
+        if not len(earlier):
+            continue
+        starts = np.zeros(len(shingles[u]) - length + 1, dtype=bool)
+        starts[low[u] - first[u] : high[u] - first[u] + 1] = True
+        equal, lead = aligned[earlier] == aligned[u], length - 1 + first[u] - at[u]
+        low_run = length - np.logical_and.accumulate(equal[:, length - 1 :: -1], axis=1).sum(axis=1) - lead
+        high_run = np.logical_and.accumulate(equal[:, length - 1 :], axis=1).sum(axis=1) - lead
+        done = (np.arange(len(starts)) >= low_run[:, None]) & (np.arange(len(starts)) < high_run[:, None])
+        alike = equal.sum(axis=1)
+        while (gains := (done & starts).sum(axis=1)).any():
+            m = int(np.argmax(np.where(gains, 2 * length * gains + alike, 0)))
+            ours.append(u)
+            heads.append(int(earlier[m]))
+            starts &= ~done[m]
+        if starts.any():
+            rest[u] = starts
+    if not rest:
+        return ours, heads
+    asking = np.array(list(rest))
+    asked = np.zeros(len(asks), dtype=bool)
+    asked[asking] = True
+    vocabulary = np.intersect1d(flat[~asks[owner]], flat[asked[owner]])
     code = np.searchsorted(vocabulary, flat)
     code[code == len(vocabulary)] = 0
-    known = vocabulary[code] == flat
+    known = vocabulary[code] == flat if len(vocabulary) else np.zeros(len(flat), dtype=bool)
     code[~known] = len(vocabulary)
     has = np.zeros((len(asks), len(vocabulary) + 1), dtype=bool)
     has[owner, code] = True
     has[:, -1] = False
-    edges = np.cumsum([0, *map(len, shingles)])
     own = np.zeros((len(asking), len(others)), dtype=np.float32)
     for lo in range(0, len(vocabulary), 4096):
         part = has[:, lo : lo + 4096].astype(np.float32)
@@ -325,19 +366,19 @@ def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int]
     again = np.concatenate([[False], (np.diff(flat[order].astype(np.int64)) == 0) & (np.diff(owner[order]) == 0)])
     repeats = np.bincount(owner[order][again], minlength=len(asks))
     least = np.maximum(1, length - repeats)  # no passage has fewer distinct shingles
-    ours, heads = [], []
-    for u, shares in zip(asking, own, strict=True):
+    for (u, starts), shares in zip(rest.items(), own, strict=True):
         text, codes = shingles[u], code[edges[u] : edges[u + 1]]
         near = np.flatnonzero((shares >= max(1.0, similarity * least[u] - 1e-4)) & (doc[others] < doc[u]))
+        inside = has[np.ix_(others[near], codes)]
+        new = (inside & np.frombuffer(tile.column("beyond")[u].as_py(), bool)).any(axis=1)
+        near, inside = near[new], inside[new]
         if not len(near):
             continue
-        starts = np.zeros(len(text) - length + 1, dtype=bool)
-        starts[low[u] - first[u] : high[u] - first[u] + 1] = True
         places = _first_places(text, length) if repeats[u] else _places(len(text), length)
         sizes = places.sum(axis=0)
         # sets of x and y shingles that are similar share as many as this
         bound = np.maximum(similarity * sizes, similarity / (1 + similarity) * (sizes + least[others[near], None])) - 1e-4
-        inside = has[np.ix_(others[near], codes)].astype(np.float32) @ places
+        inside = inside.astype(np.float32) @ places
         inside[inside < bound] = 0
         best = np.where(starts, 0, np.inf)  # shared with a partner so far; more is another passage, as much is the same again
         order = np.lexsort((doc[others[near]], -shares[near]))
@@ -352,34 +393,88 @@ def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int]
             if stretches:
                 best = np.maximum(best, inside[k])
             if (done & starts).any():
-                ours.append(int(u))
+                ours.append(u)
                 heads.append(int(m))
                 starts &= ~done
                 best[done] = np.inf
     return ours, heads
 
 
+def _several(rows: dict[str, np.ndarray], runs: dict[str, np.ndarray], length: int) -> np.ndarray:
+    """Which rows' places more than one run meets, of those that are in no other."""
+    found = np.zeros(len(rows["first"]), dtype=np.int64)
+    for lo, hi in zip(runs["start"].tolist(), runs["end"].tolist(), strict=True):
+        if not ((runs["start"] <= lo) & (runs["end"] >= hi) & ((runs["start"] < lo) | (runs["end"] > hi))).any():
+            found += (rows["first"] < hi) & (rows["last"] + length > lo)
+    return found > 1
+
+
+def _rows(column: pa.Array, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each list of a column of lists of rows of longs."""
+    offsets, flat = column.offsets.to_pylist(), {c: column.values.field(c).to_numpy() for c in names}
+    for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+        yield {c: values[lo:hi] for c, values in flat.items()}
+
+
+def _covered(size: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``size`` places lie in a range from ``first`` to before ``end``."""
+    change = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(change, np.minimum(first, size), 1)
+    np.add.at(change, np.minimum(end, size), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _asking(rows: dict[str, np.ndarray], runs: dict[str, np.ndarray], at: np.ndarray, text: np.ndarray, shared: np.ndarray, length: int, similarity: float) -> np.ndarray:
+    """Which of a document's rows have an open start that an earlier document may have a similar passage to.
+
+    ``text`` are the shingles at the places ``at``, ``shared`` those that earlier documents have too; what lies in a
+    run stands in its head as it is.  Too many places of its own rule a passage out; one that shares nothing beyond one run
+    is, as far as it is shared, in the head of that run, so there no other is asked for.
+    """
+    size = int(at[-1]) + 1
+    inside = _covered(size, runs["start"], runs["end"])
+    also, own, again = (np.zeros(size, dtype=bool) for _ in range(3))
+    also[at] = np.isin(text, shared)
+    again[at] = _again(text, length)
+    own[at] = ~also[at] & ~inside[at] & ~again[at]
+    total = np.concatenate([[0], np.cumsum(own)])
+    lacks = total[length:] - total[:-length]
+    likely = np.concatenate([[0], np.cumsum(lacks <= length - similarity * length + 1e-9)])
+    beyond = np.concatenate([[0], np.cumsum(also & ~inside)])
+    first, end, low, high = rows["first"], rows["last"] + length, rows["low"], rows["high"]
+    opened = low <= high
+    possible = likely[np.where(opened, high + 1, 0)] > likely[np.where(opened, low, 0)]
+    return opened & possible & ((beyond[end] > beyond[first]) | _several(rows, runs, length))
+
+
 def hidden_links(source: DataFrame, links: DataFrame, found: DataFrame, width: int, length: int, similarity: float, hashes: int, enough: int) -> DataFrame:
     """Links as of ``window_links`` to earlier documents that the first one of a value hides.
 
-    A window whose passages lie in what was found has its repeat.  Of the others, and of all windows of
+    A window whose passages lie in what was found has its repeat; where it stands in an earlier document as it is
+    (``equal_runs``), that document has its windows too, and neither side needs it.  Of the others, and of all windows of
     the values that more than two windows have, starts that windows of two functions hold meet under
-    both values; all that are open are compared with all earlier ones of their key, by the shingles around them.  A
-    key's rows are dealt out to parts of about ``TILE``, every two of which meet in a tile of their own.
+    both values.  Of the open ones those ask that share enough shingles with any earlier documents (``_asking``), and are
+    compared with all earlier ones of their key, by the shingles around them.  A
+    key's rows are dealt out to parts of about ``TILE``; each part that asks meets each part of all in a tile of their own.
     """
     words = length + width - 1
     every = links.select("value", "doc", "pos").union(links.select("value", F.col("head").alias("doc"), F.col("head_pos").alias("pos"))).distinct()
     # a document may have a value more than once, and what repeats there need not be its first place
     crowded = every.groupBy("value").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 2 AND least < most").select("value")
-    cuts = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    cuts = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("cuts"), F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"))
     place = F.shiftright("pos", 32)
     windows = every.join(crowded, "value").join(cuts, "doc", "left").withColumns(
-        {"first": place - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)), "last": place - F.col("pos").bitwiseAND(F.lit(0xFFFF))}
+        {"at": place, "first": place - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)), "last": place - F.col("pos").bitwiseAND(F.lit(0xFFFF))}
     )
-    # a repeat that begins before the first start settles starts from there on, one that ends behind the last up to it
-    before = F.array_max(F.transform(F.filter("cuts", lambda c: (c["start"] <= F.col("first"))), lambda c: c["end"] - words + 1))
-    behind = F.array_min(F.transform(F.filter("cuts", lambda c: (c["end"] >= F.col("last") + words)), lambda c: c["start"] - 1))
-    windows = windows.select("value", "doc", "pos", F.greatest("first", before).alias("low"), F.least("last", behind).alias("high"))
+
+    def without(ranges: str) -> tuple[Column, Column]:
+        # a repeat that begins before the first start settles starts from there on, one that ends behind the last up to it
+        before = F.array_max(F.transform(F.filter(ranges, lambda c: c["start"] <= F.col("first")), lambda c: c["end"] - words + 1))
+        behind = F.array_min(F.transform(F.filter(ranges, lambda c: c["end"] >= F.col("last") + words), lambda c: c["start"] - 1))
+        return F.greatest("first", before), F.least("last", behind)
+
+    (low, high), (first, last) = without("cuts"), without("same")
+    windows = windows.select("value", "doc", "at", first.alias("first"), last.alias("last"), low.alias("low"), high.alias("high")).where("first <= last")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["doc"]):
@@ -388,29 +483,96 @@ def hidden_links(source: DataFrame, links: DataFrame, found: DataFrame, width: i
     shared = map_batches(windows.repartition("doc").sortWithinPartitions("doc"), meet, SHARED)
     key = Window.partitionBy("key")
     opened = F.col("low") <= F.col("high")
-    shared = shared.withColumns({"n": F.count(F.lit(1)).over(key), "least": F.min("doc").over(key), "asking": F.max(F.when(opened, F.col("doc"))).over(key)})
-    live = shared.where("asking > least").drop("asking", "least")
-    columns = ["key", "n", "at", "first", "last", "low", "high"]
-    by_doc = live.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    shared = shared.withColumns({"least": F.min("doc").over(key), "asking": F.max(F.when(opened, F.col("doc"))).over(key)})
+    columns = ["key", "at", "first", "last", "low", "high"]
+    by_doc = shared.where("asking > least").groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    by_doc = by_doc.join(cuts.select("doc", "same"), "doc", "left").withColumn("same", F.coalesce("same", F.array()))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[bytes, int] = {}
-            for doc, text, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                hashed = shingle_hashes(text.as_py().encode().lower().split(), width, known).astype("<u4")
-                out = {c: pa.array([r[c] for r in rows], pa.int64()) for c in columns}
-                out |= {"doc": pa.array([doc] * len(rows), pa.int64()), "shingles": pa.array([hashed[r["first"] : r["last"] + length].tobytes() for r in rows], pa.binary())}
-                yield pa.RecordBatch.from_pydict(out)
-
-    around = source.withColumnRenamed("doc_id", "doc").join(by_doc, "doc").select("doc", "text", "rows")
-    schema = ", ".join(f"{c} long" for c in [*columns, "doc"]) + ", shingles binary"
-    rows = map_batches(around, contexts, schema)
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    roles = F.array(F.struct(F.lit(False).alias("asks"), F.col("other").alias("i"), F.col("part").alias("j")), F.struct(F.lit(True).alias("asks"), F.col("part").alias("i"), F.col("other").alias("j")))
-    tiles = dealt.withColumn("role", F.explode(F.filter(roles, lambda r: ~r["asks"] | opened))).select(
-        "key", "role.i", "role.j", "role.asks", "doc", "at", "first", "last", "low", "high", "shingles"
+            docs, rows, same = batch.column(0).to_pylist(), _rows(batch.column(2), columns), _rows(batch.column(3), ["start", "end"])
+            out = []
+            for text, r, runs in zip(batch.column(1), rows, same, strict=True):
+                hashed = shingle_hashes(text.as_py().encode().lower().split(), width, known)
+                asks = r["low"] <= r["high"]
+                wanted = _covered(len(hashed), r["first"][asks], r["last"][asks] + length) & ~_covered(len(hashed), runs["start"], runs["end"] - width + 1)
+                at = np.flatnonzero(_covered(len(hashed), r["first"], r["last"] + length))
+                out.append((at.astype("<i4").tobytes(), hashed[at].tobytes(), wanted[at].tobytes()))
+            parts = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), batch.column(2), batch.column(3), *parts], ["doc", "rows", "same", "at", "shingles", "wanted"])
+
+    row_type = "array<struct<" + ", ".join(f"{c}: bigint" for c in columns) + ">>"
+    around = source.withColumnRenamed("doc_id", "doc").join(by_doc, "doc").select("doc", "text", "rows", "same")
+    around = cut_lineage(map_batches(around, places, f"doc long, rows {row_type}, same array<struct<start: bigint, `end`: bigint>>, at binary, shingles binary, wanted binary"), "places")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, at = np.unique(np.frombuffer(text, "<i8"), return_inverse=True)
+                wants = np.zeros(len(found), dtype=bool)
+                wants[at[np.frombuffer(wanted, bool)]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc)), pa.array(wants)], ["shingle", "doc", "wanted"])
+
+    shingles = map_batches(around.select("doc", "shingles", "wanted"), spread, "shingle long, doc long, wanted boolean")
+    earlier = shingles.withColumn("least", F.min("doc").over(Window.partitionBy("shingle"))).where("wanted AND least < doc")
+    common = earlier.groupBy("doc").agg(F.collect_list("shingle").alias("common"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, at, text = (batch.column(k).to_pylist() for k in (0, 3, 4))
+            out = {c: [np.zeros(0, dtype=np.int64)] for c in [*columns, "doc", "asks"]}
+            rows, same = _rows(batch.column(1), columns), _rows(batch.column(2), ["start", "end"])
+            for doc, r, runs, a, t, shared in zip(docs, rows, same, at, text, batch.column(5), strict=True):
+                runs["end"] = runs["end"] - width + 1
+                shared = shared.values.to_numpy() if shared.is_valid else np.zeros(0, dtype=np.int64)
+                asks = _asking(r, runs, np.frombuffer(a, "<i4"), np.frombuffer(t, "<i8"), shared, length, similarity)
+                for c, values in (r | {"doc": np.full(len(asks), doc), "asks": asks}).items():
+                    out[c].append(values)
+            yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(parts).astype(bool if c == "asks" else np.int64)) for c, parts in out.items()})
+
+    asked = map_batches(
+        around.select("doc", "rows", "same", "at", "shingles").join(common, "doc", "left"), ask, ", ".join(f"{c} long" for c in [*columns, "doc"]) + ", asks boolean"
     )
+    asked = asked.withColumns({"n": F.count(F.lit(1)).over(key), "n_asks": F.count_if("asks").over(key), "least": F.min("doc").over(key), "asking": F.max(F.when(F.col("asks"), F.col("doc"))).over(key)})
+    # none after the last that asks is an earlier one
+    live = asked.where("asking > least AND (asks OR doc < asking)").drop("least", "asking")
+    carried = [*columns, "n", "n_asks"]
+    by_doc = live.groupBy("doc").agg(F.collect_list(F.struct(*carried, F.col("asks").cast("long").alias("asks"))).alias("live"))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {c: [] for c in [*carried, "doc", "asks", "shingles", "beyond"]}
+            docs, at, text = (batch.column(k).to_pylist() for k in (0, 1, 2))
+            same, rows = _rows(batch.column(3), ["start", "end"]), _rows(batch.column(4), [*carried, "asks"])
+            for doc, a, t, runs, r in zip(docs, at, text, same, rows, strict=True):
+                a, hashed = np.frombuffer(a, "<i4"), np.frombuffer(t, "<u8").astype("<u4")
+                runs["end"] = runs["end"] - width + 1
+                outside, several = ~_covered(int(a[-1]) + 1, runs["start"], runs["end"])[a], _several(r, runs, length)
+                los = np.searchsorted(a, r["first"]).tolist()
+                for lo, n, asks, any_place in zip(los, (r["last"] - r["first"] + length).tolist(), r["asks"].tolist(), several.tolist(), strict=True):
+                    out["shingles"].append(hashed[lo : lo + n].tobytes())
+                    out["beyond"].append((outside[lo : lo + n] | any_place).tobytes() if asks else None)
+                for c, values in (r | {"doc": np.full(len(los), doc)}).items():
+                    out[c].append(values)
+            kinds = {"asks": bool, "shingles": pa.binary(), "beyond": pa.binary()}
+            yield pa.RecordBatch.from_pydict(
+                {c: pa.array(v, kinds[c]) if c in ("shingles", "beyond") else pa.array(np.concatenate(v).astype(kinds.get(c, np.int64))) for c, v in out.items()}
+            )
+
+    schema = ", ".join(f"{c} long" for c in [*carried, "doc"]) + ", asks boolean, shingles binary, beyond binary"
+    rows = map_batches(around.select("doc", "at", "shingles", "same").join(by_doc, "doc"), contexts, schema)
+    parts, asking = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n", "n_asks"))
+
+    def dealt(count: Column) -> Column:
+        return F.pmod(F.xxhash64("doc"), count).cast("int")
+
+    def against(count: Column) -> Column:
+        return F.sequence(F.lit(0), count - 1)
+
+    served = F.transform(against(asking), lambda i: F.struct(F.lit(False).alias("asks"), i.alias("i"), dealt(parts).alias("j")))
+    asks = F.transform(F.when(F.col("asks"), against(parts)).otherwise(F.array().cast("array<int>")), lambda j: F.struct(F.lit(True).alias("asks"), dealt(asking).alias("i"), j.alias("j")))
+    tiles = rows.withColumn("role", F.explode(F.concat(served, asks))).select("key", "role.i", "role.j", "role.asks", "doc", "at", "first", "last", "low", "high", "shingles", F.when(F.col("role.asks"), F.col("beyond")).alias("beyond"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["key", "i", "j"]):
@@ -426,7 +588,9 @@ def hidden_links(source: DataFrame, links: DataFrame, found: DataFrame, width: i
             mine, theirs = np.array(ours, dtype=np.int64), np.array(heads, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in (value[mine], doc[mine], pos[mine], doc[theirs], pos[theirs])], _NAMES)
 
-    return map_batches(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "at"), compare, LINK)
+    more = cut_lineage(map_batches(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "at"), compare, LINK), "hidden-links")
+    drop_stage(around)
+    return more
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
@@ -444,7 +608,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iter
         yield held
 
 
-REPEAT = "doc long, start long, end long, head long, head_start long, head_end long, similarity double"
+REPEAT = "doc long, start long, end long, head long, head_start long, head_end long, similarity double, same array<struct<start: bigint, `end`: bigint>>"
 
 
 def repeated_passages(
@@ -497,16 +661,17 @@ def _repeats(source: DataFrame, words: int, width: int, similarity: float, hashe
     length = words - width + 1
     links = cut_lineage(window_links(source, width, length, hashes), "window-links")
     found = _verified(source, chains(links.where("doc <> head"), width, length, enough), width, length, similarity)
-    more = cut_lineage(hidden_links(source, links, found, width, length, similarity, hashes, enough), "hidden-links")
+    more = hidden_links(source, links, found, width, length, similarity, hashes, enough)
     drop_stage(links)
     if more.isEmpty():
-        return found
+        return found.drop("same")
     # each of these starts of passages is held by as many functions as are asked for
-    return cut_lineage(found.union(_verified(source, chains(more, width, length, 1), width, length, similarity)).distinct(), "repeats")
+    return cut_lineage(found.union(_verified(source, chains(more, width, length, 1), width, length, similarity)).drop("same").distinct(), "repeats")
 
 
 def _verified(source: DataFrame, chained: DataFrame, width: int, length: int, similarity: float) -> DataFrame:
-    """The passages of ``repeated_passages`` in these chains, by their texts."""
+    """The passages of ``repeated_passages`` in these chains, by their texts, and which ranges of words of each (``same``)
+    its head has as they are."""
     found = cut_lineage(chained, "chains")
     ranges = found.select(F.col("doc").alias("doc_id"), "lo", "hi").union(found.select("head", "head_lo", "head_hi")).distinct()
 
@@ -533,12 +698,12 @@ def _verified(source: DataFrame, chained: DataFrame, width: int, length: int, si
             for doc, lo, head, head_lo, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known: dict[bytes, int] = {}
                 a, b = (shingle_hashes(t.split(b" "), width, known) for t in (x, y))
-                rows += [
-                    (doc, lo + s, lo + e + width - 1, head, head_lo + hs, head_lo + he + width - 1, j) for s, e, hs, he, j in matching(a, b, length, similarity)
-                ]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 6 + [pa.float64()]
-            names = ["doc", "start", "end", "head", "head_start", "head_end", "similarity"]
+                for s, e, hs, he, j in matching(a, b, length, similarity):
+                    same = [{"start": lo + s + x, "end": lo + s + y + width - 1} for x, y in equal_runs(a[s:e], b[hs:he], length)]
+                    rows.append((doc, lo + s, lo + e + width - 1, head, head_lo + hs, head_lo + he + width - 1, j, same))
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 6 + [pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            names = ["doc", "start", "end", "head", "head_start", "head_end", "similarity", "same"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     verified = map_batches(both.select("doc", "lo", "head", "head_lo", "own", "theirs"), verify, REPEAT).distinct()
