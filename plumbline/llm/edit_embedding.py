@@ -264,7 +264,7 @@ def _place_keys(prints: list[np.ndarray], level: int, width: int) -> tuple[np.nd
 
 
 def _keys(nodes: DataFrame, least: float, seed: int) -> DataFrame:
-    """``key, node, level``: the keys of every fingerprint; two alike by ``least`` or more share one."""
+    """``key, node, level, size``: the keys of every fingerprint, and its samples on that level; two alike by ``least`` or more share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,28 +275,55 @@ def _keys(nodes: DataFrame, least: float, seed: int) -> DataFrame:
             for (level, width), found in at.items():
                 for lo in range(0, len(found), 2_000):
                     part = found[lo : lo + 2_000]
-                    row, key = _place_keys([at_level(p, level, seed) for _, p in part], level, width)
-                    node = numbers[np.array([k for k, _ in part])[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(np.full(len(key), level, np.int32))], ["key", "node", "level"])
+                    seen = [at_level(p, level, seed) for _, p in part]
+                    row, key = _place_keys(seen, level, width)
+                    node, size = numbers[np.array([k for k, _ in part])[row]], np.array([len(p) for p in seen])[row]
+                    # one column for both: a level is below 32, a fingerprint has less than 256 samples
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array((level << 8 | size).astype(np.int32))], ["key", "node", "place"])
 
-    return map_batches(nodes.select("node", "fingerprint"), run, "key long, node long, level int")
+    keys = map_batches(nodes.select("node", "fingerprint"), run, "key long, node long, place int")
+    return keys.select("key", "node", F.shiftright("place", 8).alias("level"), F.col("place").bitwiseAND(F.lit(255)).alias("size"))
 
 
 TILE = 512
 
 
+class Joined:
+    """Components as a task's links have joined them; it starts anew when it holds ``most`` of them."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        self.above: dict[int, int] = {}
+        self.most = most
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        if len(self.above) >= self.most:
+            self.above.clear()
+        self.above[max(x, y)] = min(x, y)
+        return True
+
+
 def _parted(rest: DataFrame, least: float, seed: int) -> DataFrame:
-    """``a, b``: all pairs alike by ``least`` or more between the components of each key, of
-    ``rest(key, level, n, node, component, fingerprint)``.
+    """``a, b``: links that join the components which pairs alike by ``least`` or more join, of all pairs between the
+    components of each key, of ``rest(key, level, n, node, component, fingerprint)``.
 
-    A key's members are dealt out to parts of about ``TILE``, and every two parts meet in a tile of their own, so
+    A task gives a link only where its earlier ones have not joined the two components (``Joined``).  A key's members are dealt out to parts of about ``TILE``, and every two parts meet in a tile of their own, so
     that a key of many members is work for many tasks.
     """
     parts = F.ceil(F.col("n") / TILE).cast("int")
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     tiles = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "level", "node", "component", "fingerprint")
 
-    def near(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def near(tile: pa.Table, joined: Joined) -> tuple[np.ndarray, np.ndarray]:
         i, j, part, node, component = (tile.column(c).to_numpy() for c in ("i", "j", "part", "node", "component"))
         prints, level = tile.column("fingerprint").to_pylist(), tile.column("level")[0].as_py()
         seen = [at_level(p, level, seed) for p in prints]
@@ -310,17 +337,18 @@ def _parted(rest: DataFrame, least: float, seed: int) -> DataFrame:
             against = against[(component[against] != component[k]) & (own[against] | own[k])]
             if len(against):
                 equal = (theirs[against] == ours[k]).sum(axis=1)
-                alike = against[equal / np.maximum(sizes[against], sizes[k]) >= least]
-                a.append(np.full(len(alike), node[k]))
-                b.append(node[alike])
-        none = np.zeros(0, dtype=np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+                for other in against[equal / np.maximum(sizes[against], sizes[k]) >= least].tolist():
+                    if joined.join(int(component[k]), int(component[other])):
+                        a.append(node[k])
+                        b.append(node[other])
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        joined = Joined()
 
         def checked(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-            found = [near(table.slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            found = [near(table.slice(lo, hi - lo), joined) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], ["a", "b"])
 
         for batch in batches:
@@ -366,10 +394,13 @@ def linked_prints(prints: DataFrame, least: float = 0.8, seed: int = SEED) -> Da
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()), "edit-nodes")  # numbers are fixed by being written
     within = Window.partitionBy("key")
-    chosen = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(within)["node"]
-    members = _keys(nodes, least, seed).withColumns({"n": F.count(F.lit(1)).over(within), "head": chosen}).where("n > 1 AND node <> head")
-    members = cut_lineage(members, "edit-members")
-    pairs = members.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    chosen = F.min(F.struct(F.xxhash64("node").alias("h"), "node", F.col("size").alias("of"))).over(within)
+    members = _keys(nodes, least, seed).withColumns({"n": F.count(F.lit(1)).over(within), "chosen": chosen})
+    # of so unlike sizes no two are alike on the level; they may be with other members
+    likely = F.least("size", "chosen.of") >= F.lit(least) * F.greatest("size", "chosen.of") - 1e-9
+    members = members.withColumns({"head": F.col("chosen.node"), "likely": likely}).where("n > 1 AND node <> head AND (likely OR n > 2)")
+    members = cut_lineage(members.select("key", "node", "level", "n", "head", "likely"), "edit-members")
+    pairs = members.where("likely").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     found = cut_lineage(_alike(pairs, nodes, least, seed), "edit-found")
     named = cut_lineage(components(found, "edit-links"), "edit-named")
     # heads have met everyone who shares their key; keys of one component have nothing left to link
