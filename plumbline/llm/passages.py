@@ -257,8 +257,8 @@ def equal_runs(x: np.ndarray, y: np.ndarray, length: int) -> list[tuple[int, int
     """Ranges of ``length`` or more places of ``x`` that stand in ``y`` as they are, on the diagonal of both starts or
     of both ends.  None holds a shingle twice within ``length``, so the same windows are drawn from both."""
     n, out, once = min(len(x), len(y)), set(), ~_again(x, length)
-    for lead in {0, len(x) - n}:
-        equal = (x[lead : lead + n] == (y[len(y) - n :] if lead or len(y) == n else y[:n])) & once[lead : lead + n]
+    for lead, skip in {(0, 0), (len(x) - n, len(y) - n)}:
+        equal = (x[lead : lead + n] == y[skip : skip + n]) & once[lead : lead + n]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
         out |= {(lead + lo, lead + hi) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if hi - lo >= length}
     return sorted(out)

@@ -480,3 +480,18 @@ def test_decoys_hide_no_passage(make):
     caught = [set(range(s, s + 60)) <= found.get((a, b), set()) for (a, _), (b, s) in zip(pairs[::2], pairs[1::2], strict=True)]
     assert all(caught[::2]) and sum(caught[1::2]) >= 18
     assert set(found) <= {(a, b) for (a, _), (b, _) in zip(pairs[::2], pairs[1::2], strict=True)}
+
+
+def test_equal_runs_by_hand():
+    x = np.arange(200)
+    y = np.concatenate([x[:80], [900], x[81:]])
+    assert passages.equal_runs(x, y, 46) == [(0, 80), (81, 200)]
+    assert passages.equal_runs(x, np.concatenate([x[:80], [900, 901], x[81:]]), 46) == [(0, 80), (81, 200)]
+    again = x.copy()
+    again[60] = again[50]  # a shingle that comes again within a passage ends a run
+    assert passages.equal_runs(again, again, 46) == [(0, 60), (61, 200)]
+
+
+def test_links_of_a_task_join_each_component_once():
+    joined = edit_embedding.Joined()
+    assert [joined.join(a, b) for a, b in [(5, 3), (3, 5), (4, 3), (5, 4), (9, 8), (8, 4), (9, 3)]] == [True, False, True, False, True, True, False]
