@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -27,19 +26,56 @@ def _mix(v: np.ndarray) -> np.ndarray:
     return v ^ v >> np.uint64(32)
 
 
-def shingle_hashes(words: list[bytes], width: int, known: dict[bytes, int]) -> np.ndarray:
-    """A hash for each run of ``width`` words; ``known`` keeps the hashes of words."""
-    if len(words) < width:
+SOLID = np.ones(256, dtype=bool)
+SOLID[[0x20, *range(0x09, 0x0E)]] = False
+#: Numbers for bytes, the same for A-Z as for a-z, and for the first places of a word.
+BYTES = _mix(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+BYTES[65:91] = BYTES[97:123]
+PLACES = _mix(np.arange(32, dtype=np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+BLOCK = 1 << 20
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word in lower case (A-Z), and where it begins.
+
+    The hash of a word is the sum of its bytes' numbers times those of their places, mixed with its length; that of a
+    word longer than ``PLACES`` is xxHash.  All words of a block are summed as one column.
+    """
+    data = np.frombuffer(text, np.uint8)
+    edge = np.diff(np.concatenate([[0], SOLID[data].view(np.int8), [0]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.zeros(len(begin), dtype=np.uint64)
+    cuts = np.unique(np.searchsorted(begin, [*range(0, len(data), BLOCK), len(data)])).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part, sizes = data[begin[lo] : end[hi - 1]], (end - begin)[lo:hi]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        sums = np.add.reduceat(BYTES[part[SOLID[part]]] * PLACES[np.minimum(place, len(PLACES) - 1)], first)
+        out[lo:hi] = _mix(sums + sizes.astype(np.uint64))
+    for k in np.flatnonzero(end - begin > len(PLACES)).tolist():
+        out[k] = xxhash.xxh64_intdigest(text[begin[k] : end[k]].lower())
+    return out, begin
+
+
+def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` words, from the hashes of words."""
+    if len(codes) < width:
         return np.zeros(0, dtype=np.uint64)
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    hashes = np.zeros(len(words) - width + 1, dtype=np.uint64)
+    hashes = np.zeros(len(codes) - width + 1, dtype=np.uint64)
     for k in range(width):
         hashes = hashes * np.uint64(0x9FB21C651E98DF25) + codes[k : len(codes) - width + 1 + k]
     return _mix(hashes)
 
 
+def shingles_of(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """A hash for each run of ``width`` words of each text; words are told by ASCII white space, in lower case (A-Z)."""
+    codes, begin = word_hashes(b" ".join(texts))
+    ends = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+    starts = np.concatenate([[0], ends])[:-1]
+    hashes = shingle_hashes(codes, width)
+    return [hashes[lo : max(lo, hi - width + 1)] for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def compact_windows(hashes: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``centre, value, first, last`` of the compact windows of passages of ``length`` shingles.
 
@@ -70,8 +106,7 @@ def compact_windows(hashes: np.ndarray, owner: np.ndarray, length: int) -> tuple
 def _windows_of(ids: pa.Array, texts: list[str], width: int, length: int, hashes: int) -> dict[str, np.ndarray]:
     """Windows of some documents under all hash functions: ``value`` (with the number of the
     function in its low byte), ``doc`` and ``pos`` (centre, and how far before it passages start)."""
-    known: dict[bytes, int] = {}
-    found = [shingle_hashes(t.encode().lower().split(), width, known) for t in texts]
+    found = shingles_of([t.encode() for t in texts], width)
     sizes = np.array([len(f) for f in found])
     shingles, owner = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
     offset = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -200,17 +235,39 @@ def _chained(table: pa.Table, width: int, length: int, enough: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
-    """The longest stretch of which at least ``share`` is equal (ties: the first), without unequal ends."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0 - share, -share))])
+def _longest(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """The longest stretch of which at least ``share`` is equal (ties: the first)."""
+    if equal.all():
+        return 0, len(equal)
+    total = np.zeros(len(equal) + 1)
+    np.cumsum(np.where(equal, 1.0 - share, -share), out=total[1:])
     least = np.minimum.accumulate(total)
-    start = np.searchsorted(-least, -total - 1e-9)  # the first place from where the sum is not below zero
-    end = int(np.argmax(np.arange(len(total)) - start))
-    lo, hi = int(start[end]), end
-    inside = np.flatnonzero(equal[lo:hi])
+    start = (-least).searchsorted(-total - 1e-9)  # the first place from where the sum is not below zero
+    end = int((np.arange(len(total)) - start).argmax())
+    return int(start[end]), end
+
+
+def _trimmed(equal: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+    """The range without unequal ends."""
+    inside = equal[lo:hi].nonzero()[0]
     return (lo + int(inside[0]), lo + int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
+def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """The longest stretch of which at least ``share`` is equal (ties: the first), without unequal ends."""
+    return _trimmed(equal, *_longest(equal, share))
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of ``x`` stand in ``y``; for short arrays, where ``np.isin`` costs several times as much."""
+    if not len(y):
+        return np.zeros(len(x), dtype=bool)
+    known = np.sort(y)
+    at = known.searchsorted(x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
 def matching(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """Stretches ``(x from, x to, y from, y to, Jaccard)`` of at least ``length`` shingles in ``x`` that
     have a counterpart in ``y``.
@@ -218,16 +275,21 @@ def matching(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> li
     Two sets of equal size have Jaccard ``s`` if a share of ``2s / (1 + s)`` of each is in the other, so the
     longest stretches of that share are tried.  One that is too short for want of a shingle at its ends gets it
     back; one whose sets fall short of ``similarity`` is searched for stretches of higher shares, at last for equal ones.
+    Ranges with fewer shared shingles than the shortest stretch of a share has are not searched.
     """
     levels = [similarity + (1 - similarity) * k / 4 for k in range(5)]
     shares = [2 * s / (1 + s) for s in levels]
-    there, out, work = np.isin(x, y), [], [(0, len(x), 0)]
+    if np.count_nonzero(_within(y, x)) < shares[0] * length * similarity - 1e-6:
+        return []
+    there, out, work = _within(x, y), [], [(0, len(x), 0)]
     while work:
         lo, hi, level = work.pop()
-        if hi - lo < length:
+        if hi - lo < length or np.count_nonzero(there[lo:hi]) < shares[level] * length * similarity - 1e-6:
+            continue
+        a, b = _longest(there[lo:hi], shares[level])
+        if b - a < length * similarity:  # nor is one of a higher share longer
             continue
-        a, b = longest_stretch(there[lo:hi], shares[level])
-        a, b = a + lo, b + lo
+        a, b = (lo + k for k in _trimmed(there[lo:hi], a, b))
         if b - a < length * similarity:
             if level + 1 < len(levels) and b > a:
                 work.append((lo, hi, level + 1))
@@ -235,7 +297,7 @@ def matching(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> li
         if b - a < length:  # a change near an end: the passage reaches over it
             a = max(lo, min(a, b - length))
             b = min(hi, max(b, a + length))
-        c, d = longest_stretch(np.isin(y, x[a:b]), shares[level])
+        c, d = longest_stretch(_within(y, x[a:b]), shares[level])
         ours, theirs = set(x[a:b].tolist()), set(y[c:d].tolist())
         jaccard = len(ours & theirs) / len(ours | theirs) if theirs else 0.0
         if b - a >= length and jaccard >= similarity and d - c >= similarity * length:
@@ -306,97 +368,177 @@ def _first_places(text: np.ndarray, length: int) -> np.ndarray:
     return ((place >= start) & (place < start + length) & (before[:, None] < start)).astype(np.float32)
 
 
-@functools.lru_cache(maxsize=256)
-def _places(n: int, length: int) -> np.ndarray:
-    """The same where no shingle stands twice."""
-    return _first_places(np.arange(n), length)
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of binary rows one after the other, and where each row begins and the last one ends."""
+    rows = column.combine_chunks()
+    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
+    ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1] // np.dtype(kind).itemsize
+    return np.frombuffer(rows.buffers()[2], kind)[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
+
+
+def _leading(part: np.ndarray) -> np.ndarray:
+    """How many leading places of each row are true."""
+    n = part.argmin(axis=1)
+    n[part[np.arange(len(part)), n]] = part.shape[1]
+    return n
+
+
+PAIRS = 20_000  # compared at once
+ROWS = 2_000  # of tiles taken together
+KNOWN = 20_000  # pairs of texts
+
 
+def _partners(table: pa.Table, edges: list[int], length: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Rows of tiles (from one of ``edges`` to the next) that ask, and for each as many earlier ones of its tile as it takes
+    to give all its open starts that have a similar passage one.
 
-def _partners(tile: pa.Table, length: int, similarity: float) -> tuple[list[int], list[int]]:
-    """Rows of a tile that ask, and for each as many earlier ones as it takes to give all its open starts
-    that have a similar passage one.  Equal text around the centre is tried first, then those that share the most
-    shingles, of which one has to be ``beyond`` what the row's own head has as it is."""
-    asks, doc, at, first, low, high = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "doc", "at", "first", "low", "high"))
-    shingles = [np.frombuffer(b, "<u4") for b in tile.column("shingles").to_pylist()]
-    asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-    if not len(asking) or not len(others):
+    Equal text around the centre is tried first, then those that share the most shingles, of which one has to be ``beyond``
+    what the row's own head has as it is.  Small tiles are taken together, and their pairs compared as columns.
+    """
+    ours, heads, known, lo = [], [], {}, 0
+    for k in range(1, len(edges)):
+        if k + 1 == len(edges) or edges[k + 1] - edges[lo] > ROWS:
+            base = edges[lo]
+            tile = np.repeat(np.arange(k - lo), np.diff(edges[lo : k + 1]))
+            found = _partners_of(table.slice(base, edges[k] - base), tile, length, similarity, known)
+            ours += [base + u for u in found[0]]
+            heads += [base + v for v in found[1]]
+            lo = k
+    return ours, heads
+
+
+def _partners_of(rows: pa.Table, tile: np.ndarray, length: int, similarity: float, known: dict) -> tuple[list[int], list[int]]:
+    """``_partners`` of all rows, each of a ``tile``; ``known`` keeps what ``matching`` gave for texts, which come again under other keys and as copies."""
+    asks, doc, at, first, low, high = (rows.column(c).to_numpy() for c in ("asks", "doc", "at", "first", "low", "high"))
+    # an asking row meets the others of its tile whose documents are before its own: rows are sorted by tile and document
+    new_tile = np.concatenate([[True], tile[1:] != tile[:-1]])
+    new_doc = new_tile | np.concatenate([[True], doc[1:] != doc[:-1]])
+    others, before = np.flatnonzero(~asks), np.cumsum(~asks) - ~asks
+    start_of = [before[np.flatnonzero(new)[np.cumsum(new) - 1]] for new in (new_tile, new_doc)]
+    asking = np.flatnonzero(asks & (start_of[1] > start_of[0]))
+    if not len(asking):
         return [], []
-    edges = np.cumsum([0, *map(len, shingles)])
-    flat, owner = np.concatenate(shingles), np.repeat(np.arange(len(asks)), np.diff(edges))
+    flat, edges = _flat(rows.column("shingles"), "<u4")
+    owner = np.repeat(np.arange(len(asks)), np.diff(edges))
+    place = np.arange(len(flat)) - edges[owner]
+    packed, code = np.unique(tile[owner].astype(np.uint64) << np.uint64(32) | flat, return_inverse=True)  # one code for each tile's shingle
+    code = code.astype(np.int32)
+    width = 2 * length - 1
     # rows of a key have their centre's shingle in common, and no passage reaches further from it than its length
-    aligned = np.where(asks, -1, -2)[:, None].repeat(2 * length - 1, axis=1)
-    aligned[owner, np.arange(len(flat)) - edges[owner] + (first - at)[owner] + length - 1] = flat
-    ours, heads, rest = [], [], {}
-    for u in asking.tolist():
-        earlier = others[: np.searchsorted(doc[others], doc[u])]
-        if not len(earlier):
-            continue
-        starts = np.zeros(len(shingles[u]) - length + 1, dtype=bool)
-        starts[low[u] - first[u] : high[u] - first[u] + 1] = True
-        equal, lead = aligned[earlier] == aligned[u], length - 1 + first[u] - at[u]
-        low_run = length - np.logical_and.accumulate(equal[:, length - 1 :: -1], axis=1).sum(axis=1) - lead
-        high_run = np.logical_and.accumulate(equal[:, length - 1 :], axis=1).sum(axis=1) - lead
-        done = (np.arange(len(starts)) >= low_run[:, None]) & (np.arange(len(starts)) < high_run[:, None])
-        alike = equal.sum(axis=1)
-        while (gains := (done & starts).sum(axis=1)).any():
-            m = int(np.argmax(np.where(gains, 2 * length * gains + alike, 0)))
-            ours.append(u)
-            heads.append(int(earlier[m]))
-            starts &= ~done[m]
-        if starts.any():
-            rest[u] = starts
+    aligned = np.empty((len(asks), width), dtype=np.int32)
+    aligned[:] = np.where(asks, -1, -2)[:, None]
+    aligned[owner, place + (first - at)[owner] + length - 1] = code
+    ours, heads, rest, meets = [], [], {}, []
+    sizes, lead = np.diff(edges) - length + 1, length - 1 + first - at
+    n = (start_of[1] - start_of[0])[asking]
+    for part in np.split(asking, np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+        n = (start_of[1] - start_of[0])[part]
+        edge = np.cumsum(n) - n
+        u, v = np.repeat(part, n), others[np.arange(n.sum()) - np.repeat(edge, n) + np.repeat(start_of[0][part], n)]
+        equal = aligned[v] == aligned[u]
+        runs = [_leading(equal[:, length - 1 :: -1]), _leading(equal[:, length - 1 :])]
+        from_, to = np.maximum(length - runs[0] - lead[u], (low - first)[u]), np.minimum(runs[1] - lead[u], (high - first)[u] + 1)
+        gaining = np.flatnonzero(to > from_)
+        alike = equal[gaining].sum(axis=1)
+        bounds = np.searchsorted(u[gaining], part, side="left").tolist(), np.searchsorted(u[gaining], part, side="right").tolist()
+        for k, a, b in zip(part.tolist(), *bounds, strict=True):
+            starts = np.zeros(sizes[k], dtype=bool)
+            starts[low[k] - first[k] : high[k] - first[k] + 1] = True
+            g, close = gaining[a:b], alike[a:b]
+            while len(g):
+                total = np.concatenate([[0], starts.cumsum()])
+                gains = total[to[g]] - total[from_[g]]
+                m = int(np.where(gains, 2 * length * gains + close, 0).argmax())
+                if not gains[m]:
+                    break
+                ours.append(k)
+                heads.append(int(v[g[m]]))
+                starts[from_[g[m]] : to[g[m]]] = False
+            if starts.any():
+                rest[k] = starts
+        still = np.isin(part, list(rest))
+        meets.append((u[np.repeat(still, n)], v[np.repeat(still, n)]))
     if not rest:
         return ours, heads
-    asking = np.array(list(rest))
+    # shingles that asking rows share with others, numbered in each tile
     asked = np.zeros(len(asks), dtype=bool)
-    asked[asking] = True
-    vocabulary = np.intersect1d(flat[~asks[owner]], flat[asked[owner]])
-    code = np.searchsorted(vocabulary, flat)
-    code[code == len(vocabulary)] = 0
-    known = vocabulary[code] == flat if len(vocabulary) else np.zeros(len(flat), dtype=bool)
-    code[~known] = len(vocabulary)
-    has = np.zeros((len(asks), len(vocabulary) + 1), dtype=bool)
-    has[owner, code] = True
-    has[:, -1] = False
-    own = np.zeros((len(asking), len(others)), dtype=np.float32)
-    for lo in range(0, len(vocabulary), 4096):
-        part = has[:, lo : lo + 4096].astype(np.float32)
-        own += part[asking] @ part[others].T
-    order = np.lexsort((flat, owner))
-    again = np.concatenate([[False], (np.diff(flat[order].astype(np.int64)) == 0) & (np.diff(owner[order]) == 0)])
-    repeats = np.bincount(owner[order][again], minlength=len(asks))
+    asked[list(rest)] = True
+    sides = np.zeros((2, len(packed)), dtype=bool)
+    sides[0, code[asked[owner]]] = True
+    sides[1, code[~asks[owner]]] = True
+    shared = sides.all(axis=0)
+    tile_of = (packed >> np.uint64(32)).astype(np.int64)
+    number = np.cumsum(shared) - shared
+    number -= number[np.searchsorted(tile_of, tile_of)]
+    vocabulary = int(number[shared].max(initial=-1)) + 1
+    has = np.zeros((len(others), vocabulary + 1), dtype=bool)
+    kept = ~asks[owner] & shared[code]
+    has[before[owner[kept]], number[code[kept]]] = True
+    order = np.argsort(owner * len(packed) + code, kind="stable")
+    again = np.zeros(len(flat), dtype=bool)
+    again[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    repeats = np.bincount(owner[again], minlength=len(asks))
     least = np.maximum(1, length - repeats)  # no passage has fewer distinct shingles
-    for (u, starts), shares in zip(rest.items(), own, strict=True):
-        text, codes = shingles[u], code[edges[u] : edges[u + 1]]
-        near = np.flatnonzero((shares >= max(1.0, similarity * least[u] - 1e-4)) & (doc[others] < doc[u]))
-        inside = has[np.ix_(others[near], codes)]
-        new = (inside & np.frombuffer(tile.column("beyond")[u].as_py(), bool)).any(axis=1)
-        near, inside = near[new], inside[new]
-        if not len(near):
+    # the same for each asking row, by columns
+    row_of = np.cumsum(asked) - 1
+    mine = asked[owner]
+    cell = row_of[owner[mine]], place[mine]
+    codes, once, beyond = np.full((len(rest), width), vocabulary), *np.zeros((2, len(rest), width), dtype=bool)
+    codes[cell] = np.where(shared[code[mine]], number[code[mine]], vocabulary)
+    once[cell] = ~again[mine]
+    flags, flag_edges = _flat(rows.column("beyond"), "?")
+    beyond[cell] = flags[np.arange(len(flat))[mine] - edges[owner[mine]] + flag_edges[owner[mine]]]
+    opened = np.zeros((len(rest), length), dtype=bool)
+    for k, starts in rest.items():
+        opened[row_of[k], : len(starts)] = starts
+    for u, v in meets:
+        if not len(u):
             continue
-        places = _first_places(text, length) if repeats[u] else _places(len(text), length)
-        sizes = places.sum(axis=0)
-        # sets of x and y shingles that are similar share as many as this
-        bound = np.maximum(similarity * sizes, similarity / (1 + similarity) * (sizes + least[others[near], None])) - 1e-4
-        inside = inside.astype(np.float32) @ places
-        inside[inside < bound] = 0
-        best = np.where(starts, 0, np.inf)  # shared with a partner so far; more is another passage, as much is the same again
-        order = np.lexsort((doc[others[near]], -shares[near]))
-        for k in order[(inside > best).any(axis=1)[order]].tolist():
-            if not (inside[k] > best).any():
-                continue
-            m = others[near[k]]
-            stretches = matching(text, shingles[m], length, similarity)
-            done = np.zeros(len(starts), dtype=bool)
-            for a, b, *_ in stretches:
-                done[a : b - length + 1] = True
-            if stretches:
-                best = np.maximum(best, inside[k])
-            if (done & starts).any():
-                ours.append(u)
-                heads.append(int(m))
-                starts &= ~done
-                best[done] = np.inf
+        inside = has.ravel()[codes[row_of[u]] + (before[v] * (vocabulary + 1))[:, None]]
+        shares = (inside & once[row_of[u]]).sum(axis=1)
+        near = (shares >= np.maximum(1.0, similarity * least[u] - 1e-4)) & (inside & beyond[row_of[u]]).any(axis=1)
+        u, v, inside, shares = u[near], v[near], inside[near], shares[near]
+        # without a shingle twice, what passages share is a sliding sum; sets of x and y shingles that are similar share as many as the bound
+        total = np.zeros((len(u), width + 1), dtype=np.int16)
+        np.cumsum(inside, axis=1, out=total[:, 1:])
+        common = (total[:, length:] - total[:, :-length]).astype(np.float32)
+        bound = np.maximum(similarity * length, similarity / (1 + similarity) * (length + least[v])) - 1e-4
+        common[common < bound[:, None]] = 0
+        likely = (repeats[u] > 0) | ((common > 0) & opened[row_of[u]]).any(axis=1)
+        u, v, inside, shares, common = u[likely], v[likely], inside[likely], shares[likely], common[likely]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1, [len(u)]]).tolist() if len(u) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k = int(u[a])
+            starts, text = rest[k], flat[edges[k] : edges[k + 1]]
+            found = common[a:b, : len(starts)]
+            if repeats[k]:
+                places = _first_places(text, length)
+                distinct = places.sum(axis=0)
+                found = inside[a:b, : len(text)].astype(np.float32) @ places
+                found[found < np.maximum(similarity * distinct, similarity / (1 + similarity) * (distinct + least[v[a:b], None])) - 1e-4] = 0
+            best = np.where(starts, 0, np.inf)  # shared with a partner so far; more is another passage, as much is the same again
+            order = np.lexsort((doc[v[a:b]], -shares[a:b]))
+            for m in order[(found > best).any(axis=1)[order]].tolist():
+                if not (found[m] > best).any():
+                    continue
+                other = int(v[a + m])
+                theirs = flat[edges[other] : edges[other + 1]]
+                both = text.tobytes(), theirs.tobytes()
+                if both not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[both] = matching(text, theirs, length, similarity)
+                stretches = known[both]
+                done = np.zeros(len(starts), dtype=bool)
+                for x, y, *_ in stretches:
+                    done[x : y - length + 1] = True
+                if stretches:
+                    best = np.maximum(best, found[m])
+                if (done & starts).any():
+                    ours.append(k)
+                    heads.append(other)
+                    starts &= ~done
+                    best[done] = np.inf
     return ours, heads
 
 
@@ -490,11 +632,10 @@ def hidden_links(source: DataFrame, links: DataFrame, found: DataFrame, width: i
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, int] = {}
             docs, rows, same = batch.column(0).to_pylist(), _rows(batch.column(2), columns), _rows(batch.column(3), ["start", "end"])
             out = []
             for text, r, runs in zip(batch.column(1), rows, same, strict=True):
-                hashed = shingle_hashes(text.as_py().encode().lower().split(), width, known)
+                hashed = shingles_of([text.as_buffer().to_pybytes()], width)[0]
                 asks = r["low"] <= r["high"]
                 wanted = _covered(len(hashed), r["first"][asks], r["last"][asks] + length) & ~_covered(len(hashed), runs["start"], runs["end"] - width + 1)
                 at = np.flatnonzero(_covered(len(hashed), r["first"], r["last"] + length))
@@ -578,11 +719,7 @@ def hidden_links(source: DataFrame, links: DataFrame, found: DataFrame, width: i
         for table in _whole_groups(batches, ["key", "i", "j"]):
             cells = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
             edges = np.flatnonzero(np.concatenate([[True], (cells[:, 1:] != cells[:, :-1]).any(axis=0), [True]])).tolist()
-            ours, heads = [], []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                found = _partners(table.slice(lo, hi - lo), length, similarity)
-                ours += [lo + k for k in found[0]]
-                heads += [lo + k for k in found[1]]
+            ours, heads = _partners(table, edges, length, similarity)
             at, first, last, doc, value = (table.column(c).to_numpy() for c in ("at", "first", "last", "doc", "key"))
             pos = at << 32 | at - first << 16 | at - last
             mine, theirs = np.array(ours, dtype=np.int64), np.array(heads, dtype=np.int64)
@@ -693,11 +830,10 @@ def _verified(source: DataFrame, chained: DataFrame, width: int, length: int, si
     both = found.join(own, ["doc", "lo", "hi"]).join(theirs, ["head", "head_lo", "head_hi"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 1_000) for b in batches for lo in range(0, b.num_rows, 1_000)):
             rows = []
-            for doc, lo, head, head_lo, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known: dict[bytes, int] = {}
-                a, b = (shingle_hashes(t.split(b" "), width, known) for t in (x, y))
+            ours, theirs = (shingles_of(batch.column(c).to_pylist(), width) for c in ("own", "theirs"))
+            for doc, lo, head, head_lo, a, b in zip(*(c.to_pylist() for c in batch.columns[:4]), ours, theirs, strict=True):
                 for s, e, hs, he, j in matching(a, b, length, similarity):
                     same = [{"start": lo + s + x, "end": lo + s + y + width - 1} for x, y in equal_runs(a[s:e], b[hs:he], length)]
                     rows.append((doc, lo + s, lo + e + width - 1, head, head_lo + hs, head_lo + he + width - 1, j, same))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -492,6 +493,37 @@ def test_equal_runs_by_hand():
     assert passages.equal_runs(again, again, 46) == [(0, 60), (61, 200)]
 
 
+def test_word_hashes_tell_words_as_split_does(monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 97)
+    rng = random.Random(6)
+    texts = [b"", b" ", b"A b\tc\x0bd  e\x1cf G", b"a B c D e\x1cF g", b"y" * 40 + b" Z y z w", "\u00a0q \u00c9 r t y".encode()]
+    texts += [" ".join("".join(rng.choice("abXY\u00e9") for _ in range(rng.randint(1, 50))) for _ in range(rng.randint(0, 60))).encode() for _ in range(200)]
+    seen = {}
+    for text, hashes in zip(texts, passages.shingles_of(texts, 5), strict=True):
+        words = text.lower().split()
+        assert len(hashes) == max(0, len(words) - 4)
+        assert all(seen.setdefault(tuple(words[k : k + 5]), h) == h for k, h in enumerate(hashes.tolist()))
+    assert len(set(seen.values())) == len(seen) > 2_000
+    assert passages.shingles_of([], 5) == []
+
+
+def test_equal_texts_of_tiles_are_compared_once(monkeypatch):
+    x = np.arange(1, 47, dtype="<u4")
+    apart = np.stack([x, x + 1_000], axis=1).ravel()[:91]  # has all of its shingles, and none within a passage
+    rows = []
+    for tile in range(2):
+        rows += [(tile, False, doc, 46, 0, 1, 0, apart.tobytes(), None) for doc in range(20)]
+        rows += [(tile, False, 20, 23, 0, 1, 0, np.concatenate([x[:22], [900 + tile], x[23:]]).astype("<u4").tobytes(), None)]
+        rows += [(tile, True, 30, 23, 0, 0, 0, x.tobytes(), b"\1" * 46)]
+    names = ["tile", "asks", "doc", "at", "first", "low", "high", "shingles", "beyond"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    compared, matching = [], passages.matching
+    monkeypatch.setattr(passages, "matching", lambda x, y, *rest: compared.append((x.tobytes(), y.tobytes())) or matching(x, y, *rest))
+    ours, heads = passages._partners(table, [0, 22, 44], 46, 0.8)
+    assert (ours, heads) == ([21, 43], [20, 42])
+    assert len(compared) == len(set(compared)) <= 3
+
+
 def test_links_of_a_task_join_each_component_once():
     joined = edit_embedding.Joined()
     assert [joined.join(a, b) for a, b in [(5, 3), (3, 5), (4, 3), (5, 4), (9, 8), (8, 4), (9, 3)]] == [True, False, True, False, True, True, False]
