@@ -264,7 +264,11 @@ def _place_keys(prints: list[np.ndarray], level: int, width: int) -> tuple[np.nd
 
 
 def _keys(nodes: DataFrame, least: float, seed: int) -> DataFrame:
-    """``key, node, level, size``: the keys of every fingerprint, and its samples on that level; two alike by ``least`` or more share one."""
+    """``key, member``: the keys of every fingerprint; two alike by ``least`` or more share one.
+
+    These rows are shuffled, so each is two numbers: the last five bits of a key are its level (below 32), the last eight
+    of a member the samples it has on that level (below 256), behind its node (below 2**55).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,11 +282,9 @@ def _keys(nodes: DataFrame, least: float, seed: int) -> DataFrame:
                     seen = [at_level(p, level, seed) for _, p in part]
                     row, key = _place_keys(seen, level, width)
                     node, size = numbers[np.array([k for k, _ in part])[row]], np.array([len(p) for p in seen])[row]
-                    # one column for both: a level is below 32, a fingerprint has less than 256 samples
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array((level << 8 | size).astype(np.int32))], ["key", "node", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key & ~31 | level), pa.array(node << 8 | size)], ["key", "member"])
 
-    keys = map_batches(nodes.select("node", "fingerprint"), run, "key long, node long, place int")
-    return keys.select("key", "node", F.shiftright("place", 8).alias("level"), F.col("place").bitwiseAND(F.lit(255)).alias("size"))
+    return map_batches(nodes.select("node", "fingerprint"), run, "key long, member long")
 
 
 TILE = 512
@@ -395,11 +397,13 @@ def linked_prints(prints: DataFrame, least: float = 0.8, seed: int = SEED) -> Da
     nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()), "edit-nodes")  # numbers are fixed by being written
     within = Window.partitionBy("key")
     chosen = F.min(F.struct(F.xxhash64("node").alias("h"), "node", F.col("size").alias("of"))).over(within)
-    members = _keys(nodes, least, seed).withColumns({"n": F.count(F.lit(1)).over(within), "chosen": chosen})
+    # dealt out first: what the window is asked for would travel with each row
+    dealt = _keys(nodes, least, seed).repartition("key").select("key", F.shiftright("member", 8).alias("node"), F.col("member").bitwiseAND(F.lit(255)).alias("size"))
+    members = dealt.withColumns({"n": F.count(F.lit(1)).over(within), "chosen": chosen})
     # of so unlike sizes no two are alike on the level; they may be with other members
     likely = F.least("size", "chosen.of") >= F.lit(least) * F.greatest("size", "chosen.of") - 1e-9
     members = members.withColumns({"head": F.col("chosen.node"), "likely": likely}).where("n > 1 AND node <> head AND (likely OR n > 2)")
-    members = cut_lineage(members.select("key", "node", "level", "n", "head", "likely"), "edit-members")
+    members = cut_lineage(members.select("key", "node", F.col("key").bitwiseAND(F.lit(31)).cast("int").alias("level"), "n", "head", "likely"), "edit-members")
     pairs = members.where("likely").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     found = cut_lineage(_alike(pairs, nodes, least, seed), "edit-found")
     named = cut_lineage(components(found, "edit-links"), "edit-named")

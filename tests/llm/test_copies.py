@@ -1,6 +1,7 @@
 """Near copies, passages and edit fingerprints against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -524,6 +525,22 @@ def test_equal_texts_of_tiles_are_compared_once(monkeypatch):
     assert len(compared) == len(set(compared)) <= 3
 
 
+def test_keys_travel_as_two_numbers(make, monkeypatch):
+    plans, cut = {}, edit_embedding.cut_lineage
+    monkeypatch.setattr(edit_embedding, "cut_lineage", lambda df, label: plans.setdefault(label, df) is None or cut(df, label))
+    prints = edit_embedding.fingerprints(make([(k, prose(k % 7, 60 + 40 * (k % 5))) for k in range(30)])).cache()
+    edit_embedding.linked_prints(prints)
+    plan = plans["edit-members"]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(key.*\n\W*MapInArrow", plan)  # nothing is added to the rows before
+    nodes = prints.select("fingerprint", "doc_id").withColumnRenamed("doc_id", "node").select("node", "fingerprint")
+    found = {(r["key"] & 31, r["member"] >> 8, r["member"] & 255) for r in edit_embedding._keys(nodes, 0.8, edit_embedding.SEED).collect()}
+    expected = {
+        (level, r["node"], len(edit_embedding.at_level(bytes(r["fingerprint"]), level, edit_embedding.SEED)))
+        for r in nodes.collect() for level, _ in edit_embedding._spans(bytes(r["fingerprint"]), 0.8)
+    }
+    assert found == expected
+
+
 def test_links_of_a_task_join_each_component_once():
     joined = edit_embedding.Joined()
     assert [joined.join(a, b) for a, b in [(5, 3), (3, 5), (4, 3), (5, 4), (9, 8), (8, 4), (9, 3)]] == [True, False, True, False, True, True, False]
