@@ -292,6 +292,12 @@ def _named(df: DataFrame, rule: str, obj: Column) -> DataFrame:
     return df.select("store", F.lit(rule).alias("rule"), obj.alias("object"))
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that no size estimate turns into a broadcast.  Names and types repeat, so the files of a catalog are many
+    times smaller than its rows, and ``run_rules`` would build the relations of all its rules on the driver at once."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def polymorphic_fk(cat: Catalog, keep_keys: bool = False) -> DataFrame:
     """``x_type`` next to ``x_id`` without a key.  A ``x_id`` that is the table's own key is an
     event or row id, not a reference; ``keep_keys`` reports it all the same."""
@@ -304,7 +310,7 @@ def polymorphic_fk(cat: Catalog, keep_keys: bool = False) -> DataFrame:
     ids = ids.select("store", "table_name", F.regexp_replace(F.lower("column_name"), "_id$", "").alias("base"))
     declared = cat.fk_columns().select("store", "table_name", F.regexp_replace(F.lower("column_name"), "_id$", "").alias("base"))
     on = ["store", "table_name", "base"]
-    hits = base.join(ids, on, "left_semi").join(declared, on, "left_anti")
+    hits = _join(_join(base, ids, on, "left_semi"), declared, on, "left_anti")
     return _named(hits, "polymorphic_fk", F.concat_ws(".", "table_name", "base"))
 
 
@@ -323,7 +329,7 @@ def fk_unindexed(cat: Catalog) -> DataFrame:
     )
     covered = lists.select("store", "table_name", F.explode(_prefixes("columns")).alias("fk")).distinct()
     keys = cat.fks.withColumn("fk", F.lower(F.array_join("columns", ",")))
-    hits = keys.join(covered, ["store", "table_name", "fk"], "left_anti").dropDuplicates(["store", "table_name", "fk"])
+    hits = _join(keys, covered, ["store", "table_name", "fk"], "left_anti").dropDuplicates(["store", "table_name", "fk"])
     return _named(hits, "fk_unindexed", _fk_object())
 
 
@@ -344,12 +350,8 @@ def denormalized_label(cat: Catalog) -> DataFrame:
         "store", "table_name", F.regexp_replace("column_name", "_id$", "").alias("stem")
     )
     entities = cat.tables().select("store", F.regexp_replace("table_name", "s$", "").alias("stem"), F.col("table_name").alias("entity"))
-    hits = (
-        labels.join(ids, ["store", "table_name", "stem"], "left_semi")
-        .join(entities, ["store", "stem"])
-        .where("entity <> table_name")
-        .dropDuplicates(["store", "table_name", "column_name"])
-    )
+    linked = _join(labels, ids, ["store", "table_name", "stem"], "left_semi")
+    hits = _join(linked, entities, ["store", "stem"]).where("entity <> table_name").dropDuplicates(["store", "table_name", "column_name"])
     return _named(hits, "denormalized_label", _column())
 
 
@@ -365,7 +367,8 @@ def uuid_v4_key(cat: Catalog, versions: DataFrame) -> DataFrame:
 def composite_pk_order(cat: Catalog, leading: str = "tenant_id") -> DataFrame:
     """Composite keys of tables with a dominant access column that do not lead with it."""
     scoped = cat.columns.where(F.col("column_name") == leading).select("store", "table_name")
-    hits = cat.primary_keys().where((F.size("pk") > 1) & (F.element_at("pk", 1) != leading)).join(scoped, ["store", "table_name"], "left_semi")
+    composite = cat.primary_keys().where((F.size("pk") > 1) & (F.element_at("pk", 1) != leading))
+    hits = _join(composite, scoped, ["store", "table_name"], "left_semi")
     return _named(hits, "composite_pk_order", F.col("table_name"))
 
 
@@ -375,7 +378,7 @@ def missing_fk(cat: Catalog) -> DataFrame:
         "store", "table_name", "column_name", F.regexp_replace("column_name", "_id$", "").alias("stem")
     )
     keyed = cat.columns.where("pk").select("store", F.regexp_replace("table_name", "s$", "").alias("stem")).distinct()
-    hits = ids.join(keyed, ["store", "stem"], "left_semi").join(cat.fk_columns(), ["store", "table_name", "column_name"], "left_anti")
+    hits = _join(_join(ids, keyed, ["store", "stem"], "left_semi"), cat.fk_columns(), ["store", "table_name", "column_name"], "left_anti")
     serious = F.lower("table_name").rlike(FINANCIAL_TABLE)
     ruled = hits.withColumn("rule", F.when(serious, "no_fk_financial").otherwise("no_fk"))
     return ruled.select("store", "rule", _column().alias("object"))
@@ -390,7 +393,7 @@ def composite_fk_mismatch(cat: Catalog) -> DataFrame:
         .distinct()
     )
     refs = cat.fks.where(F.size("columns") > 1).select("store", "table_name", "columns", "ref_table", F.array_join("ref_columns", ",").alias("cols"))
-    hits = refs.join(targets.withColumnRenamed("table_name", "ref_table"), ["store", "ref_table", "cols"], "left_anti")
+    hits = _join(refs, targets.withColumnRenamed("table_name", "ref_table"), ["store", "ref_table", "cols"], "left_anti")
     return _named(hits, "composite_fk_mismatch", _fk_object())
 
 
@@ -411,9 +414,7 @@ def constraint_inventory(cat: Catalog) -> DataFrame:
 def missing_unique(cat: Catalog) -> DataFrame:
     natural = F.lower("column_name").rlike(NATURAL_KEY)
     single = cat.indexes.where("is_unique AND size(columns) = 1").select("store", "table_name", F.element_at("columns", 1).alias("column_name"))
-    hits = cat.columns.where(natural & ~F.col("is_unique") & ~F.col("pk")).join(
-        single, ["store", "table_name", "column_name"], "left_anti"
-    )
+    hits = _join(cat.columns.where(natural & ~F.col("is_unique") & ~F.col("pk")), single, ["store", "table_name", "column_name"], "left_anti")
     return _named(hits, "no_unique", _column())
 
 
@@ -425,7 +426,7 @@ def over_nullable_unique(cat: Catalog) -> DataFrame:
     """Unique indexes with a nullable member: each NULL counts as different."""
     members = cat.indexes.where("is_unique").select("store", "table_name", "index_name", F.explode("columns").alias("column_name"))
     nullable = cat.columns.where("NOT not_null").select("store", "table_name", "column_name")
-    hits = members.join(nullable, ["store", "table_name", "column_name"], "left_semi").select("store", "table_name", "index_name").distinct()
+    hits = _join(members, nullable, ["store", "table_name", "column_name"], "left_semi").select("store", "table_name", "index_name").distinct()
     return _named(hits, "over_nullable_unique", _index_object())
 
 
@@ -463,7 +464,7 @@ def no_audit_companion(cat: Catalog) -> DataFrame:
     tables = cat.tables().withColumn("lowered", F.lower("table_name"))
     covered = tables.where(F.col("lowered").rlike(companion)).select("store", F.regexp_replace("lowered", companion, "").alias("lowered"))
     sensitive = tables.where(F.col("lowered").rlike(SENSITIVE_TABLE) & ~F.col("lowered").rlike(companion))
-    return _named(sensitive.join(covered, ["store", "lowered"], "left_anti"), "no_audit_trail", F.col("table_name"))
+    return _named(_join(sensitive, covered, ["store", "lowered"], "left_anti"), "no_audit_trail", F.col("table_name"))
 
 
 def tenant_columns(cat: Catalog) -> DataFrame:
@@ -477,7 +478,7 @@ def tenant_missing(cat: Catalog) -> DataFrame:
     is_tenant = F.lower("column_name").isin(TENANT_COLUMNS)
     per_table = cat.columns.groupBy("store", "table_name").agg(F.bool_or(is_tenant & F.col("not_null")).alias("scoped"))
     shared = cat.columns.where(is_tenant).select("store").distinct()
-    hits = per_table.where("NOT scoped").join(shared, "store", "left_semi")
+    hits = _join(per_table.where("NOT scoped"), shared, ["store"], "left_semi")
     return _named(hits, "no_tenant_scope", F.col("table_name"))
 
 
@@ -493,13 +494,13 @@ def tenant_indexes(cat: Catalog, only: list[str] | None = None) -> DataFrame:
     holds = F.arrays_overlap("tenants", lowered("columns"))
     rules = {"index_not_tenant_leading": ~leads, "unique_omits_tenant": F.col("is_unique") & ~holds}
     chosen = {r: c for r, c in rules.items() if only is None or r in only}
-    out = _hits(cat.indexes.join(tenants, ["store", "table_name"]), _index_object(), chosen)
+    out = _hits(_join(cat.indexes, tenants, ["store", "table_name"]), _index_object(), chosen)
     if "index_not_tenant_leading" in chosen:
-        keys = cat.primary_keys().where(F.size("pk") > 1).withColumnRenamed("pk", "columns").join(tenants, ["store", "table_name"])
+        keys = _join(cat.primary_keys().where(F.size("pk") > 1).withColumnRenamed("pk", "columns"), tenants, ["store", "table_name"])
         out = out.unionByName(_named(keys.where(~leads), "index_not_tenant_leading", F.concat("table_name", F.lit(".pk"))))
     if "unique_omits_tenant" in chosen:
         parents = tenants.select("store", F.col("table_name").alias("ref_table"))
-        linked = cat.fks.join(tenants, ["store", "table_name"]).join(parents, ["store", "ref_table"], "left_semi")
+        linked = _join(_join(cat.fks, tenants, ["store", "table_name"]), parents, ["store", "ref_table"], "left_semi")
         named = F.concat("table_name", F.lit("."), F.array_join("columns", "_"))
         out = out.unionByName(_named(linked.where(~holds), "unique_omits_tenant", named))
     return out
@@ -519,7 +520,7 @@ def index_redundant_prefix(cat: Catalog) -> DataFrame:
         "store", "table_name", F.explode(F.slice(_prefixes("columns"), F.lit(1), F.size("columns") - 1)).alias("cols")
     )
     shorter = cat.indexes.where("NOT is_unique").withColumn("cols", F.lower(F.array_join("columns", ",")))
-    hits = shorter.join(longer.distinct(), ["store", "table_name", "cols"], "left_semi")
+    hits = _join(shorter, longer.distinct(), ["store", "table_name", "cols"], "left_semi")
     return _named(hits, "redundant_prefix", _index_object())
 
 

@@ -312,6 +312,19 @@ def test_finding_ids_fit_the_pattern(spark):
     assert spark.createDataFrame([(i,) for i in ids], "i string").where(~F.col("i").rlike(ID_PATTERN)).count() == 0
 
 
+def test_rules_that_relate_frames_broadcast_nothing(spark):
+    cat = catalog(
+        spark,
+        [("users", "id", "int", {"pk": True}), ("users", "email", "text"), ("orders", "user_id", "int", {"not_null": False}), ("orders", "user_name", "text"), ("orders", "tenant_id", "int")],
+        [("orders", ["tenant_id"], "users", ["id"], "", True)],
+        [("orders", "ix", ["user_id"], True), ("orders", "ix2", ["user_id", "tenant_id"], False)],
+    )
+    found = cr.run_rules(cat)
+    got = {(r["object"], r["id"].rpartition(".")[2]) for r in found.collect()}
+    assert {("orders.user_id", "user_id_no_fk_financial"), ("orders.user_name", "user_name_denormalized_label"), ("orders.ix", "ix_over_nullable_unique"), ("users", "no_tenant_scope")} <= got
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_directional_models_never_gate(spark):
     cat = catalog(spark, [("t", "price", "float")]).with_confidence("directional")
     assert {(r["status"], r["confidence"]) for r in cr.run_rules(cat).collect()} == {("needs_api", "speculative")}
