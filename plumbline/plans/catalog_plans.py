@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -930,13 +931,18 @@ def _(i):
     # reports as they are written by hand-made tools: per store and module one indented array, {"findings": [...]}, or lines
     path = scratch_path(i.spark, "findings")
     one = F.struct("store", "paradigm", "id", "module", "status", "severity", "fixable", F.struct("axis", "confidence", "magnitude").alias("expected_impact"))
-    many = i.findings_fx.groupBy("store", "module").agg(F.collect_list(one).alias("fs"))
-    pretty = F.to_json("fs", {"pretty": "true"})
-    shape = F.pmod(F.xxhash64("store", "module"), F.lit(3))
-    body = F.when(shape == 0, pretty).when(shape == 1, F.concat(F.lit('{\n "version": 1, "findings": '), pretty, F.lit("}\n"))).otherwise(
-        F.array_join(F.transform("fs", lambda f: F.to_json(f)), "\n")
+    here = Window.partitionBy("part", "store", "module").orderBy("store")  # in any order
+    placed = i.findings_fx.select("store", "module", F.concat_ws("-", "store", "module").alias("part"), one.alias("f")).withColumns(
+        {"n": F.row_number().over(here), "last": F.lead(F.lit(False), 1, True).over(here)}
     )
-    many.select(body.alias("value"), F.concat_ws("-", "store", "module").alias("part")).write.partitionBy("part").text(path)
+    shape = F.pmod(F.xxhash64("store", "module"), F.lit(3))
+    listed = F.to_json(F.array("f"), {"pretty": "true"})
+    pretty = F.substring(listed, F.lit(3), F.length(listed) - 4)  # without the brackets
+    head = F.when(F.col("n") > 1, "").when(shape == 0, "[ ").otherwise('{\n "version": 1, "findings": [ ')
+    tail = F.when(~F.col("last"), ",").when(shape == 0, " ]").otherwise(" ]}\n")
+    body = F.when(shape == 2, F.to_json("f")).otherwise(F.concat(head, pretty, tail))
+    # a file is written by one task, line by line; the writer keeps the order of rows that are sorted by their file
+    placed.sortWithinPartitions("part", "store", "module", "n").select(body.alias("value"), "part").write.partitionBy("part").text(path)
     loaded = sf.load_findings(i.spark, f"{path}/*")
     return loaded.groupBy("store", "module", "status", "axis", "confidence").agg(F.count(F.lit(1)).alias("findings"), F.sum("severity").alias("severity"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.once import compute_once
 from plumbline.operators import scoring
 from plumbline.operators.inventory import IGNORED_DIRS
+from plumbline.sources.cutter import file_elements
 
 FINDING_JSON = (
     "store string, paradigm string, id string, module string, title string, status string, severity int, scope string, "
@@ -18,25 +24,23 @@ FINDING_JSON = (
 
 
 def load_findings(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Findings from JSON files: one finding, ``{"findings": [...]}`` or array per line, or one such value over many lines.
+    """Findings from JSON files: one finding, ``{"findings": [...]}`` or array per line, or such values over many lines.
 
-    Files whose every line is a value are split within a file; the others are read whole, a task for each, and
-    one that holds no JSON value fails the job.  ``multi_line`` says which kind all files are, where that is known;
-    then nothing is read twice, and what is not of that kind fails the job.
+    Files whose every line is a value are split within a file; the others are read whole, a task for each, which holds
+    some lines and one finding at a time, and one that holds no JSON value fails the job.  ``multi_line`` says which kind
+    all files are, where that is known; then nothing is read twice, and all have to be UTF-8.
     """
     schema = f"{FINDING_JSON}, findings array<struct<{_as_struct(FINDING_JSON)}>>"
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if multi_line is None:
-        lines = spark.read.schema(f"{schema}, __broken string").option("columnNameOfCorruptRecord", "__broken").json(path)
-        lines = lines.select("*", F.col("_metadata.file_path").alias("__file"))
-        # the reader wants a column of the data beside the broken line; no id is a NUL
-        whole = lines.where((F.col("__broken").isNotNull()) & (F.coalesce("id", F.lit("")) != "\0")).select("__file").distinct()
-        broken = sorted(r["f"] for r in whole.select(F.url_decode("__file").alias("f")).collect())  # names of files, which the driver lists to read them anyway
-        raw = lines.join(whole, "__file", "left_anti").drop("__file", "__broken") if broken else lines.drop("__file", "__broken")
-        if broken:
-            raw = raw.unionByName(reader.option("multiLine", True).json(broken))
+        kinds = _layouts(spark.read.text(path)).collect()  # names of files, which the driver lists to read them anyway
+        lines, whole, wide = ([_literal(unquote(r["file"])) for r in kinds if r["layout"] == kind] for kind in ("lines", "whole", "wide"))
+        parts = [reader.json(lines if whole or wide else path)] if lines or not kinds else []
+        parts += [_elements(spark, whole, schema)] if whole else []
+        parts += [reader.option("multiLine", True).json(wide)] if wide else []
+        raw = reduce(DataFrame.unionByName, parts)
     else:
-        raw = reader.option("multiLine", multi_line).json(path)
+        raw = _elements(spark, path, schema) if multi_line else reader.json(path)
     plain = [c for c in raw.columns if c != "findings"]
     each = raw.select(F.explode(F.coalesce("findings", F.array(F.struct(*plain)))).alias("f")).select("f.*")
     impact = {c: F.coalesce(c, f"expected_impact.{c}") for c in ("axis", "confidence", "magnitude")}
@@ -51,6 +55,30 @@ def load_findings(spark: SparkSession, path: str, multi_line: bool | None = None
     ).drop("evidence", "verification", "expected_impact")
 
 
+def _layouts(texts: DataFrame) -> DataFrame:
+    """(file, layout): ``lines`` where every line is a value of its own, as its brackets show, else ``whole``; ``wide`` are
+    UTF-16 and UTF-32, which only Spark's reader of whole files tells apart."""
+    plain = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '"[^"]*+"', "")
+    opened, closed = (F.length(F.regexp_replace(plain, others, "")) for others in (r"[^{\[]+", r"[^}\]]+"))
+    broken = F.when(~F.col("value").rlike(r"^[\s\uFEFF]*[{\[]"), F.col("value").rlike(r"\S")).otherwise(opened != closed)
+    seen = texts.select(F.col("_metadata.file_path").alias("file"), broken.alias("broken"), F.contains("value", F.lit("\0")).alias("wide"))
+    layout = F.when(F.bool_or("wide"), "wide").when(F.bool_or("broken"), "whole").otherwise("lines")
+    return seen.groupBy("file").agg(layout.alias("layout"))
+
+
+def _literal(path: str) -> str:
+    """A path whose characters stand for themselves where the readers take patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _elements(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Rows of files that are not of lines, read finding by finding."""
+    found = file_elements(spark, paths, "findings")
+    text = F.when(~F.col("text").rlike(r"\S"), "]").otherwise(F.col("text"))  # nothing between two commas is no value
+    value = F.when(F.col("inner"), F.concat(F.lit('{"findings":['), text, F.lit("]}"))).otherwise(text)
+    return compute_once(found, d=F.from_json(value, schema, {"mode": "FAILFAST"})).select("d.*")
+
+
 def _as_struct(ddl: str) -> str:
     """``a int, b struct<..>`` in the colon form nested types need."""
     fields, current, depth = [], "", 0
